@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ballotlens.llm.leaks import exact_leaks, find_leaks
 from ballotlens.llm.mixing import mix_sources, shares
 from ballotlens.llm.sampling import audit_samples, golden_sample
+from ballotlens.llm.textstats import NAMES, classify, document_statistics
 from ballotlens.tables import table
 
 GOLDEN_RATE, GOLDEN_SHIFT = 0.05, 20311104
@@ -53,7 +54,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p9_plan(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are not prose, and what they are."""
+    return classify(table(spark, d, "documents", "doc_id", "text")).where("doc_kind <> 'prose'").select("doc_id", "doc_kind").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document's text."""
+    return document_statistics(table(spark, d, "documents", "doc_id", "text")).select("doc_id", *NAMES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares, p10_found, p10_statistics)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """with recursive
