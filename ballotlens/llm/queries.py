@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ballotlens.llm.leaks import exact_leaks, find_leaks
 from ballotlens.llm.mixing import mix_sources, shares
+from ballotlens.llm.names import canonicalise
 from ballotlens.llm.sampling import audit_samples, golden_sample
 from ballotlens.llm.textstats import NAMES, classify, document_statistics
 from ballotlens.tables import table
@@ -16,6 +17,20 @@ from ballotlens.tables import table
 GOLDEN_RATE, GOLDEN_SHIFT = 0.05, 20311104
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of the reference list for each typed value that is not itself one."""
+    sov, manifest = table(spark, d, "statement_of_votes"), table(spark, d, "contest_manifest")
+    as_rows = lambda df, t, k, f, *more: df.select(F.lit(t).alias("source_table"), F.col(k).cast("bigint").alias("record_id"), F.lit(f).alias("field_name"), F.col(f).alias("value"), *more)
+    titles = as_rows(sov, "statement_of_votes", "row_id", "contest_title").unionAll(as_rows(manifest, "contest_manifest", "contest_id", "description"))
+    choices = as_rows(sov, "statement_of_votes", "row_id", "choice_name", F.col("contest_title").alias("title"))
+    return canonicalise(titles, choices, table(spark, d, "canonical_names")).select("source_table", "record_id", "field_name", "canon_id")
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose typed value stands for no entry, per field."""
+    return p3_found(spark, d).where("canon_id = 0").groupBy("source_table", "field_name").agg(F.count("*").alias("n_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The cards of each county's sample in each round."""
     return audit_samples(table(spark, d, "card_manifest"), table(spark, d, "audit_rounds"))
@@ -64,7 +79,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return document_statistics(table(spark, d, "documents", "doc_id", "text")).select("doc_id", *NAMES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares, p10_found, p10_statistics)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """with recursive
