@@ -26,29 +26,29 @@ WINDOW, BUDGET = 13, 2
 BLOCK_CHARS = 4_000_000
 
 
-def myers(pattern: list, text: list) -> list[int]:
-    """For each end in text, the least number of edits between the pattern and a stretch of text that ends there."""
-    m = len(pattern)
-    where: dict = {}
-    for i, p in enumerate(pattern):
-        where[p] = where.get(p, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, out = full, 0, m, []
-    for t in text:
-        eq = where.get(t, 0)
+def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """For each row, the least number of edits between the pattern and any stretch of the text.
+
+    Both are matrices of 64-bit word hashes, patterns of at most 63 columns. One bit of a 64-bit number
+    stands for a word of the pattern; all rows advance together, one word of text at a time.
+    """
+    m = patterns.shape[1]
+    one, full, top = np.uint64(1), np.uint64((1 << m) - 1), np.uint64(m - 1)
+    bits = one << np.arange(m, dtype=np.uint64)
+    plus, minus = np.full(len(patterns), full), np.zeros(len(patterns), np.uint64)
+    score = np.full(len(patterns), m, np.int64)
+    best = score.copy()
+    for t in range(texts.shape[1]):
+        eq = ((patterns == texts[:, t : t + 1]) * bits).sum(axis=1, dtype=np.uint64)
         across = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (~(across | plus) & full), plus & across
-        score += bool(up & top) - bool(down & top)
+        score += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
         # a match may begin anywhere, so the top row stays 0
-        up, down = (up << 1) & full, (down << 1) & full
+        up, down = (up << one) & full, (down << one) & full
         across = eq | minus
         plus, minus = down | (~(across | up) & full), up & across
-        out.append(score)
-    return out
-
-
-def windows(n_words: int, window: int) -> int:
-    return max(0, n_words - window + 1)
+        np.minimum(best, score, out=best)
+    return best
 
 
 class Index:
@@ -58,6 +58,7 @@ class Index:
         self.window, self.budget, self.piece = window, budget, window // (budget + 1)
         self.items = [ids for _, ids in passages.items()]
         hashes, start, end, first, joined = word_hashes(list(passages)) if passages else (np.zeros(0, np.uint64), [], [], [0], "")
+        self.hashes, self.offset, self.size = hashes, np.asarray(first[:-1], np.int64), np.diff(np.asarray(first, np.int64))
         self.words = [[joined[s:e] for s, e in zip(start[a:b], end[a:b])] for a, b in zip(first[:-1], first[1:])]
         keys, who, place = [], [], []
         for n, (a, b) in enumerate(zip(first[:-1], first[1:])):
@@ -82,25 +83,42 @@ class Index:
         ref = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         return at, self.who[ref], self.place[ref]
 
-    def verify(self, n: int, text: list[str], hits: list[tuple[int, int]]) -> tuple[int | None, int]:
-        """Of passage n in a text's words: the least distance of a window (None beyond the budget), and the
-        longest run of equal words through a hit."""
-        passage, k, w = self.words[n], self.budget, self.window
-        best, run = None, 0
-        seen: set[tuple[int, int]] = set()
-        for i, j in hits:
-            for p in range(k + 1):
-                begin = j - p * self.piece
-                if not 0 <= begin <= len(passage) - w or (begin, i - j) in seen:
-                    continue
-                seen.add((begin, i - j))
-                if best != 0:
-                    at = i - j + begin
-                    d = min(myers(passage[begin : begin + w], text[max(0, at - k) : at + w + k]))
-                    best = d if d <= k and (best is None or d < best) else best
-        done: dict[int, int] = {}
-        for i, j in sorted(hits):
-            if done.get(i - j, -1) >= i:
+    def verify(self, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], doc: np.ndarray, at: np.ndarray, who: np.ndarray, place: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """For each text and passage with a window within the budget: the least distance of a window, and a
+        place (in the texts' words, in the passage) where a window of that distance lies.
+
+        bounds: first and end word of each hit's text.
+        """
+        k, w = self.budget, self.window
+        rows = []
+        for p in range(k + 1):
+            begin = place - p * self.piece
+            fits = (begin >= 0) & (begin <= self.size[who] - w)
+            rows.append(np.stack((doc, who, begin, at - place + begin, *bounds))[:, fits])
+        rows = np.concatenate(rows, axis=1)
+        # each window once: passage, place in it and place in the texts make one number
+        wide = int(self.size.max(initial=0)) + 1
+        code = ((rows[3] + wide) * len(self.size) + rows[1]) * wide + rows[2]
+        rows = rows[:, np.unique(code, return_index=True)[1]]
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for step in range(0, rows.shape[1], 4096):
+            d, n, begin, pos, lo, hi = rows[:, step : step + 4096]
+            where = pos[:, None] + np.arange(-k, w + k)
+            inside = (where >= lo[:, None]) & (where < hi[:, None])
+            text = np.where(inside, hashes[np.clip(where, 0, len(hashes) - 1)], np.uint64(0))
+            pattern = self.hashes[self.offset[n][:, None] + begin[:, None] + np.arange(w)]
+            best = myers(pattern, text)
+            for i in np.flatnonzero(best <= k).tolist():
+                key = (int(d[i]), int(n[i]))
+                if key not in out or best[i] < out[key][0]:
+                    out[key] = (int(best[i]), int(pos[i]), int(begin[i]))
+        return out
+
+    def run(self, n: int, text: list[str], places: list[tuple[int, int]]) -> int:
+        """Most words in a row that are equal in passage n and a text, through any of the places (of the text, of the passage)."""
+        passage, most, done = self.words[n], 0, {}
+        for i, j in sorted(places):
+            if done.get(i - j, -1) > i:
                 continue
             a, b = i, i
             while a > 0 and a - (i - j) > 0 and text[a - 1] == passage[a - 1 - (i - j)]:
@@ -108,15 +126,16 @@ class Index:
             while b < len(text) and b - (i - j) < len(passage) and text[b] == passage[b - (i - j)]:
                 b += 1
             done[i - j] = b
-            run = max(run, b - a)
-        return best, run
+            most = max(most, b - a)
+        return most
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance and run of each text that holds a window of an item's passage with at most
     ``budget`` word edits.
 
-    distance: the least over the windows (0: held exactly). run: most words in a row that are equal. Words
+    distance: the least over the windows (0: held exactly). run: where a window is held exactly, most words
+    in a row that are equal, compared as words, not as hashes; else null. Words
     are runs of letters or digits, without case; what lies between does not count. Null or empty texts and
     passages, and passages shorter than the window, match nothing. Items that share a passage all come out.
     Repeated rows give one row. Other columns are dropped.
@@ -148,17 +167,24 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
                 at, who, place = index.hits(gram_hashes(hashes, index.piece))
                 doc = np.searchsorted(first, at, "right") - 1
                 inside = at + index.piece <= first[doc + 1]
-                found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for d, n, i, j in zip(doc[inside].tolist(), who[inside].tolist(), at[inside].tolist(), place[inside].tolist()):
-                    found[d, n].append((i - int(first[d]), j))
+                doc, at, who, place = doc[inside], at[inside], who[inside].astype(np.int64), place[inside].astype(np.int64)
+                good = index.verify(hashes, (first[doc], first[doc + 1]), doc, at, who, place)
+                exact = {key for key, (best, _, _) in good.items() if best == 0}
+                hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                if exact:
+                    code = who * len(part) + doc
+                    near = np.isin(code, np.array([n * len(part) + d for d, n in exact]))
+                    for d, n, i, j in zip(doc[near].tolist(), who[near].tolist(), at[near].tolist(), place[near].tolist()):
+                        hits[d, n].append((i - int(first[d]), j))
                 words: dict[int, list[str]] = {}
-                for (d, n), hits in found.items():
-                    if d not in words:
-                        a, b = first[d], first[d + 1]
-                        words[d] = [joined[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
-                    best, longest = index.verify(n, words[d], hits)
-                    if best is not None:
-                        out += [(ids[begin + d], item, best, longest) for item in index.items[n]]
+                for (d, n), (best, _, _) in good.items():
+                    longest = None
+                    if best == 0:
+                        if d not in words:
+                            a, b = first[d], first[d + 1]
+                            words[d] = [joined[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
+                        longest = index.run(n, words[d], hits[d, n])
+                    out += [(ids[begin + d], item, best, longest) for item in index.items[n]]
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "distance", "run"])
 
