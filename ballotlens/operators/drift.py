@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -128,9 +129,18 @@ def edit_script(old: Node, new: Node) -> tuple[float, list[tuple[str, Node | Non
     order. Steps: ("keep" | "rename", old, new), ("remove", old, None), ("add", None, new). A node removed
     in one place and added in another under the same name is one ("move", old, new).
     """
-    a, b = old.children, new.children
-    n, m = len(a), len(b)
     steps: list[tuple[str, Node | None, Node | None]] = []
+    # leaves whose name occurs once on either side are the same field at no cost; only the others are matched
+    once = lambda xs: {k: x for x in xs if names[k := x.name.strip(BLANKS)] == 1 and not x.children}
+    names = Counter(x.name.strip(BLANKS) for x in old.children)
+    here = once(old.children)
+    names = Counter(x.name.strip(BLANKS) for x in new.children)
+    there = once(new.children)
+    same = here.keys() & there.keys()
+    steps += [("keep", here[k], there[k]) for k in sorted(same)]
+    a = [x for x in old.children if here.get(x.name.strip(BLANKS)) is not x or x.name.strip(BLANKS) not in same]
+    b = [x for x in new.children if there.get(x.name.strip(BLANKS)) is not x or x.name.strip(BLANKS) not in same]
+    n, m = len(a), len(b)
     total, below = 0.0, {}
     if n and m:
         cost = np.full((n + m, n + m), 0.0)
