@@ -13,11 +13,11 @@ EPSILON = 1e-5
 
 def mean_under_null(n: Column, total: Column, before: Column) -> Column:
     """(N/2 - S) / (N - j): the mean of what is left if the null hypothesis holds, after j samples of sum S."""
-    return (n * 0.5 - total) / (n - before)
+    return F.try_divide(n * 0.5 - total, n - before)
 
 
 def eta_to_lambda(eta: Column, mu: Column, upper: Column | float) -> Column:
-    return (eta / mu - 1) / (upper - mu)
+    return F.try_divide(F.try_divide(eta, mu) - 1, upper - mu)
 
 
 def lambda_to_eta(lam: Column, mu: Column, upper: Column | float) -> Column:

@@ -70,7 +70,12 @@ def sample_with_limits(card_contests: DataFrame, wanted: DataFrame, totals: Data
     Contests over their own limits go first; then, while the sample has more than audit_cutoff cards, the largest.
     """
     now = written(limited_sizes(wanted, totals, max_pct, contest_cutoff), "sizes")
-    while now.limit(1).count() and consistent_sample(card_contests, now).count() > audit_cutoff:
+    most = now.agg(F.max("n")).first()[0] or 0
+    rank = F.row_number().over(Window.partitionBy("contest_id").orderBy("prn"))
+    # ranked once; each turn only compares ranks with the sizes that are left
+    ranked = written(card_contests.select("prn", "contest_id").withColumn("rank", rank).where(F.col("rank") <= F.lit(most)), "ranked")
+    size = lambda sizes: ranked.join(sizes, "contest_id").where("rank <= n").select("prn").distinct().count()
+    while now.limit(1).count() and size(now) > audit_cutoff:
         now = written(drop_largest(now, 1), "sizes")
     return now
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballotlens.functions import betting
 
@@ -49,12 +50,12 @@ def alpha_mart(samples: DataFrame, keys: list[str], order: str, value: str, n: s
 
 def error_free(samples: DataFrame, keys: list[str], order: str, value: str, n: str, upper: Column | float, max_loss: float = 0.9) -> DataFrame:
     """The comparison martingale for samples without errors: the bet is max_loss / mu."""
-    return martingale(running(samples, keys, order, value), keys, order, value, F.lit(max_loss) / F.col("mu"), n, upper)
+    return martingale(running(samples, keys, order, value), keys, order, value, F.try_divide(F.lit(max_loss), F.col("mu")), n, upper)
 
 
 def adaptive(samples: DataFrame, keys: list[str], order: str, value: str, n: str, noerror: str, alpha: float, max_loss: float = 0.9) -> DataFrame:
     """Per key: used, p_value and status of the adaptive comparison audit. A key's group is its sample, of bounded size."""
-    schema = samples.select(*keys).schema.add("used", "integer").add("p_value", "double").add("status", "string")
+    schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("used", T.IntegerType()), T.StructField("p_value", T.DoubleType()), T.StructField("status", T.StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -69,7 +70,7 @@ def adaptive(samples: DataFrame, keys: list[str], order: str, value: str, n: str
 
 def needed_samples(assertions: DataFrame, alpha: float, max_loss: float = 0.9) -> DataFrame:
     """assertions with estimate: samples without errors until the risk limit (0: never). In batches, no shuffle."""
-    schema = assertions.schema.add("estimate", "integer")
+    schema = T.StructType([*assertions.schema.fields, T.StructField("estimate", T.IntegerType())])
 
     def run(batches):
         for pdf in batches:
