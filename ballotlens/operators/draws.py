@@ -69,15 +69,22 @@ def sample_with_limits(card_contests: DataFrame, wanted: DataFrame, totals: Data
 
     Contests over their own limits go first; then, while the sample has more than audit_cutoff cards, the largest.
     """
-    now = written(limited_sizes(wanted, totals, max_pct, contest_cutoff), "sizes")
-    most = now.agg(F.max("n")).first()[0] or 0
+    sizes = limited_sizes(wanted, totals, max_pct, contest_cutoff).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "contest_id")))  # one row a contest
+    sizes = written(sizes, "sizes")
+    most = sizes.agg(F.max("n")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("contest_id").orderBy("prn"))
-    # ranked once; each turn only compares ranks with the sizes that are left
-    ranked = written(card_contests.select("prn", "contest_id").withColumn("rank", rank).where(F.col("rank") <= F.lit(most)), "ranked")
-    size = lambda sizes: ranked.join(sizes, "contest_id").where("rank <= n").select("prn").distinct().count()
-    while now.limit(1).count() and size(now) > audit_cutoff:
-        now = written(drop_largest(now, 1), "sizes")
-    return now
+    drawn = card_contests.select("prn", "contest_id").withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).join(sizes, "contest_id").where("rank <= n")
+    # a card stays in the sample until the last contest that wants it has been dropped, so one pass gives the
+    # sample's size after each drop: the cards whose last contest comes later
+    last = drawn.groupBy("prn").agg(F.max("r").alias("r")).groupBy("r").agg(F.count("*").alias("cards"))
+    later = F.sum("cards").over(Window.orderBy(F.desc("r")))
+    steps = last.withColumn("upto", later)
+    first_kept = steps.where(F.col("upto") <= audit_cutoff).agg(F.min("r").alias("keep")).first()["keep"]
+    if first_kept is None:
+        return sizes.limit(0).select("contest_id", "n")
+    # contests between the last too large step and the first kept one add no card of their own
+    over = steps.where(F.col("upto") > audit_cutoff).agg(F.max("r").alias("r")).first()["r"] or 0
+    return sizes.where(F.col("r") > over).select("contest_id", "n")
 
 
 def strata_rates(strata: DataFrame, contest_strata: DataFrame) -> DataFrame:
