@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 
 def strip_end(line: str) -> str:
     """The line without one line end (a carriage return, a line feed or both)."""
@@ -49,3 +51,11 @@ def cells(line: str) -> list[str] | None:
         if at == end:
             out.append("")
             return out
+
+
+def lenient_cells(line: str) -> list[str]:
+    """The cells of a line; where its quoting is not well-formed (as with blanks around quotes), as well as they can be told."""
+    found = cells(line)
+    if found is None:
+        found = next(csv.reader([line], skipinitialspace=True), [""])
+    return found

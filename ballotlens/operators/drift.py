@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballotlens.functions.csvline import cells, strip_end
+from ballotlens.functions.csvline import cells, lenient_cells, strip_end
 from ballotlens.functions.profile import KINDS, REGISTERS, cell_kind, pattern, registers
 from ballotlens.operators.copies import assign
 from ballotlens.scratch import written
@@ -224,7 +224,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _tree(header: str | None, profiles: list | None) -> Node:
-    names = cells(strip_end(header)) or [] if header is not None else []
+    names = lenient_cells(strip_end(header)) if header is not None else []
     by = {p["pos"]: p for p in (profiles if profiles is not None else [])}
     root = Node("")
     for pos, name in enumerate(names):
