@@ -33,8 +33,9 @@ BLOCK = 20_000
 #: A side is broadcast only if it was counted and is no larger.
 BROADCAST_ROWS = 200_000
 N = 3
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
-NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+NUMBER_WORDS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)}
+TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_ROMAN = re.compile(r"(l?x{0,3}|xl)(ix|iv|v?i{0,3})")
 #: Words that carry nothing by themselves. Fixed values.
 EMPTY_WORDS = {"of", "the", "and", "for", "at", "in", "no", "nr", "number", "num"}
 #: Words of entries that typed titles often leave out. Fixed values.
@@ -64,6 +65,11 @@ def _letters(word: str) -> str:
     return word.translate(str.maketrans("0153", "olse")) if not re.fullmatch(r"[0-9]+[a-z]{1,2}", word) else word
 
 
+def _roman(word: str) -> int:
+    values = [{"i": 1, "v": 5, "x": 10, "l": 50}[c] for c in word]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+
+
 def title_words(text: str) -> tuple[list[str], bool]:
     """The words of a title, numbers as digits, and whether its end was cut off."""
     text = fold(text)
@@ -77,10 +83,13 @@ def title_words(text: str) -> tuple[list[str], bool]:
         w = _letters(w)
         if w.isdigit():
             w = str(int(w))
-        elif w in NUMBER_WORDS:
-            w = str(NUMBER_WORDS[w])
-        elif w in ROMAN and i and (len(w) > 1 or words[i - 1] in ("ward", "district", "dist", "no", "issue", "seat", "question") or i == len(words) - 1):
-            w = str(ROMAN[w])
+        elif w in NUMBER_WORDS and NUMBER_WORDS[w] < 10 and i and words[i - 1] in TENS:
+            out[-1] = str(TENS[words[i - 1]] + NUMBER_WORDS[w])
+            continue
+        elif w in NUMBER_WORDS or w in TENS:
+            w = str(NUMBER_WORDS.get(w) or TENS[w])
+        elif i and _ROMAN.fullmatch(w) and (len(w) > 1 or words[i - 1] in ("ward", "district", "dist", "no", "issue", "seat", "question") or i == len(words) - 1):
+            w = str(_roman(w))
         out.append(w)
     return out, cut
 
