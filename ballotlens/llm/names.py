@@ -378,7 +378,7 @@ def _match(values: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns], pa.array(ids, pa.int32()), pa.array(cosines, pa.float64()), pa.array(misfits, pa.float64())], names=["value", "name_kind", "context", "canon_id", "cosine", "misfit"])
 
     # values are short and each takes long, so they are spread over all cores
-    return values.repartition(max(values.sparkSession.sparkContext.defaultParallelism * 2, 12), "value").mapInArrow(run, "value string, name_kind string, context int, canon_id int, cosine double, misfit double")
+    return values.repartition(max(values.sparkSession.sparkContext.defaultParallelism * 2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "value").mapInArrow(run, "value string, name_kind string, context int, canon_id int, cosine double, misfit double")
 
 
 def canonicalise(titles: DataFrame, choices: DataFrame, canon: DataFrame) -> DataFrame:

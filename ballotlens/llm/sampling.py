@@ -74,8 +74,10 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
             free = cards.join(open_round, group).where("added_at <= drawn_at")
             rank = F.row_number().over(Window.partitionBy(group).orderBy("number", "card_key"))
             taken = taken.unionAll(free.withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).where("rank <= need").select(group, "card_key"))
-        held = written(taken.distinct(), "sample")
-        part = held.select(group, F.lit(level).alias("round_idx"), "card_key")
+        taken = written(taken.distinct(), "sample")
+        part = taken.select(group, F.lit(level).alias("round_idx"), "card_key")
+        # a county that skips a round keeps its last sample for the next
+        held = taken if held is None else taken.unionAll(held.join(now.select(group), group, "left_anti"))
         out = part if out is None else out.unionAll(part)
     if out is None:
         return cards.limit(0).select(group, F.lit(0).alias("round_idx"), "card_key")

@@ -155,14 +155,21 @@ def statistics(texts: list[str]) -> np.ndarray:
     noisy = (others / some >= 0.25) & ~ruled
     unbroken = (visible >= 20) & ~ruled & ((word_chars / np.maximum(words, 1) >= 16) | ((spaces == 0) & (visible >= 30)))
     dump = (common_share < 0.06) & (words >= 8) & ~celled & ~marked & ((digits >= 0.25 * visible) | (word_chars <= 3 * words))
+    # short mixed tokens of letters and digits, none of them longer than eight, without any ruling
+    longest = np.zeros(n, np.int64)
+    held = np.flatnonzero(words)
+    if len(held):
+        longest[held] = np.maximum.reduceat(w_end - w_start, wa[held])
+    dump |= (words >= 10) & (longest <= 8) & ~ruled & (n_gap < 2) & ~marked & (letters >= 0.12 * visible) & (digits >= 0.15 * visible) & (word_chars <= 3 * words)
     senseless = (common_share < 0.06) & (words >= 12) & ~celled & ~marked & (letters >= 0.6 * visible)
     junk = ~blank & (repeated | noisy | unbroken | dump | senseless)
 
     ends = ~blank & np.isin(at(last), code_points(_ENDS))
     small_start = (kind_at(first) == LETTER) & (low[np.minimum(c0, 0xFFFF)] == c0)
+    quoted = (c0 == ord(">")) & ~blank
 
     # paragraphs: runs of lines of one shape in one text; in prose they are filled up to their width
-    shape = np.where(blank, 0, np.where(junk, 4, np.where(celled, 3, np.where(marked, 2, np.where(visible >= 90, 5, 1)))))
+    shape = np.where(blank, 0, np.where(junk, 4, np.where(celled, 3, np.where(marked, 2, np.where(visible >= 90, 5, np.where(quoted, 6, 1))))))
     new = np.ones(n, bool)
     new[1:] = (shape[1:] != shape[:-1]) | (line_doc[1:] != line_doc[:-1])
     para = np.cumsum(new) - 1
@@ -179,7 +186,6 @@ def statistics(texts: list[str]) -> np.ndarray:
     wrapped = ((filled >= 0.7 * np.maximum(inner, 1)) | ((flowing >= 0.7 * np.maximum(inner, 1)) & (filled >= 0.35 * inner))) & (inner >= 1)
     wrapped = wrapped[para] & (width >= 34)
     sentence = ends & (words >= 7) & (common_share >= 0.1)
-    quoted = (c0 == ord(">")) & ~blank
     listed = ~blank & ~junk & ~celled & (marked | ((visible < 90) & ~wrapped & ~sentence & ~quoted))
 
     add = lambda x: np.bincount(line_doc, x, docs)

@@ -40,6 +40,14 @@ def test_nothing_drops_out_when_cards_arrive(spark):
     assert run(spark, cards + [(1, 500 + k, hex(k + 2000), day(20)) for k in range(50)], rounds) == got
 
 
+def test_a_skipped_round(spark):
+    cards = [(c, k, hex(k), day(0)) for c in (1, 2) for k in range(1, 9)]
+    rounds = [(1, 1, day(1), 2, ["8", "7"]), (1, 3, day(1), 3, None), (2, 1, day(1), 1, ["5"]), (2, 2, day(1), 2, None), (2, 3, day(1), 2, None)]
+    got = run(spark, cards, rounds)
+    assert {k for c, r, k in got if (c, r) == (1, 3)} == {8, 7, 1} and not any((c, r) == (1, 2) for c, r, _ in got)
+    assert {k for c, r, k in got if (c, r) == (2, 3)} == {5, 1}
+
+
 def test_empty(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [], [(1, 1, day(1), 3, ["a"])]) == set()
