@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.words import gram_hashes, word_hashes
+from ballotlens.llm.words import gram_hashes, pieces, word_hashes
 
 WINDOW, BUDGET = 13, 2
 #: Characters of passages in one block of test items (about 30 bytes of index for each 6).
@@ -161,8 +161,8 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple[int, int, int, int]] = []
-            for begin in range(0, len(texts), 512):
-                part = texts[begin : begin + 512]
+            for begin, end_ in pieces(texts):
+                part = texts[begin:end_]
                 hashes, start, end, first, joined = word_hashes(part)
                 at, who, place = index.hits(gram_hashes(hashes, index.piece))
                 doc = np.searchsorted(first, at, "right") - 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.words import code_points, is_word_char, kept, mix, powers
+from ballotlens.llm.words import code_points, is_word_char, kept, mix, pieces, powers
 from ballotlens.scratch import written
 
 KINDS = ("prose", "list", "table", "junk")
@@ -213,9 +213,10 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                piece = batch.slice(begin, 512)
-                s = statistics([t or "" for t in piece.column(1).to_pylist()])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for begin, end in pieces(texts):
+                piece = batch.slice(begin, end - begin)
+                s = statistics(texts[begin:end])
                 yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(s[:, i].astype(np.int64) if c in COUNTS else s[:, i]) for i, c in enumerate(NAMES)]], names=["doc_id", *NAMES])
 
     return documents.select("doc_id", "text").mapInArrow(run, STATS)

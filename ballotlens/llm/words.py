@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -16,6 +17,22 @@ def kept(name: str, make):
     return getattr(store, name)
 
 
+#: Characters of texts that are worked on at once, if they are more than one text.
+PIECE_CHARS = 1_000_000
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts of at most PIECE_CHARS characters together; a longer text stands alone, whole."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        if i > begin and held + len(t) > PIECE_CHARS:
+            yield begin, i
+            begin, held = i, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def _word_table() -> np.ndarray:
     return np.array([chr(i).isalnum() for i in range(0x10000)])
 
