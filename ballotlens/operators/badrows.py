@@ -1,8 +1,8 @@
 """Rows that fail to parse, set apart with their reason while all others are loaded.
 
 Blocks of lines with the same header are parsed in bulk by the columnar CSV reader and checked by
-vectorised expressions. A block that fails anywhere is bisected until the bad lines stand alone; only
-those are then diagnosed by the strict reader.
+vectorised expressions. A block that fails anywhere is bisected until the bad lines stand among a few
+others; only those are then diagnosed, one by one, by the strict reader.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ballotlens.functions.csvline import cells, strip_end
 
 #: Lines in the largest block that is parsed at once.
 BLOCK = 4096
+#: A failing block of at most so many lines is not halved further: each of its lines is diagnosed.
+LEAF = 8
 #: Columns every line must fill, under the header's names.
 NUMBER, IMPRINT, PARTS, STYLE = "CvrNumber", "ImprintedId", ("TabulatorNum", "BatchId", "RecordId"), "BallotType"
 BLANKS = " \t"
@@ -79,14 +81,14 @@ def _bulk(lines: pa.Array, header: list[str]) -> pa.Table | None:
 
 
 def parse_block(lines: pa.Array, header: list[str]) -> list[tuple[str, list[str] | None]]:
-    """(reason, cells) of each line: bulk where possible, else by bisection down to single lines."""
+    """(reason, cells) of each line: bulk where possible, else by bisection down to a few lines, which are diagnosed one by one."""
     if not len(lines):
         return []
     block = _bulk(lines, header)
     if block is not None:
         return [("", list(row)) for row in zip(*[c.to_pylist() for c in block.columns])]
-    if len(lines) == 1:
-        return [diagnose(lines[0].as_py(), header)]
+    if len(lines) <= LEAF:
+        return [diagnose(line, header) for line in lines.to_pylist()]
     half = len(lines) // 2
     return parse_block(lines[:half], header) + parse_block(lines[half:], header)
 
