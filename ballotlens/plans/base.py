@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotlens.functions.votes import explode_votes
 from ballotlens.operators import outcome, tabulate
+from ballotlens.scratch import written
 from ballotlens.tables import table
 
+#: What one run of a query has written for its own further use; None outside a query.
+_shared: ContextVar[dict | None] = ContextVar("shared", default=None)
+
 
 def hex_number(c):
     """A hexadecimal number below 2^63, in any spelling."""
@@ -37,6 +43,10 @@ def contests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def card_votes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each contest on each card; what ``assertions`` has written within the same query is read again."""
+    held = (_shared.get() or {}).get(d)
+    if held is not None:
+        return held
     return explode_votes(cards(spark, d), "card_key", "county_id", "prn", "phantom", "style_id", "pool_id")
 
 
@@ -66,6 +76,11 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Plurality assertions with their margins. They need the cards' votes several times over, so within a query these are
+    cleaned of copies and exploded once and written; nothing is kept beyond the query."""
+    shared = _shared.get()
+    if shared is not None and d not in shared:
+        shared[d] = written(card_votes(spark, d), "card-votes")
     return outcome.with_margins(outcome.plurality_assertions(ranked(spark, d)), totals(spark, d))
 
 
@@ -106,7 +121,15 @@ class Registry:
 
     def add(self, sql: str | None = None, recursive: bool = False):
         def wrap(f):
-            self.queries[f.__name__] = f
+            @functools.wraps(f)
+            def run(spark: SparkSession, d: str) -> DataFrame:
+                token = _shared.set({})
+                try:
+                    return f(spark, d)
+                finally:
+                    _shared.reset(token)
+
+            self.queries[f.__name__] = run
             if sql:
                 more = "," if sql.lstrip().startswith(",") else ""
                 self.oracle[f.__name__] = f"with {'recursive' if recursive else ''} {SQL}{more}{sql.lstrip().removeprefix(',')}"
