@@ -3,7 +3,7 @@
 Rows that are equal in key and compared fields cancel each other by multiplicity, in one aggregation
 whose groups are single contents, so that a hot key is spread. What is left is paired inside each key
 by minimum-cost assignment on the number of differing fields. Groups beyond MAX_GROUP rows a side are
-paired without gathering them: by agreeing sets of fields, most fields first, in ranked tiers.
+paired at the same least cost by a flow over their distinct contents, whose size is linear in these.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlens.scratch import written
 
-#: Largest number of left or right rows of a key that one task pairs by assignment.
+#: Largest number of left or right rows of a key that are paired by a dense assignment; beyond, by a flow.
 MAX_GROUP = 200
-#: Parts into which the rows of a large key without any agreeing field are spread before they are paired.
-SPREAD = 512
 
 
 def number_text(value: Column) -> Column:
@@ -83,33 +81,117 @@ def pair_up(left: list[tuple], right: list[tuple]) -> tuple[list[tuple[int, int]
     return pairs, [i for i in range(len(left)) if i not in used_l], [j for j in range(len(right)) if j not in used_r]
 
 
-def _tiers(big: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Pairs the rows of large keys: for each set of fields, most fields first, the i-th left row with the
-    i-th right row of the same key and the same values. Rows stand for n equal ones; no group is gathered."""
-    out = None
-    rest = big
-    sets = [list(s) for k in range(len(fields) - 1, 0, -1) for s in combinations(fields, k)]
-    for agreed in [*sets, ["_spread"], []]:
-        at = [*keys, *agreed]
-        rest = rest.withColumn("_spread", F.pmod(F.xxhash64(*fields), F.lit(SPREAD)))
-        w = Window.partitionBy(*at, "__side").orderBy(*fields)
-        ranked = rest.withColumn("__hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__lo", F.col("__hi") - F.col("n"))
-        other = ranked.where("__side = 'r'").select(*[F.col(c).alias(f"__2_{c}") for c in at], F.struct(*fields).alias("r"), F.col("__lo").alias("__lo2"), F.col("__hi").alias("__hi2"))
-        mine = ranked.where("__side = 'l'").select(*at, F.struct(*fields).alias("l"), "__lo", "__hi")
-        on = (F.col("__lo") < F.col("__hi2")) & (F.col("__lo2") < F.col("__hi"))
-        for c in at:
-            on = on & F.col(c).eqNullSafe(F.col(f"__2_{c}"))
-        # ranges of ranks meet in chunks of ranks, so that the overlap is an equi-join
-        chunk = 64
-        spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / chunk), F.floor((F.col(hi) - 1) / chunk)))
-        mine, other = mine.withColumn("__c", spans("__lo", "__hi")), other.withColumn("__c2", spans("__lo2", "__hi2"))
-        met = F.least("__hi", "__hi2", (F.col("__c") + 1) * chunk) - F.greatest("__lo", "__lo2", F.col("__c") * chunk)
-        pairs = written(mine.join(other, on & (F.col("__c") == F.col("__c2"))).withColumn("n", met).where("n > 0").groupBy(*keys, "l", "r").agg(F.sum("n").alias("n")), "tier")
-        out = pairs if out is None else out.unionByName(pairs)
-        used = pairs.select(*keys, F.lit("l").alias("__side"), "l.*", (-F.col("n")).alias("n")).unionByName(pairs.select(*keys, F.lit("r").alias("__side"), "r.*", (-F.col("n")).alias("n")))
-        rest = written(rest.select(*keys, "__side", *fields, "n").unionByName(used).groupBy(*keys, "__side", *fields).agg(F.sum("n").alias("n")).where("n > 0"), "tier-rest")
-    alone = rest.select(*keys, F.when(F.col("__side") == "l", F.struct(*fields)).alias("l"), F.when(F.col("__side") == "r", F.struct(*fields)).alias("r"), "n")
-    return out.select(*keys, "l", "r", "n").unionByName(alone)
+def pair_counts(left: list[tuple[tuple, int]], right: list[tuple[tuple, int]]) -> list[tuple[int, int, int]]:
+    """(i, j, n): n rows of left content i meet n of right content j at the least total number of differing fields;
+    j or i is -1 for rows left over on the other side. Contents are distinct and come with how often they occur.
+
+    A minimum-cost flow whose arcs lead from a left content over a shared node (fields and the values that agree
+    in them) to a right content and save one for each of these fields, so that arcs grow with contents, not with
+    pairs of them. Path lengths are whole numbers from 1 - fields to -1: so many rounds of blocking flows.
+    """
+    fields = range(len((left or right)[0][0])) if left or right else ()
+    shared: dict[tuple, tuple[list[int], list[int]]] = {}
+    for side, rows in enumerate((left, right)):
+        for i, (row, _) in enumerate(rows):
+            for k in range(len(fields), 0, -1):
+                for agreed in combinations(fields, k):
+                    at = (agreed, tuple(row[f] for f in agreed))
+                    if side == 0 or at in shared:
+                        shared.setdefault(at, ([], []))[side].append(i)
+    hubs = [(len(at[0]), a, b) for at, (a, b) in shared.items() if b]
+    first_r, first_hub = 1 + len(left), 1 + len(left) + len(right)
+    source, sink = 0, first_hub + len(hubs)
+    to, room, cost, out = [], [], [], [[] for _ in range(sink + 1)]
+
+    def arc(u: int, v: int, most: int, price: int) -> None:
+        for x, y, r, c in ((u, v, most, price), (v, u, 0, -price)):
+            out[x].append(len(to))
+            to.append(y), room.append(r), cost.append(c)
+
+    for i, (_, n) in enumerate(left):
+        arc(source, 1 + i, n, 0)
+    for j, (_, n) in enumerate(right):
+        arc(first_r + j, sink, n, 0)
+    for h, (saved, a, b) in enumerate(hubs):
+        for i in a:
+            arc(1 + i, first_hub + h, left[i][1], -saved)
+        for j in b:
+            arc(first_hub + h, first_r + j, right[j][1], 0)
+    # prices that make every first arc cost 0 or more: the least path from the source
+    price = [0] * (sink + 1)
+    for h, (saved, _, b) in enumerate(hubs):
+        price[first_hub + h] = -saved
+        for j in b:
+            price[first_r + j] = min(price[first_r + j], -saved)
+    price[sink] = min(price)
+    while True:
+        far = [None] * (sink + 1)
+        far[source], buckets = 0, {0: [source]}
+        while buckets:
+            d = min(buckets)
+            for u in (queue := buckets.pop(d)):
+                if far[u] != d:
+                    continue
+                for e in out[u]:
+                    if room[e] and (far[v := to[e]] is None or far[v] > d + cost[e] + price[u] - price[v]):
+                        far[v] = x = d + cost[e] + price[u] - price[v]
+                        (queue if x == d else buckets.setdefault(x, [])).append(v)
+        if far[sink] is None:
+            break
+        price = [p + (far[sink] if f is None else min(f, far[sink])) for p, f in zip(price, far)]
+        if price[sink] >= 0:
+            break
+        while True:
+            level = [-1] * (sink + 1)
+            level[source], queue = 0, [source]
+            for u in queue:
+                for e in out[u]:
+                    v = to[e]
+                    if room[e] and level[v] < 0 and cost[e] + price[u] == price[v]:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[sink] < 0:
+                break
+            tried, path, u = [0] * (sink + 1), [], source
+            while True:
+                if u == sink:
+                    n = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= n
+                        room[e ^ 1] += n
+                    path, u = [], source
+                elif tried[u] < len(out[u]):
+                    e = out[u][tried[u]]
+                    if room[e] and level[to[e]] == level[u] + 1 and cost[e] + price[u] == price[to[e]]:
+                        path.append(e)
+                        u = to[e]
+                    else:
+                        tried[u] += 1
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                else:
+                    break
+    free_l, free_r = [n for _, n in left], [n for _, n in right]
+    met: dict[tuple[int, int], int] = {}
+
+    def meet(a: list[list[int]], b: list[list[int]]) -> None:
+        while a and b:
+            n = min(a[-1][1], b[-1][1])
+            i, j = a[-1][0], b[-1][0]
+            met[i, j] = met.get((i, j), 0) + n
+            free_l[i] -= n
+            free_r[j] -= n
+            for side in (a, b):
+                side[-1][1] -= n
+                if not side[-1][1]:
+                    side.pop()
+
+    for h in range(len(hubs)):
+        arcs = [(to[e], room[e if e & 1 else e ^ 1]) for e in out[first_hub + h]]
+        meet([[v - 1, n] for v, n in arcs if n and v < first_r], [[v - first_r, n] for v, n in arcs if n and v >= first_r])
+    meet([[i, n] for i, n in enumerate(free_l) if n], [[j, n] for j, n in enumerate(free_r) if n])
+    return [(i, j, n) for (i, j), n in met.items()] + [(i, -1, n) for i, n in enumerate(free_l) if n] + [(-1, j, n) for j, n in enumerate(free_r) if n]
 
 
 def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[str, Column], max_group: int = MAX_GROUP) -> DataFrame:
@@ -146,25 +228,27 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: dict
     ), lambda p: p["n"] > 0)
     paired = single.select(*keys, F.inline(parts))
 
-    several = left_over.where(~simple & ~large).select(*keys, *names, "n", "__side")
-    schema = several.select(*keys, row.alias("l"), row.alias("r"), "n").schema
+    several = left_over.where(~simple).select(*keys, *names, "n", "__side", large.alias("__large"))
+    schema = several.select(*keys, as_l.alias("l"), as_r.alias("r"), "n").schema  # both may be null
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {s: [tuple(None if pd.isna(v) else v for v in r) for r, n in zip(g[names].itertuples(index=False), g["n"]) for _ in range(int(n))] for s, g in pdf.groupby("__side")}
-        a, b = sorted(rows.get("l", []), key=repr), sorted(rows.get("r", []), key=repr)
-        pairs, la, lb = pair_up(a, b)
-        got = [(a[i], b[j]) for i, j in pairs] + [(a[i], None) for i in la] + [(None, b[j]) for j in lb]
+        rows = {s: sorted(((tuple(None if pd.isna(v) else v for v in r), int(n)) for r, n in zip(g[names].itertuples(index=False), g["n"])), key=repr) for s, g in pdf.groupby("__side")}
+        left, right = rows.get("l", []), rows.get("r", [])
+        if len(pdf) and pdf["__large"].iloc[0]:
+            got = [(left[i][0] if i >= 0 else None, right[j][0] if j >= 0 else None, n) for i, j, n in pair_counts(left, right)]
+        else:
+            a, b = ([r for r, n in side for _ in range(n)] for side in (left, right))
+            pairs, la, lb = pair_up(a, b)
+            got = [(a[i], b[j], 1) for i, j in pairs] + [(a[i], None, 1) for i in la] + [(None, b[j], 1) for j in lb]
         d = lambda t: None if t is None else dict(zip(names, t))
-        out = pd.DataFrame({"l": [d(x) for x, _ in got], "r": [d(y) for _, y in got]})
+        out = pd.DataFrame({"l": [d(x) for x, _, _ in got], "r": [d(y) for _, y, _ in got]})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
-        out["n"] = 1
+        out["n"] = [n for _, _, n in got]
         return out[[f.name for f in schema]]
 
     solved = several.groupBy(*keys).applyInPandas(solve, schema)
     out = paired.unionByName(solved)
-    if per_key.where(large).limit(1).count():
-        out = out.unionByName(_tiers(left_over.where(large).select(*keys, "__side", *names, "n"), keys, names))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
     return out.alias("d").join(per_key.select(*keys, "in_left", "in_right").alias("k"), same).select("d.*", "in_left", "in_right")
 

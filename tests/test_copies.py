@@ -66,3 +66,26 @@ def test_empty_sides(spark, sides):
 def test_equal_copies_give_nothing(spark):
     rows = [(i % 5, str(i), "n") for i in range(50)] + [(None, None, None)]
     assert diff(spark, rows, rows).count() == 0
+
+
+def test_large_key_costs_least(spark):
+    fields = {c: F.col(c) for c in ("a", "b", "c")}
+    df = lambda rows: spark.createDataFrame(rows, "k int, a string, b string, c string")
+    rng = np.random.default_rng(4)
+    draw = lambda k: [(k, *(str(v) if v else None for v in rng.integers(0, 3, 3))) for _ in range(int(rng.integers(3, 7)))]
+    left, right = [(0, "1", "1", "a"), (0, "3", "1", "b")], [(0, "1", "1", "b"), (0, "1", "2", "a")]
+    for k in range(1, 40):
+        left, right = left + draw(k), right + draw(k)
+    out = diff_copies(df(left), df(right), ["k"], fields, max_group=1).collect()
+    for k in range(40):
+        a, b = [x[1:] for x in left if x[0] == k], [x[1:] for x in right if x[0] == k]
+        for x in list(a):
+            if x in b:
+                a.remove(x), b.remove(x)
+        a, b = sorted((a, b), key=len)
+        differ = lambda x, y: sum(p != q for p, q in zip(x, y))
+        least = min(sum(map(differ, a, p)) for p in itertools.permutations(b, len(a)))
+        mine = [r for r in out if r.k == k]
+        assert sum(r.n * differ(r.l, r.r) for r in mine if r.l and r.r) == least
+        assert sum(r.n for r in mine if r.l and r.r) == len(a) and sum(r.n for r in mine) == len(b)
+    assert {c for r in out if r.k == 0 for c in "abc" if r.l[c] != r.r[c]} == {"a", "b"}
