@@ -18,43 +18,44 @@ def running(samples: DataFrame, keys: list[str], order: str, value: str) -> Data
     return samples.withColumn("j", F.row_number().over(w) - 1).withColumn("total", F.coalesce(F.sum(value).over(before), F.lit(0.0)))
 
 
-def martingale(samples: DataFrame, keys: list[str], order: str, value: str, bet: Column, n: str, upper: Column | float) -> DataFrame:
+def martingale(samples: DataFrame, keys: list[str], order: str, value: str, bet: Column, n: str, upper: Column | float, edge: float = 0.0) -> DataFrame:
     """samples with mu, lam, log_t and p, the p-value after each sample.
 
     samples must have j and total (see ``running``); bet may use them and mu. A factor of 0 or less, or a null
     mean outside [0, upper], fixes what follows: mu < 0 gives p = 0, mu > upper p = 1, a factor of 0 p = 1.
+    A mean within edge of 0 or upper is on the bound: sums of many values are not exact.
     """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = samples.withColumn("mu", betting.mean_under_null(F.col(n), F.col("total"), F.col("j"))).withColumn("lam", bet)
     factor = F.when((F.abs("mu") < 1e-12) | (F.abs(F.col("mu") - upper) < 1e-12), 1.0).otherwise(1 + F.col("lam") * (F.col(value) - F.col("mu")))
     out = out.withColumn("factor", factor).withColumn("log_t", F.sum(F.when(F.col("factor") > 0, F.log("factor")).otherwise(0.0)).over(w))
-    ruined, below, above = (F.max(c.cast("int")).over(w) == 1 for c in (F.col("factor") <= 0, F.col("mu") < 0, F.col("mu") > upper))
+    ruined, below, above = (F.max(c.cast("int")).over(w) == 1 for c in (F.col("factor") <= 0, F.col("mu") < -edge, F.col("mu") > upper + edge))
     p = F.when(above, 1.0).when(below, 0.0).when(ruined, 1.0).otherwise(F.least(F.lit(1.0), F.exp(-F.col("log_t"))))
     return out.withColumn("p", p).drop("factor")
 
 
-def decisions(run: DataFrame, keys: list[str], alpha: float, upper: Column | float) -> DataFrame:
+def decisions(run: DataFrame, keys: list[str], alpha: float, upper: Column | float, edge: float = 0.0) -> DataFrame:
     """Per key: samples (all), used (up to the first p below alpha, else all), p_value at that sample, min_p and status."""
     stop = F.min(F.when(F.col("p") < alpha, F.col("j") + 1))
-    out = run.groupBy(*keys).agg(F.count("*").alias("samples"), stop.alias("stop"), F.min("p").alias("min_p"), F.max_by("p", "j").alias("last_p"), F.min_by("p", F.when(F.col("p") < alpha, F.col("j"))).alias("stop_p"), F.max((F.col("mu") > upper).cast("int")).alias("above"), F.max((F.col("mu") < 0).cast("int")).alias("below"))
+    out = run.groupBy(*keys).agg(F.count("*").alias("samples"), stop.alias("stop"), F.min("p").alias("min_p"), F.max_by("p", "j").alias("last_p"), F.min_by("p", F.when(F.col("p") < alpha, F.col("j"))).alias("stop_p"), F.max((F.col("mu") > upper + edge).cast("int")).alias("above"), F.max((F.col("mu") < -edge).cast("int")).alias("below"))
     status = F.when(F.col("below") == 1, "sum_rejects_null").when(F.col("stop").isNotNull(), "rejects_null").when(F.col("above") == 1, "accept_null").otherwise("limit_reached")
     return out.select(*keys, "samples", F.coalesce("stop", "samples").alias("used"), F.coalesce("stop_p", "last_p").alias("p_value"), "min_p", status.alias("status"))
 
 
-def alpha_mart(samples: DataFrame, keys: list[str], order: str, value: str, n: str, upper: float, eta0: str, d: int = 100) -> DataFrame:
+def alpha_mart(samples: DataFrame, keys: list[str], order: str, value: str, n: str, upper: float, eta0: str, d: int = 100, edge: float = 0.0) -> DataFrame:
     """The polling martingale: the bet follows the shrunk and truncated estimate of the mean."""
     base = running(samples, keys, order, value)
     eta = betting.shrink_trunc(F.col(eta0), d, F.col("j"), F.col("total"), F.col("mu"), upper)
-    return martingale(base, keys, order, value, betting.eta_to_lambda(eta, F.col("mu"), upper), n, upper)
+    return martingale(base, keys, order, value, betting.eta_to_lambda(eta, F.col("mu"), upper), n, upper, edge)
 
 
-def error_free(samples: DataFrame, keys: list[str], order: str, value: str, n: str, upper: Column | float, max_loss: float = 0.9) -> DataFrame:
+def error_free(samples: DataFrame, keys: list[str], order: str, value: str, n: str, upper: Column | float, max_loss: float = 0.9, edge: float = 0.0) -> DataFrame:
     """The comparison martingale for samples without errors: the bet is max_loss / mu."""
-    return martingale(running(samples, keys, order, value), keys, order, value, F.try_divide(F.lit(max_loss), F.col("mu")), n, upper)
+    return martingale(running(samples, keys, order, value), keys, order, value, F.try_divide(F.lit(max_loss), F.col("mu")), n, upper, edge)
 
 
 def adaptive(samples: DataFrame, keys: list[str], order: str, value: str, n: str, noerror: str, alpha: float, max_loss: float = 0.9) -> DataFrame:
-    """Per key: used, p_value and status of the adaptive comparison audit. A key's group is its sample, of bounded size."""
+    """Per key: used, p_value and status of the adaptive comparison audit. A key's group is its sample: at most the cards of its contest."""
     schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("used", T.IntegerType()), T.StructField("p_value", T.DoubleType()), T.StructField("status", T.StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

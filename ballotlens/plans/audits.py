@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +23,38 @@ KEYS = ["contest_id", "winner", "loser"]
 r6 = lambda c, a: F.round(c, 6).alias(a)
 
 _WANTED = ", wanted as (select contest_id, least(nc, 20 + contest_id % 7)::bigint as n from totals)"
+_EVERY = ", wanted as (select contest_id, nc::bigint as n from totals)"
 _CC = ", cc as (select distinct c.prn, s.contest_id from cards c join style_contests s using (style_id) where c.prn is not null)"
 
 
+#: Whether a query takes all cards of a contest instead of the small fixed number.
+_all_cards: ContextVar[bool] = ContextVar("all_cards", default=False)
+
+
+def over_all_cards(registry: Registry, *names: str) -> None:
+    """Registers each named query again as name_all, over all cards of each contest by random number, with its SQL."""
+    for name in names:
+        def run(spark: SparkSession, d: str, f=registry.queries[name]) -> DataFrame:
+            token = _all_cards.set(True)
+            try:
+                return f(spark, d)
+            finally:
+                _all_cards.reset(token)
+
+        registry.queries[f"{name}_all"] = functools.wraps(registry.queries[name])(run)
+        registry.oracle[f"{name}_all"] = registry.oracle[name].replace(_WANTED, _EVERY)
+        for bound, edge in (("(mu < 0)", "(mu < -1e-12)"), ("(mu > 1)", "(mu > 1 + 1e-12)"), ("(mu > 2 * noerror)", "(mu > 2 * noerror + 1e-12)")):
+            registry.oracle[f"{name}_all"] = registry.oracle[f"{name}_all"].replace(bound, edge)
+
+
+def _edge() -> float:
+    """How close a null mean is to a bound that it is taken to be on; with few cards as in their SQL."""
+    return 1e-12 if _all_cards.get() else 0.0
+
+
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    if _all_cards.get():
+        return base.totals(spark, d).select("contest_id", F.col("nc").cast("bigint").alias("n"))
     return base.totals(spark, d).select("contest_id", F.least(F.col("nc"), 20 + F.col("contest_id") % 7).cast("bigint").alias("n"))
 
 
@@ -200,7 +231,7 @@ def _decide(lam: str, upper: str = "1") -> str:
 
 
 def _decided(run: DataFrame, upper=1.0) -> DataFrame:
-    out = risk.decisions(run, KEYS, ALPHA, upper)
+    out = risk.decisions(run, KEYS, ALPHA, upper, _edge())
     return out.select(*KEYS, "samples", big("used"), r6(F.col("p_value"), "p_value"), r6(F.col("min_p"), "min_p"), "status")
 
 
@@ -209,13 +240,13 @@ _ETA = f"least(greatest(mu + ((diluted_margin + 1) / 2 - 0.5) / 2 / sqrt({ETA_D}
 
 @R.add(_POLL + _decide(f"({_ETA} / nullif(mu, 0) - 1) / nullif(1 - mu, 0)"))
 def alpha_mart(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(risk.alpha_mart(_poll_sample(spark, d), KEYS, "prn", "x", "npop", 1.0, "eta0", ETA_D))
+    return _decided(risk.alpha_mart(_poll_sample(spark, d), KEYS, "prn", "x", "npop", 1.0, "eta0", ETA_D, _edge()))
 
 
 @R.add(_POLL + _decide("0.5"))
 def fixed_bet(spark: SparkSession, d: str) -> DataFrame:
     base_ = risk.running(_poll_sample(spark, d), KEYS, "prn", "x")
-    return _decided(risk.martingale(base_, KEYS, "prn", "x", F.lit(0.5), "npop", 1.0))
+    return _decided(risk.martingale(base_, KEYS, "prn", "x", F.lit(0.5), "npop", 1.0, _edge()))
 
 
 @R.add(_POLL + " select contest_id, winner, loser, prn, j, round(total, 6) as total, round(mu, 9) as mu from m")
@@ -253,20 +284,20 @@ def _clca_sample(spark: SparkSession, d: str) -> DataFrame:
 def clca_no_error(spark: SparkSession, d: str) -> DataFrame:
     """The comparison audit as it would go without any error."""
     s = _clca_sample(spark, d).withColumn("x", F.col("noerror"))
-    return _decided(risk.error_free(s, KEYS, "prn", "x", "npop", 2 * F.col("noerror"), MAX_LOSS), 2 * F.col("noerror"))
+    return _decided(risk.error_free(s, KEYS, "prn", "x", "npop", 2 * F.col("noerror"), MAX_LOSS, _edge()), 2 * F.col("noerror"))
 
 
 @R.add(_CLCA.format(x="(1 - (ca - ma)) * noerror") + _decide("0.8", "2 * noerror"))
 def betting_mart(spark: SparkSession, d: str) -> DataFrame:
     """The comparison audit with a fixed bet over the values that were measured."""
     run = risk.running(_clca_sample(spark, d).withColumn("x", F.col("value")), KEYS, "prn", "x")
-    return _decided(risk.martingale(run, KEYS, "prn", "x", F.lit(0.8), "npop", 2 * F.col("noerror")), 2 * F.col("noerror"))
+    return _decided(risk.martingale(run, KEYS, "prn", "x", F.lit(0.8), "npop", 2 * F.col("noerror"), _edge()), 2 * F.col("noerror"))
 
 
 @R.add()
 def adaptive_betting(spark: SparkSession, d: str) -> DataFrame:
-    """The comparison audit with bets from the measured rates of errors: a fold over each assertion's sample."""
-    return risk.adaptive(_clca_sample(spark, d).select(*KEYS, "prn", "value", "npop", "noerror"), KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS)
+    """The comparison audit with bets from the measured rates of errors: a fold over all cards of each assertion by random number."""
+    return risk.adaptive(compared(spark, d).where("prn is not null").select(*KEYS, "prn", "value", "npop", "noerror"), KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS)
 
 
 @R.add(_B + """, c as (select contest_id, winner, loser, count(*) as n, count(*) filter (ca - ma = 0.5) as o1, count(*) filter (ca - ma = 1) as o2, count(*) filter (ca - ma = -0.5) as u1, count(*) filter (ca - ma = -1) as u2 from b group by all)
@@ -311,6 +342,9 @@ def contest_status(spark: SparkSession, d: str) -> DataFrame:
     return fixed_bet(spark, d).groupBy("contest_id").agg(F.bool_and(F.col("status") == "rejects_null").alias("done"), F.count("*").alias("assertions"), F.min("status").alias("worst"))
 
 
+over_all_cards(R, "alpha_mart", "fixed_bet", "pop_mean_H0", "eta_to_lam", "tracker", "clca_no_error", "betting_mart", "contest_status")
+
+
 @R.add(_SAMPLE + """, used as (select contest_id, (n // 2) as used from wanted), o as (select prn, contest_id, row_number() over (partition by contest_id order by prn) - 1 as k from cc semi join drawn using (prn))
  select prn, bool_or(k < used) as used from o join used using (contest_id) group by all""")
 def mvrs_used(spark: SparkSession, d: str) -> DataFrame:

@@ -107,6 +107,9 @@ def pvalue_sequence(spark: SparkSession, d: str) -> DataFrame:
     return run.select(*KEYS, "prn", F.round(F.least(F.lit(1.0), F.exp(-F.sum(F.log(1 + 0.5 * (F.col("x") - F.col("mu")))).over(w))), 6).alias("p"))
 
 
+audits.over_all_cards(R, "lam_to_eta", "samplers", "pvalue_sequence")
+
+
 @R.add(_B + ", c as (select contest_id, winner, loser, count(*) as n, count(*) filter (ca - ma <> 0) as errors from b group by all) select contest_id, winner, loser, errors, round(errors / n, 9) as rate from c")
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
     c = compared(spark, d).groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.abs("over") > 1e-9).alias("errors"))

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import math
+import os
 
 import numpy as np
 import pytest
@@ -227,3 +228,16 @@ def test_streaming_risk(spark, tmp_path):
     got = {r.k: r.p_value for r in spark.table("risk").collect()}
     want = {r.k: r.p_value for r in running_risk(df, ["k"], "v", 0.5).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_risk_queries_over_all_cards(spark):
+    from ballotlens.plans import audits, ballots, base
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no data")
+    cards = {(r.contest_id, r.winner, r.loser): r["count"] for r in ballots.compared(spark, d).where("prn is not null").groupBy("contest_id", "winner", "loser").count().collect()}
+    got = audits.QUERIES["betting_mart_all"](spark, d).collect()
+    assert {(r.contest_id, r.winner, r.loser): r.samples for r in got} == cards and max(cards.values()) > 26
+    most = audits.QUERIES["betting_mart_all"](spark, d).agg(F.max("used")).first()[0]
+    assert most > 26 and audits.QUERIES["adaptive_betting"](spark, d).agg(F.max("used")).first()[0] > 26
