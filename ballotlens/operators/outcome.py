@@ -59,6 +59,33 @@ def plurality_assertions(ranked: DataFrame) -> DataFrame:
     return w.join(x, "contest_id")
 
 
+def runoff_assertions(placed: DataFrame) -> DataFrame:
+    """contest_id, kind, cand and loser: the winner is above the fraction, or each who advances below it (loser null);
+    and, of kind plurality, each of these beats each who loses. placed: see ``runoff``."""
+    on = placed.where("status <> 'loses'")
+    none = F.lit(None).cast(placed.schema["cand"].dataType).alias("loser")
+    shares = on.select("contest_id", F.when(F.col("status") == "winner", "above").otherwise("below").alias("kind"), "cand", none)
+    losers = placed.where("status = 'loses'").select("contest_id", F.col("cand").alias("loser"))
+    return shares.unionByName(on.join(losers, "contest_id").select("contest_id", F.lit("plurality").alias("kind"), "cand", "loser"))
+
+
+def dhondt_thresholds(tab: DataFrame, scores: DataFrame, min_fraction: float) -> DataFrame:
+    """contest_id, kind, winner, loser, last and first: a party with min_fraction of the votes is above it; another is
+    below it, or, where that is no dearer and its votes are at most the last seat's score, the party with the last seat
+    keeps it from a first one (kind dhondt). scores: see ``dhondt_scores``.
+
+    What is dearer has the smaller margin over its upper bound: t valid - v against (f - v) / (1 / last + 1), times 2 / nc.
+    """
+    parties = tab.withColumn("valid", F.sum("nvotes").over(Window.partitionBy("contest_id")))
+    seat = F.struct((-F.col("score")).alias("s"), "divisor", "cand")
+    last = scores.where("has_seat").groupBy("contest_id").agg(F.max(seat).alias("m")).select("contest_id", F.col("m.cand").alias("w"), F.col("m.divisor").alias("d"), (-F.col("m.s")).alias("f"))
+    v = F.col("nvotes")
+    rival = (v <= F.col("f")) & (min_fraction * F.col("valid") - v <= (F.col("f") - v) / (1 / F.col("d") + 1))
+    out = parties.join(last, "contest_id", "left").withColumn("kind", F.when(v / F.col("valid") >= min_fraction, "above").when(rival, "dhondt").otherwise("below"))
+    only = lambda c, a: F.when(F.col("kind") == "dhondt", c).alias(a)
+    return out.select("contest_id", "kind", F.when(F.col("kind") == "dhondt", F.col("w")).otherwise(F.col("cand")).alias("winner"), only(F.col("cand"), "loser"), only(F.col("d"), "last"), only(F.lit(1), "first"))
+
+
 def with_margins(assertions: DataFrame, totals: DataFrame) -> DataFrame:
     """Reported (over Nc), diluted (over Npop) and recount margins, and the comparison value without errors.
 

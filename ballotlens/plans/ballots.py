@@ -369,6 +369,24 @@ def assert_runoff(spark: SparkSession, d: str) -> DataFrame:
     return out.select("contest_id", "cand", F.when(F.col("status") == "winner", "above").otherwise("below").alias("kind"))
 
 
+@R.add(""", top as (select *, max(share) over (partition by contest_id) as top from ranked), st as (select contest_id, cand, case when top >= 0.5 and place = 1 then 'above' when top < 0.5 and place <= 2 then 'below' else 'loses' end as kind from top)
+ select contest_id, kind, cand, null::int as loser from st where kind <> 'loses' union all select w.contest_id, 'plurality', w.cand, x.cand from st w join st x using (contest_id) where w.kind <> 'loses' and x.kind = 'loses'""")
+def assert_runoff_all(spark: SparkSession, d: str) -> DataFrame:
+    """All assertions of a runoff: shares, and each who wins or advances beats each who loses."""
+    return outcome.runoff_assertions(outcome.runoff(base.card_tab(spark, d)))
+
+
+@R.add(_DHONDT + f""", last as (select contest_id, cand as w, divisor as d, score as f from (select *, row_number() over (partition by contest_id order by score, divisor desc, cand desc) as r from sc where has_seat) where r = 1),
+ th as (select *, case when share >= {MIN_FRACTION} then 'above' when nvotes <= f and {MIN_FRACTION}::double * valid - nvotes <= (f - nvotes) / (1 / d + 1) then 'dhondt' else 'below' end as kind from (select *, sum(nvotes) over (partition by contest_id) as valid from ranked) left join last using (contest_id))
+ select 'dhondt' as kind, {_PAIRS} union all select kind, contest_id, case kind when 'dhondt' then w else cand end, case kind when 'dhondt' then cand end, case kind when 'dhondt' then d end, case kind when 'dhondt' then 1 end from th""")
+def assert_dhondt_all(spark: SparkSession, d: str) -> DataFrame:
+    """All assertions of a party list: seats against seats, and each party above or kept below the least share."""
+    tab = base.card_tab(spark, d)
+    scores = outcome.dhondt_scores(tab, SEATS, MIN_FRACTION)
+    seats = outcome.dhondt_assertions(outcome.dhondt_seats(scores)).select("contest_id", F.lit("dhondt").alias("kind"), "winner", "loser", "last", "first")
+    return seats.unionByName(outcome.dhondt_thresholds(tab, scores, MIN_FRACTION)).select("contest_id", "kind", "winner", "loser", big("last"), big("first"))
+
+
 @R.add()
 def irv_count(spark: SparkSession, d: str) -> DataFrame:
     return outcome.irv_count(_irv_ballots(spark, d))

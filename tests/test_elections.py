@@ -241,3 +241,16 @@ def test_risk_queries_over_all_cards(spark):
     assert {(r.contest_id, r.winner, r.loser): r.samples for r in got} == cards and max(cards.values()) > 26
     most = audits.QUERIES["betting_mart_all"](spark, d).agg(F.max("used")).first()[0]
     assert most > 26 and audits.QUERIES["adaptive_betting"](spark, d).agg(F.max("used")).first()[0] > 26
+
+
+def test_runoff_and_dhondt_have_all_assertions(spark):
+    tab = lambda *n: spark.createDataFrame([(1, i + 1, v) for i, v in enumerate(n)], "contest_id int, cand int, nvotes bigint")
+    rows = lambda df, *c: {tuple(r) for r in df.select(*c).collect()}
+    got = outcome.runoff_assertions(outcome.runoff(tab(40, 35, 25)))
+    assert rows(got, "kind", "cand", "loser") == {("below", 1, None), ("below", 2, None), ("plurality", 1, 3), ("plurality", 2, 3)}
+    t = tab(10000, 6000, 1500, 800, 100)
+    got = outcome.dhondt_thresholds(t, outcome.dhondt_scores(t, 8, 0.05), 0.05)
+    # the last seat is party 1's fifth (2000); party 4 is nearer to 5 per cent of 18400 than to that seat, party 5 too
+    assert rows(got, "kind", "winner", "loser", "last", "first") == {("above", 1, None, None, None), ("above", 2, None, None, None), ("above", 3, None, None, None), ("dhondt", 1, 4, 5, 1), ("dhondt", 1, 5, 5, 1)}
+    t = tab(10000, 900)
+    assert rows(outcome.dhondt_thresholds(t, outcome.dhondt_scores(t, 20, 0.1), 0.1), "kind", "winner") == {("above", 1), ("below", 2)}
