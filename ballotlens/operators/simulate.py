@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 def simulate_pool(places: DataFrame, counts: DataFrame, seed: int, keys: tuple[str, ...] = ("pool_id", "contest_id")) -> DataFrame:
     """Votes for the cards of each pool and contest such that the totals are exact: places with cand (null: no vote).
 
-    places: keys and card_key. counts: keys, cand and nvotes (one mark a card). Votes are laid out as ranges,
-    cards are shuffled by a hash of card and seed and numbered; a card takes the vote whose range holds its
-    number. Cards beyond the last vote have none.
+    places: keys and card_key. counts: keys, cand and nvotes, at most one vote a card. Votes are laid out as ranges,
+    cards are shuffled by a hash of card and seed and numbered; a card takes the vote whose range holds its number, then,
+    if there are more votes than cards, the one a round of all cards further on, and so on: a row for each vote, no
+    candidate twice on a card. Cards beyond the last vote have none.
     """
     w = Window.partitionBy(*keys)
-    placed = places.withColumn("no", F.row_number().over(w.orderBy(F.xxhash64("card_key", F.lit(seed)), "card_key")))
     upto = F.sum("nvotes").over(w.orderBy("cand"))
     ranges = counts.withColumn("upto", upto).withColumn("above", F.col("upto") - F.col("nvotes"))
-    on = [placed[k] == ranges[k] for k in keys] + [placed["no"] > ranges["above"], placed["no"] <= ranges["upto"]]
-    return placed.join(ranges.select(*keys, "cand", "above", "upto"), on, "left").select(*[placed[k] for k in keys], placed["card_key"], ranges["cand"])
+    votes = counts.groupBy(*keys).agg(F.sum("nvotes").alias("votes"))
+    placed = places.withColumn("no", F.row_number().over(w.orderBy(F.xxhash64("card_key", F.lit(seed)), "card_key"))).withColumn("ncards", F.count("*").over(w))
+    rounds = F.greatest(F.lit(1), F.ceil(F.coalesce("votes", F.lit(0)) / F.col("ncards"))).cast("int")
+    placed = placed.join(votes, list(keys), "left").withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1))).withColumn("no", F.col("no") + F.col("round") * F.col("ncards"))
+    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("p.no") > F.col("r.above"), F.col("p.no") <= F.col("r.upto")]
+    made = placed.alias("p").join(ranges.alias("r"), on, "left").where("p.round = 0 or r.cand is not null")
+    return made.select(*[f"p.{k}" for k in keys], "p.card_key", "r.cand")
 
 
 def fuzz(votes: DataFrame, candidates: DataFrame, percent: float, seed: int) -> DataFrame:

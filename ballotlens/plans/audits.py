@@ -391,6 +391,27 @@ def simulate_pool(spark: SparkSession, d: str) -> DataFrame:
     return made.where("cand is not null").groupBy("pool_id", "contest_id", "cand").agg(F.count("*").alias("nvotes"))
 
 
+_SIMULATED = """select {key}contest_id, choice, count(*) as nvotes from (
+ select {key}contest_id, unnest(case when num_ranks > 0 then case when len(cands) > 0 then [array_to_string(cands, '>')] else [] end else list_transform(list_distinct(cands), lambda c: c::varchar) end) as choice from cv join contests using (contest_id) where {where}) group by all"""
+
+
+def simulated(spark: SparkSession, d: str, v: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Votes made for cards of any contest from their totals, tabulated again: marks of candidates, or whole rankings."""
+    v = v.join(base.contests(spark, d).select("contest_id", "num_ranks"), "contest_id")
+    text = F.col("cands").cast("array<string>")
+    ranking = F.when(F.size("cands") > 0, F.array(F.array_join(text, ">"))).otherwise(F.array().cast("array<string>"))
+    marks = v.select(*keys, F.explode(F.when(F.col("num_ranks") > 0, ranking).otherwise(F.array_distinct(text))).alias("cand"))
+    counts = marks.groupBy(*keys, "cand").agg(F.count("*").alias("nvotes"))
+    made = simulate.simulate_pool(v.select(*keys, "card_key"), counts, SEED, keys)
+    return made.where("cand is not null").groupBy(*keys, F.col("cand").alias("choice")).agg(F.count("*").alias("nvotes"))
+
+
+@R.add(_SIMULATED.format(key="pool_id, ", where="pool_id is not null"))
+def simulate_pool_all(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated votes of all pooled cards in all contests, of several votes and ranked ones too."""
+    return simulated(spark, d, base.card_votes(spark, d).where("pool_id is not null"), ("pool_id", "contest_id"))
+
+
 @R.add()
 def fuzz_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards of each contest whose marks were changed by fuzzing one card in a hundred."""

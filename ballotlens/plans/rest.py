@@ -140,6 +140,18 @@ def one_pool_cvrs(spark: SparkSession, d: str) -> DataFrame:
     return made.where("cand is not null").groupBy("contest_id", "cand").agg(F.count("*").alias("nvotes"))
 
 
+@R.add(audits._SIMULATED.format(key="style_id, ", where="true"))
+def simulate_batches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated votes of all cards by style, in all contests."""
+    return audits.simulated(spark, d, base.card_votes(spark, d), ("style_id", "contest_id"))
+
+
+@R.add(audits._SIMULATED.format(key="pool_id, ", where="pool_id is not null"))
+def one_pool_cvrs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Records made for every pool from its subtotals, tabulated again."""
+    return audits.simulate_pool_all(spark, d)
+
+
 # --- cases -----------------------------------------------------------------------------------------
 
 

@@ -254,3 +254,11 @@ def test_runoff_and_dhondt_have_all_assertions(spark):
     assert rows(got, "kind", "winner", "loser", "last", "first") == {("above", 1, None, None, None), ("above", 2, None, None, None), ("above", 3, None, None, None), ("dhondt", 1, 4, 5, 1), ("dhondt", 1, 5, 5, 1)}
     t = tab(10000, 900)
     assert rows(outcome.dhondt_thresholds(t, outcome.dhondt_scores(t, 20, 0.1), 0.1), "kind", "winner") == {("above", 1), ("below", 2)}
+
+
+def test_simulated_pool_with_several_votes(spark):
+    places = spark.range(100).selectExpr("1 as pool_id", "2 as contest_id", "id as card_key")
+    counts = spark.createDataFrame([(1, 2, 5, 70), (1, 2, 6, 100), (1, 2, 7, 65)], "pool_id int, contest_id int, cand int, nvotes bigint")
+    got = simulate.simulate_pool(places, counts, 3).collect()
+    assert {c: sum(r.cand == c for r in got) for c in (5, 6, 7)} == {5: 70, 6: 100, 7: 65} and len(got) == 235
+    assert len({(r.card_key, r.cand) for r in got}) == 235 and len({r.card_key for r in got}) == 100
