@@ -130,15 +130,45 @@ def irv_rounds(prefs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
+def irv_paths(prefs: list[tuple[tuple[int, ...], int]]) -> list[tuple[str, int, int, int, bool, bool]]:
+    """(path, round, candidate, votes, goes, wins) of every path of an instant-runoff count.
+
+    A tie of last candidates forks: any of them goes. path: who has gone since round 1, in order of id; paths that
+    have lost the same candidates count alike and are one. From a path each candidate that goes leads to the path with it.
+    The last round of a path has at most two candidates, of whom those with most votes win.
+    """
+    first = irv_rounds(prefs)
+    start = frozenset(c for r, c, _ in first if r == 1)
+    out, layer, r = [], {start} if start else set(), 1
+    while layer:
+        after = set()
+        for viable in sorted(layer, key=lambda v: sorted(start - v)):
+            tally = dict.fromkeys(viable, 0)
+            for p, n in prefs:
+                top = next((c for c in p if c in viable), None)
+                if top is not None:
+                    tally[top] += n
+            low, high = min(tally.values()), max(tally.values())
+            ends = len(viable) <= 2
+            goes = set() if ends else {c for c in viable if tally[c] == low}
+            after |= {viable - {c} for c in goes}
+            path = " ".join(map(str, sorted(start - viable)))
+            out += [(path, r, c, tally[c], c in goes, ends and tally[c] == high) for c in sorted(viable)]
+        layer, r = after, r + 1
+    return out
+
+
 def irv_count(ballots: DataFrame) -> DataFrame:
-    """contest_id, round, cand and nvotes. ballots: contest_id, prefs, nballots, already consolidated, so that
-    a contest's group has as many rows as it has different rankings, not ballots."""
+    """contest_id, path, round, cand, nvotes, goes and wins (see ``irv_paths``). ballots: contest_id, prefs, nballots, already
+    consolidated, so that a contest's group has as many rows as it has different rankings, not ballots."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = irv_rounds([(tuple(dict.fromkeys(int(c) for c in p)), int(n)) for p, n in zip(pdf["prefs"], pdf["nballots"])])
-        return pd.DataFrame({"contest_id": pdf["contest_id"].iloc[0], "round": [r for r, _, _ in rows], "cand": [c for _, c, _ in rows], "nvotes": [v for _, _, v in rows]})
+        rows = irv_paths([(tuple(dict.fromkeys(int(c) for c in p)), int(n)) for p, n in zip(pdf["prefs"], pdf["nballots"])])
+        out = pd.DataFrame(rows, columns=["path", "round", "cand", "nvotes", "goes", "wins"])
+        out.insert(0, "contest_id", pdf["contest_id"].iloc[0])
+        return out
 
-    return ballots.groupBy("contest_id").applyInPandas(run, "contest_id int, round int, cand int, nvotes bigint")
+    return ballots.groupBy("contest_id").applyInPandas(run, "contest_id int, path string, round int, cand int, nvotes bigint, goes boolean, wins boolean")
 
 
 def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list[tuple[str, int, int, tuple[int, ...], float]]:

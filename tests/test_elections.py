@@ -262,3 +262,10 @@ def test_simulated_pool_with_several_votes(spark):
     got = simulate.simulate_pool(places, counts, 3).collect()
     assert {c: sum(r.cand == c for r in got) for c in (5, 6, 7)} == {5: 70, 6: 100, 7: 65} and len(got) == 235
     assert len({(r.card_key, r.cand) for r in got}) == 235 and len({r.card_key for r in got}) == 100
+
+
+def test_irv_ties_fork(spark):
+    ballots = spark.createDataFrame([(9, [1], 5), (9, [2, 3], 3), (9, [3, 2], 3)], "contest_id int, prefs array<int>, nballots bigint")
+    got = {(r.path, r.round, r.cand, r.nvotes, r.goes, r.wins) for r in outcome.irv_count(ballots).collect()}
+    assert got == {("", 1, 1, 5, False, False), ("", 1, 2, 3, True, False), ("", 1, 3, 3, True, False), ("2", 2, 1, 5, False, False), ("2", 2, 3, 6, False, True), ("3", 2, 1, 5, False, False), ("3", 2, 2, 6, False, True)}
+    assert len({x[0] for x in outcome.irv_paths([((c,), 1) for c in range(8)])}) == 2**8 - 8 - 1
