@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -215,15 +218,21 @@ def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list
                     options.append((1 / m, ("NEN", head, c, tuple(sorted(suffix)), m)))
         return min(options, default=(np.inf, ()), key=lambda o: o[0])
 
-    front: dict[tuple[int, ...], tuple[float, tuple]] = {(c,): best((c,)) for c in cands if c != winner}
+    order = count()
+    front: list[tuple[float, int, tuple[int, ...], tuple]] = []
+
+    def grow(suffix: tuple[int, ...], cost: float, assertion: tuple) -> None:
+        heappush(front, (-cost, next(order), suffix, assertion))
+
+    for c in cands:
+        if c != winner:
+            grow((c,), *best((c,)))
     bound = 0.0
     done: dict[tuple[int, ...], tuple[float, tuple]] = {}
-    steps = 0
     while front:
-        suffix = max(front, key=lambda s: front[s][0])
-        cost, assertion = front.pop(suffix)
-        steps += 1
-        if cost <= bound or steps > 20_000:
+        cost, _, suffix, assertion = heappop(front)
+        cost = -cost
+        if cost <= bound:
             done[suffix] = (cost, assertion)
             continue
         if len(suffix) == len(cands):
@@ -242,7 +251,8 @@ def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list
             bound = max(bound, cost)
             done[suffix] = (cost, assertion)
         else:
-            front |= kids
+            for kid, mine in kids.items():
+                grow(kid, *mine)
     if any(c == np.inf for c, _ in done.values()):
         return []
     return sorted({a for _, a in done.values()}, key=lambda a: (a[4], a))
