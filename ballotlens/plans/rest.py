@@ -244,7 +244,7 @@ def run_rounds(spark: SparkSession, d: str) -> DataFrame:
     c = compared(spark, d).where("prn is not null").select(*KEYS, "prn", "value", "npop", "noerror")
     from ballotlens.scratch import written
 
-    return rounds.run_rounds(written(c, "compared"), audits._card_contests(spark, d), written(a, "assertions"), ALPHA, MAX_LOSS, 4)
+    return rounds.run_rounds(written(c, "compared"), audits._card_contests(spark, d), written(a, "assertions"), ALPHA, MAX_LOSS)
 
 
 @R.add("select contest_id, prefs_text as prefs, n as nballots from (select contest_id, array_to_string(cands, '>') as prefs_text, count(*) as n from xv join contests using (contest_id) where num_ranks > 0 group by all) where n > 1")

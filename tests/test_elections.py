@@ -269,3 +269,16 @@ def test_irv_ties_fork(spark):
     got = {(r.path, r.round, r.cand, r.nvotes, r.goes, r.wins) for r in outcome.irv_count(ballots).collect()}
     assert got == {("", 1, 1, 5, False, False), ("", 1, 2, 3, True, False), ("", 1, 3, 3, True, False), ("2", 2, 1, 5, False, False), ("2", 2, 3, 6, False, True), ("3", 2, 1, 5, False, False), ("3", 2, 2, 6, False, True)}
     assert len({x[0] for x in outcome.irv_paths([((c,), 1) for c in range(8)])}) == 2**8 - 8 - 1
+
+
+def test_query_runs_all_rounds(spark, monkeypatch):
+    import inspect
+
+    from ballotlens.plans import rest
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no data")
+    asked = inspect.signature(run_rounds)
+    monkeypatch.setattr(rest.rounds, "run_rounds", lambda *a, **kw: (b := asked.bind(*a, **kw)).apply_defaults() or b.arguments["most_rounds"])
+    assert rest.QUERIES["run_rounds"](spark, d) == 7
