@@ -1,9 +1,10 @@
 """Free-typed values mapped to the entries of a reference list.
 
 Distinct values are normalised and held against an inverted index of the list's character n-grams; all
-entries whose weighted cosine reaches the threshold are candidates. A candidate is accepted if its words
-can be aligned with the value's (equal, mistyped, abbreviated, cut off), numbers and single letters being
-equal, and if it beats every other candidate by the margin. What is accepted for no entry is reported.
+entries whose weighted cosine reaches the threshold are candidates. An exact check follows: a candidate is
+admissible if its words can be aligned with the value's (equal, mistyped, abbreviated, cut off), numbers and
+single letters being equal. The admissible candidate with the highest cosine is accepted if it beats every other
+one by the margin. What is accepted for no entry is reported.
 
 The list is taken in blocks of bounded size; each block is held against all distinct values, so neither
 the list nor the values need to fit anywhere as a whole.
@@ -13,8 +14,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.operators.copies import assign
 from ballotlens.scratch import written
 
-#: Least weighted cosine of a candidate, and by how much less the best candidate's misfit must be than the next one's.
-THRESHOLD, MARGIN = 0.25, 0.35
+#: Least weighted cosine of a candidate, and by how much the best one's must be above the next admissible one's.
+THRESHOLD, MARGIN = 0.25, 0.05
+#: What a choice of another contest than the value's own loses of its cosine.
+OTHER_CONTEST = 0.1
+#: Cells of the tables of n-gram counts and of first names, both indexed by hash, whatever the list's size.
+CELLS = 1 << 18
 #: Entries of the list in one block.
 BLOCK = 20_000
 #: A side is broadcast only if it was counted and is no larger.
@@ -94,14 +99,9 @@ def title_words(text: str) -> tuple[list[str], bool]:
     return out, cut
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edits between two words (insert, delete, replace, swap neighbours); most + 1 if there are more. rn and m, vv and w, cl and d, u and v, l and i count as alike."""
+def _edits(a: str, b: str, most: int) -> int:
     if a == b:
         return 0
-    alike = lambda s: s.replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("v", "u").replace("1", "l").replace("0", "o")
-    a, b = alike(a), alike(b)
-    if a == b:
-        return 1 if most >= 1 else most + 1
     if abs(len(a) - len(b)) > most:
         return most + 1
     before, last = None, list(range(len(b) + 1))
@@ -118,9 +118,25 @@ def distance(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+def _alike(word: str) -> str:
+    return word.replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("v", "u").replace("1", "l").replace("0", "o")
+
+
+@lru_cache(maxsize=1_000_000)
+def distance(a: str, b: str, most: int) -> int:
+    """Edits between two words (insert, delete, replace, swap neighbours); most + 1 if there are more. Letters that look
+    alike (rn and m, vv and w, cl and d, u and v, l and 1) may also be taken for each other, which is one edit in all."""
+    d = _edits(a, b, most)
+    if d > 1:
+        x, y = _alike(a), _alike(b)
+        if (x, y) != (a, b):
+            d = min(d, max(1, _edits(x, y, most)))
+    return min(d, most + 1)
+
+
 def allowed(word: str) -> int:
     """Edits allowed in a word."""
-    return 0 if len(word) <= 2 else 1 if len(word) <= 4 else 2 if len(word) <= 9 else 3
+    return 0 if len(word) <= 2 else 1 if len(word) <= 4 else 2
 
 
 def shortens(short: str, word: str) -> bool:
@@ -141,55 +157,63 @@ def _empty(word: str) -> bool:
 
 
 @lru_cache(maxsize=1_000_000)
-def word_misfit(typed: str, word: str, last: bool, cut: bool) -> float | None:
-    """How badly a typed word stands for a word of an entry; None if it cannot."""
+def word_fits(typed: str, word: str, last: bool) -> bool:
+    """Whether a typed word can stand for a word of an entry."""
     if typed == word:
-        return 0.0
+        return True
     if any(c.isdigit() for c in typed + word) or len(word) == 1:
-        return None
-    if last and word.startswith(typed):
-        return 0.15 if cut else 0.3
-    if shortens(typed, word):
-        return 0.3 if len(typed) > 1 else 0.4
-    d = distance(typed, word, allowed(word))
-    if d <= allowed(word) and len(typed) > 2:
-        return 0.5 * d
+        return False
+    if last and word.startswith(typed) or shortens(typed, word):
+        return True
+    if len(typed) > 2 and distance(typed, word, allowed(word)) <= allowed(word):
+        return True
     if 3 <= len(typed) < len(word) and typed[0] == word[0]:  # a mistyped abbreviation
-        if len(typed) >= 4 and distance(typed, word[: len(typed)], 1) <= 1 or len(typed) <= 5 and not Counter(typed) - Counter(word):
-            return 0.9
-    return None
+        return len(typed) >= 4 and distance(typed, word[: len(typed)], 1) <= 1 or len(typed) <= 5 and not Counter(typed) - Counter(word)
+    return False
+
+
+def align(typed: list[str], entry: list[str]) -> list[int] | None:
+    """For each typed word the place of the entry's word it stands for, all different; None if some word is left over.
+
+    Equal words are taken first, the others along augmenting paths.
+    """
+    to = [-1] * len(typed)
+    owner: dict[int, int] = {}
+    for i, w in enumerate(typed):
+        j = next((j for j, x in enumerate(entry) if x == w and j not in owner), None)
+        if j is not None:
+            to[i], owner[j] = j, i
+
+    def find(i: int, seen: set[int]) -> bool:
+        for j, x in enumerate(entry):
+            if j not in seen and word_fits(typed[i], x, i == len(typed) - 1):
+                seen.add(j)
+                if j not in owner or find(owner[j], seen):
+                    to[i], owner[j] = j, i
+                    return True
+        return False
+
+    return to if all(to[i] >= 0 or find(i, set()) for i in sorted(range(len(typed)), key=lambda i: -len(typed[i]))) else None
 
 
-def title_misfit(typed: list[str], cut: bool, entry: list[str]) -> float | None:
-    """The least total misfit of an alignment of the words; None if some word is left over.
+def title_fits(typed: list[str], cut: bool, entry: list[str]) -> bool:
+    """Whether a typed title can stand for an entry's.
 
     Words without meaning may be left over, and the entry's last words where the typed title was cut.
     """
     a, b = [w for w in typed if not _empty(w)], [w for w in entry if not _empty(w)]
     if not a or len(a) > len(b):
-        return None
-    cost = np.full((len(a), len(b)), 1e6)
-    for i in sorted(range(len(a)), key=lambda i: -len(a[i])):  # long words rule most entries out
-        some = False
-        for j, y in enumerate(b):
-            if (m := word_misfit(a[i], y, i == len(a) - 1, cut)) is not None:
-                cost[i, j] = m
-                some = True
-        if not some:
-            return None
-    to = assign(cost)
-    total = float(cost[np.arange(len(a)), to].sum())
-    if total >= 1e6:
-        return None
-    missing = sorted(j for j in set(range(len(b))) - set(to.tolist()) if b[j] not in OPTIONAL_WORDS)
+        return False
+    to = align(a, b)
+    if to is None:
+        return False
+    missing = sorted(j for j in set(range(len(b))) - set(to) if b[j] not in OPTIONAL_WORDS)
     if not missing:
-        return total
+        return True
     # only a title that may have been cut may lack words, and only the last ones
     in_order = all(x < y for x, y in zip(to[:-1], to[1:]))
     ends_cut = cut or in_order or (a[-1] != b[to[-1]] and b[to[-1]].startswith(a[-1]))
-    if ends_cut and len(a) >= 2 and missing == list(range(len(b) - len(missing), len(b))) and to[-1] == len(b) - len(missing) - 1:
-        return total + (0.1 if cut else 0.4) * len(missing)
-    return None
+    return ends_cut and len(a) >= 2 and missing == list(range(len(b) - len(missing), len(b))) and to[-1] == len(b) - len(missing) - 1
 
 
 @dataclass(frozen=True)
@@ -214,37 +238,32 @@ def choice_words(text: str) -> list[str]:
     return [w for w in (_letters(x) for x in re.findall(r"[^\W_]+", text.replace("'", ""))) if w not in COURTESY]
 
 
-def person_misfit(words: list[str], entry: Person, firsts: frozenset[str]) -> tuple[float, bool] | None:
-    """The misfit of typed words with a person, and whether the first name was written out; None if they cannot be that person."""
-    best: tuple[float, bool] | None = None
+def cell_of(text: str) -> int:
+    """The cell of a table of CELLS that stands for a text."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % CELLS
+
+
+def person_fits(words: list[str], entry: Person, is_first: Callable[[str], bool]) -> tuple[bool, bool]:
+    """Whether typed words can stand for a person, and whether with the first name written out.
+
+    is_first: whether a word is a first name of the list; a typed one that is stands for no other first name.
+    """
+    whole = False
     for i, w in enumerate(words):
         most = 1 if len(entry.last) <= 5 else 2 if len(entry.last) <= 8 else 3
-        d = distance(w, entry.last, most) if len(w) > 2 else most + 1
-        if d > most:
+        if len(w) <= 2 or distance(w, entry.last, most) > most:
             continue
         rest = words[:i] + words[i + 1 :]
-        full, part, fits = False, 0.0, True
-        if not rest:
-            part = 0.6
-        else:
-            long = [x for x in rest if len(x) > 1]
-            short = [x for x in rest if len(x) == 1]
-            if len(long) > 1 or len(short) > 2:
-                continue
-            if long:
-                gap = distance(long[0], entry.first, 2)
-                near = min(distance(long[0], f, 2) for f in firsts)
-                fits = gap <= 2 and gap <= near and (gap < 2 or len(entry.first) >= 5)
-                full, part = True, 0.5 * gap
-                if short and entry.middle:
-                    fits = fits and short[0] == entry.middle
-                part += 0.1 * (bool(short) != bool(entry.middle))
-            else:
-                fits = short[0] == entry.first[0] and (len(short) == 1 or not entry.middle or short[1] == entry.middle)
-                part = 0.4
-        if fits and (best is None or 0.5 * d + part < best[0]):
-            best = (0.5 * d + part, full)
-    return best
+        long, short = [x for x in rest if len(x) > 1], [x for x in rest if len(x) == 1]
+        if len(long) > 1 or len(short) > 2:
+            continue
+        if long:
+            same = long[0] == entry.first
+            if (same or distance(long[0], entry.first, 2) <= 2 and not is_first(long[0])) and not (short and entry.middle and short[0] != entry.middle):
+                return True, True
+        elif not short or short[0] == entry.first[0] and (len(short) == 1 or not entry.middle or short[1] == entry.middle):
+            whole = True
+    return whole, False
 
 
 def grams(words: list[str]) -> Counter:
@@ -257,9 +276,12 @@ def grams(words: list[str]) -> Counter:
 
 
 class Index:
-    """An inverted index of the n-grams of one block of entries."""
+    """An inverted index of the n-grams of one block of entries.
+
+    weights: the weight of each n-gram by its cell; firsts: whether a cell holds a first name of the list.
+    """
 
-    def __init__(self, entries: list[tuple[int, str, str, int | None]], weights: dict[str, float], firsts: frozenset[str]):
+    def __init__(self, entries: list[tuple[int, str, str, int | None]], weights: np.ndarray, firsts: np.ndarray):
         self.entries, self.weights, self.firsts = entries, weights, firsts
         self.words = [title_words(n)[0] if kind == "contest" else choice_words(n) for _, kind, n, _ in entries]
         self.people = [None if kind == "contest" or "/" in n else person(n) for _, kind, n, _ in entries]
@@ -268,57 +290,61 @@ class Index:
             lists = defaultdict(list)
             for i, (e, w) in enumerate(zip(entries, self.words)):
                 if e[1] == kind:
-                    g = {x: c * weights.get(x, 1.0) for x, c in grams(w).items()}
-                    norm = sum(v * v for v in g.values()) ** 0.5 or 1.0
-                    for x, v in g.items():
-                        lists[x].append((i, v / norm))
+                    for x, v in self.vector(w).items():
+                        lists[x].append((i, v))
             self.by_kind[kind] = {x: (np.array([i for i, _ in p]), np.array([v for _, v in p])) for x, p in lists.items()}
 
+    def vector(self, words: list[str]) -> dict[str, float]:
+        """The weighted n-grams of words, of length 1."""
+        g = {x: c * float(self.weights[cell_of(x)]) for x, c in grams(words).items()}
+        norm = sum(v * v for v in g.values()) ** 0.5 or 1.0
+        return {x: v / norm for x, v in g.items()}
+
+    def is_first(self, word: str) -> bool:
+        return bool(self.firsts[cell_of(word)])
+
     def candidates(self, kind: str, words: list[str]) -> list[tuple[int, float]]:
-        """All entries of the kind whose weighted cosine reaches the threshold."""
-        g = {x: c * self.weights.get(x, 1.0) for x, c in grams(words).items()}
-        norm = sum(v * v for v in g.values()) ** 0.5
-        hit = [(self.by_kind[kind][x], v / norm) for x, v in g.items() if x in self.by_kind[kind]]
+        """All entries of the kind whose weighted cosine reaches the threshold, the highest first."""
+        hit = [(self.by_kind[kind][x], v) for x, v in self.vector(words).items() if x in self.by_kind[kind]]
         if not hit:
             return []
         cos = np.bincount(np.concatenate([p[0] for p, _ in hit]), np.concatenate([p[1] * v for p, v in hit]), len(self.entries))
-        return [(int(i), float(cos[i])) for i in np.flatnonzero(cos >= THRESHOLD)]
+        at = np.flatnonzero(cos >= THRESHOLD)
+        return [(int(i), float(cos[i])) for i in at[np.argsort(-cos[at], kind="stable")]]
 
-    def match(self, kind: str, value: str, context: int | None) -> list[tuple[int, float, float]]:
-        """(canon_id, cosine, misfit) of every entry that the value may stand for."""
-        out = []
-        if kind == "contest":
-            words, cut = title_words(value)
-            for i, cos in self.candidates(kind, words):
-                if (m := title_misfit(words, cut, self.words[i])) is not None:
-                    out.append((self.entries[i][0], cos, m))
-            return out
+    def match(self, kind: str, value: str, context: int | None, margin: float = MARGIN) -> list[tuple[int, float]]:
+        """(canon_id, cosine) of the admissible entry with the highest cosine, and of every other one within the margin of it.
+
+        A choice of another contest than the context must be written out and loses OTHER_CONTEST of its cosine.
+        """
         parts = [p for p in re.split(r"\s+/\s+|/", value) if p.strip()]
-        everything = choice_words(value)
-        name = choice_words(parts[0]) if parts else []
-        for i, cos in self.candidates(kind, everything):
-            cid, _, entry, contest = self.entries[i]
-            if self.people[i] is None:
-                options = self.words[i]
-                left = [w for w in everything if w not in MEASURE_WORDS]
-                fit = [min((distance(w, o, min(1, len(w) - 2) if len(w) > 2 else 0) for o in options), default=9) for w in left]
-                if left and len(left) <= len(options) and all(f <= 1 for f in fit):
-                    out.append((cid, cos, 0.5 * sum(fit)))
-                continue
-            got = person_misfit(name, self.people[i], self.firsts)
-            if got is None:
-                continue
-            misfit, full = got
-            if context is not None and contest is not None and contest != context:
-                if not full:
-                    continue  # a bare family name or initial means someone of the same contest
-                misfit += 0.3
-            out.append((cid, cos, misfit))
+        (words, cut), name = title_words(value) if kind == "contest" else (choice_words(value), False), choice_words(parts[0]) if parts else []
+        found = []
+        for i, cos in self.candidates(kind, words):
+            cid, _, _, contest = self.entries[i]
+            foreign = kind == "choice" and context is not None and contest is not None and contest != context
+            found.append((cos - OTHER_CONTEST * foreign, cid, i, foreign))
+        out: list[tuple[int, float]] = []
+        for cos, cid, i, foreign in sorted(found, key=lambda f: (-f[0], f[1])):
+            if out and cos < out[0][1] - margin:
+                break
+            if self.admissible(kind, words, cut, name, i, foreign):
+                out.append((cid, cos))
         return out
 
+    def admissible(self, kind: str, words: list[str], cut: bool, name: list[str], i: int, foreign: bool) -> bool:
+        """The exact check of one candidate."""
+        if kind == "contest":
+            return title_fits(words, cut, self.words[i])
+        if self.people[i] is None:
+            left = [w for w in words if w not in MEASURE_WORDS]
+            return bool(left) and len(left) <= len(self.words[i]) and all(any(distance(w, o, 1) <= (1 if len(w) > 2 else 0) for o in self.words[i]) for w in left)
+        fits, full = person_fits(name, self.people[i], self.is_first)
+        return fits and (full or not foreign)
+
 
-def map_values(values: DataFrame, canon: DataFrame, threshold_margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
-    """value, name_kind, context, canon_id (0 if none) and misfit, of each distinct value.
+def map_values(values: DataFrame, canon: DataFrame, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """value, name_kind, context, canon_id (0 if none) and cosine, of each distinct value.
 
     values: value, name_kind ("contest" or "choice") and context (canon_id of the contest, or null). canon:
     canon_id, name_kind, canonical_name, contest_canon_id; names that are null are no entries. Null and
@@ -331,54 +357,56 @@ def map_values(values: DataFrame, canon: DataFrame, threshold_margin: float = MA
     found = None
     for b in range(blocks):
         rows = [tuple(r) for r in canon.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect()]  # one bounded block
-        part = _match(values, Index(sorted(rows), weights, firsts))
+        part = _match(values, Index(sorted(rows, key=lambda r: (r[0], r[1], r[2])), weights, firsts), margin)
         found = part if found is None else found.unionAll(part)
-    scored = F.struct("misfit", "canon_id")
     keys = ["value", "name_kind", "context"]
-    # the two best per value, kept by aggregates that combine before the shuffle
+    # the best and the next other entry of each value, by aggregates that combine before the shuffle
     found = written(found, "candidates")
-    best = found.groupBy(*keys).agg(F.min(scored).alias("best"))
-    joined = found.alias("f").join(best.alias("b"), [F.col(f"f.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select(*[f"f.{k}" for k in keys], "f.misfit", "f.canon_id", "b.best")
-    rival = joined.groupBy(*keys).agg(F.first("best").alias("best"), F.min(F.when(F.col("canon_id") != F.col("best.canon_id"), F.col("misfit"))).alias("next"))
-    accepted = rival.select(*keys, F.when(F.col("next").isNull() | (F.col("next") - F.col("best.misfit") >= threshold_margin), F.col("best.canon_id")).otherwise(0).alias("canon_id"), F.col("best.misfit").alias("misfit"))
+    best = found.groupBy(*keys).agg(F.max(F.struct("cosine", -F.col("canon_id"))).alias("best"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    joined = found.alias("f").join(best.alias("b"), same("f", "b")).select(*[f"f.{k}" for k in keys], "f.cosine", "f.canon_id", F.col("b.best.cosine").alias("top"), (-F.col("b.best.col2")).alias("top_id"))
+    rival = joined.groupBy(*keys).agg(F.first("top_id").alias("top_id"), F.first("top").alias("top"), F.max(F.when(F.col("canon_id") != F.col("top_id"), F.col("cosine"))).alias("next"))
+    accepted = rival.select(*keys, F.when(F.col("next").isNull() | (F.col("top") - F.col("next") >= margin), F.col("top_id")).otherwise(0).alias("canon_id"), F.col("top").alias("cosine"))
     a, v = accepted.alias("a"), values.alias("v")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys]
-    return v.join(a, on, "left").select(*[f"v.{k}" for k in keys], F.coalesce("a.canon_id", F.lit(0)).alias("canon_id"), "a.misfit")
+    return v.join(a, same("a", "v"), "left").select(*[f"v.{k}" for k in keys], F.coalesce("a.canon_id", F.lit(0)).alias("canon_id"), "a.cosine")
 
 
-def _weights(canon: DataFrame, blocks: int) -> tuple[dict[str, float], frozenset[str]]:
-    """Inverse document frequencies of all n-grams, and all first names, over the whole list, block by block."""
-    counts: Counter = Counter()
-    firsts: set[str] = set()
+def _weights(canon: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies of all n-grams by their cell, and the cells of all first names, over the whole list,
+    block by block. Both tables have a fixed size; n-grams that share a cell share their count."""
+    counts, firsts = np.zeros(CELLS), np.zeros(CELLS, bool)
     total = 0
     for b in range(blocks):
         for r in canon.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect():
             total += 1
-            counts.update(grams(title_words(r.canonical_name)[0] if r.name_kind == "contest" else choice_words(r.canonical_name)).keys())
+            words = title_words(r.canonical_name)[0] if r.name_kind == "contest" else choice_words(r.canonical_name)
+            for g in grams(words):
+                counts[cell_of(g)] += 1
             if r.name_kind == "choice" and (p := person(r.canonical_name)):
-                firsts.add(p.first)
-    return {g: float(np.log((total + 1) / (c + 0.5))) for g, c in counts.items()}, frozenset(firsts)
+                firsts[cell_of(p.first)] = True
+    # n-grams that no entry has are mostly typing errors and weigh little
+    return np.where(counts > 0, np.log((total + 1) / (counts + 0.5)).clip(0.01), 1.0), firsts
 
 
-def _match(values: DataFrame, index: Index) -> DataFrame:
-    sent = values.sparkSession.sparkContext.broadcast(index)  # bounded by the block size
+def _match(values: DataFrame, index: Index, margin: float) -> DataFrame:
+    sent = values.sparkSession.sparkContext.broadcast(index)  # bounded by the block size and CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            at, ids, cosines, misfits = [], [], [], []
+            at, ids, cosines = [], [], []
             for i, (value, kind, context) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
                 if value and value.strip():
-                    for cid, cos, misfit in index.match(kind, value, context):
+                    for cid, cos in index.match(kind, value, context, margin):
                         at.append(i)
                         ids.append(cid)
                         cosines.append(cos)
-                        misfits.append(misfit)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns], pa.array(ids, pa.int32()), pa.array(cosines, pa.float64()), pa.array(misfits, pa.float64())], names=["value", "name_kind", "context", "canon_id", "cosine", "misfit"])
+            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns], pa.array(ids, pa.int32()), pa.array(cosines, pa.float64())], names=["value", "name_kind", "context", "canon_id", "cosine"])
 
     # values are short and each takes long, so they are spread over all cores
-    return values.repartition(max(values.sparkSession.sparkContext.defaultParallelism * 2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "value").mapInArrow(run, "value string, name_kind string, context int, canon_id int, cosine double, misfit double")
+    parts = max(values.sparkSession.sparkContext.defaultParallelism * 2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return values.repartition(parts, "value").mapInArrow(run, "value string, name_kind string, context int, canon_id int, cosine double")
 
 
 def canonicalise(titles: DataFrame, choices: DataFrame, canon: DataFrame) -> DataFrame:
