@@ -11,7 +11,7 @@ from ballotlens.llm.leaks import exact_leaks, find_leaks
 from ballotlens.llm.mixing import mix_sources, shares
 from ballotlens.llm.names import canonicalise
 from ballotlens.llm.sampling import audit_samples, golden_sample
-from ballotlens.llm.textstats import NAMES, classify, document_statistics
+from ballotlens.llm.textstats import _ENDS, _NEAR, COMMON, COUNTS, NAMES, classify, components, document_statistics
 from ballotlens.tables import table
 
 GOLDEN_RATE, GOLDEN_SHIFT = 0.05, 20311104
@@ -75,13 +75,32 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics of every document's text."""
-    return document_statistics(table(spark, d, "documents", "doc_id", "text")).select("doc_id", *NAMES)
+    """The statistics of every document's text (sizes and shares of words, symbols, digits, lines and common words)."""
+    s = document_statistics(table(spark, d, "documents", "doc_id", "text"))
+    return s.select("doc_id", *[c if c in COUNTS else F.round(c, 6).alias(c) for c in NAMES[:9]])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares, p10_found, p10_statistics)}
+def p10_components(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's components, what each was taken for, and the document to look at first."""
+    return components(classify(table(spark, d, "documents", "doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_golden, p8_found, p8_near, p9_plan, p9_shares, p10_found, p10_statistics, p10_components)}
+
+_quoted = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+_SPACE = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
 
 ORACLE: dict[str, str] = {
+    "p10_statistics": rf"""with
+      d as (select doc_id, t, string_split(t, chr(10)) as ls, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') as w, regexp_replace(t, '[{_SPACE}]', '', 'g') as v from (select doc_id, coalesce(text, '') as t from documents)),
+      l as (select *, list_filter(list_transform(ls, lambda x: regexp_replace(x, '[{_SPACE}]', '', 'g')), lambda x: len(x) > 0) as shown from d)
+      select doc_id, len(t)::bigint as n_chars, len(w)::bigint as n_words, case when t = '' then 0 else len(ls) end::bigint as n_lines,
+        round(coalesce(list_sum(list_transform(w, lambda x: len(x))) / nullif(len(w), 0), 0)::double, 6) as mean_word_length,
+        round(coalesce(len(regexp_replace(v, '[\p{{L}}\p{{N}}{_quoted(_NEAR)}]', '', 'g')) / nullif(len(v), 0), 0)::double, 6) as symbol_ratio,
+        round(coalesce((len(v) - len(regexp_replace(v, '\p{{N}}', '', 'g'))) / nullif(len(v), 0), 0)::double, 6) as digit_ratio,
+        round(coalesce(len(list_filter(shown, lambda x: regexp_matches(x, '[{_quoted(_ENDS)}]$'))) / nullif(len(shown), 0), 0)::double, 6) as punctuated_lines,
+        round(coalesce(len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{c}'" for c in sorted(set(COMMON.split())))}))) / nullif(len(w), 0), 0)::double, 6) as common_words,
+        round(coalesce(len(v) / nullif(len(shown), 0), 0)::double, 6) as mean_line_length from l""",
     "p6_found": """with recursive
       c0 as (select county_id, card_key, added_at, regexp_replace(lower(trim(prn, ' \t')), '^0x', '') as h from card_manifest where prn is not null),
       cards as (select county_id, card_key, min(('0x' || h)::ubigint) as number, min(added_at) as added_at from c0 group by all),

@@ -3,7 +3,7 @@
 One vectorised pass over each batch of texts gives the statistics of every document. A Gaussian mixture
 is then fitted to the standardized statistics of all documents by expectation-maximization: each step is
 one distributed pass that returns sums of fixed size. Components are started from and afterwards named
-after a few inspected examples.
+after a few inspected examples. No statistic says by itself what a text is; the mixture decides.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ COMMON = (
     "de la el los las que en un una se por con para del al lo su le les des et du est une dans qui sur pas ne ce au aux avant "
     "der die das und ist von den dem ein eine zu auf nicht mit im noch nur war waren wurden erst ob"
 )
-NAMES = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "mean_line_length", "repeated_words", "list_share", "table_share", "junk_share")
+#: The statistics in their order. Shares of characters count visible ones.
+NAMES = (
+    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "mean_line_length", "repeated_words",
+    "word_spread", "number_words", "mixed_words", "distinct_words", "closed_share", "marked_share", "running_share", "plain_share", "line_length", "line_words", "delimiters", "blanks",
+)
 COUNTS = ("n_chars", "n_words", "n_lines")
 LETTER, DIGIT, SPACE, NEWLINE, POINT, OTHER = range(6)
 _ENDS = '.!?:;…"»”)'
@@ -62,37 +66,35 @@ def _hash(word: str) -> np.uint64:
 def statistics(texts: list[str]) -> np.ndarray:
     """One row for each text, with the columns NAMES. Texts without visible characters have all zeros but n_chars and n_lines.
 
-    list_share, table_share and junk_share: the share of visible characters on lines of that shape, judged
-    by markers, cells, noise, repetition and whether lines are filled up to a common width.
+    word_spread: mean square of word lengths. number_words, mixed_words: words of digits only, and of digits and letters.
+    repeated_words: words that equal one of the six before them. Shares of visible characters: on lines that end in
+    punctuation (closed), begin with a bullet or number (marked), go on in small letters on the next line (running), or
+    hold no frequent word (plain). line_length, line_words: of the line a character is on, on average. delimiters: bars,
+    tabs, semicolons, equal signs, gaps and commas without a blank, per visible character. blanks: share of all characters.
     """
     classes, low, common = kept("classes", _classes), kept("lower", _lower), kept("common", _common)
     codes = code_points("\n".join(texts) + "\n")
-    size = np.array([len(t) for t in texts])
+    docs, size = len(texts), np.array([len(t) for t in texts])
     doc_end = np.cumsum(size + 1) - 1
-    small = np.minimum(codes, 0xFFFF)
-    cls = classes[small]
+    cls = classes[np.minimum(codes, 0xFFFF)]
     newline = np.flatnonzero(codes == 10)
     begin, end = np.concatenate(([0], newline[:-1] + 1)), newline
     line_doc = np.searchsorted(doc_end, begin, "left")
-    n = len(begin)
 
     def per_line(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
         return total[end] - total[begin]
 
-    is_space = cls == SPACE
-    visible_at = np.flatnonzero((cls != SPACE) & (cls != NEWLINE))
+    space = cls == SPACE
+    visible_at = np.flatnonzero(~space & (cls != NEWLINE))
     pad = np.append(visible_at, len(codes) - 1)
-    a = np.searchsorted(visible_at, begin)
-    b = np.searchsorted(visible_at, end)
-    visible = b - a
+    a, b = np.searchsorted(visible_at, begin), np.searchsorted(visible_at, end)
+    visible, length = b - a, end - begin
     blank = visible == 0
     first, last = pad[a], np.where(blank, begin, pad[np.maximum(b - 1, 0)])
-    letters, digits, others = per_line(cls == LETTER), per_line(cls == DIGIT), per_line(cls == OTHER)
     at = lambda i: codes[np.minimum(i, len(codes) - 1)]
     kind_at = lambda i: cls[np.minimum(i, len(codes) - 1)]
 
-    # words, their hashes, common ones and ones that repeat at a short distance
     word = is_word_char(codes)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
     w_start, w_end = edge[0::2], edge[1::2]
@@ -100,109 +102,47 @@ def statistics(texts: list[str]) -> np.ndarray:
     inside = codes <= 0xFFFF
     lower[inside] = low[codes[inside]]
     h = _hashes(lower, w_start, w_end)
-    wa, wb = np.searchsorted(w_start, begin), np.searchsorted(w_start, end)
-    words = wb - wa
-
-    def per_words(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
-        return total[wb] - total[wa]
-
-    place = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    n_common = per_words(common[place] == h)
-    # each word against the 1st to 6th before it, over the text so far
-    repeats = np.zeros(n, np.int64)
+    w_doc, w_line, w_size = np.searchsorted(doc_end, w_start, "left"), np.searchsorted(begin, w_start, "right") - 1, w_end - w_start
+    is_common = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+    repeats = np.zeros(len(h), bool)
     for lag in range(1, 7):
-        same = np.zeros(len(h), bool)
-        same[lag:] = h[lag:] == h[:-lag]
-        repeats = np.maximum(repeats, per_words(same))
-    letters_of_words = per_words_length = np.concatenate(([0], np.cumsum(w_end - w_start)))
-    word_chars = letters_of_words[wb] - per_words_length[wa]
-
-    digit_sum = np.concatenate(([0], np.cumsum(cls == DIGIT, dtype=np.int32)))
-    n_numbers = per_words(digit_sum[w_end] - digit_sum[w_start] == w_end - w_start)
+        repeats[lag:] |= (h[lag:] == h[:-lag]) & (w_doc[lag:] == w_doc[:-lag])
+    digit_sum = np.concatenate(([0], np.cumsum(cls == DIGIT)))
+    w_digits = digit_sum[w_end] - digit_sum[w_start]
+    order = np.lexsort((h, w_doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (w_doc[order][1:] != w_doc[order][:-1])
+    line_words, line_common = np.bincount(w_line, minlength=len(begin)), np.bincount(w_line, is_common, len(begin))
 
     # markers at the line's beginning
-    c0, c1, c2 = at(first), at(first + 1), at(first + 2)
-    sp1, sp2 = kind_at(first + 1) >= SPACE, kind_at(first + 2)
+    c0, c2 = at(first), at(first + 2)
     bullet = np.isin(c0, code_points(_BULLETS)) & (kind_at(first + 1) == SPACE)
-    d0, d1, d2 = kind_at(first) == DIGIT, kind_at(first + 1) == DIGIT, kind_at(first + 2) == DIGIT
+    d0, d1, d2 = (kind_at(first + i) == DIGIT for i in range(3))
     closes = lambda i: np.isin(at(first + i), code_points(".)")) & (kind_at(first + i + 1) == SPACE)
     number = (d0 & closes(1)) | (d0 & d1 & closes(2)) | (d0 & d1 & d2 & closes(3)) | ((kind_at(first) == LETTER) & closes(1) & (at(first + 1) == ord(")")))
     paren = (c0 == ord("(")) & ((c2 == ord(")")) | (at(first + 3) == ord(")"))) & (kind_at(first + 1) <= DIGIT)
-    box = (c0 == ord("[")) & (c2 == ord("]"))
-    marked = ~blank & (bullet | number | paren | box)
+    marked = ~blank & (bullet | number | paren | ((c0 == ord("[")) & (c2 == ord("]"))))
 
-    # cells: the same delimiter again and again
-    comma = np.flatnonzero(codes == ord(","))
-    tight = np.zeros(len(codes), bool)
-    tight[comma[(cls[np.minimum(comma + 1, len(codes) - 1)] != SPACE) & (comma > 0)]] = True
+    cut = (codes == ord("|")) | (codes == 9) | (codes == ord(";")) | (codes == ord("="))
+    cut[:-1] |= (codes[:-1] == ord(",")) & (cls[1:] != SPACE)
     gap = np.zeros(len(codes), bool)
-    gap[2:] = is_space[:-2] & is_space[1:-1] & ~is_space[2:] & (cls[2:] != NEWLINE)
-    n_tight, n_gap, n_bar, n_tab, n_semi, n_equal = per_line(tight), per_line(gap) - (first - begin >= 2), per_line(codes == ord("|")), per_line(codes == 9), per_line(codes == ord(";")), per_line(codes == ord("="))
-    length = end - begin
-    spaces = per_line(is_space)
-    common_share = n_common / np.maximum(words, 1)
-    ruled = ~blank & ((n_bar >= 2) | (n_tab >= 2) | ((n_tight >= 2) & (length <= 30 * (n_tight + 1)) & (spaces <= 2 * (n_tight + 1))) | (n_equal >= 3) | ((n_semi >= 1) & (n_equal >= 2)))
-    columns = ((n_numbers >= 3) & (n_numbers >= 0.6 * words) & (visible < 120)) | ((n_gap >= 2) & (digits >= 2)) | ((n_gap >= 3) & (words <= 3 * (n_gap + 1)))
-    # running text holds frequent words, cells seldom do
-    celled = ~blank & (common_share < 0.08) & (ruled | columns)
-
-    # noise
-    some = np.maximum(visible, 1)
-    docs = len(texts)
-    doc_repeats = (np.bincount(line_doc, repeats, docs) / np.maximum(np.bincount(line_doc, words, docs), 1))[line_doc]
-    repeated = (words >= 2) & (repeats >= 0.8 * words) & ((doc_repeats >= 0.8) | (words >= 12))
-    noisy = (others / some >= 0.25) & ~ruled
-    unbroken = (visible >= 20) & ~ruled & ((word_chars / np.maximum(words, 1) >= 16) | ((spaces == 0) & (visible >= 30)))
-    dump = (common_share < 0.06) & (words >= 8) & ~celled & ~marked & ((digits >= 0.25 * visible) | (word_chars <= 3 * words))
-    # short mixed tokens of letters and digits, none of them longer than eight, without any ruling
-    longest = np.zeros(n, np.int64)
-    held = np.flatnonzero(words)
-    if len(held):
-        longest[held] = np.maximum.reduceat(w_end - w_start, wa[held])
-    dump |= (words >= 10) & (longest <= 8) & ~ruled & (n_gap < 2) & ~marked & (letters >= 0.12 * visible) & (digits >= 0.15 * visible) & (word_chars <= 3 * words)
-    senseless = (common_share < 0.06) & (words >= 12) & ~celled & ~marked & (letters >= 0.6 * visible)
-    junk = ~blank & (repeated | noisy | unbroken | dump | senseless)
-
+    gap[2:] = space[:-2] & space[1:-1] & ~space[2:] & (cls[2:] != NEWLINE)
+    cuts = per_line(cut) + np.maximum(per_line(gap) - (first - begin >= 2), 0)  # an indent is no gap
     ends = ~blank & np.isin(at(last), code_points(_ENDS))
-    small_start = (kind_at(first) == LETTER) & (low[np.minimum(c0, 0xFFFF)] == c0)
-    quoted = (c0 == ord(">")) & ~blank
-
-    # paragraphs: runs of lines of one shape in one text; in prose they are filled up to their width
-    shape = np.where(blank, 0, np.where(junk, 4, np.where(celled, 3, np.where(marked, 2, np.where(visible >= 90, 5, np.where(quoted, 6, 1))))))
-    new = np.ones(n, bool)
-    new[1:] = (shape[1:] != shape[:-1]) | (line_doc[1:] != line_doc[:-1])
-    para = np.cumsum(new) - 1
-    width = np.maximum.reduceat(length, np.flatnonzero(new))[para]
-    # the first word of the next line would not have fitted
-    head_end = np.minimum(np.concatenate((_first_space(is_space | (cls == NEWLINE), first[1:]), [len(codes)])), len(codes)) if n > 1 else np.array([len(codes)])
-    follows = np.append(para[1:] == para[:-1], False)
-    head = np.where(follows, head_end - np.append(first[1:], 0), 0)
-    full = follows & (length + 1 + head > 0.92 * width)
-    inner, filled = np.bincount(para, follows), np.bincount(para, full)
-    # a line with frequent words that runs on into the next one in small letters is wrapped, too
-    runs_on = follows & ~ends & (words >= 5) & (common_share >= 0.1) & np.append(small_start[1:], False)
-    flowing = np.bincount(para, full | runs_on)
-    wrapped = ((filled >= 0.7 * np.maximum(inner, 1)) | ((flowing >= 0.7 * np.maximum(inner, 1)) & (filled >= 0.35 * inner))) & (inner >= 1)
-    wrapped = wrapped[para] & (width >= 34)
-    sentence = ends & (words >= 7) & (common_share >= 0.1)
-    listed = ~blank & ~junk & ~celled & (marked | ((visible < 90) & ~wrapped & ~sentence & ~quoted))
+    small_start = ~blank & (kind_at(first) == LETTER) & (low[np.minimum(c0, 0xFFFF)] == c0)
+    runs = np.append(small_start[1:] & (line_doc[1:] == line_doc[:-1]), False)
 
     add = lambda x: np.bincount(line_doc, x, docs)
-    shown, n_words, lines = add(visible), add(words), add(~blank)
-    part = lambda x: add(np.where(x, visible, 0)) / np.maximum(shown, 1)
-    out = np.column_stack((
-        size, n_words, add(np.ones(n)) * (size > 0), add(word_chars) / np.maximum(n_words, 1), add(others) / np.maximum(shown, 1), add(digits) / np.maximum(shown, 1),
-        add(ends) / np.maximum(lines, 1), add(n_common) / np.maximum(n_words, 1), add(visible) / np.maximum(lines, 1), add(repeats) / np.maximum(n_words, 1),
-        part(listed), part(celled & ~junk), part(junk),
+    of_words = lambda x: np.bincount(w_doc, x, docs)
+    shown, lines, n_words = add(visible), add(~blank), of_words(np.ones(len(h)))
+    v, n = np.maximum(shown, 1), np.maximum(n_words, 1)
+    part = lambda x: add(np.where(x, visible, 0)) / v
+    others, digits = per_line(cls == OTHER), per_line(cls == DIGIT)
+    return np.column_stack((
+        size, n_words, add(np.ones(len(begin))) * (size > 0), of_words(w_size) / n, add(others) / v, add(digits) / v, add(ends) / np.maximum(lines, 1), of_words(is_common) / n, shown / np.maximum(lines, 1), of_words(repeats) / n,
+        of_words(w_size.astype(float) ** 2) / n, of_words(w_digits == w_size) / n, of_words((w_digits > 0) & (w_digits < w_size)) / n, np.bincount(w_doc[order], new, docs) / n,
+        part(ends), part(marked), part(runs), part(line_common == 0), add(visible * length.astype(float)) / v, add(visible * line_words.astype(float)) / v, add(cuts) / v, add(per_line(space)) / np.maximum(add(length), 1),
     ))
-    return out
-
-
-def _first_space(space: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The first blank at or after each place."""
-    at = np.flatnonzero(space)
-    return np.append(at, len(space))[np.searchsorted(at, begin)]
 
 
 STATS = "doc_id bigint, " + ", ".join(f"{c} {'bigint' if c in COUNTS else 'double'}" for c in NAMES)
@@ -222,8 +162,7 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, STATS)
 
 
-#: Inspected examples, some of each kind; their groups start the mixture's components. Written for this purpose.
-EXAMPLES: list[tuple[str, str]] = []
+# inspected examples, some of each kind, written for this purpose; their groups start the components
 _SENTENCES = ("The clerk opened the box and counted the ballots with two observers from the parish.", "Nobody had told them that the seal was broken, so the count began again at noon.", "It was the second time this week that a page had been left on the scanner.", "If the margin is small, the board will read more cards before it signs the record.", "They said that all of the totals would be posted on the door of the town hall.")
 _THINGS = ("ink pads", "sealed boxes", "paper rolls", "spare keys", "tally sheets", "the poll books", "name tags", "red folders", "a long table", "the old scanner", "lamps", "blue pens")
 _PLACES = ("Northfield", "Easton", "Milbrook", "Harrow", "Stanton", "Upwell", "Cranford", "Dunmore")
@@ -259,7 +198,8 @@ def examples() -> list[tuple[str, str, list[str]]]:
         ("prose", "some structure", [p + "\n" + "\n".join("- " + t for t in pick(_THINGS, 6)) for p in prose[1:]] + [p + "\n" + rows(",", raw, 4) for p in prose[2:]]),
         ("list", "bullets", ["\n".join(m + t for t in pick(_THINGS, n)) for m, n in (("- ", 9), ("* ", 20), ("• ", 30), ("[x] ", 15))]),
         ("list", "numbers", ["\n".join(f"{i + 1}. {t}" for i, t in enumerate(pick(_THINGS, n))) for n in (9, 20, 30)]),
-        ("list", "bare", ["\n".join(pick(_PLACES, n)) for n in (10, 20, 30)] + ["\n".join(pick(_THINGS, 15))]),
+        ("list", "bare", ["\n".join(pick(_THINGS, n)) for n in (10, 15, 25)] + ["On the list are:\n" + "\n".join(pick(_THINGS, 12))]),
+        ("list", "names", ["\n".join(pick(_PLACES, n)) for n in (10, 20, 30)] + ["Places on the route:\n" + "\n".join(p + q.lower() for p, q in zip(pick(_PLACES, n), pick(_PLACES, n))) for n in (12, 20)]),
         ("table", "commas", [rows(",", raw) for _ in range(3)]), ("table", "bars", [rows(" | ", num) for _ in range(3)]), ("table", "tabs", [rows("\t", num) for _ in range(3)]),
         ("table", "columns", [fixed() for _ in range(3)]), ("table", "keys", [keyed() for _ in range(3)]),
         ("junk", "symbols", [letters("~#*!?$x0a- ", 900) for _ in range(3)]), ("junk", "wrong letters", [letters("âÃ€œ™¢©¿½ï nioeuaƒ†", 900) for _ in range(3)]),
@@ -270,15 +210,16 @@ def examples() -> list[tuple[str, str, list[str]]]:
     ]
 
 
-def vectors(stats: np.ndarray) -> np.ndarray:
-    """The statistics as the mixture sees them: sizes by their logarithms, the three shares by how clearly they pass a half."""
-    s = stats.astype(float)
-    lean = 1 / (1 + np.exp(-40 * np.clip(s[:, 10:13] - 0.5, -1, 1)))
-    return np.column_stack((np.log1p(s[:, 1]), np.log1p(s[:, 3]), s[:, 4], s[:, 5], s[:, 6], s[:, 7], np.log1p(s[:, 8]), s[:, 9], lean))
+#: Statistics that enter the mixture by their logarithms: sizes, whatever their scale.
+SIZES = tuple(NAMES.index(c) for c in ("n_words", "n_lines", "word_spread", "mean_line_length", "line_length", "line_words"))
 
 
-#: Weight of each standardized statistic: the leanings decide what the whole text is, the rest what it is like.
-WEIGHTS = np.array([0.3, 0.5, 0.7, 0.5, 0.4, 0.7, 0.4, 0.7, 3.0, 3.0, 3.0])
+def vectors(stats: np.ndarray) -> np.ndarray:
+    """The statistics as the mixture sees them: all but n_chars, sizes and the delimiters (in per cent) by their logarithms."""
+    s = stats.astype(float)
+    s[:, SIZES] = np.log1p(s[:, SIZES])
+    s[:, NAMES.index("delimiters")] = np.log1p(100 * s[:, NAMES.index("delimiters")])
+    return s[:, 1:]
 
 
 class Mixture:
@@ -288,7 +229,7 @@ class Mixture:
         self.shift, self.scale, self.means, self.covs, self.shares = shift, scale, means, covs, shares
 
     def points(self, stats: np.ndarray) -> np.ndarray:
-        return (vectors(stats) - self.shift) / self.scale * WEIGHTS
+        return (vectors(stats) - self.shift) / self.scale
 
     def densities(self, x: np.ndarray) -> np.ndarray:
         """log(share * density) of each point under each component."""
@@ -319,18 +260,18 @@ class Mixture:
         return Mixture(self.shift, self.scale, means, covs, w / w.sum()), float(sums[-1])
 
 
-def fit_mixture(stats: DataFrame, steps: int = 12, floor: float = 0.05, tolerance: float = 1e-4) -> tuple[Mixture, list[str]]:
-    """The mixture fitted to all documents, and the kind of each component.
+def fit_mixture(stats: DataFrame, steps: int = 60, floor: float = 0.1, tolerance: float = 1e-4) -> tuple[Mixture, list[str], dict]:
+    """The mixture fitted to the standardized statistics of all documents, the kind of each component, and how the fit went
+    (steps, and whether the log likelihood had come to rest within the tolerance).
 
     Each step sums over all partitions; the examples take part with weight 1 each. A component is named
-    after the example group that it was started from while that group's examples are most likely under it,
-    else after the example nearest to its mean.
+    after the kind whose examples are most likely under it, else (no example is) after the example nearest to its mean.
+    floor is added to the variances, in units of the standardized statistics.
     """
     groups = examples()
     seeds = [statistics(texts) for _, _, texts in groups]
     every = np.concatenate(seeds)
     columns = list(NAMES)
-    spark = stats.sparkSession
 
     def total(f, width: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,25 +289,21 @@ def fit_mixture(stats: DataFrame, steps: int = 12, floor: float = 0.05, toleranc
             out[r.i] = r.v
         return out
 
-    dims = vectors(every).shape[1]
+    dims, k = vectors(every).shape[1], len(groups)
     moments = lambda s: np.concatenate([[len(s)], vectors(s).sum(axis=0), (vectors(s) ** 2).sum(axis=0)])
     m = total(moments, 1 + 2 * dims) + moments(every)
     shift = m[1 : dims + 1] / m[0]
     scale = np.sqrt(np.maximum(m[dims + 1 :] / m[0] - shift**2, 1e-4))
-    scale[-3:] = 0.5  # leanings are 0 or 1 with little between, whatever their shares in the corpus
     start = Mixture(shift, scale, np.zeros((1, dims)), np.eye(dims)[None], np.ones(1))
     means = np.array([start.points(s).mean(axis=0) for s in seeds])
-    model = Mixture(shift, scale, means, np.repeat(np.eye(dims)[None] * 0.3, len(groups), axis=0), np.full(len(groups), 1 / len(groups)))
-    k = len(groups)
+    model = Mixture(shift, scale, means, np.repeat(np.eye(dims)[None] * 0.5, k, axis=0), np.full(k, 1 / k))
     width = k + k * dims + k * dims * dims + 1
-    before = -np.inf
-    for _ in range(steps):
-        now = model
+    before, rested, n = -np.inf, False, 0
+    while n < steps and not rested:
+        n, now = n + 1, model
         s = total(lambda x, now=now: now.sums(now.points(x)), width) + now.sums(now.points(every))
         model, fit = now.step(s, floor)
-        if fit - before < tolerance * abs(fit):
-            break
-        before = fit
+        rested, before = fit - before < tolerance * abs(fit), fit
     names = []
     for i in range(k):
         votes = {kind: 0.0 for kind in KINDS}
@@ -377,19 +314,19 @@ def fit_mixture(stats: DataFrame, steps: int = 12, floor: float = 0.05, toleranc
             gaps = [np.abs(model.points(seed) - model.means[i]).sum(axis=1).min() for seed in seeds]
             best = groups[int(np.argmin(gaps))][0]
         names.append(best)
-    return model, names
+    return model, names, {"steps": n, "rested": rested}
 
 
 def classify(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_kind, component and the statistics of every document.
+    """doc_id, doc_kind, component, certainty and the statistics of every document.
 
-    doc_kind is the kind with the largest posterior probability, summed over the mixture's components.
+    doc_kind is the kind with the largest posterior probability (its certainty), summed over the mixture's components.
     Texts without any word or symbol are junk. Row copies are kept.
     """
     stats = written(document_statistics(documents), "statistics")
-    model, names = fit_mixture(stats)
+    model, names, _ = fit_mixture(stats)
     kind_of = np.array([KINDS.index(n) for n in names])
-    columns = ["doc_id", *NAMES]
+    symbols = NAMES.index("symbol_ratio")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,7 +335,15 @@ def classify(documents: DataFrame) -> DataFrame:
             x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(NAMES))])
             p, _ = model.responsibilities(model.points(x))
             by = np.column_stack([p[:, kind_of == i].sum(axis=1) for i in range(len(KINDS))])
-            kind = np.where((x[:, 1] == 0) & (x[:, 4] == 0), KINDS.index("junk"), by.argmax(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([KINDS[i] for i in kind]), pa.array(p.argmax(axis=1).astype(np.int32)), *b.columns[1:]], names=["doc_id", "doc_kind", "component", *NAMES])
+            kind = np.where((x[:, 1] == 0) & (x[:, symbols] == 0), KINDS.index("junk"), by.argmax(axis=1))
+            sure = np.minimum(by[np.arange(len(kind)), kind], 1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([KINDS[i] for i in kind]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(sure), *b.columns[1:]], names=["doc_id", "doc_kind", "component", "certainty", *NAMES])
+
+    return stats.select("doc_id", *NAMES).mapInArrow(run, "doc_id bigint, doc_kind string, component int, certainty double, " + STATS.split(", ", 1)[1])
+
 
-    return stats.select(*columns).mapInArrow(run, "doc_id bigint, doc_kind string, component int, " + STATS.split(", ", 1)[1])
+def components(classified: DataFrame) -> DataFrame:
+    """component, doc_kind, n_documents, certainty (the mean) and clearest (the doc_id with the highest certainty, for inspection)."""
+    surest = F.max(F.struct("certainty", (-F.col("doc_id")).alias("d")))
+    out = classified.groupBy("component", "doc_kind").agg(F.count("*").alias("n_documents"), F.avg("certainty").alias("certainty"), surest.alias("s"))
+    return out.select("component", "doc_kind", "n_documents", "certainty", (-F.col("s.d")).alias("clearest"))
