@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotlens.llm.leaks import exact_leaks, find_leaks
-from ballotlens.llm.mixing import mix_sources, shares
+from ballotlens.llm.mixing import mix, mix_sources, shares
 from ballotlens.llm.names import canonicalise
 from ballotlens.llm.sampling import audit_samples, golden_sample
 from ballotlens.llm.textstats import _ENDS, _NEAR, COMMON, COUNTS, NAMES, classify, components, document_statistics
@@ -65,8 +65,8 @@ def p9_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of each source."""
-    return shares(p9_plan(spark, d), table(spark, d, "source_targets"))
+    """Target, fitted and actual share of each source, language and topic."""
+    return shares(*mix(table(spark, d, "documents"), table(spark, d, "source_targets"), _topic()))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
