@@ -79,7 +79,17 @@ def find_orphans(references: list[Reference], heavy_share: float = HEAVY_SHARE)
     first = spells.groupBy(*KEY).agg(F.min("loaded_at").alias("first_loaded"))
     open_groups = written(split(groups, by_group).join(first, KEY, "left").select(*KEY, "period", "first_loaded", "heavy"), "open-groups")
     on = [F.col("r.reference_name") == F.col("o.reference_name"), F.col("r.missing_key") == F.col("o.missing_key"), F.col("r.period").eqNullSafe(F.col("o.period"))]
-    hit = rows.alias("r").join(_maybe_broadcast(open_groups).alias("o"), on).select("r.reference_name", "r.record_id", "r.missing_key", "r.at", "o.first_loaded", "o.heavy")
+    beside = lambda part, groups: part.alias("r").join(groups.alias("o"), on).select("r.reference_name", "r.record_id", "r.missing_key", "r.at", "o.first_loaded", "o.heavy")
+    if _fits(open_groups):
+        hit = beside(rows, F.broadcast(open_groups))
+    else:
+        # no row of a heavy key is shuffled: its groups are broadcast in slices, each against all rows
+        hot = open_groups.where("heavy")
+        slices = -(-hot.count() // BROADCAST_ROWS)
+        hit = beside(rows.join(F.broadcast(heavy.select(*KEY)), KEY, "left_anti"), open_groups.where("heavy is null"))
+        for i in range(slices):
+            part = hot.where(F.pmod(F.xxhash64(*KEY, "period"), F.lit(slices)) == i)
+            hit = hit.unionAll(beside(rows, F.broadcast(part) if slices == 1 else _maybe_broadcast(part)))
 
     def by_row(df: DataFrame, side: DataFrame) -> DataFrame:
         on = (F.col("g.reference_name") == F.col("p.reference_name")) & (F.col("g.missing_key") == F.col("p.missing_key"))
@@ -93,21 +103,3 @@ def find_orphans(references: list[Reference], heavy_share: float = HEAVY_SHARE)
 def orphan_counts(orphans: DataFrame) -> DataFrame:
     """Orphan references per referring table, kind and day."""
     return orphans.groupBy("reference_name", "orphan_kind", F.to_date("at").alias("period")).agg(F.count("*").alias("n_orphans"), F.countDistinct("missing_key").alias("n_keys"))
-
-
-def session_candidates(sessions: DataFrame) -> DataFrame:
-    """record_id, missing_key and at of every mark of each session's current state.
-
-    Only what is needed is parsed, in the JVM: Modified if its IsCurrent is true, else Original.
-    """
-    contests = "array<struct<Marks: array<struct<CandidateId: string>>>>"
-    state = f"struct<Cards: array<struct<Contests: {contests}>>, Contests: {contests}"
-    s = sessions.select("session_id", "exported_at", F.from_json("payload", f"Original {state}>, Modified {state}, IsCurrent: string>").alias("j"))
-    current = F.lower(F.trim("j.Modified.IsCurrent")).isin("true", "1", "1.0", "yes", "y", "t")
-    pick = lambda f: F.when(current, F.col(f"j.Modified.{f}")).otherwise(F.col(f"j.Original.{f}"))
-    some = lambda c: F.filter(c, lambda x: x.isNotNull())
-    s = s.select("session_id", "exported_at", F.when(pick("Cards").isNotNull(), F.flatten(some(pick("Cards.Contests")))).otherwise(pick("Contests")).alias("c"))
-    s = s.select("session_id", "exported_at", F.explode(some(F.col("c.Marks"))).alias("m"))
-    s = s.select("session_id", "exported_at", F.explode("m.CandidateId").alias("id"))
-    key = F.coalesce(F.trim("id").try_cast("bigint"), F.trim("id").try_cast("double").try_cast("bigint"))
-    return s.select(F.col("session_id").alias("record_id"), key.alias("missing_key"), F.col("exported_at").alias("at"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ballotlens.operators.badrows import bad_lines, load_lines
 from ballotlens.operators.copies import diff_copies, field_differences, name_text, number_text
 from ballotlens.operators.drift import change_scripts, compile_projections, one_table, schema_changes
-from ballotlens.operators.nested import flatten_sessions
-from ballotlens.operators.orphans import Reference, find_orphans, orphan_counts, session_candidates
+from ballotlens.operators.nested import flatten_sessions, only_tag, session_candidates, session_rows
+from ballotlens.operators.orphans import Reference, find_orphans, orphan_counts
 from ballotlens.tables import table
 
 SUMMARY_KEY = ["county_id", "contest_id", "choice_no"]
@@ -19,11 +19,41 @@ SUMMARY_KEY = ["county_id", "contest_id", "choice_no"]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each mark that is a vote in a session's current state."""
-    marks = flatten_sessions(table(spark, d, "cvr_sessions"))["mark"].where("is_vote")
+    marks = flatten_sessions(table(spark, d, "cvr_sessions"), ("mark",))["mark"].where("is_vote").withColumn("candidate_id", F.col("candidate_id").try_cast("int"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return marks.select("session_id", "card_no", "contest_id", "mark_no", zero("candidate_id"), zero("mark_rank"), zero("ballot_style_id")).distinct()
 
 
+def _flat(spark: SparkSession, d: str, tag: str, *columns: str) -> DataFrame:
+    """One flat table on its own: only its rows are emitted, and nothing is written on the way."""
+    return only_tag(session_rows(table(spark, d, "cvr_sessions"), only=(tag,)), tag).select(*columns).distinct()
+
+
+def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of sessions, of their current state."""
+    return _flat(spark, d, "session", "session_id", "county_id", "state", "tabulator_id", "batch_id", "record_id", "counting_group", "session_type", "precinct_portion_id", "ballot_style_id")
+
+
+def p1_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of cards; its parent is the session."""
+    return _flat(spark, d, "card", "session_id", "card_no", "card_id", "paper_index", "ballot_style_id")
+
+
+def p1_contests(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of contests; their parent is the card."""
+    return _flat(spark, d, "contest", "session_id", "card_no", "contest_no", "contest_id", "undervotes", "overvotes", "ballot_style_id")
+
+
+def p1_marks(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of marks, votes or not; their parent is the contest."""
+    return _flat(spark, d, "mark", "session_id", "card_no", "contest_no", "contest_id", "mark_no", "candidate_id", "mark_rank", "is_vote", "is_ambiguous", "mark_density", "party_id", "ballot_style_id")
+
+
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Records and fields that could not be read, per reason."""
+    return _flat(spark, d, "reject", "record_key", "reason").groupBy("reason").agg(F.count("*").alias("n_records"))
+
+
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each flat table, and how many lack their parent there (none should)."""
     flat = flatten_sessions(table(spark, d, "cvr_sessions"))
@@ -91,7 +121,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "line_no", F.explode("cells").alias("field", "value")).where("value is not null")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_counts, p4_found, p5_found, p5_loaded, p7_found, p7_table)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sessions, p1_cards, p1_contests, p1_marks, p1_rejects, p1_links, p2_found, p2_counts, p4_found, p5_found, p5_loaded, p7_found, p7_table)}
 
 _STATES = """
 truths(w) as (values ('true'), ('1'), ('1.0'), ('yes'), ('y'), ('t')),
@@ -106,11 +136,11 @@ cards as (
         case when json_type(st->'Cards') = 'ARRAY' then from_json(st->'Cards', '["json"]') when json_type(st->'Contests') = 'ARRAY' then [json_object('Contests', st->'Contests')] end as list
       from states))),
 contests as (
-  select session_id, exported_at, st, card_no, unnest(list) as contest from (
+  select session_id, exported_at, st, card_no, unnest(list) as contest, generate_subscripts(list, 1) as contest_no from (
     select session_id, exported_at, st, card_no, from_json(card->'Contests', '["json"]') as list from cards where json_type(card->'Contests') = 'ARRAY')),
 marks as (
-  select session_id, exported_at, st, card_no, contest, unnest(list) as mark, generate_subscripts(list, 1) as mark_no from (
-    select session_id, exported_at, st, card_no, contest, from_json(contest->'Marks', '["json"]') as list from contests where json_type(contest->'Marks') = 'ARRAY'))
+  select session_id, exported_at, st, card_no, contest_no, contest, unnest(list) as mark, generate_subscripts(list, 1) as mark_no from (
+    select session_id, exported_at, st, card_no, contest_no, contest, from_json(contest->'Marks', '["json"]') as list from contests where json_type(contest->'Marks') = 'ARRAY'))
 """
 
 _ORPHANS = f"""
@@ -135,7 +165,29 @@ orphans as (
 _NUMBER = "case when trim({0}, ' \t') = '' or upper(trim({0}, ' \t')) = 'N/A' then null else coalesce(cast(try_cast(replace(trim({0}, ' \t'), ',', '') as decimal(38,6)) as varchar), trim({0}, ' \t')) end"
 _FORM = r"""^(?:[^",]*|=?"(?:[^"]|"")*")(?:,(?:[^",]*|=?"(?:[^"]|"")*"))*$"""
 
+_whole = lambda x, kind="int": f"coalesce(try_cast(trim({x}) as {kind}), case when trim({x}) like '%.%' and try_cast(trim({x}) as double) = floor(try_cast(trim({x}) as double)) then try_cast(try_cast(trim({x}) as double) as {kind}) end)"
+_truth = lambda x: f"case when lower(trim({x})) in (select w from truths) then true when lower(trim({x})) in ('false', '0', '0.0', 'no', 'n', 'f') then false end"
+
 ORACLE: dict[str, str] = {
+    "p1_sessions": f"""with {_STATES}
+      select distinct session_id, county_id, case when lower(trim(payload::json->'Modified'->>'IsCurrent')) in (select w from truths) then 'Modified' else 'Original' end as state,
+        {_whole("payload::json->>'TabulatorId'")} as tabulator_id, payload::json->>'BatchId' as batch_id, payload::json->>'RecordId' as record_id, {_whole("payload::json->>'CountingGroupId'")} as counting_group,
+        payload::json->>'SessionType' as session_type, {_whole("st->>'PrecinctPortionId'")} as precinct_portion_id, {_whole("st->>'BallotTypeId'")} as ballot_style_id
+      from cvr_sessions join (select distinct session_id, st from states where json_type(st) = 'OBJECT') using (session_id)""",
+    "p1_cards": f"""with {_STATES}
+      select distinct session_id, card_no::int as card_no, {_whole("card->>'Id'")} as card_id, {_whole("card->>'PaperIndex'")} as paper_index, {_whole("st->>'BallotTypeId'")} as ballot_style_id from cards where json_type(card) = 'OBJECT'""",
+    "p1_contests": f"""with {_STATES}
+      select distinct session_id, card_no::int as card_no, contest_no::int as contest_no, {_whole("contest->>'Id'")} as contest_id, {_whole("contest->>'Undervotes'")} as undervotes, {_whole("contest->>'Overvotes'")} as overvotes, {_whole("st->>'BallotTypeId'")} as ballot_style_id
+      from contests where json_type(contest) = 'OBJECT'""",
+    "p1_marks": f"""with {_STATES}
+      select distinct session_id, card_no::int as card_no, contest_no::int as contest_no, {_whole("contest->>'Id'")} as contest_id, mark_no::int as mark_no, {_whole("mark->>'CandidateId'", "bigint")} as candidate_id, {_whole("mark->>'Rank'")} as mark_rank,
+        {_truth("mark->>'IsVote'")} as is_vote, {_truth("mark->>'IsAmbiguous'")} as is_ambiguous, {_whole("mark->>'MarkDensity'")} as mark_density, {_whole("mark->>'PartyId'")} as party_id, {_whole("st->>'BallotTypeId'")} as ballot_style_id
+      from marks where json_type(mark) = 'OBJECT'""",
+    "p1_links": f"""with {_STATES}
+      select 'session' as flat_table, count(distinct session_id) as n_rows, 0::bigint as n_without_parent from states where json_type(st) = 'OBJECT'
+      union all select 'card', count(distinct (session_id, card_no)), 0 from cards where json_type(card) = 'OBJECT'
+      union all select 'contest', count(distinct (session_id, card_no, contest_no)), 0 from contests where json_type(contest) = 'OBJECT'
+      union all select 'mark', count(distinct (session_id, card_no, contest_no, mark_no)), 0 from marks where json_type(mark) = 'OBJECT'""",
     "p1_found": f"""with {_STATES}
       select distinct session_id, cast(card_no as int) as card_no, cast(trim(contest->>'Id') as int) as contest_id, cast(mark_no as int) as mark_no,
         coalesce(cast(trim(mark->>'CandidateId') as int), 0) as candidate_id, coalesce(cast(trim(mark->>'Rank') as int), 0) as mark_rank, coalesce(cast(trim(st->>'BallotTypeId') as int), 0) as ballot_style_id

@@ -54,14 +54,14 @@ def scan_county_pools(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def scan_vendor_json(spark: SparkSession, d: str) -> DataFrame:
     """Votes of the sessions: marks that are votes, by rank, each candidate once."""
-    marks = flatten_sessions(table(spark, d, "cvr_sessions"))["mark"].drop("row_key", "parent_key").distinct()
+    marks = flatten_sessions(table(spark, d, "cvr_sessions"), ("mark",))["mark"].drop("row_key", "parent_key").distinct()
     return vendor.session_votes(marks).select("session_id", "card_no", "contest_id", F.array_join(F.col("cands").cast("array<string>"), " ").alias("cands"))
 
 
 @R.add()
 def json_contest_summary(spark: SparkSession, d: str) -> DataFrame:
     """Cards, undervotes and overvotes per contest, as the scanner counted them."""
-    rows = flatten_sessions(table(spark, d, "cvr_sessions"))["contest"].drop("row_key", "parent_key", "ballot_style_id").distinct().select("session_id", "card_no", "contest_id", "undervotes", "overvotes").distinct()
+    rows = flatten_sessions(table(spark, d, "cvr_sessions"), ("contest",))["contest"].drop("row_key", "parent_key", "ballot_style_id").distinct().select("session_id", "card_no", "contest_id", "undervotes", "overvotes").distinct()
     return rows.groupBy("contest_id").agg(F.count("*").alias("ncards"), F.sum("undervotes").alias("undervotes"), F.sum("overvotes").alias("overvotes"))
 
 

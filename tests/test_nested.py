@@ -38,6 +38,9 @@ def test_rejects_and_empty(spark):
     flat = rows(spark, [None, "{bad", "[1]", {}, {"Original": None}, ""])
     assert sorted(r.reason for r in flat["reject"].collect()) == ["no JSON", "no JSON", "no object", "no state", "no state", "null"]
     assert flat["mark"].count() == 0
+    odd = rows(spark, [{"Original": {"Contests": [{"Id": 1, "Marks": [mark("x"), mark(2**40), mark(5, 2**40), mark("", "")]}]}}])
+    assert sorted((r.row_key, r.reason) for r in odd["reject"].collect()) == [("1/1/1/1", "unreadable CandidateId"), ("1/1/1/3", "unreadable Rank")]
+    assert sorted((r.mark_no, r.candidate_id, r.mark_rank) for r in odd["mark"].collect()) == [(1, None, 1), (2, 2**40, 1), (3, 5, None), (4, None, None)]
     empty = flatten_sessions(spark.createDataFrame([], SCHEMA))
     assert empty["mark"].count() == 0 and "candidate_id" in empty["mark"].columns
 

@@ -1,6 +1,8 @@
 import datetime as dt
 
-from ballotlens.operators.orphans import Reference, find_orphans, orphan_counts, session_candidates
+from ballotlens.operators import orphans
+from ballotlens.operators.nested import session_candidates
+from ballotlens.operators.orphans import Reference, find_orphans, orphan_counts
 
 T0 = dt.datetime(2031, 1, 1)
 day = lambda n, h=0: T0 + dt.timedelta(days=n, hours=h)
@@ -37,6 +39,15 @@ def test_against_brute_force_with_hot_key(spark):
         assert found == brute(rows, parent)
 
 
+def test_open_groups_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, 1 if i % 3 == 0 else i % 50, day(i % 40)) for i in range(900)]
+    parent = [(k, day(20), day(30)) for k in range(2, 40)]
+    for most in (3, 10_000):
+        monkeypatch.setattr(orphans, "BROADCAST_ROWS", most)
+        found = {(r.record_id, r.missing_key, r.orphan_kind) for r in run(spark, rows, parent, heavy_share=0.1).collect()}
+        assert found == brute(rows, parent)
+
+
 def test_bounds_of_a_spell(spark):
     rows = [(1, 5, day(1)), (2, 5, day(2)), (3, 5, day(0, 23))]
     assert {(r.record_id, r.orphan_kind) for r in run(spark, rows, [(5, day(1), day(2))]).collect()} == {(2, "deleted"), (3, "late")}
@@ -51,5 +62,6 @@ def test_empty_sides(spark):
 
 def test_session_candidates(spark):
     p = ['{"Original":{"Cards":[{"Contests":[{"Marks":[{"CandidateId":"4"},{"CandidateId":null}]},{"Marks":null}]},{"Contests":null}]},"Modified":{"IsCurrent":false,"Contests":[{"Marks":[{"CandidateId":9}]}]}}', '{"Modified":{"IsCurrent":1,"Contests":[{"Marks":[{"CandidateId":8}]}]}}', None, "{"]
+    p += ['{"Original":{"Cards":{"Contests":{"Marks":{"CandidateId":3}}}}}', '{"Original":{"Cards":[{"Contests":[{"Marks":[7, {"CandidateId":6}, null]}]}]}}']  # bare objects; items that are no object
     df = spark.createDataFrame([(i, x, T0) for i, x in enumerate(p)], "session_id bigint, payload string, exported_at timestamp_ntz")
-    assert sorted((r.record_id, r.missing_key) for r in session_candidates(df).collect() if r.missing_key is not None) == [(0, 4), (1, 8)]
+    assert sorted((r.record_id, r.missing_key) for r in session_candidates(df).collect() if r.missing_key is not None) == [(0, 4), (1, 8), (4, 3), (5, 6)]
