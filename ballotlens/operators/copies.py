@@ -22,10 +22,16 @@ MAX_GROUP = 200
 
 
 def number_text(value: Column) -> Column:
-    """A number as comparable text: thousands separators go; null, blank and N/A give null; other text stays."""
+    """A number as comparable text, exact to the last digit: thousands separators, a plus sign and zeros that say nothing
+    go; null, blank and N/A give null; text that is no plain decimal number stays."""
     text = F.btrim(value.cast("string"), F.lit(" \t"))
     plain = F.regexp_replace(text, ",", "")
-    return F.when((text == "") | (F.upper(text) == "N/A"), None).otherwise(F.coalesce(plain.try_cast("decimal(38,6)").cast("string"), text))
+    number = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    whole = F.regexp_replace(F.regexp_extract(plain, r"^[+-]?([0-9]*)", 1), "^0+", "")
+    part = F.regexp_replace(F.regexp_extract(plain, r"\.([0-9]*)$", 1), "0+$", "")
+    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    out = F.when(number, F.concat(F.when(plain.startswith("-") & (digits != "0"), "-").otherwise(""), digits)).otherwise(text)
+    return F.when((text == "") | (F.upper(text) == "N/A"), None).otherwise(out)
 
 
 def name_text(value: Column) -> Column:

@@ -100,13 +100,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Bad lines and why."""
-    return bad_lines(load_lines(table(spark, d, "raw_cvr_lines"), table(spark, d, "raw_cvr_files")))
+    return bad_lines(load_lines(table(spark, d, "raw_cvr_lines"), table(spark, d, "raw_cvr_files"), only_bad=True))
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    """The cast-vote records of all good lines."""
+    """The cast-vote records of all good lines, with their cells."""
     rows = load_lines(table(spark, d, "raw_cvr_lines"), table(spark, d, "raw_cvr_files")).where("reason is null")
-    return rows.select("line_id", "file_name", "cvr_number", "imprinted_id", "ballot_type", F.size("cells").alias("n_cells"))
+    return rows.select("line_id", "file_name", "cvr_number", "imprinted_id", "ballot_type", "precinct_portion", F.array_join("cells", "|").alias("cells")).distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -168,6 +168,13 @@ _FORM = r"""^(?:[^",]*|=?"(?:[^"]|"")*")(?:,(?:[^",]*|=?"(?:[^"]|"")*"))*$"""
 _whole = lambda x, kind="int": f"coalesce(try_cast(trim({x}) as {kind}), case when trim({x}) like '%.%' and try_cast(trim({x}) as double) = floor(try_cast(trim({x}) as double)) then try_cast(try_cast(trim({x}) as double) as {kind}) end)"
 _truth = lambda x: f"case when lower(trim({x})) in (select w from truths) then true when lower(trim({x})) in ('false', '0', '0.0', 'no', 'n', 'f') then false end"
 
+_LINES = f"""with l as (select distinct line_id, file_name, regexp_replace(line, '\\r$', '') as t, header_line as h from raw_cvr_lines join raw_cvr_files using (file_name)),
+      w as (select *, regexp_matches(t, '{_FORM}') as fit, [case when x like '="%' or x like '"%' then replace(regexp_replace(x[:-2], '^=?"', ''), '""', '"') else x end for x in regexp_extract_all(',' || t, ',(=?"(?:[^"]|"")*"|[^",]*)', 1)] as c,
+        regexp_extract_all(',' || h, ',([^,]*)', 1) as hs from l),
+      v as (select *, len(hs) = len(c) as same, trim(c[list_position(hs, 'CvrNumber')], ' \t') as nr, trim(c[list_position(hs, 'ImprintedId')], ' \t') as im, trim(c[list_position(hs, 'BallotType')], ' \t') as bt, trim(c[list_position(hs, 'PrecinctPortion')], ' \t') as pp,
+        trim(c[list_position(hs, 'TabulatorNum')], ' \t') || '-' || trim(c[list_position(hs, 'BatchId')], ' \t') || '-' || trim(c[list_position(hs, 'RecordId')], ' \t') as parts from w),
+      b as (select *, not fit or not same or not regexp_matches(nr, '^0*[1-9][0-9]*$') or im <> parts or bt = '' as bad from v)"""
+
 ORACLE: dict[str, str] = {
     "p1_sessions": f"""with {_STATES}
       select distinct session_id, county_id, case when lower(trim(payload::json->'Modified'->>'IsCurrent')) in (select w from truths) then 'Modified' else 'Original' end as state,
@@ -204,12 +211,6 @@ ORACLE: dict[str, str] = {
       union select county_id, contest_id, choice_no, 'total_votes' from p where ov is distinct from cv
       union select county_id, contest_id, choice_no, 'total_undervotes' from p where ou is distinct from cu
       union select county_id, contest_id, choice_no, 'choice_name' from p where ona is distinct from cn""",
-    "p5_found": f"""with l as (select line_id, regexp_replace(line, '\\r$', '') as t, header_line as h from raw_cvr_lines join raw_cvr_files using (file_name)),
-      w as (select *, regexp_matches(t, '{_FORM}') as fit, [case when x like '="%' or x like '"%' then replace(regexp_replace(x[:-2], '^=?"', ''), '""', '"') else x end for x in regexp_extract_all(',' || t, ',(=?"(?:[^"]|"")*"|[^",]*)', 1)] as c,
-        regexp_extract_all(',' || h, ',([^,]*)', 1) as hs from l),
-      r as (select *, list_zip(hs, c) as z, len(hs) = len(c) as same from w),
-      v as (select line_id, fit, same, trim(c[list_position(hs, 'CvrNumber')], ' \t') as nr, trim(c[list_position(hs, 'ImprintedId')], ' \t') as im, trim(c[list_position(hs, 'BallotType')], ' \t') as bt,
-        trim(c[list_position(hs, 'TabulatorNum')], ' \t') || '-' || trim(c[list_position(hs, 'BatchId')], ' \t') || '-' || trim(c[list_position(hs, 'RecordId')], ' \t') as parts from r)
-      select distinct line_id, case when not fit then 'quoting' when not same then 'columns' else 'value' end as reason from v
-      where not fit or not same or not regexp_matches(nr, '^0*[1-9][0-9]*$') or im <> parts or bt = ''""",
+    "p5_found": f"{_LINES} select distinct line_id, case when not fit then 'quoting' when not same then 'columns' else 'value' end as reason from b where bad",
+    "p5_loaded": f"{_LINES} select distinct line_id, file_name, nr::bigint as cvr_number, im as imprinted_id, bt as ballot_type, pp as precinct_portion, array_to_string(c, '|') as cells from b where not bad",
 }

@@ -34,6 +34,16 @@ def test_bulk_equals_strict(spark):
     assert {r.cells[5] for r in good if r.line_id < 154 and CASES[r.line_id % len(CASES)][0].startswith('="1"')} == {"p, q"}
 
 
+def test_long_numbers_and_only_bad(spark):
+    given = ["9223372036854775807", "9223372036854775808", "1" * 40, "0" * 30 + "5"]
+    lines = [(i, "f", i, f"{n},2,3,4,2-3-4,p,T,0") for i, n in enumerate(given)] + [(9, "f", 9, "x")]
+    df = spark.createDataFrame(lines, "line_id bigint, file_name string, line_no int, line string")
+    files = spark.createDataFrame([("f", HEADER)], "file_name string, header_line string")
+    got = {r.line_id: r for r in load_lines(df, files).collect()}
+    assert [got[i].cvr_number for i in range(4)] == [2**63 - 1, None, None, 5] and [got[i].cvr_text for i in range(4)] == given and got[9].reason == "columns"
+    assert [(r.line_id, r.reason) for r in load_lines(df, files, only_bad=True).collect()] == [(9, "columns")]
+
+
 def test_empty(spark):
     lines = spark.createDataFrame([], "line_id bigint, file_name string, line_no int, line string")
     files = spark.createDataFrame([], "file_name string, header_line string")
