@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ballotlens.llm.words import gram_hashes, pieces, word_hashes
 
 WINDOW, BUDGET = 13, 2
-#: Characters of passages in one block of test items (about 30 bytes of index for each 6).
-BLOCK_CHARS = 4_000_000
+#: Characters of passages in one block of test items (about 30 bytes of index for each 6), held against all texts at once.
+BLOCK_CHARS = 16_000_000
+#: Pairs of a place in the texts and a place in a passage that are looked at together.
+PAIRS = 1_000_000
 
 
 def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -74,14 +76,19 @@ class Index:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of grams that equal a piece, once for each place of the piece; then passage and place."""
+    def hits(self, grams: np.ndarray, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions of grams that equal a piece, once for each place of the piece; then passage and place. In slices of at
+        most so many pairs (or one position with all its places), so that a common piece takes no more memory than a rare one."""
         maybe = np.flatnonzero(self.sieve[(grams >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.keys, grams[maybe], "left"), np.searchsorted(self.keys, grams[maybe], "right")
-        n = hi - lo
-        at = np.repeat(maybe, n)
-        ref = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return at, self.who[ref], self.place[ref]
+        maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        upto, begin = np.cumsum(n), 0
+        while begin < len(maybe):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + pairs, "right")))
+            k = n[begin:end]
+            ref = np.repeat(lo[begin:end], k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+            yield np.repeat(maybe[begin:end], k), self.who[ref], self.place[ref]
+            begin = end
 
     def verify(self, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], doc: np.ndarray, at: np.ndarray, who: np.ndarray, place: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """For each text and passage with a window within the budget: the least distance of a window, and a
@@ -164,27 +171,32 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
             for begin, end_ in pieces(texts):
                 part = texts[begin:end_]
                 hashes, start, end, first, joined = word_hashes(part)
-                at, who, place = index.hits(gram_hashes(hashes, index.piece))
-                doc = np.searchsorted(first, at, "right") - 1
-                inside = at + index.piece <= first[doc + 1]
-                doc, at, who, place = doc[inside], at[inside], who[inside].astype(np.int64), place[inside].astype(np.int64)
-                good = index.verify(hashes, (first[doc], first[doc + 1]), doc, at, who, place)
-                exact = {key for key, (best, _, _) in good.items() if best == 0}
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                if exact:
-                    code = who * len(part) + doc
-                    near = np.isin(code, np.array([n * len(part) + d for d, n in exact]))
-                    for d, n, i, j in zip(doc[near].tolist(), who[near].tolist(), at[near].tolist(), place[near].tolist()):
-                        hits[d, n].append((i - int(first[d]), j))
+                found: dict[tuple[int, int], list] = {}
                 words: dict[int, list[str]] = {}
-                for (d, n), (best, _, _) in good.items():
-                    longest = None
-                    if best == 0:
-                        if d not in words:
-                            a, b = first[d], first[d + 1]
-                            words[d] = [joined[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
-                        longest = index.run(n, words[d], hits[d, n])
-                    out += [(ids[begin + d], item, best, longest) for item in index.items[n]]
+                for at, who, place in index.hits(gram_hashes(hashes, index.piece)):
+                    doc = np.searchsorted(first, at, "right") - 1
+                    inside = at + index.piece <= first[doc + 1]
+                    doc, at, who, place = doc[inside], at[inside], who[inside].astype(np.int64), place[inside].astype(np.int64)
+                    good = index.verify(hashes, (first[doc], first[doc + 1]), doc, at, who, place)
+                    exact = {key for key, (best, _, _) in good.items() if best == 0}
+                    hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                    if exact:
+                        code = who * len(part) + doc
+                        near = np.isin(code, np.array([n * len(part) + d for d, n in exact]))
+                        for d, n, i, j in zip(doc[near].tolist(), who[near].tolist(), at[near].tolist(), place[near].tolist()):
+                            hits[d, n].append((i - int(first[d]), j))
+                    for (d, n), (best, _, _) in good.items():
+                        longest = None
+                        if best == 0:
+                            if d not in words:
+                                a, b = first[d], first[d + 1]
+                                words[d] = [joined[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
+                            longest = index.run(n, words[d], hits[d, n])
+                        # a slice of the hits may hold a part of what a pair has
+                        had = found.setdefault((d, n), [best, longest])
+                        had[0] = min(had[0], best)
+                        had[1] = longest if had[1] is None else max(had[1], longest or 0)
+                out += [(ids[begin + d], item, best, longest) for (d, n), (best, longest) in found.items() for item in index.items[n]]
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "distance", "run"])
 

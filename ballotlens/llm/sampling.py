@@ -20,8 +20,9 @@ def golden_sample(records: DataFrame, sequence: str, rate: float, shift: int) ->
     """Records whose golden-ratio point lies in the fixed interval [0, rate).
 
     A record's point depends on its own persistent sequence number only, so the sample is the same in
-    every run and partitioning and only grows; any run of n sequence numbers has rate * n records of it,
-    give or take about log n. Null numbers are never selected; equal numbers are selected together.
+    every run and partitioning and only grows; any run of n consecutive sequence numbers has rate * n records of it,
+    give or take about log n. Where numbers have gaps, that holds for the numbers, not for the records: with gaps at random
+    the records' share is still near the rate, but gaps of a fixed stride may make it coarser. Null numbers are never selected; equal numbers are selected together.
     """
     return records.where(golden_point(F.col(sequence), shift) < F.lit(int(rate * MODULUS)))
 
@@ -40,8 +41,8 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
     A round with stored sample_prns takes the county's cards with those numbers. Every other round takes
     all of the round before, then cards with a number and with added_at not after drawn_at, by smallest
     number (ties: card_key) until it has ``wanted`` or none is left. Copies of a card count once, with its
-    smallest number and earliest added_at; cards without a number are never drawn; a round that is sent
-    twice counts once. A null added_at is never in time; a null wanted draws nothing new.
+    smallest number and earliest added_at; cards without a number are never drawn; of a round that is sent
+    twice one whole copy counts (one with a stored sample, then the last drawn_at, then the larger wanted). A null added_at is never in time; a null wanted draws nothing new.
 
     Each round ranks at most the largest ``wanted`` cards of a county in each task before they meet, so
     that a county with a third of all cards is no bottleneck.
@@ -49,8 +50,8 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
     number = prn_number(F.col("prn"))
     cards = cards.select(group, "card_key", number.alias("number"), "added_at").where("number is not null").groupBy(group, "card_key").agg(F.min("number").alias("number"), F.min("added_at").alias("added_at"))
     cards = written(cards, "cards")
-    plan = rounds.select(group, "round_idx", "drawn_at", "wanted", "sample_prns").groupBy(group, "round_idx").agg(F.max("drawn_at").alias("drawn_at"), F.max("wanted").alias("wanted"), F.max("sample_prns").alias("sample_prns"))
-    plan = written(plan, "rounds")
+    copy = F.struct(F.col("sample_prns").isNotNull().alias("stored"), "drawn_at", "wanted", "sample_prns")
+    plan = written(rounds.groupBy(group, "round_idx").agg(F.max(copy).alias("r")).select(group, "round_idx", "r.drawn_at", "r.wanted", "r.sample_prns"), "rounds")
     levels = [r.round_idx for r in plan.select("round_idx").distinct().orderBy("round_idx").collect()]  # a handful of rounds
     out = held = None
     for level in levels:

@@ -77,3 +77,16 @@ def test_words_do_not_join_texts(spark):
     p = " ".join(f"word{i}" for i in range(13))
     halves = [(1, " ".join(p.split()[:6])), (2, " ".join(p.split()[6:]))]
     assert run(spark, halves, [(1, p)]).count() == 0
+
+
+def test_hits_in_slices_lose_nothing():
+    from ballotlens.llm.leaks import Index
+    from ballotlens.llm.words import gram_hashes, word_hashes
+
+    same = " ".join(["again"] * 60)
+    index = Index({same: [1], "one two three four five six seven eight nine ten eleven twelve thirteen": [2]}, 13, 2)
+    grams = gram_hashes(word_hashes([same + " one two three four " + same])[0], index.piece)
+    whole = [np.concatenate(x) for x in zip(*index.hits(grams, 10**9))]
+    sliced = list(index.hits(grams, 100))
+    assert len(sliced) > 10 and max(len(a) for a, _, _ in sliced) <= 100
+    assert all(np.array_equal(w, np.concatenate(x)) for w, x in zip(whole, zip(*sliced)))

@@ -62,3 +62,19 @@ def test_golden_is_even_and_grows(spark):
         assert abs(sum(begin <= i < begin + 1_000 for i in big) - 50) <= 4
     assert golden_sample(spark.createDataFrame([(None,)], "id bigint"), "id", 0.5, 1).count() == 0
     assert df.select(golden_point(F.col("id"), 5).alias("p")).where("p < 0 or p >= 2147483648").count() == 0
+
+
+def test_golden_with_gaps(spark):
+    import random
+
+    rng = random.Random(2)
+    kept = [i for i in range(40_000) if rng.random() < 0.3]
+    df = spark.createDataFrame([(i,) for i in kept], "id bigint")
+    n = golden_sample(df, "id", 0.05, 77).count()
+    assert abs(n - 0.05 * len(kept)) < 0.1 * 0.05 * len(kept)
+
+
+def test_one_whole_copy_of_a_round(spark):
+    cards = [(1, k, hex(k), day(0)) for k in range(1, 9)]
+    # the copy with the stored sample counts, not its fields mixed with the other's
+    assert run(spark, cards, [(1, 1, day(1), 1, ["3"]), (1, 1, day(2), 5, None)]) == {(1, 1, 3)}
