@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,11 @@ class Node:
     profile: dict | None = None
     children: list[Node] = field(default_factory=list)
     place: float = 0.0  # among its siblings, 0 to 1
+    pos: int | None = None  # its column, if it is a leaf
+    heading: str = ""  # its whole heading, with those of the nodes above it
+
+    def leaves(self) -> list[Node]:
+        return [self] if not self.children else [x for c in self.children for x in c.leaves()]
 
 
 def kind_of(profile: dict | None) -> str | None:
@@ -91,7 +96,7 @@ def profile_likeness(p: dict | None, q: dict | None) -> float:
     a, b = kind_of(p), kind_of(q)
     if a is None or b is None:
         return 0.5
-    same = lambda k: float(np.mean(np.array(p[k]) == np.array(q[k])))
+    same = lambda k: float((np.asarray(p[k]) == np.asarray(q[k])).mean())
     values, patterns = same("values"), same("patterns")
     if a != b:
         return 0.15 + 0.35 * values
@@ -223,7 +228,9 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
 
 
-def _tree(header: str | None, profiles: list | None) -> Node:
+def _tree(header: str | None, profiles: list | None, nested: str | None = None) -> Node:
+    """The schema tree of a header. nested: what separates the levels of a heading, as in contest:choice; None: all columns
+    lie under the root."""
     names = lenient_cells(strip_end(header)) if header is not None else []
     by = {p["pos"]: p for p in (profiles if profiles is not None else [])}
     root = Node("")
@@ -233,18 +240,50 @@ def _tree(header: str | None, profiles: list | None) -> Node:
             p = {k: p[k] for k in p} if isinstance(p, dict) else p.asDict()
             p["mean"], p["length"] = (p["total"] or 0.0) / max(1, p["n_whole"] + p["n_decimal"]), p["length"] / max(1, p["n"])
             p["run"] = None if p["run_low"] is None or p["n"] < 3 else p["run_low"] == p["run_high"]
-            p["values"], p["patterns"] = [p[f"v{i}"] for i in range(REGISTERS)], [p[f"p{i}"] for i in range(REGISTERS)]
-        root.children.append(Node(name, p, place=pos / max(1, len(names) - 1)))
+            p["values"], p["patterns"] = np.array([p[f"v{i}"] for i in range(REGISTERS)]), np.array([p[f"p{i}"] for i in range(REGISTERS)])
+        above = root
+        *path, last = name.split(nested) if nested else [name]
+        for part in path:
+            known = next((c for c in above.children if c.pos is None and c.name == part), None)
+            if known is None:
+                known = Node(part, heading=(above.heading + nested if above.heading else "") + part)
+                above.children.append(known)
+            above = known
+        above.children.append(Node(last, p, pos=pos, heading=name))
+    _place(root)
     return root
 
 
+def _place(node: Node) -> None:
+    for i, c in enumerate(node.children):
+        c.place = i / max(1, len(node.children) - 1)
+        _place(c)
+
+
+def leaf_steps(script: list[tuple[str, Node | None, Node | None]]) -> list[tuple[str, Node | None, Node | None]]:
+    """A script's steps for columns only: a node with children that is added or removed is all of its columns; a column that
+    is kept under a renamed node is renamed; a node that moves takes its columns along, the same under the same name."""
+    out: list[tuple[str, Node | None, Node | None]] = []
+    for step, x, y in script:
+        if step == "remove":
+            out += [(step, c, None) for c in x.leaves() if c.pos is not None]
+        elif step == "add":
+            out += [(step, None, c) for c in y.leaves() if c.pos is not None]
+        elif step == "move" and (x.children or y.children):
+            out += [("move" if s == "keep" else s, a, b) for s, a, b in leaf_steps(edit_script(x, y)[1])]
+        elif x.pos is not None and y.pos is not None:
+            same = x.heading.strip(BLANKS) == y.heading.strip(BLANKS)
+            out.append(("rename" if step == "keep" and not same else step, x, y))
+    return out
+
+
 SCRIPT = "file_id bigint, previous_id bigint, step string, pos int, heading string, previous_pos int, previous_heading string, kind string, previous_kind string"
 
 
-def change_scripts(files: DataFrame, lines: DataFrame, group: str = "county_id", order: str = "exported_at") -> DataFrame:
+def change_scripts(files: DataFrame, lines: DataFrame, group: str = "county_id", order: str = "exported_at", nested: str | None = None) -> DataFrame:
     """Script steps from each file's predecessor in its group (by order, then file_id) to it.
 
-    A group's first file has a step "first" for each column. Files sent twice count once. Only the slim
+    nested: what separates the levels of a heading (None: flat). A group's first file has a step "first" for each column. Files sent twice count once. Only the slim
     list of files is sorted within a group; each pair of files is then solved on its own.
     """
     slim = files.groupBy("file_id").agg(F.min(group).alias("g"), F.min(order).alias("t"), F.min("header_line").alias("header_line"))
@@ -259,12 +298,10 @@ def change_scripts(files: DataFrame, lines: DataFrame, group: str = "county_id",
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                new, old = _tree(r["header_line"], r["profiles"]), _tree(r["previous_line"], r["previous_profiles"])
-                at, was = {id(x): i for i, x in enumerate(new.children)}, {id(x): i for i, x in enumerate(old.children)}
-                first = r["previous_id"] is None
-                steps = [("first", None, x) for x in new.children] if first else edit_script(old, new)[1]
+                new, old = _tree(r["header_line"], r["profiles"], nested), _tree(r["previous_line"], r["previous_profiles"], nested)
+                steps = [("first", None, x) for x in new.leaves() if x.pos is not None] if r["previous_id"] is None else leaf_steps(edit_script(old, new)[1])
                 for step, x, y in steps:
-                    rows.append({"file_id": r["file_id"], "previous_id": r["previous_id"], "step": step, "pos": at.get(id(y)), "heading": y and y.name.strip(BLANKS), "previous_pos": was.get(id(x)), "previous_heading": x and x.name.strip(BLANKS), "kind": y and kind_of(y.profile), "previous_kind": x and kind_of(x.profile)})
+                    rows.append({"file_id": r["file_id"], "previous_id": r["previous_id"], "step": step, "pos": y and y.pos, "heading": y and y.heading.strip(BLANKS), "previous_pos": x and x.pos, "previous_heading": x and x.heading.strip(BLANKS), "kind": y and kind_of(y.profile), "previous_kind": x and kind_of(x.profile)})
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
 
     return both.mapInArrow(run, schema)
@@ -297,6 +334,20 @@ def compile_projections(scripts: DataFrame) -> DataFrame:
     return node.join(best, "root", "left").select("file_id", "pos", F.coalesce("field", "root").alias("field")).select("file_id", "pos", F.when(twin == 1, F.col("field")).otherwise(F.concat("field", F.lit("#"), twin)).alias("field"))
 
 
+def field_kinds(scripts: DataFrame, projections: DataFrame) -> DataFrame:
+    """field and kind of the common table: the kind that its columns have in all files; whole and decimal numbers together
+    are decimal, other mixtures text. A field without any cell has the kind text."""
+    kinds = scripts.where("pos is not null and kind is not null").join(projections, ["file_id", "pos"]).groupBy("field").agg(F.array_sort(F.collect_set("kind")).alias("k"))  # at most as many as there are kinds
+    one = F.when(F.size("k") == 1, F.col("k")[0]).when(F.array_join("k", ",") == "decimal,whole", "decimal").otherwise("text")
+    return projections.select("field").distinct().join(kinds, "field", "left").select("field", F.coalesce(one, F.lit("text")).alias("kind"))
+
+
+def typed(value: Column, kind: Column) -> Column:
+    """A cell's text as its kind is written in the common table: numbers without a plus sign or leading zeros, true and false small."""
+    number = F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast("decimal(38,0)").cast("string")).otherwise(value.try_cast("double").cast("string"))
+    return F.when(kind == "whole", F.coalesce(number, value)).when(kind == "decimal", F.coalesce(value.try_cast("double").cast("string"), value)).when(kind == "boolean", F.lower(value)).otherwise(value)
+
+
 def one_table(lines: DataFrame, projections: DataFrame) -> DataFrame:
     """file_id, line_no and cells (a map from field to text) of every line, once.
 

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ballotlens.operators.badrows import bad_lines, load_lines
 from ballotlens.operators.copies import diff_copies, field_differences, name_text, number_text
-from ballotlens.operators.drift import change_scripts, compile_projections, one_table, schema_changes
+from ballotlens.operators.drift import change_scripts, compile_projections, field_kinds, one_table, schema_changes, typed
 from ballotlens.operators.nested import flatten_sessions, only_tag, session_candidates, session_rows
 from ballotlens.operators.orphans import Reference, find_orphans, orphan_counts
+from ballotlens.scratch import written
 from ballotlens.tables import table
 
+#: Names and kinds of fields are broadcast only if they were counted and are no more.
+MAX_FIELDS = 100_000
 SUMMARY_KEY = ["county_id", "contest_id", "choice_no"]
 
 
@@ -115,10 +118,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    """All lines in one table: file_id, line_no, field and value of each non-empty cell."""
-    scripts = change_scripts(table(spark, d, "export_files"), table(spark, d, "export_lines"))
-    rows = one_table(table(spark, d, "export_lines"), compile_projections(scripts))
-    return rows.select("file_id", "line_no", F.explode("cells").alias("field", "value")).where("value is not null")
+    """All lines in one table: file_id, line_no, and field, kind and value of each non-empty cell, the value written as the
+    field's one kind over all files demands."""
+    scripts = written(change_scripts(table(spark, d, "export_files"), table(spark, d, "export_lines")), "scripts")
+    names = written(compile_projections(scripts), "projections")
+    rows = one_table(table(spark, d, "export_lines"), names)
+    cells = rows.select("file_id", "line_no", F.explode("cells").alias("field", "value")).where("value is not null")
+    kinds = F.broadcast(field_kinds(scripts, names).limit(MAX_FIELDS + 1)) if names.select("field").distinct().limit(MAX_FIELDS + 1).count() <= MAX_FIELDS else field_kinds(scripts, names)
+    kind = F.coalesce("kind", F.lit("text"))
+    return cells.join(kinds, "field", "left").select("file_id", "line_no", "field", kind.alias("kind"), typed(F.col("value"), kind).alias("value"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sessions, p1_cards, p1_contests, p1_marks, p1_rejects, p1_links, p2_found, p2_counts, p4_found, p5_found, p5_loaded, p7_found, p7_table)}

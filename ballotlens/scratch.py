@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,9 +33,17 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _local[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/ballotlens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{scratch_root(spark)}/ballotlens/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, below a folder of this application."""
+    folder = _folder(spark)
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(drop_all, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -49,8 +58,15 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Deletes one intermediate table."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_all(spark: SparkSession, folder: str | None = None) -> None:
+    """Deletes all intermediate tables of this application; results that were not yet collected or written are lost with them.
+
+    Called when the driver ends. A long-running application may call it between queries, once a query's result is stored.
+    """
+    try:
+        folder = folder or _folder(spark)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # at the end of the driver the JVM may be gone already
+        if folder and folder.startswith("file:"):
+            shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)

@@ -1,6 +1,8 @@
 import datetime as dt
 
-from ballotlens.operators.drift import Node, change_scripts, compile_projections, edit_script, name_likeness, one_table, schema_changes
+from pyspark.sql import functions as F
+
+from ballotlens.operators.drift import Node, change_scripts, compile_projections, edit_script, field_kinds, name_likeness, one_table, schema_changes, typed
 
 FILES = "file_id bigint, county_id int, exported_at timestamp_ntz, header_line string, heading string"
 LINES = "file_id bigint, line_no int, line string, cells string"
@@ -57,5 +59,28 @@ def test_nested_trees_and_moves():
     assert ("rename", "TabulatorId") in kinds and ("move", "note") in kinds and ("keep", "BatchId") in kinds and 0 < cost < 4
 
 
+def test_nested_headings_in_files(spark):
+    cells = numbered(12, lambda i: f"{i},{i % 2},{(i + 1) % 2},Type {i}")
+    wider = numbered(12, lambda i: f"{i},{i % 2},{(i + 1) % 2},{i % 2},Type {i}")
+    files = [(1, 1, 0, "Id,Mayor:Ann,Mayor:Bob,Type", cells), (2, 1, 1, "Id,Mayor:Ann,Mayor:Bob,Clerk:Cy,Type", wider), (3, 1, 2, "Id,Mayoral:Ann,Mayoral:Bob,Type", cells), (4, 1, 3, "Id,Ann,Mayoral:Bob,Type", cells)]
+    f, lines = tables(spark, files)
+    scripts = change_scripts(f, lines, nested=":")
+    assert {(r.file_id, r.change_kind, r.heading) for r in schema_changes(scripts).collect()} == {(2, "added", "Clerk:Cy"), (3, "removed", "Clerk:Cy"), (3, "renamed", "Mayoral:Ann"), (3, "renamed", "Mayoral:Bob")}
+    assert {(r.file_id, r.heading, r.previous_heading) for r in scripts.where("step = 'move'").collect()} == {(4, "Ann", "Mayoral:Ann")}
+    fields = {(r.file_id, r.pos): r.field for r in compile_projections(scripts).collect()}
+    assert fields[4, 1] == fields[3, 1] == fields[1, 1] and fields[4, 2] == fields[1, 2]
+
+
+def test_one_kind_a_field(spark):
+    files = [(1, 1, 0, "A,B,C,D", ["007,1,TRUE,x"]), (2, 1, 1, "A,B,C,D", ["+8,2.50,false,"]), (3, 1, 2, "A,B,C,D", ["9,x,,"])]
+    f, lines = tables(spark, files)
+    scripts = change_scripts(f, lines)
+    names = compile_projections(scripts)
+    kinds = {r.field: r.kind for r in field_kinds(scripts, names).collect()}
+    assert kinds == {"A": "whole", "B": "text", "C": "boolean", "D": "text"}
+    df = spark.createDataFrame([("007", "whole"), ("+8", "whole"), ("3", "decimal"), ("2.50", "decimal"), ("TRUE", "boolean"), ("x", "whole"), (None, "text")], "v string, k string")
+    assert [r.o for r in df.select(typed(F.col("v"), F.col("k")).alias("o")).collect()] == ["7", "8", "3.0", "2.5", "true", "x", None]
+
+
 def test_names():
     assert name_likeness("ScanTime", "SCAN_TIME") == 1 and name_likeness("DeviceModel", "MODEL_NM") > 0.4 and name_likeness("Party", "BatchId") == 0

@@ -32,3 +32,8 @@ def test_scratch(spark):
     scratch = importlib.import_module("ballotlens.scratch")
     df = scratch.written(spark.createDataFrame([], "a int, b string"), "none")
     assert df.count() == 0 and df.columns == ["a", "b"]
+    path = scratch.new_path(spark, "x")
+    assert spark.sparkContext.applicationId in path
+    spark.range(3).write.parquet(path)
+    scratch.drop_all(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
