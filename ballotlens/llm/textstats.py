@@ -82,8 +82,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     line_doc = np.searchsorted(doc_end, begin, "left")
 
     def per_line(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return total[end] - total[begin]
+        return np.add.reduceat(mask.view(np.uint8), begin, dtype=np.int32) - mask[end]  # a line feed belongs to no line
 
     space = cls == SPACE
     visible_at = np.flatnonzero(~space & (cls != NEWLINE))
@@ -102,17 +101,18 @@ def statistics(texts: list[str]) -> np.ndarray:
     inside = codes <= 0xFFFF
     lower[inside] = low[codes[inside]]
     h = _hashes(lower, w_start, w_end)
-    w_doc, w_line, w_size = np.searchsorted(doc_end, w_start, "left"), np.searchsorted(begin, w_start, "right") - 1, w_end - w_start
+    w_first = np.append(np.searchsorted(w_start, begin), len(w_start))
+    line_words, w_size = np.diff(w_first), w_end - w_start
+    w_line = np.repeat(np.arange(len(begin)), line_words)
+    w_doc = line_doc[w_line]
     is_common = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
     repeats = np.zeros(len(h), bool)
     for lag in range(1, 7):
         repeats[lag:] |= (h[lag:] == h[:-lag]) & (w_doc[lag:] == w_doc[:-lag])
     digit_sum = np.concatenate(([0], np.cumsum(cls == DIGIT)))
     w_digits = digit_sum[w_end] - digit_sum[w_start]
-    order = np.lexsort((h, w_doc))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (w_doc[order][1:] != w_doc[order][:-1])
-    line_words, line_common = np.bincount(w_line, minlength=len(begin)), np.bincount(w_line, is_common, len(begin))
+    once = np.unique(h + w_doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)[1]  # a place of each word of each text
+    line_common = np.bincount(w_line, is_common, len(begin))
 
     # markers at the line's beginning
     c0, c2 = at(first), at(first + 2)
@@ -140,7 +140,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     others, digits = per_line(cls == OTHER), per_line(cls == DIGIT)
     return np.column_stack((
         size, n_words, add(np.ones(len(begin))) * (size > 0), of_words(w_size) / n, add(others) / v, add(digits) / v, add(ends) / np.maximum(lines, 1), of_words(is_common) / n, shown / np.maximum(lines, 1), of_words(repeats) / n,
-        of_words(w_size.astype(float) ** 2) / n, of_words(w_digits == w_size) / n, of_words((w_digits > 0) & (w_digits < w_size)) / n, np.bincount(w_doc[order], new, docs) / n,
+        of_words(w_size.astype(float) ** 2) / n, of_words(w_digits == w_size) / n, of_words((w_digits > 0) & (w_digits < w_size)) / n, np.bincount(w_doc[once], minlength=docs) / n,
         part(ends), part(marked), part(runs), part(line_common == 0), add(visible * length.astype(float)) / v, add(visible * line_words.astype(float)) / v, add(cuts) / v, add(per_line(space)) / np.maximum(add(length), 1),
     ))
 
@@ -233,12 +233,10 @@ class Mixture:
 
     def densities(self, x: np.ndarray) -> np.ndarray:
         """log(share * density) of each point under each component."""
-        out = np.empty((len(x), len(self.means)))
-        for k, (m, c) in enumerate(zip(self.means, self.covs)):
-            root = np.linalg.cholesky(c)
-            z = np.linalg.solve(root, (x - m).T)
-            out[:, k] = np.log(self.shares[k] + 1e-300) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(root)).sum()
-        return out
+        k, d = self.means.shape
+        roots = np.linalg.inv(np.linalg.cholesky(self.covs))  # lower triangles
+        z = (x @ roots.reshape(k * d, d).T).reshape(len(x), k, d) - np.einsum("kij,kj->ki", roots, self.means)
+        return np.log(self.shares + 1e-300) + np.log(np.einsum("kii->ki", roots)).sum(axis=1) - 0.5 * np.einsum("nki,nki->nk", z, z)
 
     def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         d = self.densities(x)
@@ -250,7 +248,11 @@ class Mixture:
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Sufficient statistics of an expectation step: per component weight, sums and products; then the log likelihood."""
         r, fit = self.responsibilities(x)
-        return np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), np.concatenate([((x * r[:, [k]]).T @ x).ravel() for k in range(r.shape[1])]), [fit]])
+        d = x.shape[1]
+        i, j = np.triu_indices(d)
+        products = np.zeros((r.shape[1], d, d))
+        products[:, i, j] = products[:, j, i] = r.T @ (x[:, i] * x[:, j])
+        return np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), products.ravel(), [fit]])
 
     def step(self, sums: np.ndarray, floor: float) -> tuple[Mixture, float]:
         k, d = self.means.shape
