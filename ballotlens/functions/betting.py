@@ -55,23 +55,27 @@ def samples_with_errors(alpha: float, bet: Column, noerr: Column, p0: Column, te
 def sample_size(noerr: float, n: int, alpha: float, max_loss: float = 0.9) -> int:
     """The first sample at which an error-free comparison audit reaches the risk limit; 0 if it never does.
 
-    The bet is max_loss / mu, with the null mean after the sample at hand has been counted.
+    The bet is max_loss / mu, with the null mean after the sample at hand has been counted. Samples are taken in growing
+    chunks, so that memory and time follow the answer, not n.
     """
-    total, log_t = 0.0, 0.0
-    goal = -math.log(alpha)
-    for j in range(1, n + 1):
-        total += noerr
-        mu = (n * 0.5 - total) / (n - j) if j < n else 0.0
-        if mu <= 0:
-            return j
-        log_t += math.log1p(max_loss / mu * (noerr - mu))
-        if log_t >= goal:
-            return j
+    goal, log_t, first, chunk = -math.log(alpha), 0.0, 1, 256
+    while first <= n:
+        j = np.arange(first, min(n, first + chunk - 1) + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mu = np.where(j < n, (n * 0.5 - noerr * j) / (n - j), 0.0)
+            logs = log_t + np.cumsum(np.log1p(np.where(mu > 0, max_loss / mu * (noerr - mu), 0.0)))
+        hit = np.flatnonzero((mu <= 0) | (logs >= goal))
+        if len(hit):
+            return int(j[hit[0]])
+        log_t, first, chunk = float(logs[-1]), int(j[-1]) + 1, min(2 * chunk, 1 << 20)
     return 0
 
 
 def best_bet(values: np.ndarray, rates: np.ndarray, noerr: float, mu: float, max_loss: float) -> float:
-    """The bet in [0, max_loss / mu] with the largest expected log gain; the function is concave, so its slope is bisected."""
+    """The bet in [0, max_loss / mu] with the largest expected log gain; the function is concave, so its slope is bisected.
+
+    values and their rates: errors and, in a pooled audit, the values of pooled cards; the rest of the cards has none.
+    """
     top = max_loss / mu
     v = np.append(values, noerr) - mu
     p = np.append(rates, max(0.0, 1.0 - rates.sum()))
@@ -90,34 +94,81 @@ def best_bet(values: np.ndarray, rates: np.ndarray, noerr: float, mu: float, max
     return (low + high) / 2
 
 
-def adaptive_fold(x: np.ndarray, n: int, noerr: float, upper: float, alpha: float, max_loss: float = 0.9, reuse: int = 10) -> tuple[int, float, str]:
-    """Samples used, the last p-value and the status of an adaptive comparison audit over x in sample order.
+class AdaptiveBet:
+    """An adaptive comparison audit of one assertion, fed with runs of samples in order.
 
-    The bet uses the rates of errors measured so far; a bet is used again for at most ``reuse`` samples
-    while the counts of errors stay the same and more than ten samples have been seen.
+    The bet is the best one for the rates of errors measured so far; in a pooled audit, with the values of pooled cards and
+    their rates (pooled) beside them, and pooled cards' own values count as no errors. It is used again for at most
+    ``reuse`` samples while the counts of errors stay the same and more than ten samples have been seen. Without errors
+    and pools it is max_loss / mu. A state may be carried into a later round (``resume``).
     """
-    counts: dict[float, int] = {}
-    total, t, p, last, used = 0.0, 1.0, 1.0, None, 0
-    for j, value in enumerate(x):
-        mu = (n * 0.5 - total) / (n - j)
-        if mu > upper:
-            return j, p, "accept_null"
-        if mu < 0:
-            return j, 0.0, "sum_rejects_null"
-        if mu < 1e-12:
-            return j, 0.0, "sum_rejects_null"
-        key = tuple(sorted(counts.items()))
-        if last is not None and last[0] == key and used < reuse and j > 10:
-            lam, used = min(last[1], max_loss / mu), used + 1
-        else:
-            lam = max_loss / mu if not counts else best_bet(np.array(list(counts)), np.array([c / j for c in counts.values()]), noerr, mu, max_loss)
-            last, used = (key, lam), 0
-        t *= max(0.0, 1 + lam * (value - mu))
-        p = 1.0 if t <= 0 else min(1.0, 1 / t)
-        if p < alpha:
-            return j + 1, p, "rejects_null"
-        total += value
-        if abs(value - noerr) > 1e-8 + 1e-5 * noerr:
-            name = round(float(value), 12)
-            counts[name] = counts.get(name, 0) + 1
-    return len(x), p, "limit_reached"
+
+    def __init__(self, n: int, noerr: float, upper: float, alpha: float, max_loss: float = 0.9, reuse: int = 10, pooled: tuple[np.ndarray, np.ndarray] | None = None):
+        self.n, self.noerr, self.upper, self.goal, self.max_loss, self.reuse, self.pooled = n, noerr, upper, -math.log(alpha), max_loss, reuse, pooled
+        self.j, self.total, self.log_t, self.counts, self.last = 0, 0.0, 0.0, {}, None
+        self.status = ""
+
+    def resume(self, samples: int, total: float, p: float, counts: dict[float, int]) -> AdaptiveBet:
+        """Goes on where an earlier round ended: with its samples, their sum, its last p-value and its errors."""
+        self.j, self.total, self.log_t, self.counts, self.last = samples, total, -math.log(p) if p > 0 else math.inf, dict(counts), None
+        return self
+
+    @property
+    def p(self) -> float:
+        return 0.0 if self.status == "sum_rejects_null" else min(1.0, math.exp(-self.log_t)) if self.log_t < 700 else 0.0
+
+    def _bet(self, mu: np.ndarray) -> tuple[np.ndarray, int]:
+        """The bets of the next samples with these null means, and of how many of them they hold."""
+        most = self.max_loss / np.where(mu > 1e-12, mu, 1.0)
+        if not self.counts and self.pooled is None:
+            return most, len(mu)
+        key = tuple(sorted(self.counts.items()))
+        if self.last is not None and self.last[0] == key and self.last[2] < self.reuse and self.j > 10:
+            k = min(self.reuse - self.last[2], len(mu))
+            self.last = (key, self.last[1], self.last[2] + k)
+            return np.minimum(self.last[1], most[:k]), k
+        values, rates = np.array(list(self.counts)), np.array([c / self.j for c in self.counts.values()])
+        if self.pooled is not None:
+            values, rates = np.append(values, self.pooled[0]), np.append(rates, self.pooled[1])
+        lam = best_bet(values, rates, self.noerr, float(mu[0]), self.max_loss) if mu[0] > 1e-12 else 0.0
+        self.last = (key, lam, 0)
+        return np.array([lam]), 1
+
+    def feed(self, value: float, times: int = 1, error: bool | None = None) -> bool:
+        """Takes so many samples of one value; whether more are wanted. error: whether it counts as one (None: if it is not noerror)."""
+        while times > 0 and not self.status:
+            m = min(times, 1 << 16)
+            i = np.arange(m)
+            mu = (self.n * 0.5 - self.total - value * i) / np.maximum(self.n - self.j - i, 1)
+            lam, k = self._bet(mu)
+            mu = mu[:k]
+            factors = np.maximum(0.0, 1 + lam[:k] * (value - mu))
+            with np.errstate(divide="ignore"):
+                logs = self.log_t + np.cumsum(np.log(factors))
+            over, done = np.flatnonzero((mu > self.upper) | (mu < 1e-12)), np.flatnonzero(logs > self.goal)
+            if len(over) and (not len(done) or over[0] <= done[0]):
+                at = int(over[0])
+                self.status = "accept_null" if mu[at] > self.upper else "sum_rejects_null"
+                self.log_t = float(logs[at - 1]) if at else self.log_t
+                self.j += at
+                return False
+            taken = int(done[0]) + 1 if len(done) else k
+            self.log_t, self.j, self.total, times = float(logs[taken - 1]), self.j + taken, self.total + value * taken, times - taken
+            if error if error is not None else abs(value - self.noerr) > 1e-8 + 1e-5 * self.noerr:
+                name = round(float(value), 12)
+                self.counts[name] = self.counts.get(name, 0) + taken
+            if len(done):
+                self.status = "rejects_null"
+        return not self.status
+
+
+def adaptive_runs(bet: AdaptiveBet, samples: int, at: list[int], values: list[float], errors: list[bool] | None = None) -> tuple[int, float, str]:
+    """Samples used, the last p-value and the status after so many samples, all without error but those at the given places (from 0, in order)."""
+    done = 0
+    for k, (place, value) in enumerate(zip(at, values)):
+        if not bet.feed(bet.noerr, place - done) or not bet.feed(value, 1, None if errors is None else errors[k]):
+            break
+        done = place + 1
+    else:
+        bet.feed(bet.noerr, samples - done)
+    return bet.j, bet.p, bet.status or "limit_reached"

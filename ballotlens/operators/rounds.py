@@ -14,15 +14,15 @@ from ballotlens.sources.records import commit_round, read_record
 KEYS = ["contest_id", "winner", "loser"]
 
 
-def run_rounds(compared: DataFrame, card_contests: DataFrame, assertions: DataFrame, alpha: float, max_loss: float = 0.9, most_rounds: int = 7, growth: float = 1.8, folder: str | None = None, say: Callable[[str], None] | None = None) -> DataFrame:
+def run_rounds(compared: DataFrame | Callable[[DataFrame], DataFrame], card_contests: DataFrame, assertions: DataFrame, alpha: float, max_loss: float = 0.9, most_rounds: int = 7, growth: float = 1.8, folder: str | None = None, say: Callable[[str], None] | None = None) -> DataFrame:
     """round, contest_id, wanted, samples, done and status of each contest in each round it took part in.
 
-    compared: KEYS, prn, value, npop and noerror of every card and assertion (values of cards not drawn are never
-    looked at). A round wants, for each open contest, the cards its hardest assertion needs without errors, times growth
+    compared: KEYS, prn, value, npop and noerror of every card and assertion, or a function that gives these for drawn
+    prns, so that cards not drawn are never compared. A round wants, for each open contest, the cards its hardest assertion needs without errors, times growth
     for each round before it, at most all its cards; earlier cards are always drawn again, as the order is by prn.
     folder: where the record's round tables go (by default the scratch folder).
     """
-    spark = compared.sparkSession
+    spark = card_contests.sparkSession
     folder = folder or new_path(spark, "record")
     card_contests = written(card_contests.distinct(), "card-contests")
     sizes = card_contests.groupBy("contest_id").agg(F.count("*").alias("cards"))
@@ -35,7 +35,9 @@ def run_rounds(compared: DataFrame, card_contests: DataFrame, assertions: DataFr
         wanted = written(still.select("contest_id", F.least(F.ceil(F.col("need") * growth ** (r - 1)), F.col("cards")).cast("bigint").alias("n")), "wanted")
         drawn = draws.consistent_sample(card_contests, wanted)
         commit_round(drawn, folder, "sample", r)
-        seen = compared.join(wanted, "contest_id").join(read_record(spark, folder, f"sample/round={r}").select("prn"), "prn", "left_semi")
+        sample = read_record(spark, folder, f"sample/round={r}").select("prn")
+        seen = compared(sample) if callable(compared) else compared.join(sample, "prn", "left_semi")
+        seen = seen.join(wanted.select("contest_id"), "contest_id", "left_semi")
         results = risk.adaptive(seen.select(*KEYS, "prn", "value", "npop", "noerror"), KEYS, "prn", "value", "npop", "noerror", alpha, max_loss)
         commit_round(results, folder, "results", r)
         results = read_record(spark, folder, f"results/round={r}")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballotlens.functions import assorters as A
 from ballotlens.functions import betting
 from ballotlens.functions.prn import prn, prn_sql
-from ballotlens.operators import draws, outcome, pools, risk, simulate, tabulate
+from ballotlens.operators import draws, outcome, pools, prefix, risk, simulate, tabulate
 from ballotlens.plans import base
 from ballotlens.plans.ballots import _B, _DHONDT, _seats, big, compared, r9
 from ballotlens.plans.base import Registry
+from ballotlens.scratch import written
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -23,38 +21,13 @@ KEYS = ["contest_id", "winner", "loser"]
 r6 = lambda c, a: F.round(c, 6).alias(a)
 
 _WANTED = ", wanted as (select contest_id, least(nc, 20 + contest_id % 7)::bigint as n from totals)"
-_EVERY = ", wanted as (select contest_id, nc::bigint as n from totals)"
 _CC = ", cc as (select distinct c.prn, s.contest_id from cards c join style_contests s using (style_id) where c.prn is not null)"
-
-
-#: Whether a query takes all cards of a contest instead of the small fixed number.
-_all_cards: ContextVar[bool] = ContextVar("all_cards", default=False)
-
-
-def over_all_cards(registry: Registry, *names: str) -> None:
-    """Registers each named query again as name_all, over all cards of each contest by random number, with its SQL."""
-    for name in names:
-        def run(spark: SparkSession, d: str, f=registry.queries[name]) -> DataFrame:
-            token = _all_cards.set(True)
-            try:
-                return f(spark, d)
-            finally:
-                _all_cards.reset(token)
-
-        registry.queries[f"{name}_all"] = functools.wraps(registry.queries[name])(run)
-        registry.oracle[f"{name}_all"] = registry.oracle[name].replace(_WANTED, _EVERY)
-        for bound, edge in (("(mu < 0)", "(mu < -1e-12)"), ("(mu > 1)", "(mu > 1 + 1e-12)"), ("(mu > 2 * noerror)", "(mu > 2 * noerror + 1e-12)")):
-            registry.oracle[f"{name}_all"] = registry.oracle[f"{name}_all"].replace(bound, edge)
-
-
-def _edge() -> float:
-    """How close a null mean is to a bound that it is taken to be on; with few cards as in their SQL."""
-    return 1e-12 if _all_cards.get() else 0.0
+#: How close a null mean is to a bound that it is taken to be on: sums of many values are not exact.
+EDGE = 1e-12
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    if _all_cards.get():
-        return base.totals(spark, d).select("contest_id", F.col("nc").cast("bigint").alias("n"))
+    """The sizes of a first round that is drawn: some cards of each contest."""
     return base.totals(spark, d).select("contest_id", F.least(F.col("nc"), 20 + F.col("contest_id") % 7).cast("bigint").alias("n"))
 
 
@@ -74,8 +47,16 @@ def prn_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"select county_id, card_key, row_number() over (partition by county_id order by p, card_key) as place from (select county_id, card_key, {prn_sql(SEED, 'card_index')} as p from cards)")
 def prn_sort_internal(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("county_id").orderBy(prn(SEED, F.col("card_index")), "card_key"))
-    return base.cards(spark, d).select("county_id", "card_key", place.cast("bigint").alias("place"))
+    """Each county's cards in the order of their numbers; ranges of the number are sorted, not counties."""
+    cards = base.cards(spark, d).select("county_id", "card_key", prn(SEED, F.col("card_index")).alias("p"))
+    return prefix.place(cards, ["county_id"], ["p", "card_key"], prefix.number_bucket("p", base.card_rows(spark, d))).select("county_id", "card_key", "place")
+
+
+@R.add(f"select card_key, row_number() over (order by p, card_key) as place from (select card_key, {prn_sql(SEED, 'card_index')} as p from cards)")
+def prn_sort_external(spark: SparkSession, d: str) -> DataFrame:
+    """All cards in one order, over all counties."""
+    cards = base.cards(spark, d).select("card_key", prn(SEED, F.col("card_index")).alias("p"), F.lit(0).alias("k"))
+    return prefix.place(cards, ["k"], ["p", "card_key"], prefix.number_bucket("p", base.card_rows(spark, d))).select("card_key", "place")
 
 
 _NEED = ", need as (select contest_id, nc - ncast as n from totals where nc > ncast), pk as (select contest_id, unnest(range(1, n + 1)) as k from need)"
@@ -205,33 +186,35 @@ def pre_filter_inprogress(spark: SparkSession, d: str) -> DataFrame:
 
 # --- risk ------------------------------------------------------------------------------------------
 
-_POLL = _WANTED + """, smp as (select contest_id, winner, loser, npop, diluted_margin, prn, x, row_number() over w - 1 as j, coalesce(sum(x) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and 1 preceding), 0) as total
-   from (select c.contest_id, a.winner, a.loser, a.npop, a.diluted_margin, c.prn, (list_contains(cands, winner)::int - list_contains(cands, loser)::int + 1) * 0.5 as x, row_number() over (partition by c.contest_id, a.winner, a.loser order by c.prn) as rn, n
-     from cv c join asn a using (contest_id) join wanted using (contest_id) where c.prn is not null and not c.phantom) where rn <= n window w as (partition by contest_id, winner, loser order by prn)),
+_POLL = """, smp as (select contest_id, winner, loser, npop, diluted_margin, prn, x, row_number() over w - 1 as j, coalesce(sum(x) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and 1 preceding), 0) as total
+   from (select c.contest_id, a.winner, a.loser, a.npop, a.diluted_margin, c.prn, (list_contains(cands, winner)::int - list_contains(cands, loser)::int + 1) * 0.5 as x
+     from cv c join asn a using (contest_id) where c.prn is not null and not c.phantom) window w as (partition by contest_id, winner, loser order by prn)),
  m as (select *, (npop * 0.5 - total) / (npop - j) as mu from smp)"""
 
 
 def _poll_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The first wanted cards of each contest by prn, with the polling assorter of each assertion."""
+    """All cards of each contest by random number, with the polling assorter of each assertion."""
     a = base.assertions(spark, d).select(*KEYS, "npop", "diluted_margin", "noerror")
     v = base.card_votes(spark, d).where("prn is not null and not phantom").select("contest_id", "prn", "cands")
-    wanted = _wanted(spark, d)
-    most = wanted.agg(F.max("n")).first()[0] or 0
-    first = v.withColumn("rn", F.row_number().over(Window.partitionBy("contest_id").orderBy("prn"))).where(F.col("rn") <= F.lit(most)).join(wanted, "contest_id").where("rn <= n")
-    return first.join(a, "contest_id").withColumn("x", A.plurality(F.col("cands"), F.col("winner"), F.col("loser"))).withColumn("eta0", A.margin_to_mean(F.col("diluted_margin")))
+    return v.join(a, "contest_id").withColumn("x", A.plurality(F.col("cands"), F.col("winner"), F.col("loser"))).withColumn("eta0", A.margin_to_mean(F.col("diluted_margin")))
+
+
+def _bucket(spark: SparkSession, d: str):
+    """Ranges of the random number, if the manifest is so large that a contest's cards should not be sorted in one task."""
+    return prefix.number_bucket("prn", base.card_rows(spark, d))
 
 
 def _decide(lam: str, upper: str = "1") -> str:
     return f""", l as (select *, {lam} as lam from m), f as (select *, case when abs(mu) < 1e-12 or abs(mu - {upper}) < 1e-12 then 1 else 1 + lam * (x - mu) end as factor from l),
- g as (select *, sum(case when factor > 0 then ln(factor) else 0 end) over w as log_t, max((factor <= 0)::int) over w as ruined, max((mu < 0)::int) over w as below, max((mu > {upper})::int) over w as above from f window w as (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row)),
+ g as (select *, sum(case when factor > 0 then ln(factor) else 0 end) over w as log_t, max((factor <= 0)::int) over w as ruined, max((mu < -{EDGE})::int) over w as below, max((mu > {upper} + {EDGE})::int) over w as above from f window w as (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row)),
  p as (select *, case when above = 1 then 1 when below = 1 then 0 when ruined = 1 then 1 else least(1, exp(-log_t)) end as p from g),
- dec as (select contest_id, winner, loser, count(*) as samples, min(j + 1) filter (p < {ALPHA}) as stop, min(p) as min_p, max_by(p, j) as last_p, min_by(p, j) filter (p < {ALPHA}) as stop_p, max((mu > {upper})::int) as above, max((mu < 0)::int) as below from p group by all)
+ dec as (select contest_id, winner, loser, count(*) as samples, min(j + 1) filter (p < {ALPHA}) as stop, min(p) as min_p, max_by(p, j) as last_p, min_by(p, j) filter (p < {ALPHA}) as stop_p, max((mu > {upper} + {EDGE})::int) as above, max((mu < -{EDGE})::int) as below from p group by all)
  select contest_id, winner, loser, samples, coalesce(stop, samples) as used, round(coalesce(stop_p, last_p), 6) as p_value, round(min_p, 6) as min_p,
   case when below = 1 then 'sum_rejects_null' when stop is not null then 'rejects_null' when above = 1 then 'accept_null' else 'limit_reached' end as status from dec"""
 
 
 def _decided(run: DataFrame, upper=1.0) -> DataFrame:
-    out = risk.decisions(run, KEYS, ALPHA, upper, _edge())
+    out = risk.decisions(run, KEYS, ALPHA, upper, EDGE)
     return out.select(*KEYS, "samples", big("used"), r6(F.col("p_value"), "p_value"), r6(F.col("min_p"), "min_p"), "status")
 
 
@@ -240,64 +223,77 @@ _ETA = f"least(greatest(mu + ((diluted_margin + 1) / 2 - 0.5) / 2 / sqrt({ETA_D}
 
 @R.add(_POLL + _decide(f"({_ETA} / nullif(mu, 0) - 1) / nullif(1 - mu, 0)"))
 def alpha_mart(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(risk.alpha_mart(_poll_sample(spark, d), KEYS, "prn", "x", "npop", 1.0, "eta0", ETA_D, _edge()))
+    return _decided(risk.alpha_mart(_poll_sample(spark, d), KEYS, "prn", "x", "npop", 1.0, "eta0", ETA_D, EDGE, _bucket(spark, d)))
 
 
 @R.add(_POLL + _decide("0.5"))
 def fixed_bet(spark: SparkSession, d: str) -> DataFrame:
-    base_ = risk.running(_poll_sample(spark, d), KEYS, "prn", "x")
-    return _decided(risk.martingale(base_, KEYS, "prn", "x", F.lit(0.5), "npop", 1.0, _edge()))
+    base_ = risk.running(_poll_sample(spark, d), KEYS, "prn", "x", _bucket(spark, d))
+    return _decided(risk.martingale(base_, KEYS, "prn", "x", F.lit(0.5), "npop", 1.0, EDGE, _bucket(spark, d)))
 
 
 @R.add(_POLL + " select contest_id, winner, loser, prn, j, round(total, 6) as total, round(mu, 9) as mu from m")
 def pop_mean_H0(spark: SparkSession, d: str) -> DataFrame:
     """The null mean before each sample, and the running sum that it rests on."""
-    run = risk.running(_poll_sample(spark, d), KEYS, "prn", "x")
+    run = risk.running(_poll_sample(spark, d), KEYS, "prn", "x", _bucket(spark, d))
     return run.select(*KEYS, "prn", big("j"), r6(F.col("total"), "total"), r9(betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j")), "mu"))
 
 
-@R.add(_POLL + f" select contest_id, winner, loser, prn, round(({_ETA} / nullif(mu, 0) - 1) / nullif(1 - mu, 0), 6) as lam from m where mu > 0.01 and mu < 0.99")
+@R.add(_POLL + f" select contest_id, winner, loser, prn, round(({_ETA} / nullif(mu, 0) - 1) / nullif(1 - mu, 0), 6) as lam from m where mu > 0 and mu < 1")
 def eta_to_lam(spark: SparkSession, d: str) -> DataFrame:
-    run = risk.running(_poll_sample(spark, d), KEYS, "prn", "x").withColumn("mu", betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))).where("mu > 0.01 and mu < 0.99")
+    """The bet that the shrunk estimate of the mean stands for, where the null mean leaves one (it lies between 0 and 1)."""
+    run = risk.running(_poll_sample(spark, d), KEYS, "prn", "x", _bucket(spark, d)).withColumn("mu", betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))).where("mu > 0 and mu < 1")
     eta = betting.shrink_trunc(F.col("eta0"), ETA_D, F.col("j"), F.col("total"), F.col("mu"), 1.0)
     return run.select(*KEYS, "prn", r6(betting.eta_to_lambda(eta, F.col("mu"), 1.0), "lam"))
 
 
 @R.add(_POLL + " select contest_id, winner, loser, prn, round(avg(x) over w, 9) as mean, round(var_pop(x) over w, 9) as variance from smp window w as (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row)")
 def tracker(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("prn").rowsBetween(Window.unboundedPreceding, 0)
-    return _poll_sample(spark, d).select(*KEYS, "prn", r9(F.avg("x").over(w), "mean"), r9(F.var_pop("x").over(w), "variance"))
+    """Mean and variance of the samples so far, from running sums of values and squares."""
+    x = F.col("x").cast("double")
+    run = prefix.before(_poll_sample(spark, d), KEYS, ["prn"], _bucket(spark, d), {"j": F.lit(1).cast("bigint"), "s": x, "q": x * x})
+    n, mean = F.col("j") + 1, (F.col("s") + x) / (F.col("j") + 1)
+    return run.select(*KEYS, "prn", r9(mean, "mean"), r9((F.col("q") + x * x) / n - mean * mean, "variance"))
 
 
-_CLCA = _B + _WANTED + """, first as (select *, row_number() over (partition by contest_id, winner, loser order by prn) as rn from b join wanted using (contest_id) where prn is not null),
- smp as (select contest_id, winner, loser, npop, noerror, prn, {x} as x, row_number() over w - 1 as j, coalesce(sum({x}) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and 1 preceding), 0) as total from first where rn <= n window w as (partition by contest_id, winner, loser order by prn)),
+_CLCA = _B + """,
+ smp as (select contest_id, winner, loser, npop, noerror, prn, {x} as x, row_number() over w - 1 as j, coalesce(sum({x}) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and 1 preceding), 0) as total from b where prn is not null window w as (partition by contest_id, winner, loser order by prn)),
  m as (select *, (npop * 0.5 - total) / (npop - j) as mu from smp)"""
 
 
 def _clca_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The first wanted cards of each contest by prn, with the comparison value of each assertion."""
-    c = compared(spark, d).where("prn is not null").join(_wanted(spark, d), "contest_id")
-    return c.withColumn("rn", F.row_number().over(Window.partitionBy(*KEYS).orderBy("prn"))).where("rn <= n")
+    """All cards of each contest by random number, with the comparison value of each assertion."""
+    return compared(spark, d).where("prn is not null").select(*KEYS, "prn", "pool_id", "phantom", "mvr", "value", "npop", "noerror")
 
 
 @R.add(_CLCA.format(x="noerror") + _decide(f"{MAX_LOSS} / nullif(mu, 0)", "2 * noerror"))
 def clca_no_error(spark: SparkSession, d: str) -> DataFrame:
     """The comparison audit as it would go without any error."""
     s = _clca_sample(spark, d).withColumn("x", F.col("noerror"))
-    return _decided(risk.error_free(s, KEYS, "prn", "x", "npop", 2 * F.col("noerror"), MAX_LOSS, _edge()), 2 * F.col("noerror"))
+    return _decided(risk.error_free(s, KEYS, "prn", "x", "npop", 2 * F.col("noerror"), MAX_LOSS, EDGE, _bucket(spark, d)), 2 * F.col("noerror"))
 
 
 @R.add(_CLCA.format(x="(1 - (ca - ma)) * noerror") + _decide("0.8", "2 * noerror"))
 def betting_mart(spark: SparkSession, d: str) -> DataFrame:
     """The comparison audit with a fixed bet over the values that were measured."""
-    run = risk.running(_clca_sample(spark, d).withColumn("x", F.col("value")), KEYS, "prn", "x")
-    return _decided(risk.martingale(run, KEYS, "prn", "x", F.lit(0.8), "npop", 2 * F.col("noerror"), _edge()), 2 * F.col("noerror"))
+    run = risk.running(_clca_sample(spark, d).withColumn("x", F.col("value")), KEYS, "prn", "x", _bucket(spark, d))
+    return _decided(risk.martingale(run, KEYS, "prn", "x", F.lit(0.8), "npop", 2 * F.col("noerror"), EDGE, _bucket(spark, d)), 2 * F.col("noerror"))
 
 
 @R.add()
 def adaptive_betting(spark: SparkSession, d: str) -> DataFrame:
-    """The comparison audit with bets from the measured rates of errors: a fold over all cards of each assertion by random number."""
-    return risk.adaptive(compared(spark, d).where("prn is not null").select(*KEYS, "prn", "value", "npop", "noerror"), KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS)
+    """The comparison audit with bets from the measured rates of errors, over all cards of each contest by random number."""
+    return risk.adaptive(_clca_sample(spark, d), KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS, _bucket(spark, d))
+
+
+@R.add()
+def adaptive_oneaudit(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled comparison audit: pooled cards are compared with their pool's average, whose values enter the bet with their rates."""
+    averages = written(_averages(spark, d), "averages")
+    mvr = F.when(F.col("phantom"), 0.0).otherwise(A.plurality(F.col("mvr"), F.col("winner"), F.col("loser")))
+    sample = pools.pooled_comparison(_clca_sample(spark, d), averages, mvr).withColumn("pooled", F.col("pool_id").isNotNull())
+    rates = pools.pool_values(averages, base.assertions(spark, d)).where("rate > 0").groupBy(*KEYS, F.round("value", 12).alias("value")).agg(F.sum("rate").alias("rate"))
+    return risk.adaptive(sample, KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS, _bucket(spark, d), rates, "pooled")
 
 
 @R.add(_B + """, c as (select contest_id, winner, loser, count(*) as n, count(*) filter (ca - ma = 0.5) as o1, count(*) filter (ca - ma = 1) as o2, count(*) filter (ca - ma = -0.5) as u1, count(*) filter (ca - ma = -1) as u2 from b group by all)
@@ -309,7 +305,9 @@ def kaplan_markov(spark: SparkSession, d: str) -> DataFrame:
     return c.select(*KEYS, r6(betting.kaplan_markov(*[F.col(x) for x in ("n", "o1", "o2", "u1", "u2")], 1.03905, F.col("diluted_margin")), "risk"))
 
 
-@R.add()
+@R.add(f""", k as (select contest_id, winner, loser, npop, noerror, unnest(range(1, npop + 1)) as j from asn), mu as (select *, case when j < npop then (npop * 0.5 - noerror * j) / (npop - j) else 0 end as mu from k),
+ t as (select *, sum(case when mu > 0 then ln(1 + {MAX_LOSS} / mu * (noerror - mu)) else 0 end) over (partition by contest_id, winner, loser order by j) as log_t from mu)
+ select contest_id, winner, loser, any_value(npop) as npop, round(any_value(noerror), 9) as noerror, coalesce(min(j) filter (mu <= 0 or log_t >= -ln({ALPHA})), 0)::int as estimate from t group by all""")
 def est_sample_size(spark: SparkSession, d: str) -> DataFrame:
     """Samples that each assertion needs if no error is found."""
     a = base.assertions(spark, d).select(*KEYS, "npop", "noerror")
@@ -322,18 +320,23 @@ def est_margin_from_samples(spark: SparkSession, d: str) -> DataFrame:
     return base.assertions(spark, d).select(*KEYS, r9(betting.margin_from_samples(F.lit(1.8), ALPHA, F.col("npop")), "margin"))
 
 
-@R.add("select contest_id, winner, loser, ceil(-ln(0.05) / ((1 - 0.001) * ln(1 + 1.8 * (noerror - 0.5)) + 0.001 * ln(1 + 1.8 * (0.5 * noerror - 0.5))))::bigint as n from asn where diluted_margin > 0.01")
+@R.add("select contest_id, winner, loser, ceil(-ln(0.05) / ((1 - 0.001) * ln(1 + 1.8 * (noerror - 0.5)) + 0.001 * ln(1 + 1.8 * (0.5 * noerror - 0.5))))::bigint as n from asn where (1 - 0.001) * ln(1 + 1.8 * (noerror - 0.5)) + 0.001 * ln(1 + 1.8 * (0.5 * noerror - 0.5)) > 0")
 def sample_size_with_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Samples needed if one card in a thousand overstates by one vote."""
+    """Samples needed if one card in a thousand overstates by one vote; assertions that can gain nothing then have no number."""
+    gain = (1 - 0.001) * F.log(1 + 1.8 * (F.col("noerror") - 0.5)) + 0.001 * F.log(1 + 1.8 * (0.5 * F.col("noerror") - 0.5))
     n = betting.samples_with_errors(ALPHA, F.lit(1.8), F.col("noerror"), F.lit(1 - 0.001), [(F.lit(0.001), 0.5 * F.col("noerror"))])
-    return base.assertions(spark, d).where("diluted_margin > 0.01").select(*KEYS, n.cast("bigint").alias("n"))
+    return base.assertions(spark, d).where(gain > 0).select(*KEYS, n.cast("bigint").alias("n"))
+
 
+_LEFT = f""", drawn_n as (select contest_id, winner, loser, npop, noerror, least(npop, 20 + contest_id % 7)::bigint as n from asn), k as (select *, unnest(range(1, n + 2)) as j from drawn_n), mu as (select *, case when j < npop then (npop * 0.5 - noerror * j) / (npop - j) else 0 end as mu from k),
+ left_risk as (select contest_id, winner, loser, case when min(mu) <= 0 then 0 else exp(-sum(case when mu > 0 then ln(1 + {MAX_LOSS} / mu * (noerror - mu)) else 0 end)) end as risk from mu group by all)"""
 
-@R.add("select contest_id, winner, loser, round(exp(-(least(npop, 50) + 1) * ln(1 + 0.9 * 2 * (noerror - 0.5))), 9) as risk from asn")
+
+@R.add(_LEFT + " select contest_id, winner, loser, round(risk, 6) as risk from left_risk")
 def est_risk(spark: SparkSession, d: str) -> DataFrame:
-    """The risk left after fifty (or all) error-free samples under a constant bet."""
-    n = F.least(F.col("npop"), F.lit(50)) + 1
-    return base.assertions(spark, d).select(*KEYS, r9(F.exp(-n * F.log(1 + 0.9 * 2 * (F.col("noerror") - 0.5))), "risk"))
+    """The risk that is left after an error-free sample of a first round: the product over one factor more than samples, its bet as large as allowed."""
+    a = base.assertions(spark, d).select(*KEYS, "npop", "noerror").join(_wanted(spark, d), "contest_id")
+    return risk.risk_left(a, MAX_LOSS).select(*KEYS, r6(F.col("risk"), "risk"))
 
 
 @R.add(_POLL + _decide("0.5").replace("select contest_id, winner, loser, samples", ", fin as (select contest_id, winner, loser, samples", 1) + ") select contest_id, bool_and(status = 'rejects_null') as done, count(*) as assertions, min(status) as worst from fin group by all")
@@ -342,9 +345,6 @@ def contest_status(spark: SparkSession, d: str) -> DataFrame:
     return fixed_bet(spark, d).groupBy("contest_id").agg(F.bool_and(F.col("status") == "rejects_null").alias("done"), F.count("*").alias("assertions"), F.min("status").alias("worst"))
 
 
-over_all_cards(R, "alpha_mart", "fixed_bet", "pop_mean_H0", "eta_to_lam", "tracker", "clca_no_error", "betting_mart", "contest_status")
-
-
 @R.add(_SAMPLE + """, used as (select contest_id, (n // 2) as used from wanted), o as (select prn, contest_id, row_number() over (partition by contest_id order by prn) - 1 as k from cc semi join drawn using (prn))
  select prn, bool_or(k < used) as used from o join used using (contest_id) group by all""")
 def mvrs_used(spark: SparkSession, d: str) -> DataFrame:
@@ -363,15 +363,38 @@ def mvrs_used(spark: SparkSession, d: str) -> DataFrame:
 def estimate_round(spark: SparkSession, d: str) -> DataFrame:
     """Cards each contest needs in a polling audit: the 80th percentile over trials of its hardest assertion."""
     hard = outcome.hardest(base.assertions(spark, d).where("winner_votes > loser_votes"))
-    trials = risk.simulate_polling(hard, 10, ALPHA)
+    trials = risk.simulate_polling(hard, 20, ALPHA)
     per = trials.groupBy("contest_id").agg(F.collect_list("needed").alias("v"))
     return per.select("contest_id", tabulate.quantile_integer(F.col("v"), 50).cast("bigint").alias("q50"), tabulate.quantile_integer(F.col("v"), 80).cast("bigint").alias("q80"))
 
 
+def _ordered_cards(spark: SparkSession, d: str) -> DataFrame:
+    return base.card_votes(spark, d).where("prn is not null").select("contest_id", "prn", "phantom")
+
+
+@R.add()
+def clca_trial(spark: SparkSession, d: str) -> DataFrame:
+    """Cards each contest's hardest assertion needs in a comparison audit whose only errors are phantoms; then, as a second
+    round would ask after half of them, those still needed (together as many)."""
+    hard = written(outcome.hardest(base.assertions(spark, d).where("winner_votes > loser_votes")), "hardest")
+    cards = _ordered_cards(spark, d)
+    first = written(risk.comparison_trial(hard, cards, ALPHA, MAX_LOSS, _bucket(spark, d)), "trial")
+    half = first.select(*KEYS, F.expr("needed div 2").alias("k"))
+    seen = prefix.place(cards, ["contest_id"], ["prn"], _bucket(spark, d)).join(half, "contest_id").where("place <= k").join(hard.select(*KEYS, "npop", "noerror"), KEYS)
+    audit = risk.adaptive(seen.withColumn("value", F.when(F.col("phantom"), F.col("noerror") / 2).otherwise(F.col("noerror"))), KEYS, "prn", "value", "npop", "noerror", ALPHA, MAX_LOSS)
+    state = seen.groupBy(*KEYS).agg(F.count("*").alias("samples"), F.sum(F.when(F.col("phantom"), F.col("noerror") / 2).otherwise(F.col("noerror"))).alias("total"), F.count_if("phantom").cast("int").alias("e"), F.max("noerror").alias("ne"))
+    errors = F.when(F.col("e") > 0, F.create_map(F.round(F.col("ne") / 2, 12), F.col("e"))).otherwise(F.create_map().cast("map<double,int>"))
+    previous = state.join(audit, KEYS).select(*KEYS, "samples", "total", "p_value", errors.alias("errors"))
+    again = risk.comparison_trial(hard, cards, ALPHA, MAX_LOSS, _bucket(spark, d), previous)
+    return first.join(again.select(*KEYS, F.col("needed").alias("still_needed"), F.col("status").alias("later_status")), KEYS).join(half, KEYS).select(*KEYS, "needed", "status", F.col("k").alias("had"), "still_needed", "later_status")
+
+
 @R.add()
 def one_shot_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Every assertion over one shuffled electorate."""
-    return risk.simulate_polling(base.assertions(spark, d).where("winner_votes > loser_votes"), 1, ALPHA)
+    """Every assertion over all cards in one go: polling over a shuffled electorate, and comparison with phantoms as the only errors."""
+    a = written(base.assertions(spark, d).where("winner_votes > loser_votes"), "assertions")
+    polling = risk.simulate_polling(a, 1, ALPHA).select(*KEYS, F.lit("polling").alias("audit"), "needed")
+    return polling.unionByName(risk.comparison_trial(a, _ordered_cards(spark, d), ALPHA, MAX_LOSS, _bucket(spark, d)).select(*KEYS, F.lit("comparison").alias("audit"), "needed"))
 
 
 @R.add()
@@ -381,16 +404,6 @@ def closest_trial(spark: SparkSession, d: str) -> DataFrame:
     return trials.groupBy(*KEYS).agg(F.min_by("trial", F.struct(F.abs(F.col("needed") - 100), "trial")).alias("trial"), F.min(F.abs(F.col("needed") - 100)).alias("gap"))
 
 
-@R.add("select pool_id, contest_id, cand, count(*) as nvotes from (select pool_id, contest_id, unnest(cands) as cand from cv join contests using (contest_id) where pool_id is not null and vote_for = 1 and num_ranks = 0 and len(cands) = 1) group by all")
-def simulate_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated votes of pooled cards, tabulated: the totals are those that were given."""
-    one = base.contests(spark, d).where("vote_for = 1 and num_ranks = 0").select("contest_id")
-    v = base.card_votes(spark, d).where("pool_id is not null").join(one, "contest_id", "left_semi")
-    counts = tabulate.candidate_votes(v.where(F.size("cands") == 1), ("pool_id",))
-    made = simulate.simulate_pool(v.select("pool_id", "contest_id", "card_key"), counts, SEED)
-    return made.where("cand is not null").groupBy("pool_id", "contest_id", "cand").agg(F.count("*").alias("nvotes"))
-
-
 _SIMULATED = """select {key}contest_id, choice, count(*) as nvotes from (
  select {key}contest_id, unnest(case when num_ranks > 0 then case when len(cands) > 0 then [array_to_string(cands, '>')] else [] end else list_transform(list_distinct(cands), lambda c: c::varchar) end) as choice from cv join contests using (contest_id) where {where}) group by all"""
 
@@ -407,7 +420,7 @@ def simulated(spark: SparkSession, d: str, v: DataFrame, keys: tuple[str, ...])
 
 
 @R.add(_SIMULATED.format(key="pool_id, ", where="pool_id is not null"))
-def simulate_pool_all(spark: SparkSession, d: str) -> DataFrame:
+def simulate_pool(spark: SparkSession, d: str) -> DataFrame:
     """Simulated votes of all pooled cards in all contests, of several votes and ranked ones too."""
     return simulated(spark, d, base.card_votes(spark, d).where("pool_id is not null"), ("pool_id", "contest_id"))
 
@@ -497,11 +510,11 @@ def v_unique(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).select(F.inline(fields)).groupBy("field", "value").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@R.add("select county_id, card_key from (select county_id, card_key, prn, lag(prn) over (partition by county_id order by card_index) as before from cards where prn is not null) where before >= prn")
+@R.add("select county_id, card_key from (select county_id, card_key, prn, lag(prn) over (partition by county_id order by card_index, card_key) as before from cards where prn is not null) where before >= prn")
 def v_prn_order(spark: SparkSession, d: str) -> DataFrame:
     """Cards whose number is not above that of the card before them in the manifest."""
-    before = F.lag("prn").over(Window.partitionBy("county_id").orderBy("card_index"))
-    return base.cards(spark, d).where("prn is not null").withColumn("before", before).where("before >= prn").select("county_id", "card_key")
+    cards = base.cards(spark, d).where("prn is not null").select("county_id", "card_key", "prn", "card_index")
+    return prefix.previous(cards, ["county_id"], ["card_index", "card_key"], prefix.index_bucket("card_index", base.card_rows(spark, d)), "prn").where("before >= prn").select("county_id", "card_key")
 
 
 @R.add(f"select card_key, coalesce(prn = {prn_sql(SEED, 'card_index')}, false) as correct from cards")
@@ -511,8 +524,8 @@ def v_prn_correct(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("select county_id, card_key from (select county_id, card_key, card_index, row_number() over (partition by county_id order by card_index, card_key) - 1 as want from cards) where card_index <> want")
 def v_index_sequential(spark: SparkSession, d: str) -> DataFrame:
-    want = F.row_number().over(Window.partitionBy("county_id").orderBy("card_index", "card_key")) - 1
-    return base.cards(spark, d).withColumn("want", want).where("card_index <> want").select("county_id", "card_key")
+    cards = base.cards(spark, d).select("county_id", "card_key", "card_index")
+    return prefix.place(cards, ["county_id"], ["card_index", "card_key"], prefix.index_bucket("card_index", base.card_rows(spark, d))).where("card_index <> place - 1").select("county_id", "card_key")
 
 
 @R.add("select card_key, style_id from cards anti join (select distinct style_id from xv) using (style_id)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballotlens.functions import assorters as A
 from ballotlens.functions.votes import OWN_STYLES, add_contests, may_have_contest, possible_contests
-from ballotlens.operators import outcome, tabulate
+from ballotlens.operators import outcome, prefix, tabulate
 from ballotlens.plans import base
 from ballotlens.plans.base import Registry
 from ballotlens.tables import table
@@ -24,10 +24,9 @@ big = lambda c: F.col(c).cast("bigint").alias(c)
 
 @R.add("select card_key, county_id, prn, row_number() over (partition by county_id order by prn, card_key) as place from cards where prn is not null")
 def scan_sorted_manifest(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("county_id").orderBy("prn", "card_key")).cast("bigint")
-    return base.cards(spark, d).where("prn is not null").select("card_key", "county_id", "prn", place.alias("place"))
+    """Each county's cards by random number; ranges of the number are sorted, not counties."""
+    cards = base.cards(spark, d).where("prn is not null").select("card_key", "county_id", "prn")
+    return prefix.place(cards, ["county_id"], ["prn", "card_key"], prefix.number_bucket("prn", base.card_rows(spark, d)))
 
 
 @R.add("select prn, style_id, count(*) as n from cards where prn is not null group by all")
@@ -512,10 +511,11 @@ _B = """, b as (select p.card_key, p.contest_id, p.prn, p.pool_id, a.winner, a.l
    from pairs p join asn a using (contest_id))"""
 
 
-def compared(spark: SparkSession, d: str) -> DataFrame:
-    """Every card and assertion of its contests, with overstatement and comparison value."""
+def compared(spark: SparkSession, d: str, drawn: DataFrame | None = None) -> DataFrame:
+    """Every card and assertion of its contests, with overstatement and comparison value. drawn: the prns of the cards to compare."""
     a = base.assertions(spark, d).select("contest_id", "winner", "loser", "noerror", "npop", "nc")
-    p = base.pairs(spark, d).join(a, "contest_id")
+    p = base.pairs(spark, d)
+    p = (p if drawn is None else p.join(drawn, "prn", "left_semi")).join(a, "contest_id")
     w, x = F.col("winner"), F.col("loser")
     over = A.overstatement(A.plurality(F.col("cands"), w, x), A.plurality(F.coalesce("mvr", F.array().cast("array<int>")), w, x), F.col("phantom"), F.col("phantom"), F.col("mvr").isNull())
     return p.withColumn("over", over).withColumn("value", A.comparison(over, 1.0, F.col("noerror")))

@@ -23,18 +23,28 @@ def hex_number(c):
     return F.conv(F.regexp_replace(F.lower(F.trim(c)), "^0x", ""), 16, 10).cast("bigint")
 
 
+def card_rows(spark: SparkSession, d: str) -> int:
+    """Rows of card_manifest, as its files' footers say."""
+    return table(spark, d, "card_manifest").count()
+
+
+def _one(rows: DataFrame, key: str, columns: list[str], maps: list[str]) -> DataFrame:
+    """One whole row of each key: of copies that differ, the one whose columns come first (nulls last), not fields of several."""
+    order = F.struct(*[x for c in columns for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))])
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns, *maps), order).alias("r")).select(key, "r.*")
+
+
 def cards(spark: SparkSession, d: str) -> DataFrame:
     """card_manifest with each card once: typed prn and phantom, location (the id where it is null)."""
-    some = lambda c: F.any_value(c, F.lit(True)).alias(c)
     raw = table(spark, d, "card_manifest").withColumn("prn", hex_number("prn"))
-    one = raw.groupBy("card_key").agg(*[some(c) for c in ("county_id", "id", "bin_location", "card_index", "phantom", "style_id", "pool_id", "votes")], F.min("prn").alias("prn"))
+    one = _one(raw, "card_key", ["county_id", "id", "bin_location", "card_index", "phantom", "style_id", "pool_id", "prn"], ["votes"])
     return one.select("card_key", "county_id", "id", F.coalesce("bin_location", "id").alias("location"), "card_index", "prn", F.coalesce(F.col("phantom") == "yes", F.lit(False)).alias("phantom"), "style_id", "pool_id", "votes")
 
 
 def cvrs(spark: SparkSession, d: str) -> DataFrame:
     """cvr_export with each record once."""
-    some = lambda c, a=None: F.any_value(c, F.lit(True)).alias(a or c)
-    return table(spark, d, "cvr_export").groupBy("cvr_key").agg(some("county_id"), some("id"), some("counting_group"), some("ballot_style_id", "style_id"), some("precinct_portion_id", "precinct"), some("votes"))
+    one = _one(table(spark, d, "cvr_export"), "cvr_key", ["county_id", "id", "counting_group", "ballot_style_id", "precinct_portion_id"], ["votes"])
+    return one.withColumnsRenamed({"ballot_style_id": "style_id", "precinct_portion_id": "precinct"})
 
 
 def contests(spark: SparkSession, d: str) -> DataFrame:

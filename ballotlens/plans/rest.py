@@ -12,7 +12,7 @@ from ballotlens.plans import audits, base
 from ballotlens.plans.audits import _CLCA, _POLL, _POOLS, _ROUND2, ALPHA, KEYS, MAX_LOSS, SEED
 from ballotlens.plans.ballots import _B, _irv_ballots, big, compared, r9
 from ballotlens.plans.base import Registry
-from ballotlens.scratch import new_path
+from ballotlens.scratch import new_path, written
 from ballotlens.sources import records
 from ballotlens.sources import text_tables as T
 
@@ -58,7 +58,7 @@ def apriori_rates(spark: SparkSession, d: str) -> DataFrame:
 @R.add(_POLL + " select contest_id, winner, loser, prn, round(mu * (1 + 0.5 * (1 - mu)), 9) as eta from m")
 def lam_to_eta(spark: SparkSession, d: str) -> DataFrame:
     """The estimate of the mean that a bet of one half stands for."""
-    run = risk.running(audits._poll_sample(spark, d), KEYS, "prn", "x")
+    run = risk.running(audits._poll_sample(spark, d), KEYS, "prn", "x", audits._bucket(spark, d))
     mu = betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))
     return run.select(*KEYS, "prn", r9(betting.lambda_to_eta(F.lit(0.5), mu, 1.0), "eta"))
 
@@ -94,20 +94,17 @@ def join_prev_round(spark: SparkSession, d: str) -> DataFrame:
 @R.add(_CLCA.format(x="(1 - (ca - ma)) * noerror") + " select contest_id, winner, loser, prn, j, round(x, 9) as value from smp")
 def samplers(spark: SparkSession, d: str) -> DataFrame:
     """The comparison values that each assertion's audit sees, in order."""
-    run = risk.running(audits._clca_sample(spark, d), KEYS, "prn", "value")
+    run = risk.running(audits._clca_sample(spark, d), KEYS, "prn", "value", audits._bucket(spark, d))
     return run.select(*KEYS, "prn", big("j"), r9(F.col("value"), "value"))
 
 
-@R.add(_POLL + ", q as (select *, 1 + 0.5 * (x - mu) as f from m) select contest_id, winner, loser, prn, round(least(1, exp(-sum(ln(f)) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row))), 6) as p from q where mu between 0 and 1")
+@R.add(_POLL + """, q as (select *, case when abs(mu) < 1e-12 or abs(mu - 1) < 1e-12 then 1 else 1 + 0.5 * (x - mu) end as f, max((mu > 1 + 1e-12)::int) over w as above, max((mu < -1e-12)::int) over w as below from m window w as (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row))
+ select contest_id, winner, loser, prn, round(case when above = 1 then 1 when below = 1 then 0 else least(1, exp(-sum(ln(f)) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and current row))) end, 6) as p from q""")
 def pvalue_sequence(spark: SparkSession, d: str) -> DataFrame:
     """The p-value after each sample of a polling audit with a bet of one half."""
-    run = risk.running(audits._poll_sample(spark, d), KEYS, "prn", "x")
-    run = run.withColumn("mu", betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))).where("mu between 0 and 1")
-    w = Window.partitionBy(*KEYS).orderBy("prn").rowsBetween(Window.unboundedPreceding, 0)
-    return run.select(*KEYS, "prn", F.round(F.least(F.lit(1.0), F.exp(-F.sum(F.log(1 + 0.5 * (F.col("x") - F.col("mu")))).over(w))), 6).alias("p"))
-
-
-audits.over_all_cards(R, "lam_to_eta", "samplers", "pvalue_sequence")
+    bucket = audits._bucket(spark, d)
+    run = risk.running(audits._poll_sample(spark, d), KEYS, "prn", "x", bucket)
+    return risk.martingale(run, KEYS, "prn", "x", F.lit(0.5), "npop", 1.0, audits.EDGE, bucket).select(*KEYS, "prn", F.round("p", 6).alias("p"))
 
 
 @R.add(_B + ", c as (select contest_id, winner, loser, count(*) as n, count(*) filter (ca - ma <> 0) as errors from b group by all) select contest_id, winner, loser, errors, round(errors / n, 9) as rate from c")
@@ -119,37 +116,16 @@ def error_rates(spark: SparkSession, d: str) -> DataFrame:
 # --- simulated elections ---------------------------------------------------------------------------
 
 
-@R.add("select style_id, contest_id, cand, count(*) as nvotes from (select style_id, contest_id, unnest(cands) as cand from cv join contests using (contest_id) where vote_for = 1 and num_ranks = 0 and len(cands) = 1) group by all")
-def simulate_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated votes of all cards by style, tabulated: the totals are those that were given."""
-    one = base.contests(spark, d).where("vote_for = 1 and num_ranks = 0").select("contest_id")
-    v = base.card_votes(spark, d).join(one, "contest_id", "left_semi")
-    counts = tabulate.candidate_votes(v.where(F.size("cands") == 1), ("style_id",))
-    made = simulate.simulate_pool(v.select("style_id", "contest_id", "card_key"), counts, SEED, ("style_id", "contest_id"))
-    return made.where("cand is not null").groupBy("style_id", "contest_id", "cand").agg(F.count("*").alias("nvotes"))
-
-
-@R.add("select contest_id, cand, count(*) as nvotes from (select contest_id, unnest(cands) as cand from cv join contests using (contest_id) where pool_id = (select min(pool_id) from cards) and vote_for = 1 and num_ranks = 0 and len(cands) = 1) group by all")
-def one_pool_cvrs(spark: SparkSession, d: str) -> DataFrame:
-    """Records made for the first pool from its subtotals, tabulated again."""
-    first = base.cards(spark, d).agg(F.min("pool_id").alias("pool_id"))
-    one = base.contests(spark, d).where("vote_for = 1 and num_ranks = 0").select("contest_id")
-    v = base.card_votes(spark, d).join(F.broadcast(first), "pool_id").join(one, "contest_id", "left_semi")  # one row is broadcast
-    counts = tabulate.candidate_votes(v.where(F.size("cands") == 1), ("pool_id",))
-    made = simulate.simulate_pool(v.select("pool_id", "contest_id", "card_key"), counts, SEED)
-    return made.where("cand is not null").groupBy("contest_id", "cand").agg(F.count("*").alias("nvotes"))
-
-
 @R.add(audits._SIMULATED.format(key="style_id, ", where="true"))
-def simulate_batches_all(spark: SparkSession, d: str) -> DataFrame:
+def simulate_batches(spark: SparkSession, d: str) -> DataFrame:
     """Simulated votes of all cards by style, in all contests."""
     return audits.simulated(spark, d, base.card_votes(spark, d), ("style_id", "contest_id"))
 
 
 @R.add(audits._SIMULATED.format(key="pool_id, ", where="pool_id is not null"))
-def one_pool_cvrs_all(spark: SparkSession, d: str) -> DataFrame:
+def one_pool_cvrs(spark: SparkSession, d: str) -> DataFrame:
     """Records made for every pool from its subtotals, tabulated again."""
-    return audits.simulate_pool_all(spark, d)
+    return audits.simulate_pool(spark, d)
 
 
 # --- cases -----------------------------------------------------------------------------------------
@@ -241,13 +217,10 @@ def sink_audit_record(spark: SparkSession, d: str) -> DataFrame:
 def run_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds of a comparison audit of all contests (also the round sinks)."""
     a = base.assertions(spark, d).where("winner_votes > loser_votes")
-    c = compared(spark, d).where("prn is not null").select(*KEYS, "prn", "value", "npop", "noerror")
-    from ballotlens.scratch import written
-
-    return rounds.run_rounds(written(c, "compared"), audits._card_contests(spark, d), written(a, "assertions"), ALPHA, MAX_LOSS)
+    return rounds.run_rounds(lambda drawn: compared(spark, d, drawn).select(*KEYS, "prn", "value", "npop", "noerror"), audits._card_contests(spark, d), written(a, "assertions"), ALPHA, MAX_LOSS)
 
 
-@R.add("select contest_id, prefs_text as prefs, n as nballots from (select contest_id, array_to_string(cands, '>') as prefs_text, count(*) as n from xv join contests using (contest_id) where num_ranks > 0 group by all) where n > 1")
+@R.add("select contest_id, array_to_string(cands, '>') as prefs, count(*) as nballots from xv join contests using (contest_id) where num_ranks > 0 group by all")
 def irv_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings that more than one ballot holds."""
-    return _irv_ballots(spark, d).where("nballots > 1").select("contest_id", F.array_join("prefs", ">").alias("prefs"), "nballots")
+    """Equal rankings as one row with their count."""
+    return _irv_ballots(spark, d).select("contest_id", F.array_join("prefs", ">").alias("prefs"), "nballots")

@@ -155,15 +155,14 @@ def test_status_at_the_edges(spark):
     assert {r.k: r.status for r in risk.decisions(run, ["k"], 0.05, 1.0).collect()} == {1: "sum_rejects_null", 2: "accept_null"}
 
 
-def test_adaptive_fold():
+def test_adaptive_bet():
     ne = 1 / (2 - 0.02)
-    used, p, status = betting.adaptive_fold(np.full(2000, ne), 100_000, ne, 2 * ne, 0.05)
-    assert status == "rejects_null" and used == betting.sample_size(ne, 100_000, 0.05) or abs(used - betting.sample_size(ne, 100_000, 0.05)) <= 2
-    x = np.full(2000, ne)
-    x[100] = 0.5 * ne
-    later, _, s = betting.adaptive_fold(x, 100_000, ne, 2 * ne, 0.05)
+    run = lambda n, at, values: betting.adaptive_runs(betting.AdaptiveBet(100_000, ne, 2 * ne, 0.05), n, at, values)
+    used, p, status = run(2000, [], [])
+    assert status == "rejects_null" and abs(used - betting.sample_size(ne, 100_000, 0.05)) <= 2
+    later, _, s = run(2000, [100], [0.5 * ne])
     assert s == "rejects_null" and later > used
-    assert betting.adaptive_fold(np.zeros(0), 10, ne, 2 * ne, 0.05)[2] == "limit_reached"
+    assert run(0, [], [])[2] == "limit_reached"
     grid = np.linspace(0, 0.9 / 0.5, 20001)
     v, r = np.array([0.5 * ne, 1.5 * ne]), np.array([0.01, 0.005])
     gain = 0.985 * np.log(1 + grid * (ne - 0.5)) + (r[:, None] * np.log(1 + grid[None] * (v[:, None] - 0.5))).sum(0)
@@ -237,9 +236,9 @@ def test_risk_queries_over_all_cards(spark):
     if not os.path.isdir(d):
         pytest.skip("no data")
     cards = {(r.contest_id, r.winner, r.loser): r["count"] for r in ballots.compared(spark, d).where("prn is not null").groupBy("contest_id", "winner", "loser").count().collect()}
-    got = audits.QUERIES["betting_mart_all"](spark, d).collect()
+    got = audits.QUERIES["betting_mart"](spark, d).collect()
     assert {(r.contest_id, r.winner, r.loser): r.samples for r in got} == cards and max(cards.values()) > 26
-    most = audits.QUERIES["betting_mart_all"](spark, d).agg(F.max("used")).first()[0]
+    most = audits.QUERIES["betting_mart"](spark, d).agg(F.max("used")).first()[0]
     assert most > 26 and audits.QUERIES["adaptive_betting"](spark, d).agg(F.max("used")).first()[0] > 26
 
 
