@@ -39,11 +39,6 @@ def scan_sampling_cards(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).select("prn", "style_id").agg(F.count("*").alias("n"), F.count("prn").alias("with_prn"), F.countDistinct("style_id").alias("n_styles"))
 
 
-@R.add("select contest_id, county_id, vote_for, num_ranks, description from contests")
-def scan_manifests_json(spark: SparkSession, d: str) -> DataFrame:
-    return base.contests(spark, d)
-
-
 _INT = "case when upper(trim({0})) = 'N/A' then -1 else try_cast(replace(trim({0}), ',', '') as bigint) end"
 
 
@@ -236,13 +231,6 @@ def pool_min_cards(spark: SparkSession, d: str) -> DataFrame:
     return tabulate.pool_min_cards(tabs, base.contests(spark, d))
 
 
-@R.add("select precinct, max(ceil(v / vote_for))::bigint as min_cards from (select precinct, contest_id, sum(len(cands)) as v, max(vote_for) as vote_for from xv join contests using (contest_id) where precinct is not null and len(cands) > 0 group by all) group by all")
-def redacted_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of records merged by precinct, and the least cards that hold their votes."""
-    tabs = tabulate.candidate_votes(base.cvr_votes(spark, d).where("precinct is not null"), ("precinct",)).withColumnRenamed("precinct", "pool_id")
-    return tabulate.pool_min_cards(tabs, base.contests(spark, d)).withColumnRenamed("pool_id", "precinct")
-
-
 @R.add("select county_id, contest_id, cand, count(*) as nvotes from (select county_id, contest_id, unnest(cands) as cand from xv) group by rollup(contest_id, county_id, cand)")
 def county_contest_rollup(spark: SparkSession, d: str) -> DataFrame:
     votes = base.cvr_votes(spark, d).select("county_id", "contest_id", F.explode("cands").alias("cand"))
@@ -265,12 +253,6 @@ def mvr_counts(spark: SparkSession, d: str) -> DataFrame:
     return per_card.groupBy("county_id").agg(F.count("*").alias("cards"), F.count_if("any_vote").alias("with_vote"))
 
 
-@R.add("select contest_title, precinct_code, sum(try_cast(replace(total_votes, ',', '') as bigint))::bigint as votes from (select distinct on (row_id) * from statement_of_votes) where contest_title is not null group by all")
-def ga_batch_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "statement_of_votes").dropDuplicates(["row_id"]).where("contest_title is not null")
-    return rows.groupBy("contest_title", "precinct_code").agg(F.sum(F.regexp_replace("total_votes", ",", "").try_cast("bigint")).alias("votes"))
-
-
 @R.add("""select contest_id, (nc - ncast)::bigint as phantoms, ((nc * vote_for - v) // vote_for)::bigint as undervote_cards from totals join contests using (contest_id) join (select contest_id, sum(nvotes) as v from tab group by all) using (contest_id)""")
 def sovo_reconcile(spark: SparkSession, d: str) -> DataFrame:
     v = base.card_tab(spark, d).groupBy("contest_id").agg(F.sum("nvotes").alias("v"))

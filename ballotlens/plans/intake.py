@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.operators.badrows import load_lines
 from ballotlens.operators.nested import flatten_sessions
 from ballotlens.plans import base
 from ballotlens.plans.base import Registry
@@ -65,29 +64,6 @@ def json_contest_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("contest_id").agg(F.count("*").alias("ncards"), F.sum("undervotes").alias("undervotes"), F.sum("overvotes").alias("overvotes"))
 
 
-@R.add("select line_id, case when cell like '=%' then regexp_replace(cell, '[=\"]', '', 'g') else cell end as cell from (select distinct line_id, regexp_extract(line, '^([^,]*)', 1) as cell from raw_cvr_lines)")
-def vendor_leading_equals(spark: SparkSession, d: str) -> DataFrame:
-    first = F.regexp_extract("line", "^([^,]*)", 1)
-    return table(spark, d, "raw_cvr_lines", "line_id", "line").select("line_id", first.alias("cell")).distinct().select("line_id", vendor.leading_equals(F.col("cell")).alias("cell"))
-
-
-@R.add("select case when trim(coalesce(first, '')) = '' then 'empty' when star = '*' then 'star' when first like 'Redacted%' then 'Redacted' when first like 'RCV Redacted%' then 'RCV Redacted' when first like 'redacted%' then 'redacted' when first like 'X%' then 'X' end as why, count(*) as n from (select regexp_extract(line, '^([^,]*)', 1) as first, regexp_extract(line, '([^,]*)$', 1) as star from raw_cvr_lines) group by all")
-def vendor_redaction(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by why they are redacted; most are not."""
-    why = vendor.redaction(F.regexp_extract("line", "^([^,]*)", 1), F.regexp_extract("line", "([^,]*)$", 1))
-    return table(spark, d, "raw_cvr_lines").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
-
-
-@R.add()
-def scan_vendor_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Votes per contest and choice of all good lines: the header's cells are unpivoted beside each line's."""
-    good = load_lines(table(spark, d, "raw_cvr_lines"), table(spark, d, "raw_cvr_files")).where("reason is null").select("line_id", "file_name", "cells")
-    heads = table(spark, d, "raw_cvr_files").groupBy("file_name").agg(F.split(F.min("header_line"), ",").alias("heads"))
-    rows = good.join(heads, "file_name").select("line_id", "file_name", F.inline(F.arrays_zip("heads", "cells")))
-    voted = rows.where(F.col("heads").contains(":")).select("file_name", F.split("heads", ":")[0].alias("contest"), F.split("heads", ":")[1].alias("choice"), F.trim("cells").try_cast("int").alias("v"))
-    return voted.groupBy("file_name", "contest", "choice").agg(F.count("v").alias("on_ballot"), F.count_if(F.col("v") > 0).alias("votes"))
-
-
 # these start from the sessions' JSON, not from the common tables
 ORACLE["scan_vendor_json"] = f"""with {_STATES}, v as (select distinct session_id, card_no, trim(contest->>'Id')::int as contest_id, trim(mark->>'CandidateId')::int as cand, coalesce(try_cast(trim(mark->>'Rank') as int), 0) as rank, mark_no
    from marks where lower(trim(mark->>'IsVote')) in (select w from truths) and mark->>'CandidateId' is not null),

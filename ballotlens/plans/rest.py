@@ -156,13 +156,6 @@ def boulder_case(spark: SparkSession, d: str) -> DataFrame:
     return t.join(base.totals(spark, d), "contest_id").select("contest_id", "pooled_votes", "nvotes", "npop", (F.col("nc") - F.col("ncast")).alias("phantoms"))
 
 
-@R.add("select contest_id, cand, nvotes, round(share, 9) as share, place <= 2 and share >= 0 as on_runoff from ranked where place <= 2 and contest_id in (select contest_id from ranked where place = 1 and share < 0.5)")
-def ga_case(spark: SparkSession, d: str) -> DataFrame:
-    """Contests without a majority: the two that go to the runoff."""
-    out = outcome.runoff(base.card_tab(spark, d)).where("status = 'advances'")
-    return out.select("contest_id", "cand", "nvotes", r9(F.col("share"), "share"), F.lit(True).alias("on_runoff"))
-
-
 # --- lines, sinks and rounds -----------------------------------------------------------------------
 
 
@@ -183,15 +176,6 @@ def sink_cards(spark: SparkSession, d: str) -> DataFrame:
     return records.read_record(spark, folder, "cards").agg(F.count("*").alias("n"), F.countDistinct("style_id").alias("n_styles"))
 
 
-@R.add("select county_id, count(*) as n from cards group by all")
-def sink_zip(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest's lines written compressed and read again."""
-    folder = new_path(spark, "lines")
-    records.export_csv(T.write_cards(base.cards(spark, d)), folder, "gzip")
-    cards = T.read_cards(spark.read.text(folder))
-    return cards.groupBy(F.split("id", "[.]")[0].cast("int").alias("county_id")).agg(F.count("*").alias("n"))
-
-
 @R.add("select 'contests' as name, count(*) as n from contests union all select 'cards', count(*) from cards union all select 'assertions', count(*) from asn")
 def sink_election_record(spark: SparkSession, d: str) -> DataFrame:
     """Tables of an election record, committed in order."""

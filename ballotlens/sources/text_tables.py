@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotlens.sources.vendor import line_cells as vendor_cells
+
 INTS = "array<int>"
 
 
@@ -84,7 +86,7 @@ def read_pools(lines: DataFrame, order: str = "line_no") -> DataFrame:
     own = Window.partitionBy("p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda i, kind: F.last(F.when(_cell(i) != "", _cell(i)).cast(kind), ignorenulls=True).over(own)
     number = lambda i: _cell(i).cast("bigint")
-    tally = F.map_from_entries(F.transform(F.filter(F.slice("c", 14, 100000), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.trim(F.split(x, ":")[0]), F.trim(F.split(x, ":")[1]).cast("bigint"))))
+    tally = F.map_from_entries(F.transform(F.filter(F.slice("c", 14, F.size("c")), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.trim(F.split(x, ":")[0]), F.trim(F.split(x, ":")[1]).cast("bigint"))))
     return rows.select(
         F.col("p").alias("pool_id"), last(1, "string").alias("pool_name"), (last(2, "string") == "true").alias("has_exact"), last(3, "bigint").alias("total_cards"),
         _cell(4).cast("int").alias("contest_id"), _cell(5).cast("int").alias("vote_for"), number(7).alias("ncards"), number(8).alias("novote"), number(9).alias("undervotes"), number(10).alias("overvotes"), number(11).alias("nphantoms"), (_cell(12) == "yes").alias("is_irv"), tally.alias("tally"),
@@ -109,7 +111,7 @@ def write_pools(pools: DataFrame) -> DataFrame:
 def read_ranked(lines: DataFrame) -> DataFrame:
     """contest_id, ballot_id and prefs of the ballot lines; the count and the Contest lines are skipped."""
     rows = lines.select(F.split("value", ",").alias("c")).where((F.size("c") >= 2) & _cell(0).rlike("^[0-9]+$") & _cell(1).rlike("^[0-9]+$"))
-    prefs = F.transform(F.filter(F.slice("c", 3, 100000), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
+    prefs = F.transform(F.filter(F.slice("c", 3, F.size("c")), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
     return rows.select(_cell(0).cast("int").alias("contest_id"), _cell(1).cast("int").alias("ballot_id"), prefs.alias("prefs"))
 
 
@@ -140,7 +142,8 @@ def read_named(spark, path: str, columns: dict[str, tuple[tuple[str, ...], str]]
 STATEMENT_OF_VOTES = {"precinct_code": (("Precinct Code", "Precinct"), "text"), "precinct_number": (("Precinct Number",), "text"), "contest_title": (("Contest Title", "Contest"), "text"), "choice_name": (("Choice Name", "Choice", "Candidate"), "text"), "active_voters": (("Active Voters",), "whole"), "total_ballots": (("Total Ballots", "Ballots"), "whole"), "total_votes": (("Total Votes", "Votes"), "whole"), "total_undervotes": (("Total Undervotes", "Undervotes", "Round 1 Undervotes"), "whole"), "total_overvotes": (("Total Overvotes", "Overvotes"), "whole")}
 ROUND_CONTEST = {"contest_name": (("contest_name",), "text"), "audit_reason": (("audit_reason",), "text"), "winners_allowed": (("winners_allowed",), "whole"), "ballot_card_count": (("ballot_card_count",), "whole"), "contest_ballot_card_count": (("contest_ballot_card_count",), "whole"), "min_margin": (("min_margin",), "whole"), "risk_limit": (("risk_limit",), "double"), "gamma": (("gamma",), "double"), "optimistic_samples": (("optimistic_samples_to_audit",), "whole"), "estimated_samples": (("estimated_samples_to_audit",), "whole")}
 COUNTY_TABULATION = {"county_name": (("county_name",), "text"), "contest_name": (("contest_name",), "text"), "choice": (("choice",), "text"), "votes": (("votes",), "whole")}
-MVR_COMPARISON = {"county_name": (("county_name",), "text"), "contest_name": (("contest_name",), "text"), "imprinted_id": (("imprinted_id",), "text"), "ballot_type": (("ballot_type",), "text"), "choice_per_cvr": (("choice_per_voting_computer", "cvr_choice"), "text"), "choice_per_audit": (("choice_per_audit_board", "mvr_choice"), "text"), "consensus": (("did_audit_board_agree", "consensus"), "text"), "record_type": (("record_type",), "text"), "audit_reason": (("audit_reason",), "text")}
+MVR_COMPARISON = {"county_name": (("county_name",), "text"), "contest_name": (("contest_name",), "text"), "imprinted_id": (("imprinted_id",), "text"), "ballot_type": (("ballot_type",), "text"), "choice_per_cvr": (("choice_per_voting_computer", "cvr_choice"), "text"), "choice_per_audit": (("choice_per_audit_board", "audit_board_selection", "mvr_choice"), "text"), "cvr_id": (("cvr_id",), "whole"), "consensus": (("did_audit_board_agree", "consensus"), "text"), "record_type": (("record_type",), "text"), "audit_reason": (("audit_reason",), "text")}
+IMAGE_AUDIT = {"county": (("County",), "text"), "contest_id": (("Contest Id",), "int"), "contest": (("Contest",), "text"), "detail_id": (("Detail Id",), "text"), "detail_name": (("Detail",), "text"), "org_count": (("Original Count",), "whole"), "audit_count": (("Audit Count",), "whole"), "diff_count": (("Difference",), "whole")}
 CANONICAL_LIST = {"county_name": (("CountyName", "county_name"), "text"), "contest_name": (("ContestName", "contest_name"), "text"), "choices": (("ContestChoices", "choices"), "text")}
 
 
@@ -149,6 +152,49 @@ def canonical_choices(rows: DataFrame) -> DataFrame:
     return rows.select("county_name", "contest_name", F.explode(F.split("choices", r"\s*,\s*")).alias("choice")).distinct()
 
 
+def image_audit(rows: DataFrame) -> DataFrame:
+    """county (without the word), contest_id, detail_id, detail_name and the three counts, 0 where the first is missing."""
+    some = lambda c: F.when(F.col("org_count").isNull(), 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c)
+    return rows.select(F.trim(F.regexp_replace("county", "County", "")).alias("county"), "contest_id", F.trim("detail_id").alias("detail_id"), F.trim("detail_name").alias("detail_name"), some("org_count"), some("audit_count"), some("diff_count"))
+
+
+def plain_name(text: Column) -> Column:
+    """A name without commas and quotes; doubled quotes are one apostrophe."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, '""', "'"), '[",]', ""))
+
+
+def read_batch_manifest(lines: DataFrame, name_first: bool = False) -> DataFrame:
+    """file_name, batch, kind and nballots. lines: file_name and value, without the header; name_first: the columns are name, ballots, kind."""
+    c = vendor_cells(F.col("value"))
+    at = (0, 1, 2) if name_first else (1, 2, 0)
+    return lines.select("file_name", plain_name(F.get(c, F.lit(at[0]))).alias("batch"), F.trim(F.get(c, F.lit(at[2]))).alias("kind"), F.trim(F.get(c, F.lit(at[1]))).try_cast("bigint").alias("nballots")).where("batch <> ''")
+
+
+def read_batch_totals(lines: DataFrame) -> DataFrame:
+    """file_name, batch, contest, choice and votes of wide totals whose headings are "contest - choice".
+
+    lines: file_name, line_no (1 is the header) and value. Empty cells, as after a comma at the end, are skipped; a file's
+    header stands beside each of its lines, so that files may have other contests.
+    """
+    c = vendor_cells(F.col("value"))
+    heads = lines.where("line_no = 1").groupBy("file_name").agg(F.first(F.slice(c, 2, F.size(c))).alias("heads"))
+    rows = lines.where("line_no > 1").join(heads, "file_name").select("file_name", plain_name(F.get(c, F.lit(0))).alias("batch"), F.explode(F.arrays_zip(F.col("heads").alias("h"), F.slice(c, 2, F.size(c)).alias("v"))).alias("p"))
+    title = plain_name(F.col("p.h"))
+    part = lambda i: F.trim(F.regexp_extract(title, r"^(.*)-([^-]*)$", i))
+    return rows.where("coalesce(p.h, '') <> '' and coalesce(p.v, '') <> ''").select("file_name", "batch", part(1).alias("contest"), part(2).alias("choice"), whole(F.col("p.v")).alias("votes"))
+
+
+def read_parties(lines: DataFrame) -> DataFrame:
+    """party_id and party, from lines "number, name"; a name may hold commas. Lines without a number are skipped."""
+    return lines.where(F.col("value").rlike(r"^\s*\d+\s*,")).select(F.trim(F.regexp_extract("value", r"^\s*(\d+)", 1)).cast("int").alias("party_id"), F.trim(F.regexp_extract("value", r"^[^,]*,(.*)$", 1)).alias("party"))
+
+
+def read_kingdom(lines: DataFrame) -> DataFrame:
+    """constituency, seats and votes, from lines "name; seats; votes". Other lines, as the header, are skipped."""
+    c = F.split("value", ";")
+    return lines.select(F.trim(c[0]).alias("constituency"), F.trim(F.get(c, F.lit(1))).try_cast("int").alias("seats"), F.trim(F.get(c, F.lit(2))).try_cast("bigint").alias("votes")).where("seats is not null and votes is not null")
+
+
 def unpivot_candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, contest, choice and votes, from a wide table whose other headings are "contest - choice"."""
     wide = [c for c in rows.columns if c not in keys and " - " in c]

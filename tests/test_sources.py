@@ -5,7 +5,6 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ballotlens.functions.csvline import cells
 from ballotlens.sources import records
 from ballotlens.sources import text_tables as T
 from ballotlens.sources import vendor
@@ -60,17 +59,49 @@ HEAD = ["Test,5.10", ',,,,"Mayor (Vote For=1)","Mayor (Vote For=1)","Mayor (Vote
 
 def test_wide_export(spark):
     schema = vendor.WideSchema(HEAD)
-    assert schema.heads == ["CvrNumber", "TabulatorNum", "ImprintedId", "BallotType"] and [c["vote_for"] for c in schema.contests] == [1, 1] and schema.contests[1]["choices"] == ["P", "Q"] and schema.contests[0]["name"] == "Mayor"
-    lines = ["1,2,a,t,1,0,0,0,1,1,0", "2,2,b,t,0,0,1,,,,", "3,2,c,t,,,,0,0,0,0"]
-    rows = spark.createDataFrame([(int(x.split(",")[0]), cells(x)) for x in lines], "nr int, cells array<string>")
-    got = {(r.nr, r.contest_id): r.cands for r in vendor.wide_votes(rows, schema, ["nr"]).collect()}
-    assert got == {(1, 1): [1], (1, 2): [2, 1], (2, 1): [], (3, 2): []}
+    assert schema.heads == ["CvrNumber", "TabulatorNum", "ImprintedId", "BallotType"] and schema.contests[1]["choices"] == ["P", "Q"]
+    body = ["1,2,a,t,1,0,0,0,1,1,0", '="2",="2",b,"t ""x""",0,0,1,,,,', "3,2,c,t,,,,0,0,0,0", "Redacted and summed,,,t,5,7,0,,,,", "RCV Redacted,,,t,,,,1,0,0,1", ",,,u,1,0,0,,,,", "4,2,d,t, x ,X,X,,,,", "5,2,e,t,*,*,*,,,,"]
+    lines = spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(HEAD + body)] + [("short", 1, "x")], "file_name string, line_no int, value string")
+    meaning = vendor.wide_meaning(lines)
+    rows = vendor.wide_rows(lines, meaning)
+    assert [r.why for r in rows.orderBy("line_no").collect()] == [None, None, None, "Redacted", "RCV Redacted", "empty", "x", "*"]
+    second = rows.where("line_no = 6").collect()[0]
+    assert (second.cvr_number, second.tabulator, second.ballot_type, second.precinct) == ("2", "2", 't "x"', None)
+    got = {(r.line_no, r.contest): r.cands for r in vendor.wide_votes(rows, ["line_no"]).collect()}
+    assert got == {(5, 1): [1], (5, 2): [2, 1], (6, 1): [], (7, 2): [], (9, 2): [1, 2]}
+    groups = {(r.ballot_type, r.cand): r.nvotes for r in vendor.redacted_groups(rows, ["ballot_type"]).where("nvotes > 0").collect()}
+    assert groups == {("t", 1): 5, ("t", 2): 7, ("u", 1): 1}
+    names = {r.contest: (r.name, r.vote_for, r.ranks) for r in vendor.contest_names(meaning).collect()}
+    assert names == {1: ("Mayor", 1, 0), 2: ("Rank", 1, 2)}
+
+
+def test_boxes_layout(spark):
+    lines = [',,,,,,,,"Mayor (Vote For=2)","Mayor (Vote For=2)"', "RowNumber,Tabulator,BoxID,BoxPosition,BallotID,CG,PrecinctID,BallotStyleID,Ann,Write-in", "1,,VBM-1,7,VBM-1+7,All,17,3,1,1"]
+    df = spark.createDataFrame([("g", i + 1, v) for i, v in enumerate(lines)], "file_name string, line_no int, value string")
+    rows = vendor.wide_rows(df, vendor.wide_meaning(df, vendor.BOXES), vendor.BOXES)
+    r = rows.collect()[0]
+    assert (r.cvr_number, r.batch_id, r.record_id, r.ballot_type, r.tabulator) == ("1", "VBM-1", "7", "3", None)
+    assert [(r.contest, r.cands) for r in vendor.wide_votes(rows, []).collect()] == [(1, [1])]
+
+
+def test_leading_equals(spark):
+    assert [r.x for r in spark.createDataFrame([('="5"',), ("a=b",), (None,)], "c string").select(vendor.leading_equals(F.col("c")).alias("x")).collect()] == ["5", "a=b", None]
 
 
-def test_redaction_and_equals(spark):
-    df = spark.createDataFrame([("Redacted 1", "0"), ("RCV Redacted", ""), ("", "1"), (None, "1"), ("12", " * "), ("X", "0"), ("12", "1")], "a string, v string")
-    assert [r.w for r in df.select(vendor.redaction(F.col("a"), F.col("v")).alias("w")).collect()] == ["Redacted", "RCV Redacted", "empty", "empty", "star", "X", None]
-    assert [r.x for r in spark.createDataFrame([('="5"',), ("a=b",), (None,)], "c string").select(vendor.leading_equals(F.col("c")).alias("x")).collect()] == ["5", "a=b", None]
+def test_batches(spark):
+    lines = [(1, 'Batch,"Governor - Ann B-C","Judge, East - Cy",'), (2, '"Box, 1","1,200",3,'), (3, "Box 2,,x,")]
+    got = {tuple(r) for r in T.read_batch_totals(spark.createDataFrame([("f", n, v) for n, v in lines], "file_name string, line_no int, value string")).select("batch", "contest", "choice", "votes").collect()}
+    assert got == {("Box 1", "Governor - Ann B", "C", 1200), ("Box 1", "Judge East", "Cy", 3), ("Box 2", "Judge East", "Cy", None)}
+    m = T.read_batch_manifest(spark.createDataFrame([("f", 'mail,"Box, 1", 40'), ("f", ",,")], "file_name string, value string")).collect()
+    assert [(r.batch, r.kind, r.nballots) for r in m] == [("Box 1", "mail", 40)]
+
+
+def test_zip_of_many_parts(spark, tmp_path):
+    df = spark.range(1000).selectExpr("cast(id as string) as value").repartition(3)
+    records.write_zip(df, str(tmp_path / "z"), "lines.csv", most=100)
+    back = records.unzip_lines(spark, str(tmp_path / "z") + "/*.zip")
+    assert {r.value for r in back.collect()} == {str(i) for i in range(1000)} and len(list((tmp_path / "z").glob("*.zip"))) >= 10
+    records.write_zip(df.limit(0), str(tmp_path / "none"), "x.csv")
 
 
 def test_records(spark, tmp_path):
