@@ -9,6 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-5
+#: Rates of each error per fuzzed card, by the number of candidates (more than 10 as 10, fewer than 2 as 2). Fixed values.
+FUZZ_RATES = {
+    2: {"win-los": 0.21339818181818182, "win-oth": 0.2664109090909091, "oth-los": 0.2664109090909091, "los-oth": 0.2591127272727273, "oth-win": 0.2591127272727273, "los-win": 0.20853636363636363},
+    3: {"win-los": 0.13128727272727272, "win-oth": 0.3697027272727273, "oth-los": 0.3697027272727273, "los-oth": 0.26815272727272726, "oth-win": 0.26815272727272726, "los-win": 0.0780790909090909},
+    4: {"win-los": 0.08808363636363636, "win-oth": 0.3794666666666667, "oth-los": 0.3794666666666667, "los-oth": 0.23896242424242425, "oth-win": 0.23896242424242425, "los-win": 0.04194484848484849},
+    5: {"win-los": 0.062468636363636365, "win-oth": 0.3578081818181818, "oth-los": 0.3578081818181818, "los-oth": 0.20814772727272726, "oth-win": 0.20814772727272726, "los-win": 0.025486818181818183},
+    6: {"win-los": 0.048581454545454546, "win-oth": 0.3369643636363636, "oth-los": 0.3369643636363636, "los-oth": 0.19450036363636364, "oth-win": 0.19450036363636364, "los-win": 0.02000618181818182},
+    7: {"win-los": 0.039082121212121214, "win-oth": 0.32060333333333335, "oth-los": 0.32060333333333335, "los-oth": 0.16815060606060606, "oth-win": 0.16815060606060606, "los-win": 0.013656969696969697},
+    8: {"win-los": 0.03302077922077922, "win-oth": 0.30717766233766236, "oth-los": 0.30717766233766236, "los-oth": 0.15172103896103897, "oth-win": 0.15172103896103897, "los-win": 0.010150649350649351},
+    9: {"win-los": 0.028155909090909093, "win-oth": 0.29654977272727273, "oth-los": 0.29654977272727273, "los-oth": 0.14481227272727273, "oth-win": 0.14481227272727273, "los-win": 0.008987727272727272},
+    10: {"win-los": 0.02313131313131313, "win-oth": 0.2760222222222222, "oth-los": 0.2760222222222222, "los-oth": 0.1349258585858586, "oth-win": 0.1349258585858586, "los-win": 0.007379595959595959},
+}
 
 
 def mean_under_null(n: Column, total: Column, before: Column) -> Column:
@@ -44,6 +56,20 @@ def kaplan_markov(n: Column, o1: Column, o2: Column, u1: Column, u2: Column, gam
     return F.least(F.lit(1.0), F.pow(1 - 1 / big, n) * F.pow(1 - 1 / (2 * g), -o1) * F.pow(1 - 1 / g, -o2) * F.pow(1 + 1 / (2 * g), -u1) * F.pow(1 + 1 / g, -u2))
 
 
+def agrapa(j: Column, mean: Column, variance: Column, mu: Column, first: float, c0: float, c_most: float, grow: float) -> Column:
+    """The approximate growth-rate bet from the mean and variance of the samples before, kept between 0 and c / mu, where c grows from c0 to c_most; the first bet is given."""
+    gap = mean - mu
+    c = c0 + (c_most - c0) * (1 - 1 / (1 + grow * F.sqrt(j)))
+    return F.when(j == 0, F.lit(first)).otherwise(F.greatest(F.lit(0.0), F.least(F.try_divide(gap, variance + gap * gap), F.try_divide(c, mu))))
+
+
+def optimal_comparison(upper: Column, rate2: float, mu: Column) -> Column:
+    """The bet that is optimal if two-vote overstatements at the given rate are the only errors: a constant estimate of the mean as a bet."""
+    p0 = 1 - max(rate2, 1e-5)
+    eta = (1 - upper * p0) / (2 - 2 * upper) + upper * p0 - 0.5
+    return eta_to_lambda(eta, mu, upper)
+
+
 def samples_with_errors(alpha: float, bet: Column, noerr: Column, p0: Column, terms: list[tuple[Column, Column]]) -> Column:
     """ceil(-ln(alpha) / (p0 ln(1 + b (noerror - 1/2)) + sum of rate * ln(1 + b (value - 1/2))))."""
     gain = p0 * F.log(1 + bet * (noerr - 0.5))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import count
 
@@ -176,9 +178,9 @@ def irv_count(ballots: DataFrame) -> DataFrame:
 
 def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list[tuple[str, int, int, tuple[int, ...], float]]:
     """A set of assertions that rules out every other winner, by the published branch-and-bound method:
-    (kind "NEB" or "NEN", winner, loser, candidates still standing for NEN, margin), least total effort (largest 1 / margin first).
+    (kind "NEB" or "NEN", winner, loser, candidates still standing for NEN, margin), at the least difficulty of the hardest.
 
-    Elimination orders are grown from their end; each suffix is ruled out by its cheapest assertion, and
+    Of the assertions found, as few are kept as a greedy choice needs to rule out every suffix (see ``few_assertions``). Elimination orders are grown from their end; each suffix is ruled out by its cheapest assertion, and
     the most expensive suffix is expanded while that can lower the largest difficulty. An outcome that no assertion
     can rule out (a tie) gives an empty list.
     """
@@ -197,6 +199,7 @@ def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list
 
     whole = first(frozenset(cands))
 
+    @lru_cache(maxsize=None)
     def neb(w: int, x: int) -> float:
         mentions = sum(k for p, k in prefs if x in p and (w not in p or p.index(x) < p.index(w)))
         return (whole[w] - mentions) / n
@@ -255,4 +258,89 @@ def raire(prefs: list[tuple[tuple[int, ...], int]], winner: int, n: int) -> list
                 grow(kid, *mine)
     if any(c == np.inf for c, _ in done.values()):
         return []
-    return sorted({a for _, a in done.values()}, key=lambda a: (a[4], a))
+    return few_assertions({suffix: a for suffix, (_, a) in done.items()})
+
+
+def rules_out(assertion: tuple, suffix: tuple[int, ...]) -> bool:
+    """Whether an assertion contradicts every elimination order that ends in the suffix (its first goes out first, its last wins)."""
+    kind, winner, loser, standing, _ = assertion
+    if kind == "NEB":  # the winner is not out before the loser
+        return loser in suffix and (winner not in suffix or suffix.index(winner) < suffix.index(loser))
+    return winner in suffix and set(suffix[suffix.index(winner) :]) == set(standing)  # it is not the next to go while these stand
+
+
+def few_assertions(found: dict[tuple[int, ...], tuple]) -> list[tuple]:
+    """A subset of the assertions found for suffixes that still rules out each of them.
+
+    One "not eliminated before" takes the place of every "not eliminated next" of the same pair; then, as long as a
+    suffix is left, the assertion that rules out most of them is kept (ties: the easier one), and what others rule out is dropped.
+    """
+    pool = set(found.values())
+    pairs = {(a[1], a[2]): a for a in pool if a[0] == "NEB"}
+    pool = {pairs.get((a[1], a[2]), a) for a in pool}
+    covers = {a: {s for s in found if rules_out(a, s)} for a in pool}
+    left, kept = set(found), []
+    while left:
+        a = max(covers, key=lambda a: (len(covers[a] & left), a[4], a))
+        kept.append(a)
+        left -= covers[a]
+    for a in sorted(kept, key=lambda a: a[4]):  # the hardest first
+        if set().union(*[covers[b] for b in kept if b is not a]) >= set(found):
+            kept.remove(a)
+    return sorted(kept, key=lambda a: (a[4], a))
+
+
+# --- seats under risk ------------------------------------------------------------------------------
+
+
+def seat_failures(votes: dict[int, int], seats: int, npop: int, min_fraction: float, risk_of: Callable[[float], float], limit: float = 0.05) -> tuple[dict[int, int], list[tuple[int, int, int, int]]]:
+    """Reported seats of each party, and the seats that are not safe: (winner, its divisor, loser, its divisor) of each
+    assertion whose risk is above the limit, in the reported outcome or in one that follows if others fail.
+
+    A failed assertion flips one seat, which gives another outcome with assertions of its own; these are looked at breadth
+    first, each pair of scores once, in whichever direction. A party so near to the least share that this is not safe
+    gives outcomes in which it is on the other side, one party at a time. risk_of: the risk left at a comparison value.
+    """
+    valid = sum(votes.values())
+
+    def assign(eligible: set[int]) -> dict[int, int]:
+        scores = sorted(((votes[p] / d, -d, -p) for p in eligible for d in range(1, seats + 1)), reverse=True)[:seats]
+        won = dict.fromkeys(votes, 0)
+        for _, _, p in scores:
+            won[-p] += 1
+        return won
+
+    def noerror(mean: float, upper: float) -> float:
+        return 1 / (2 - (2 * mean - 1) / upper)
+
+    def failing(won: dict[int, int], eligible: set[int]) -> list[tuple[int, int, int, int]]:
+        out = []
+        for a in sorted(eligible):
+            for b in sorted(eligible):
+                last, first = won[a], won[b] + 1
+                if a != b and last > 0 and first <= seats:
+                    mean = 0.5 + (votes[a] / last - votes[b] / first) * first / 2 / npop
+                    if risk_of(noerror(mean, (first / last + 1) / 2)) > limit:
+                        out.append((a, last, b, first))
+        return out
+
+    def other_side(eligible: set[int]) -> Iterator[set[int]]:
+        for p in sorted(votes):
+            gain, mine = votes[p] / (2 * min_fraction), p in eligible
+            mean = ((gain if mine else (valid - votes[p]) / (2 * (1 - min_fraction))) + (npop - valid) * 0.5) / npop
+            if risk_of(noerror(mean, 1 / (2 * min_fraction) if mine else 1 / (2 * (1 - min_fraction)))) > limit:
+                yield eligible ^ {p}
+
+    start = {p for p, v in votes.items() if v >= min_fraction * valid}
+    reported = assign(start)
+    done: set[frozenset] = set()
+    queue = [(reported, start)] + ([(assign(e), e) for e in other_side(start) if e] if min_fraction > 0 else [])
+    out = []
+    for won, eligible in queue:
+        for a, last, b, first in failing(won, eligible):
+            pair = frozenset(((a, last), (b, first)))
+            if pair not in done:
+                done.add(pair)
+                out.append((a, last, b, first))
+                queue.append((won | {a: won[a] - 1, b: won[b] + 1}, eligible))
+    return reported, out

@@ -4,13 +4,14 @@ the errors alone where it needs their order."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballotlens.functions import betting
-from ballotlens.operators import prefix
+from ballotlens.operators import outcome, prefix
 
 
 def running(samples: DataFrame, keys: list[str], order: str, value: str, bucket: Column | None = None) -> DataFrame:
@@ -109,28 +110,51 @@ def needed_samples(assertions: DataFrame, alpha: float, max_loss: float = 0.9) -
     return assertions.mapInPandas(run, schema)
 
 
-def risk_left(assertions: DataFrame, max_loss: float = 0.9) -> DataFrame:
-    """assertions (with npop, noerror and n) with risk: the p-value after n + 1 error-free factors, 0 once the null mean is used up."""
-    schema = T.StructType([*assertions.schema.fields, T.StructField("risk", T.DoubleType())])
+#: The usual constant bet. Fixed value.
+STANDARD_BET = 2 / 1.03905
+
+
+def left_after(noerr: float, npop: int, n: int, bet: float = STANDARD_BET) -> float:
+    """The p-value after n + 1 samples without errors under a constant bet; the null mean counts the sample at hand."""
+    log_t = 0.0
+    for begin in range(1, min(n + 1, npop - 1) + 1, 1 << 20):
+        j = np.arange(begin, min(n + 1, npop - 1, begin + (1 << 20) - 1) + 1)
+        factor = 1 + bet * (noerr - (npop * 0.5 - noerr * j) / (npop - j))
+        if (factor <= 0).any():
+            return 1.0
+        log_t += float(np.log(factor).sum())
+    return float(np.exp(-log_t)) if log_t > -700 else np.inf
 
-    def left(noerr: float, npop: int, n: int) -> float:
-        log_t = 0.0
-        for begin in range(1, n + 2, 1 << 20):
-            j = np.arange(begin, min(n + 1, begin + (1 << 20) - 1) + 1)
-            mu = np.where(j < npop, (npop * 0.5 - noerr * j) / np.maximum(npop - j, 1), 0.0)
-            if (mu <= 0).any():
-                return 0.0
-            log_t += float(np.log1p(max_loss / mu * (noerr - mu)).sum())
-        return float(np.exp(-log_t))
+
+def risk_left(assertions: DataFrame, bet: float = STANDARD_BET) -> DataFrame:
+    """assertions (with npop, noerror and n) with risk: see ``left_after``."""
+    schema = T.StructType([*assertions.schema.fields, T.StructField("risk", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
-            pdf["risk"] = [left(ne, int(npop), int(n)) for ne, npop, n in zip(pdf["noerror"], pdf["npop"], pdf["n"])]
+            pdf["risk"] = [left_after(ne, int(npop), int(n), bet) for ne, npop, n in zip(pdf["noerror"], pdf["npop"], pdf["n"])]
             yield pdf
 
     return assertions.mapInPandas(run, schema)
 
 
+def seat_failures(parties: DataFrame, sizes: DataFrame, seats: int, min_fraction: float, limit: float = 0.05) -> DataFrame:
+    """contest_id, cand, reported, and failures, an array of (winner, last, loser, first) of the seats of that contest that are not safe.
+
+    parties: contest_id, cand, nvotes; sizes: contest_id, npop and n (samples). See ``outcome.seat_failures``. A contest's parties are one group.
+    """
+    schema = "contest_id int, cand int, reported int, failures array<struct<winner: int, last: int, loser: int, first: int>>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        npop, n = int(pdf["npop"].iloc[0]), int(pdf["n"].iloc[0])
+        votes = {int(c): int(v) for c, v in zip(pdf["cand"], pdf["nvotes"])}
+        reported, failures = outcome.seat_failures(votes, seats, npop, min_fraction, lambda ne: left_after(ne, npop, n), limit)
+        rows = [dict(zip(("winner", "last", "loser", "first"), f)) for f in failures]
+        return pd.DataFrame({"contest_id": pdf["contest_id"].iloc[0], "cand": list(reported), "reported": list(reported.values()), "failures": [rows] * len(reported)})
+
+    return parties.join(sizes, "contest_id").groupBy("contest_id").applyInPandas(run, schema)
+
+
 def polling_trial(rng: np.random.Generator, winner_votes: int, loser_votes: int, npop: int, alpha: float, used: int = 0, total: float = 0.0, p_last: float = 1.0) -> int:
     """New cards until a polling audit of a shuffled electorate rejects (all that are left if never).
 

@@ -27,14 +27,36 @@ def simulate_pool(places: DataFrame, counts: DataFrame, seed: int, keys: tuple[s
 
 
 def fuzz(votes: DataFrame, candidates: DataFrame, percent: float, seed: int) -> DataFrame:
-    """votes (card_key, contest_id, cands) of which the given share of cards has another mark: fuzzed (array) beside cands.
+    """votes (card_key, contest_id, cands and ranked) of which the given share of cards is changed: fuzzed (array) beside cands.
 
-    A chosen ballot of a contest gets one candidate of the contest other than its first mark, or none.
+    A chosen ballot of a contest gets one candidate of the contest other than its first mark, or none. A ranked one has two
+    neighbours swapped, or all ranks cleared, or a candidate added at the end; where there is nothing to swap, one is added.
     """
     lists = candidates.groupBy("contest_id").agg(F.sort_array(F.collect_set("cand")).alias("known"))  # a contest has few candidates
     luck = lambda salt: F.pmod(F.xxhash64("card_key", "contest_id", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
+    none = F.array().cast("array<int>")
     others = F.filter("known", lambda c: ~F.coalesce(c == F.get("cands", F.lit(0)), F.lit(False)))
+    out = votes.join(lists, "contest_id").withColumn("others", others).withColumn("free", F.array_except("known", "cands"))
     pick = F.floor(luck(2) * (F.size("others") + 1)).cast("int")
-    out = votes.join(lists, "contest_id").withColumn("others", others).withColumn("pick", pick)
-    other = F.when(F.col("pick") >= F.size("others"), F.array().cast("array<int>")).otherwise(F.array(F.get("others", F.col("pick"))))
-    return out.withColumn("fuzzed", F.when(luck(1) < percent, other).otherwise(F.col("cands"))).drop("others", "pick", "known")
+    other = F.when(pick >= F.size("others"), none).otherwise(F.array(F.get("others", pick)))
+    at = F.floor(luck(4) * (F.size("cands") - 1)).cast("int")
+    swapped = F.transform("cands", lambda c, i: F.when(i == at, F.get("cands", i + 1)).when(i == at + 1, F.get("cands", i - 1)).otherwise(c))
+    longer = F.when(F.size("free") > 0, F.concat("cands", F.array(F.get("free", F.floor(luck(5) * F.size("free")).cast("int"))))).otherwise(F.col("cands"))
+    ranked = F.when(luck(3) < 1 / 3, none).when((luck(3) < 2 / 3) & (F.size("cands") > 1), swapped).otherwise(longer)
+    changed = F.when(F.coalesce("ranked", F.lit(False)) if "ranked" in votes.columns else F.lit(False), ranked).otherwise(other)
+    return out.withColumn("fuzzed", F.when(luck(1) < percent, changed).otherwise(F.col("cands"))).drop("others", "free", "known")
+
+
+def make_election(spec: DataFrame, seed: int) -> DataFrame:
+    """contest_id, card_no, phantom and cands of made-up contests with exact totals.
+
+    spec: contest_id, ncards, nphantoms, nundervotes and candidates (an array of cand and nvotes). Of a contest's cards, in
+    an order shuffled by hash, the first hold the first candidate's votes and so on, then come undervotes, then phantoms; whatever
+    is left over of ncards is undervotes. Totals beyond ncards are cut.
+    """
+    cards = spec.select("*", F.explode(F.sequence(F.lit(1), F.col("ncards").cast("int"))).alias("card_no")).where("ncards > 0")
+    at = F.aggregate("candidates", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("int").alias("cand")), lambda s, c: F.struct((s["upto"] + c["nvotes"]).alias("upto"), F.when(s["cand"].isNull() & (F.col("card_no") <= s["upto"] + c["nvotes"]), c["cand"]).otherwise(s["cand"]).alias("cand")))
+    phantom = F.col("card_no") > F.col("ncards") - F.col("nphantoms")
+    shuffled = F.xxhash64("contest_id", "card_no", F.lit(seed))
+    out = cards.select("contest_id", phantom.alias("phantom"), F.when(~phantom & at["cand"].isNotNull(), F.array(at["cand"])).otherwise(F.array().cast("array<int>")).alias("cands"), shuffled.alias("card_no"))
+    return out.select("contest_id", "card_no", "phantom", "cands")

@@ -10,9 +10,10 @@ from ballotlens.functions import betting
 from ballotlens.functions.prn import prn, prn_sql
 from ballotlens.operators import draws, outcome, pools, prefix, risk, simulate, tabulate
 from ballotlens.plans import base
-from ballotlens.plans.ballots import _B, _DHONDT, _seats, big, compared, r9
+from ballotlens.plans.ballots import _B, _DHONDT, MIN_FRACTION, SEATS, _seats, big, compared, r9
 from ballotlens.plans.base import Registry
 from ballotlens.scratch import written
+from ballotlens.tables import table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -328,15 +329,15 @@ def sample_size_with_errors(spark: SparkSession, d: str) -> DataFrame:
     return base.assertions(spark, d).where(gain > 0).select(*KEYS, n.cast("bigint").alias("n"))
 
 
-_LEFT = f""", drawn_n as (select contest_id, winner, loser, npop, noerror, least(npop, 20 + contest_id % 7)::bigint as n from asn), k as (select *, unnest(range(1, n + 2)) as j from drawn_n), mu as (select *, case when j < npop then (npop * 0.5 - noerror * j) / (npop - j) else 0 end as mu from k),
- left_risk as (select contest_id, winner, loser, case when min(mu) <= 0 then 0 else exp(-sum(case when mu > 0 then ln(1 + {MAX_LOSS} / mu * (noerror - mu)) else 0 end)) end as risk from mu group by all)"""
+_LEFT = f""", drawn_n as (select contest_id, winner, loser, npop, noerror, least(nc, 20 + contest_id % 7)::bigint as n from asn), k as (select *, unnest(range(1, least(n + 1, npop - 1) + 1)) as j from drawn_n),
+ left_risk as (select contest_id, winner, loser, exp(-sum(ln(1 + {risk.STANDARD_BET} * (noerror - (npop * 0.5 - noerror * j) / (npop - j))))) as risk from k group by all)"""
 
 
 @R.add(_LEFT + " select contest_id, winner, loser, round(risk, 6) as risk from left_risk")
 def est_risk(spark: SparkSession, d: str) -> DataFrame:
-    """The risk that is left after an error-free sample of a first round: the product over one factor more than samples, its bet as large as allowed."""
-    a = base.assertions(spark, d).select(*KEYS, "npop", "noerror").join(_wanted(spark, d), "contest_id")
-    return risk.risk_left(a, MAX_LOSS).select(*KEYS, r6(F.col("risk"), "risk"))
+    """The risk that is left after an error-free sample of a first round under the usual constant bet: the product over one factor more than samples."""
+    a = base.assertions(spark, d).where("npop > 1").select(*KEYS, "npop", "noerror").join(_wanted(spark, d), "contest_id")
+    return risk.risk_left(a).select(*KEYS, r6(F.col("risk"), "risk"))
 
 
 @R.add(_POLL + _decide("0.5").replace("select contest_id, winner, loser, samples", ", fin as (select contest_id, winner, loser, samples", 1) + ") select contest_id, bool_and(status = 'rejects_null') as done, count(*) as assertions, min(status) as worst from fin group by all")
@@ -427,17 +428,33 @@ def simulate_pool(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def fuzz_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Cards of each contest whose marks were changed by fuzzing one card in a hundred."""
-    v = base.plain(base.card_votes(spark, d), spark, d).select("card_key", "contest_id", "cands")
-    out = simulate.fuzz(v, base.card_tab(spark, d), 0.01, SEED)
-    return out.groupBy("contest_id").agg(F.count("*").alias("n"), F.count_if(F.col("fuzzed") != F.col("cands")).alias("changed"))
+    """Cards of each contest, ranked ones too, whose marks were changed by fuzzing one card in a hundred."""
+    v = base.card_votes(spark, d).join(base.contests(spark, d).select("contest_id", (F.col("num_ranks") > 0).alias("ranked")), "contest_id").select("card_key", "contest_id", "cands", "ranked")
+    known = v.select("contest_id", F.explode("cands").alias("cand")).distinct()
+    out = simulate.fuzz(v, known, 0.01, SEED)
+    return out.groupBy("contest_id", "ranked").agg(F.count("*").alias("n"), F.count_if(F.col("fuzzed") != F.col("cands")).alias("changed"))
 
 
-@R.add("select contest_id, pool_id, count(*) as ncards, sum(len(cands))::bigint as nvotes, (count(*) * any_value(vote_for) - sum(len(cands)))::bigint as undervotes, ((count(*) * any_value(vote_for)) // any_value(vote_for) - count(*))::bigint as missing from cv join contests using (contest_id) where pool_id is not null group by all")
+_SPEC = ", spec as (select contest_id, (200 + contest_id % 50)::bigint as ncards, ((200 + contest_id % 50) * (contest_id % 30) // 100)::bigint as under, (contest_id % 3)::bigint as phantoms from contests), sv as (select *, ncards - under - phantoms as valid from spec), sw as (select *, (valid * 102 + 199) // 200 as w from sv)"
+
+
+@R.add(_SPEC + " select contest_id, cand, n as nvotes from (select contest_id, unnest([1, 2]) as cand, unnest([w, valid - w])::bigint as n from sw) where n > 0 union all select contest_id, 0, phantoms from sw where phantoms > 0 union all select contest_id, -1, under from sw where under > 0")
+def synthetic_elections(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up contests with a margin of two per cent, undervotes and phantoms (0), tabulated again (-1: undervotes)."""
+    n = F.col("ncards") - F.col("nundervotes") - F.col("nphantoms")
+    spec = base.contests(spark, d).select("contest_id", (200 + F.col("contest_id") % 50).cast("bigint").alias("ncards"), (F.col("contest_id") % 3).cast("bigint").alias("nphantoms"), F.expr("(200 + contest_id % 50) * (contest_id % 30) div 100").alias("nundervotes"))
+    spec = spec.withColumn("w", F.floor((n * 102 + 199) / 200).cast("bigint")).withColumn("candidates", F.array(F.struct(F.lit(1).alias("cand"), F.col("w").alias("nvotes")), F.struct(F.lit(2).alias("cand"), (n - F.col("w")).alias("nvotes"))))
+    cand = F.when(F.col("phantom"), 0).when(F.size("cands") == 0, -1).otherwise(F.get("cands", F.lit(0)))
+    return simulate.make_election(spec, SEED).groupBy("contest_id", cand.alias("cand")).agg(F.count("*").alias("nvotes"))
+
+
+@R.add("select contest_id, pool_id, total_cards, nvotes, undervotes, total_cards - (nvotes + undervotes) // vote_for as missing from (select contest_id, pool_id, sum(len(cands))::bigint as nvotes, sum(greatest(vote_for - len(cands), 0))::bigint as undervotes, any_value(vote_for) as vote_for from cv join contests using (contest_id) where pool_id is not null group by all) join (select pool_id, count(*) as total_cards from cards group by all) using (pool_id)")
 def vunder(spark: SparkSession, d: str) -> DataFrame:
+    """Votes, undervotes and, of a pool's cards, how many lack the contest: all cards less (votes + undervotes) / vote_for."""
     v = base.card_votes(spark, d).where("pool_id is not null").join(base.contests(spark, d).select("contest_id", "vote_for"), "contest_id")
-    g = v.groupBy("contest_id", "pool_id").agg(F.count("*").alias("ncards"), F.sum(F.size("cands")).alias("nvotes"), F.max("vote_for").alias("f"))
-    return g.select("contest_id", "pool_id", "ncards", "nvotes", (F.col("ncards") * F.col("f") - F.col("nvotes")).alias("undervotes"), F.expr("(ncards * f) div f - ncards").alias("missing"))
+    g = v.groupBy("contest_id", "pool_id").agg(F.sum(F.size("cands")).alias("nvotes"), F.sum(F.greatest(F.col("vote_for") - F.size("cands"), F.lit(0))).alias("undervotes"), F.max("vote_for").alias("f"))
+    cards = base.cards(spark, d).where("pool_id is not null").groupBy("pool_id").agg(F.count("*").alias("total_cards"))
+    return g.join(cards, "pool_id").select("contest_id", "pool_id", "total_cards", "nvotes", "undervotes", F.expr("total_cards - (nvotes + undervotes) div f").alias("missing"))
 
 
 # --- pooled audits ---------------------------------------------------------------------------------
@@ -522,16 +539,18 @@ def v_prn_correct(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).select("card_key", F.coalesce(F.col("prn") == prn(SEED, F.col("card_index")), F.lit(False)).alias("correct"))
 
 
-@R.add("select county_id, card_key from (select county_id, card_key, card_index, row_number() over (partition by county_id order by card_index, card_key) - 1 as want from cards) where card_index <> want")
+@R.add("select county_id, card_key from (select county_id, card_key, card_index, row_number() over (partition by county_id order by card_index, card_key) - 1 as want from cards where card_key % 101 <> 0) where card_index <> want")
 def v_index_sequential(spark: SparkSession, d: str) -> DataFrame:
-    cards = base.cards(spark, d).select("county_id", "card_key", "card_index")
+    """Cards whose index is not their place, in a manifest from which one card in a hundred and one was lost: all that come after."""
+    cards = base.cards(spark, d).where("card_key % 101 <> 0").select("county_id", "card_key", "card_index")
     return prefix.place(cards, ["county_id"], ["card_index", "card_key"], prefix.index_bucket("card_index", base.card_rows(spark, d))).where("card_index <> place - 1").select("county_id", "card_key")
 
 
-@R.add("select card_key, style_id from cards anti join (select distinct style_id from xv) using (style_id)")
+@R.add("select card_key, style_id from cards anti join (select style_id from style_contests where style_id % 7 <> 0) using (style_id)")
 def v_style_exists(spark: SparkSession, d: str) -> DataFrame:
-    """Cards whose style no record of the export has."""
-    return base.cards(spark, d).join(base.cvrs(spark, d).select("style_id").distinct(), "style_id", "left_anti").select("card_key", "style_id")
+    """Cards whose style is not in the list of styles, from which those with a number divisible by seven were lost."""
+    styles = base.card_votes(spark, d).where("style_id % 7 <> 0").select("style_id").distinct()
+    return base.cards(spark, d).join(styles, "style_id", "left_anti").select("card_key", "style_id")
 
 
 @R.add("select contest_id, nc, npop, (nc - ncast)::bigint as phantoms, npop >= nc and nc >= ncast as in_order from totals")
@@ -556,18 +575,57 @@ def v_oa_votes(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("contest_id", "cand").agg(F.sum("nvotes").alias("nvotes"))
 
 
-@R.add("select contest_id, winner, loser from (select contest_id, winner, loser, reported_margin, avg((list_contains(cands, winner)::int - list_contains(cands, loser)::int + 1) * 0.5) as mean from (select contest_id, case when phantom then [] else cands end as cands from cv) join asn using (contest_id) group by all) where abs(2 * mean - 1 - reported_margin) > 1e-5")
+_CLAIMED = ", claimed as (select contest_id, winner, loser, reported_margin + case when winner % 5 = 0 then 0.01 else 0 end as margin from asn)"
+
+
+@R.add(_CLAIMED + " select contest_id, winner, loser from (select contest_id, winner, loser, margin, avg((list_contains(cands, winner)::int - list_contains(cands, loser)::int + 1) * 0.5) as mean from (select contest_id, case when phantom then [] else cands end as cands from cv) join claimed using (contest_id) group by all) where abs(2 * mean - 1 - margin) > 1e-5")
 def v_assort_avg(spark: SparkSession, d: str) -> DataFrame:
-    """Assertions whose margin is not what the mean of the assorter says (there should be none)."""
+    """Assertions whose margin is not what the mean of the assorter says; those of a winner divisible by five claim one per cent too much."""
     from ballotlens.plans.ballots import assort_avg
 
-    return assort_avg(spark, d).where(F.abs(F.col("mean") - F.col("expected")) > 1e-5).select(*KEYS)
+    claimed = F.col("expected") + F.when(F.col("winner") % 5 == 0, 0.005).otherwise(0.0)
+    return assort_avg(spark, d).where(2 * F.abs(F.col("mean") - claimed) > 1e-5).select(*KEYS)
+
+
+@R.add(_POOLS + _CLAIMED + """, x as (select c.contest_id, a.winner, a.loser, case when c.pool_id is not null then pool_avg when c.phantom then 0.5 else (list_contains(cands, a.winner)::int - list_contains(cands, a.loser)::int + 1) * 0.5 end as v from cv c join asn a using (contest_id) left join pa p on p.pool_id = c.pool_id and p.contest_id = c.contest_id and p.winner = a.winner and p.loser = a.loser)
+ select contest_id, winner, loser from (select contest_id, winner, loser, avg(v) as mean from x group by all) join claimed using (contest_id, winner, loser) where abs(2 * mean - 1 - margin) > 1e-5""")
+def v_oa_avg(spark: SparkSession, d: str) -> DataFrame:
+    """The same where pooled cards count their pool's average: phantoms in pools, whose marks the averages hold, show beside false claims."""
+    v = base.card_votes(spark, d).join(base.assertions(spark, d).select(*KEYS, "reported_margin"), "contest_id").join(_averages(spark, d).select(*pools.POOL, "pool_avg"), pools.POOL, "left")
+    value = F.when(F.col("pool_id").isNotNull(), F.col("pool_avg")).when(F.col("phantom"), 0.5).otherwise(A.plurality(F.col("cands"), F.col("winner"), F.col("loser")))
+    mean = v.groupBy(*KEYS, "reported_margin").agg(F.avg(value).alias("mean"))
+    claimed = F.col("reported_margin") + F.when(F.col("winner") % 5 == 0, 0.01).otherwise(0.0)
+    return mean.where(F.abs(2 * F.col("mean") - 1 - claimed) > 1e-5).select(*KEYS)
+
+
+@R.add(_POOLS + """, said as (select *, pool_avg + case when pool_id % 4 = 0 then 0.02 else 0 end as claim from pa)
+ select pool_id, contest_id, winner, loser from (select c.pool_id, c.contest_id, s.winner, s.loser, claim, avg((list_contains(cands, s.winner)::int - list_contains(cands, s.loser)::int + 1) * 0.5) as mean from cv c join said s on s.pool_id = c.pool_id and s.contest_id = c.contest_id group by all) where abs(mean - claim) > 1e-5""")
+def v_oa_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Pools whose stated average is not the mean of their cards; those of pools divisible by four state too much."""
+    said = _averages(spark, d).withColumn("claim", F.col("pool_avg") + F.when(F.col("pool_id") % 4 == 0, 0.02).otherwise(0.0)).select(*pools.POOL, "claim")
+    v = base.card_votes(spark, d).where("pool_id is not null").select("pool_id", "contest_id", "cands").join(said, ["pool_id", "contest_id"])
+    mean = v.groupBy(*pools.POOL, "claim").agg(F.avg(A.plurality(F.col("cands"), F.col("winner"), F.col("loser"))).alias("mean"))
+    return mean.where(F.abs(F.col("mean") - F.col("claim")) > 1e-5).select(*pools.POOL)
+
 
+_READ = """, own as (select style_id, list_sort(list(contest_id)) as possible from style_contests group by all),
+ mv as (select c.card_key, c.id, c.prn, c.card_index, case when card_key % 193 = 0 then c.id || 'x' else c.id end as mvr_id, case when card_key % 197 = 0 then c.prn + 1 else c.prn end as mvr_prn, case when card_key % 199 = 0 then card_index + 1 else card_index end as mvr_index,
+   list_concat(list_filter(map_keys(votes), lambda k: card_key % 211 <> 0 or k <> list_min(map_keys(votes))), case when card_key % 223 = 0 then [999999] else [] end) as has, coalesce(possible, []) as possible, map_keys(votes) as own_contests from cards c left join own using (style_id))"""
 
-@R.add("select card_key, contest_id, mvr is null as lacks_contest from pairs where mvr is null")
+
+@R.add(_READ + """ select card_key, fault from (select card_key, unnest(list_filter([case when mvr_id <> id then 'id' end, case when mvr_prn <> prn then 'prn' end, case when mvr_index <> card_index then 'index' end,
+  case when len(list_filter(has, lambda k: not list_contains(possible, k))) > 0 then 'contest not possible' end, case when len(list_filter(own_contests, lambda k: not list_contains(has, k))) > 0 then 'contest missing' end], lambda f: f is not null)) as fault from mv)""")
 def v_mvr_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Cards whose hand reading lacks a contest that the style demands."""
-    return base.pairs(spark, d).where("mvr is null").select("card_key", "contest_id", F.col("mvr").isNull().alias("lacks_contest"))
+    """What does not fit between cards and hand readings, of which some have another id, number or index, lack a contest of an
+    exact style, or hold one that the card's style does not have."""
+    own = base.card_votes(spark, d).groupBy("style_id").agg(F.collect_set("contest_id").alias("possible"))
+    k, keys = F.col("card_key"), F.map_keys("votes")
+    m = base.cards(spark, d).join(own, "style_id", "left").withColumn("possible", F.coalesce("possible", F.array().cast("array<int>")))
+    has = F.concat(F.when(k % 211 == 0, F.array_remove(keys, F.array_min(keys))).otherwise(keys), F.when(k % 223 == 0, F.array(F.lit(999999))).otherwise(F.array().cast("array<int>")))
+    m = m.withColumn("has", F.coalesce(has, keys)).withColumn("mvr_id", F.when(k % 193 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id"))).withColumn("mvr_prn", F.when(k % 197 == 0, F.col("prn") + 1).otherwise(F.col("prn"))).withColumn("mvr_index", F.when(k % 199 == 0, F.col("card_index") + 1).otherwise(F.col("card_index")))
+    fault = lambda c, n: F.when(c, F.lit(n))
+    found = F.array(fault(F.col("mvr_id") != F.col("id"), "id"), fault(F.col("mvr_prn") != F.col("prn"), "prn"), fault(F.col("mvr_index") != F.col("card_index"), "index"), fault(F.size(F.array_except("has", "possible")) > 0, "contest not possible"), fault(F.size(F.array_except(keys, F.col("has"))) > 0, "contest missing"))
+    return m.select("card_key", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("fault"))
 
 
 @R.add(_ROUND2 + " select prn, prn in (select prn from drawn2) as kept from drawn")
@@ -577,17 +635,44 @@ def v_round_prefix(spark: SparkSession, d: str) -> DataFrame:
     return consistent_sampling(spark, d).join(again, "prn", "left").select("prn", F.col("k").isNotNull().alias("kept"))
 
 
-@R.add("select description, count(*) as n from contests group by all having count(*) > 1")
+@R.add("select 'description' as what, description as value, count(*) as n from contests group by all having count(*) > 1 union all select 'candidate name', contest_id || '/' || description, count(distinct candidate_id) from candidate_manifest where deleted_at is null group by all, contest_id, description having count(distinct candidate_id) > 1".replace("group by all, contest_id, description", "group by contest_id, description"))
 def v_contest_unique(spark: SparkSession, d: str) -> DataFrame:
-    return base.contests(spark, d).groupBy("description").agg(F.count("*").alias("n")).where("n > 1")
+    """Names that more than one contest has, and names that more than one candidate of a contest has."""
+    a = base.contests(spark, d).groupBy(F.col("description").alias("value")).agg(F.count("*").alias("n")).select(F.lit("description").alias("what"), "value", "n")
+    k = table(spark, d, "candidate_manifest", "contest_id", "candidate_id", "description", "deleted_at").where("deleted_at is null")
+    b = k.groupBy("contest_id", "description").agg(F.countDistinct("candidate_id").alias("n")).select(F.lit("candidate name").alias("what"), F.concat("contest_id", F.lit("/"), "description").alias("value"), "n")
+    return a.unionByName(b).where("n > 1")
+
+
+@R.add(", said as (select contest_id, cand from ranked where is_winner union all select contest_id, 999999 from contests where contest_id % 11 = 0) select contest_id, case when count(*) filter (r.cand is null) > 0 then 'unknown winner' else 'too many winners' end as fault from said s left join ranked r using (contest_id, cand) join (select contest_id as cid, vote_for from contests) c on c.cid = s.contest_id group by contest_id having count(*) filter (r.cand is null) > 0 or count(*) > max(c.vote_for)")
+def v_winners(spark: SparkSession, d: str) -> DataFrame:
+    """Contests whose stated winners are no candidates of it or too many; those divisible by eleven state one that is not known."""
+    ranked = base.ranked(spark, d)
+    said = ranked.where("is_winner").select("contest_id", "cand").unionAll(base.contests(spark, d).where("contest_id % 11 = 0").select("contest_id", F.lit(999999).alias("cand")))
+    known = ranked.select("contest_id", "cand", F.lit(True).alias("known"))
+    per = said.join(known, ["contest_id", "cand"], "left").groupBy("contest_id").agg(F.count_if(F.col("known").isNull()).alias("unknown"), F.count("*").alias("n")).join(base.contests(spark, d).select("contest_id", "vote_for"), "contest_id")
+    return per.where("unknown > 0 or n > vote_for").select("contest_id", F.when(F.col("unknown") > 0, "unknown winner").otherwise("too many winners").alias("fault"))
+
+
+MIN_RECOUNT, MIN_MARGIN, MIN_SIZE = 0.005, 0.0, 25
 
 
-@R.add("select contest_id, count(*) filter (is_winner) as n_winners, max(nvotes) filter (is_winner) as best, coalesce(min(nvotes) filter (is_winner) = max(nvotes) filter (not is_winner), false) as tie, count(*) filter (not is_winner) = 0 as no_losers from ranked group by all")
+@R.add(f""", names as (select description, count(*) as c from contests group by all), w as (select contest_id, count(*) filter (is_winner) as n_winners, count(*) filter (not is_winner) as n_losers, count(*) as n_cands, min(nvotes) filter (is_winner) as lowest, max(nvotes) filter (not is_winner) as highest from ranked group by all),
+ m as (select contest_id, min(winner_votes - loser_votes) as votes, min(recount_margin) as recount, min(diluted_margin) as margin from asn group by all)
+ select contest_id, case when c > 1 or n_winners > least(n_cands, vote_for) then 'ContestMisformed' when n_winners = 0 then 'NoWinners' when n_losers = 0 then 'NoLosers' when lowest = highest then 'MinMargin' when nc - ncast >= votes then 'TooManyPhantoms' when recount <= {MIN_RECOUNT} or margin <= {MIN_MARGIN} then 'MinMargin' when nc <= {MIN_SIZE} then 'MinSize' else 'InProgress' end as status
+ from contests join totals using (contest_id) left join names using (description) left join w using (contest_id) left join m using (contest_id) where num_ranks = 0 and n_cands is not null""")
 def pre_audit_check(spark: SparkSession, d: str) -> DataFrame:
-    """What may keep a contest from being audited: a tie at the last seat, or no losers."""
-    r = base.ranked(spark, d)
-    lose, win = F.max(F.when(~F.col("is_winner"), F.col("nvotes"))), F.min(F.when(F.col("is_winner"), F.col("nvotes")))
-    return r.groupBy("contest_id").agg(F.count_if("is_winner").alias("n_winners"), F.max(F.when(F.col("is_winner"), F.col("nvotes"))).alias("best"), F.coalesce(lose == win, F.lit(False)).alias("tie"), (F.count_if(~F.col("is_winner")) == 0).alias("no_losers"))
+    """Whether a contest may be audited, and if not, the first reason: misformed (its name is not the only one of its kind, or too many
+    winners), no winners, no losers, a tie, as many phantoms as the margin, a margin too small over the recount or the population, too few cards."""
+    c = base.contests(spark, d).where("num_ranks = 0")
+    names = base.contests(spark, d).groupBy("description").agg(F.count("*").alias("c"))
+    won = F.col("is_winner")
+    w = base.ranked(spark, d).groupBy("contest_id").agg(F.count_if(won).alias("n_winners"), F.count_if(~won).alias("n_losers"), F.count("*").alias("n_cands"), F.min(F.when(won, F.col("nvotes"))).alias("lowest"), F.max(F.when(~won, F.col("nvotes"))).alias("highest"))
+    m = base.assertions(spark, d).groupBy("contest_id").agg(F.min(F.col("winner_votes") - F.col("loser_votes")).alias("votes"), F.min("recount_margin").alias("recount"), F.min("diluted_margin").alias("margin"))
+    j = c.join(base.totals(spark, d), "contest_id").join(names, "description", "left").join(w, "contest_id").join(m, "contest_id", "left")
+    status = F.when((F.col("c") > 1) | (F.col("n_winners") > F.least("n_cands", "vote_for")), "ContestMisformed").when(F.col("n_winners") == 0, "NoWinners").when(F.col("n_losers") == 0, "NoLosers").when(F.col("lowest") == F.col("highest"), "MinMargin")
+    status = status.when(F.col("nc") - F.col("ncast") >= F.col("votes"), "TooManyPhantoms").when((F.col("recount") <= MIN_RECOUNT) | (F.col("margin") <= MIN_MARGIN), "MinMargin").when(F.col("nc") <= MIN_SIZE, "MinSize").otherwise("InProgress")
+    return j.select("contest_id", status.alias("status"))
 
 
 # --- county pipelines ------------------------------------------------------------------------------
@@ -686,24 +771,85 @@ def score_range(spark: SparkSession, d: str) -> DataFrame:
     return _gaps(spark, d).select(*KEYS, r9(F.col("gap"), "gap"), r9(F.col("gap") / F.col("nc"), "relative"))
 
 
-@R.add(_GAPS + """, weak as (select * from gaps where gap / nc < 0.02), lost as (select contest_id, winner as cand, 1 as n from weak group by all), won as (select contest_id, loser as cand, 1 as n from weak group by all)
- select contest_id, cand, (seats - coalesce(lost.n, 0))::bigint as low, seats as reported, (seats + coalesce(won.n, 0))::bigint as high from seats left join lost using (contest_id, cand) left join won using (contest_id, cand)""")
+_NOERR = """, sized as (select g.*, a.last_won as last, b.first_lost as first, t.npop, least(t.nc, 20 + g.contest_id % 7)::bigint as n from gaps g join seats a on a.contest_id = g.contest_id and a.cand = g.winner join seats b on b.contest_id = g.contest_id and b.cand = g.loser join totals t on t.contest_id = g.contest_id),
+ ne as (select *, 1 / (2 - (gap * first / npop) / ((first / last + 1) / 2)) as noerror from sized), ks as (select *, unnest(range(1, least(n + 1, npop - 1) + 1)) as j from ne),
+ at_risk as (select contest_id, winner, loser, exp(-sum(ln(1 + {bet} * (noerror - (npop * 0.5 - noerror * j) / (npop - j))))) as risk from ks group by all)""".format(bet=risk.STANDARD_BET)
+
+
+@R.add(_GAPS + _NOERR + " select contest_id, winner, loser, round(risk, 6) as risk, risk > 0.05 as fails from at_risk")
+def seat_risks(spark: SparkSession, d: str) -> DataFrame:
+    """The risk left at each seat assertion after a first round without errors, and whether it is too large."""
+    a = _gaps(spark, d).join(base.totals(spark, d).select("contest_id", "npop"), "contest_id").join(_wanted(spark, d), "contest_id")
+    margin = F.col("gap") * F.col("first") / F.col("npop")
+    a = a.withColumn("noerror", A.noerror(margin, A.dhondt_upper(F.col("last"), F.col("first")))).select(*KEYS, "npop", "noerror", "n")
+    return risk.risk_left(a).select(*KEYS, r6(F.col("risk"), "risk"), (F.col("risk") > 0.05).alias("fails"))
+
+
+def _unsafe(spark: SparkSession, d: str) -> DataFrame:
+    sizes = base.totals(spark, d).select("contest_id", "npop").join(_wanted(spark, d), "contest_id")
+    return written(risk.seat_failures(base.card_tab(spark, d), sizes, SEATS, MIN_FRACTION), "seats")
+
+
+@R.add()
 def seat_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Seats each party may have if assertions with a gap under two per cent of the cards fail, one flip at a time."""
-    weak = _gaps(spark, d).where(F.col("gap") / F.col("nc") < 0.02)
-    lost = weak.select("contest_id", F.col("winner").alias("cand"), F.lit(1).alias("l")).distinct()
-    won = weak.select("contest_id", F.col("loser").alias("cand"), F.lit(1).alias("w")).distinct()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    j = _seats(spark, d).join(lost, ["contest_id", "cand"], "left").join(won, ["contest_id", "cand"], "left")
-    return j.select("contest_id", "cand", (F.col("seats") - zero("l")).alias("low"), F.col("seats").alias("reported"), (F.col("seats") + zero("w")).alias("high"))
+    """Seats each party may have after a first round without errors: one less if any of its seats is not safe, one more if it may win one."""
+    s = _unsafe(spark, d)
+    f = s.select("contest_id", "cand", "reported", F.explode_outer("failures").alias("f"))
+    own = f.groupBy("contest_id", "cand", "reported").agg(F.max((F.col("f.winner") == F.col("cand")).cast("int")).alias("l"), F.max((F.col("f.loser") == F.col("cand")).cast("int")).alias("w"), F.count("f").alias("failures"))
+    return own.select("contest_id", "cand", (F.col("reported") - F.coalesce("l", F.lit(0))).alias("low"), "reported", (F.col("reported") + F.coalesce("w", F.lit(0))).alias("high"), "failures")
+
+
+@R.add()
+def all_seat_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The same summed over all contests, by party (candidate ids modulo 10)."""
+    r = seat_ranges(spark, d)
+    return r.groupBy((F.col("cand") % 10).alias("party")).agg(*[F.sum(c).alias(c) for c in ("low", "reported", "high")])
 
 
-@R.add(_GAPS + """ select contest_id, sum((cand % 2 = 0)::int * seats)::bigint as reported, (select count(*) from gaps g where g.contest_id = s.contest_id and gap / nc < 0.02 and winner % 2 = 0 and loser % 2 = 1) as at_risk, (select count(*) from gaps g where g.contest_id = s.contest_id and gap / nc < 0.02 and winner % 2 = 1 and loser % 2 = 0) as to_gain from seats s group by contest_id""")
+@R.add()
 def coalition_seats(spark: SparkSession, d: str) -> DataFrame:
-    """Seats of a coalition (even candidate ids) and the assertions by which it may lose or gain one."""
-    weak = _gaps(spark, d).where(F.col("gap") / F.col("nc") < 0.02)
+    """Seats of a coalition (even candidate ids), and how many it may lose to or gain from parties outside it."""
+    s = _unsafe(spark, d)
     inside = lambda c: F.col(c) % 2 == 0
-    flips = weak.groupBy("contest_id").agg(F.count_if(inside("winner") & ~inside("loser")).alias("at_risk"), F.count_if(~inside("winner") & inside("loser")).alias("to_gain"))
-    own = _seats(spark, d).groupBy("contest_id").agg(F.sum(F.when(inside("cand"), F.col("seats")).otherwise(0)).alias("reported"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return own.join(flips, "contest_id", "left").select("contest_id", "reported", zero("at_risk"), zero("to_gain"))
+    own = s.groupBy("contest_id").agg(F.sum(F.when(inside("cand"), F.col("reported")).otherwise(0)).alias("reported"), F.first("failures").alias("f"))
+    n = lambda test: F.size(F.filter("f", test)).cast("bigint")
+    return own.select("contest_id", "reported", n(lambda x: (x["winner"] % 2 == 0) & (x["loser"] % 2 == 1)).alias("lost"), n(lambda x: (x["winner"] % 2 == 1) & (x["loser"] % 2 == 0)).alias("gained"))
+
+
+# --- other bets ------------------------------------------------------------------------------------
+
+_AGRAPA = "case when j = 0 then 0.5 else greatest(0, least(((total / j) - mu) / nullif(((sq / j) - (total / j) * (total / j)) + ((total / j) - mu) * ((total / j) - mu), 0), (0.5 + (0.9 - 0.5) * (1 - 1 / (1 + 1 * sqrt(j)))) / mu)) end"
+
+
+@R.add(_POLL.replace("as total\n", "as total, coalesce(sum(x * x) over (partition by contest_id, winner, loser order by prn rows between unbounded preceding and 1 preceding), 0) as sq\n", 1) + f" select contest_id, winner, loser, prn, round({_AGRAPA}, 6) as lam from m where mu > 0 and mu < 1")
+def agrapa_bet(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate growth-rate bet before each sample of a polling audit."""
+    x = F.col("x").cast("double")
+    run = prefix.before(_poll_sample(spark, d), KEYS, ["prn"], _bucket(spark, d), {"j": F.lit(1).cast("bigint"), "total": x, "q": x * x}).withColumn("mu", betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))).where("mu > 0 and mu < 1")
+    mean = F.try_divide(F.col("total"), F.col("j"))
+    return run.select(*KEYS, "prn", r6(betting.agrapa(F.col("j"), mean, F.try_divide(F.col("q"), F.col("j")) - mean * mean, F.col("mu"), 0.5, 0.5, 0.9, 1.0), "lam"))
+
+
+_OPTIMAL = "(((1 - 2 * noerror * (1 - 0.0001)) / (2 - 4 * noerror) + 2 * noerror * (1 - 0.0001) - 0.5) / nullif(mu, 0) - 1) / nullif(2 * noerror - mu, 0)"
+
+
+@R.add(_CLCA.format(x="(1 - (ca - ma)) * noerror") + f" select contest_id, winner, loser, prn, round({_OPTIMAL}, 4) as lam from m where mu > 0.000001 and mu < 1 and noerror > 0.500001 and 2 * noerror - mu > 0.001")
+def optimal_comparison_bet(spark: SparkSession, d: str) -> DataFrame:
+    """The bet that is optimal if two-vote overstatements, one card in ten thousand, are the only errors, before each sample."""
+    run = risk.running(_clca_sample(spark, d), KEYS, "prn", "value", _bucket(spark, d)).withColumn("mu", betting.mean_under_null(F.col("npop"), F.col("total"), F.col("j"))).where("mu > 0.000001 and mu < 1 and noerror > 0.500001 and 2 * noerror - mu > 0.001")
+    return run.select(*KEYS, "prn", F.round(betting.optimal_comparison(2 * F.col("noerror"), 0.0001, F.col("mu")), 4).alias("lam"))
+
+
+_FUZZ = ", fuzz as (select unnest([" + ", ".join(f"{{'k': {k}, 'tau': '{n}', 'rate': {r}::double}}" for k, rates in betting.FUZZ_RATES.items() for n, r in rates.items()) + "], recursive := true)), kc as (select contest_id, least(greatest(count(*), 2), 10) as k from tab group by all)"
+
+
+@R.add(_FUZZ + " select contest_id, winner, loser, tau, round(0.01 * rate, 9) as rate, round(noerror * case tau when 'win-los' then 0 when 'win-oth' then 0.5 when 'oth-los' then 0.5 when 'los-oth' then 1.5 when 'oth-win' then 1.5 else 2 end, 9) as value from asn join kc using (contest_id) join fuzz using (k)")
+def fuzz_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates and values of the errors that fuzzing one card in a hundred makes in each assertion, by how many candidates the contest has."""
+    k = base.card_tab(spark, d).groupBy("contest_id").agg(F.least(F.greatest(F.count("*"), F.lit(2)), F.lit(10)).cast("int").alias("k"))
+    rates = F.create_map(*[x for n, per in betting.FUZZ_RATES.items() for x in (F.lit(n), F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(r).alias("rate")) for t, r in per.items()]))])
+    rows = base.assertions(spark, d).select(*KEYS, "noerror").join(k, "contest_id").select(*KEYS, "noerror", F.inline(rates[F.col("k")]))
+    tau = F.lit(0.0)
+    for name in ("win-los", "win-oth", "oth-los", "los-oth", "oth-win", "los-win"):
+        tau = F.when(F.col("tau") == name, A.general_tau(name, F.lit(1.0))).otherwise(tau)
+    return rows.select(*KEYS, "tau", r9(0.01 * F.col("rate"), "rate"), r9(F.col("noerror") * tau, "value"))

@@ -55,9 +55,15 @@ def scan_statement_of_votes(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("contest_title").agg(F.sum("b").alias("ballots"), F.sum("u").alias("undervotes"), F.sum("o").cast("bigint").alias("overvotes"), F.sum("v").alias("votes"))
 
 
-@R.add("select regexp_extract(description, '\\(Vote For=(\\d+)\\)', 1) as vote_for_text, count(*) as n from contests group by all")
+@R.add(r"""select contest_id, trim(regexp_replace(title, '\s*\((?:Vote For|Number of positions)=[^()]*\)\s*$', '')) as name, coalesce(try_cast(regexp_extract(title, '(?:Vote For|Number of positions)=(\d+)', 1) as int), 1) as vote_for, coalesce(try_cast(regexp_extract(title, 'Number of ranks=(\d+)', 1) as int), 0) as ranks
+ from (select contest_id, description || case when num_ranks > 0 then ' (Number of positions=1, Number of ranks=' || num_ranks || ')' when contest_id % 4 = 0 then '' else ' (Vote For=' || vote_for || ')' end as title from contests)""")
 def contest_name_parse(spark: SparkSession, d: str) -> DataFrame:
-    return base.contests(spark, d).groupBy(F.regexp_extract("description", r"\(Vote For=(\d+)\)", 1).alias("vote_for_text")).agg(F.count("*").alias("n"))
+    """Names of contests as exports write them, with how many are voted for, and ranks, in brackets."""
+    from ballotlens.sources.vendor import name_votes_ranks
+
+    remark = F.when(F.col("num_ranks") > 0, F.concat(F.lit(" (Number of positions=1, Number of ranks="), "num_ranks", F.lit(")"))).when(F.col("contest_id") % 4 == 0, "").otherwise(F.concat(F.lit(" (Vote For="), "vote_for", F.lit(")")))
+    name, votes, ranks = name_votes_ranks(F.col("title"))
+    return base.contests(spark, d).withColumn("title", F.concat("description", remark)).select("contest_id", name.alias("name"), votes.alias("vote_for"), ranks.alias("ranks"))
 
 
 @R.add("select lower(regexp_replace(canonical_name, '[^A-Za-z0-9]', '', 'g')) as munged, canon_id from canonical_names")
@@ -253,11 +259,26 @@ def mvr_counts(spark: SparkSession, d: str) -> DataFrame:
     return per_card.groupBy("county_id").agg(F.count("*").alias("cards"), F.count_if("any_vote").alias("with_vote"))
 
 
-@R.add("""select contest_id, (nc - ncast)::bigint as phantoms, ((nc * vote_for - v) // vote_for)::bigint as undervote_cards from totals join contests using (contest_id) join (select contest_id, sum(nvotes) as v from tab group by all) using (contest_id)""")
+_NUM = "coalesce(case when trim({0}, ' \t') = '' or upper(trim({0}, ' \t')) = 'N/A' then 0 else try_cast(replace(trim({0}, ' \t'), ',', '') as bigint) end, 0)"
+
+
+@R.add(f""", sov as (select contest_id, max({_NUM.format('total_ballots')}) as ballots, sum({_NUM.format('total_votes')})::bigint as votes, max({_NUM.format('total_undervotes')}) as unders, max(coalesce(total_overvotes, 0)) as overs from (select distinct county_id, contest_id, choice_no, total_ballots, total_votes, total_undervotes, total_overvotes from summary_official) group by all),
+ cvr as (select contest_id, count(*) as ncards, sum(vote_for - len(cands))::bigint as unders from cv join contests using (contest_id) where pool_id is null and not phantom group by all), red as (select contest_id, sum(len(cands))::bigint as votes from cv where pool_id is not null and not phantom group by all),
+ k as (select contest_id, vote_for, ballots, (votes + unders) // vote_for + overs as sovo_cards, unders + overs * vote_for as sovo_undervotes, overs from sov join contests using (contest_id) where votes + unders >= 0)
+ select contest_id, sovo_cards::bigint as sovo_cards, (ballots - sovo_cards)::bigint as phantoms, sovo_undervotes::bigint as sovo_undervotes, (sovo_undervotes - c.unders)::bigint as red_undervotes, trunc((coalesce(r.votes, 0) + sovo_undervotes - c.unders) / vote_for)::bigint as red_ncards, (trunc((coalesce(r.votes, 0) + sovo_undervotes - c.unders) / vote_for) + c.ncards)::bigint as total_cards
+ from k join cvr c using (contest_id) left join red r using (contest_id)""")
 def sovo_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    v = base.card_tab(spark, d).groupBy("contest_id").agg(F.sum("nvotes").alias("v"))
-    t = base.totals(spark, d).join(base.contests(spark, d).select("contest_id", "vote_for"), "contest_id").join(v, "contest_id")
-    return t.select("contest_id", (F.col("nc") - F.col("ncast")).alias("phantoms"), F.expr("(nc * vote_for - v) div vote_for").alias("undervote_cards"))
+    """What an official summary says of each contest beside the cards: cards, phantoms, undervotes, and the cards and undervotes that must be in the pools (divisions cut toward zero)."""
+    whole = lambda c: F.coalesce(F.when((F.btrim(c, F.lit(" \t")) == "") | (F.upper(F.btrim(c, F.lit(" \t"))) == "N/A"), 0).otherwise(F.regexp_replace(F.btrim(c, F.lit(" \t")), ",", "").try_cast("bigint")), F.lit(0))
+    rows = table(spark, d, "summary_official", "county_id", "contest_id", "choice_no", "total_ballots", "total_votes", "total_undervotes", "total_overvotes").distinct()
+    sov = rows.groupBy("contest_id").agg(F.max(whole("total_ballots")).alias("ballots"), F.sum(whole("total_votes")).alias("votes"), F.max(whole("total_undervotes")).alias("unders"), F.max(F.coalesce("total_overvotes", F.lit(0))).alias("overs"))
+    real = base.card_votes(spark, d).where("not phantom")
+    cvr = tabulate.contest_totals(real.where("pool_id is null"), base.contests(spark, d)).select("contest_id", "ncards", F.col("undervotes").alias("cvr_unders"))
+    red = real.where("pool_id is not null").groupBy("contest_id").agg(F.sum(F.size("cands")).alias("red_votes"))
+    t = sov.join(base.contests(spark, d).select("contest_id", "vote_for"), "contest_id").join(cvr, "contest_id").join(red, "contest_id", "left")
+    t = t.withColumn("sovo_cards", F.expr("(votes + unders) div vote_for + overs")).withColumn("sovo_undervotes", (F.col("unders") + F.col("overs") * F.col("vote_for")).cast("bigint")).withColumn("red_undervotes", F.col("sovo_undervotes") - F.col("cvr_unders"))
+    t = t.withColumn("red_ncards", F.expr("(coalesce(red_votes, 0) + red_undervotes) div vote_for"))
+    return t.select("contest_id", "sovo_cards", (F.col("ballots") - F.col("sovo_cards")).alias("phantoms"), "sovo_undervotes", "red_undervotes", "red_ncards", (F.col("red_ncards") + F.col("ncards")).alias("total_cards"))
 
 
 @R.add("select style_id, count(*) as n, round(avg(len(map_keys(votes))), 9) as mean, round(var_pop(len(map_keys(votes))), 9) as variance, round(stddev_pop(len(map_keys(votes))), 9) as sd from cards group by all")
@@ -294,10 +315,11 @@ def winners_plurality(spark: SparkSession, d: str) -> DataFrame:
     return base.ranked(spark, d).select("contest_id", "cand", "nvotes", r9(F.col("share"), "share"), big("place"), "is_winner")
 
 
-@R.add(f"select contest_id, cand, round(share, 9) as share, place = 1 and share >= {THRESHOLD} as is_winner from ranked")
+@R.add(f"select contest_id, cand, round(share, 9) as share, is_winner and share >= {THRESHOLD} as is_winner from ranked")
 def winners_threshold(spark: SparkSession, d: str) -> DataFrame:
-    one = base.contests(spark, d).select("contest_id", F.lit(1).alias("nwinners"))
-    out = outcome.winners(base.card_tab(spark, d), one, THRESHOLD)
+    """The first candidates, as many as are voted for, who have the least share."""
+    n = base.contests(spark, d).select("contest_id", F.col("vote_for").alias("nwinners"))
+    out = outcome.winners(base.card_tab(spark, d), n, THRESHOLD)
     return out.select("contest_id", "cand", r9(F.col("share"), "share"), "is_winner")
 
 
@@ -328,31 +350,20 @@ def winners_dhondt(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = " a.contest_id, a.cand as winner, b.cand as loser, a.last_won as last, b.first_lost as first from seats a join seats b on a.contest_id = b.contest_id and a.cand <> b.cand and a.last_won is not null and b.first_lost is not null"
 
 
-@R.add(_DHONDT + f" select {_PAIRS}")
-def assert_dhondt(spark: SparkSession, d: str) -> DataFrame:
-    return outcome.dhondt_assertions(_seats(spark, d)).select("contest_id", "winner", "loser", big("last"), big("first"))
-
-
 @R.add("select contest_id, winner, loser, winner_votes, loser_votes from asn")
 def assert_plurality(spark: SparkSession, d: str) -> DataFrame:
     return outcome.plurality_assertions(base.ranked(spark, d))
 
 
-@R.add(f"select contest_id, cand, 'above' as kind, round(1 / (2 * {THRESHOLD}), 9) as upper from ranked where place = 1 and share >= {THRESHOLD}")
+@R.add(f"select contest_id, cand, 'above' as kind, round(1 / (2 * {THRESHOLD}), 9) as upper from ranked where is_winner and share >= {THRESHOLD}")
 def assert_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """One assertion for each winner: above the least share."""
     return winners_threshold(spark, d).where("is_winner").select("contest_id", "cand", F.lit("above").alias("kind"), r9(F.lit(1 / (2 * THRESHOLD)), "upper"))
 
 
-@R.add("select contest_id, cand, case when top >= 0.5 then 'above' else 'below' end as kind from (select *, max(share) over (partition by contest_id) as top from ranked) where place = 1 or (place = 2 and top < 0.5)")
-def assert_runoff(spark: SparkSession, d: str) -> DataFrame:
-    """The winner is above a half; or both who advance are below it."""
-    out = outcome.runoff(base.card_tab(spark, d)).where("status <> 'loses'")
-    return out.select("contest_id", "cand", F.when(F.col("status") == "winner", "above").otherwise("below").alias("kind"))
-
-
 @R.add(""", top as (select *, max(share) over (partition by contest_id) as top from ranked), st as (select contest_id, cand, case when top >= 0.5 and place = 1 then 'above' when top < 0.5 and place <= 2 then 'below' else 'loses' end as kind from top)
  select contest_id, kind, cand, null::int as loser from st where kind <> 'loses' union all select w.contest_id, 'plurality', w.cand, x.cand from st w join st x using (contest_id) where w.kind <> 'loses' and x.kind = 'loses'""")
-def assert_runoff_all(spark: SparkSession, d: str) -> DataFrame:
+def assert_runoff(spark: SparkSession, d: str) -> DataFrame:
     """All assertions of a runoff: shares, and each who wins or advances beats each who loses."""
     return outcome.runoff_assertions(outcome.runoff(base.card_tab(spark, d)))
 
@@ -360,7 +371,7 @@ def assert_runoff_all(spark: SparkSession, d: str) -> DataFrame:
 @R.add(_DHONDT + f""", last as (select contest_id, cand as w, divisor as d, score as f from (select *, row_number() over (partition by contest_id order by score, divisor desc, cand desc) as r from sc where has_seat) where r = 1),
  th as (select *, case when share >= {MIN_FRACTION} then 'above' when nvotes <= f and {MIN_FRACTION}::double * valid - nvotes <= (f - nvotes) / (1 / d + 1) then 'dhondt' else 'below' end as kind from (select *, sum(nvotes) over (partition by contest_id) as valid from ranked) left join last using (contest_id))
  select 'dhondt' as kind, {_PAIRS} union all select kind, contest_id, case kind when 'dhondt' then w else cand end, case kind when 'dhondt' then cand end, case kind when 'dhondt' then d end, case kind when 'dhondt' then 1 end from th""")
-def assert_dhondt_all(spark: SparkSession, d: str) -> DataFrame:
+def assert_dhondt(spark: SparkSession, d: str) -> DataFrame:
     """All assertions of a party list: seats against seats, and each party above or kept below the least share."""
     tab = base.card_tab(spark, d)
     scores = outcome.dhondt_scores(tab, SEATS, MIN_FRACTION)
@@ -448,12 +459,12 @@ _KNOWN = ", known as (select contest_id, list(cand) as cands_known from tab grou
 
 @R.add(_KNOWN + f""" select contest_id, cand, round(avg(case when len(cands) <> 1 then 0.5 when cands[1] = cand then 1 / (2 * {THRESHOLD}) when list_contains(cands_known, cands[1]) then 0 else 0.5 end), 9) as above,
   round(avg(case when len(cands) <> 1 then 0.5 when cands[1] = cand then 0 when list_contains(cands_known, cands[1]) then 1 / (2 * (1 - {THRESHOLD})) else 0.5 end), 9) as below
- from cv join (select contest_id, cand from ranked where place = 1) using (contest_id) join known using (contest_id) where not phantom group by all""")
+ from cv join (select contest_id, cand from ranked) using (contest_id) join known using (contest_id) where not phantom group by all""")
 def threshold_assorters(spark: SparkSession, d: str) -> DataFrame:
-    """The means of both threshold assorters of each contest's first candidate."""
+    """The means of both threshold assorters of each candidate."""
     tab = base.card_tab(spark, d)
     known = tab.groupBy("contest_id").agg(F.collect_list("cand").alias("known"))
-    first = base.ranked(spark, d).where("place = 1").select("contest_id", "cand")
+    first = base.ranked(spark, d).select("contest_id", "cand")
     v = base.card_votes(spark, d).where("not phantom").join(first, "contest_id").join(known, "contest_id")
     c = [F.col("cands"), F.col("cand"), THRESHOLD, F.col("known")]
     return v.groupBy("contest_id", "cand").agg(r9(F.avg(A.above_threshold(*c)), "above"), r9(F.avg(A.below_threshold(*c)), "below"))
@@ -477,14 +488,33 @@ def neb_assorter(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(ballots, "contest_id").groupBy("contest_id", "winner", "loser").agg(r9(F.sum(value * F.col("nballots")) / F.sum("nballots"), "mean"))
 
 
-@R.add(_IRV + """, rem as (select contest_id, list(c) as remaining, max(c) as w, min(c) as l from cs group by all)
+@R.add(_IRV + """, gone as (select contest_id, min(c) as gone from cs group by all), rem as (select cs.contest_id, list(c) as remaining from cs join gone using (contest_id) where c <> gone group by all), pairs2 as (select ps.contest_id, w, l, remaining from ps join rem using (contest_id) where list_contains(remaining, w) and list_contains(remaining, l))
  select contest_id, w as winner, l as loser, round(sum(n * (((t is not distinct from w)::int - (t is not distinct from l)::int + 1) * 0.5)) / sum(n), 9) as mean
- from (select iv.contest_id, n, w, l, list_filter(cands, lambda c: list_contains(remaining, c))[1] as t from iv join rem using (contest_id)) group by all""")
+ from (select p.contest_id, n, w, l, list_filter(cands, lambda c: list_contains(remaining, c))[1] as t from iv join pairs2 p on p.contest_id = iv.contest_id) group by all""")
 def nen_assorter(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of candidates that still stand once the one with the least id is gone. Rankings are counted by who is first of
+    those that stand before they meet the pairs."""
     ballots = _irv_ballots(spark, d)
-    rem = ballots.select("contest_id", F.explode("prefs").alias("c")).groupBy("contest_id").agg(F.collect_set("c").alias("remaining"), F.max("c").alias("winner"), F.min("c").alias("loser"))
-    value = A.not_eliminated_next(F.col("prefs"), F.col("winner"), F.col("loser"), F.col("remaining"))
-    return ballots.join(rem, "contest_id").groupBy("contest_id", "winner", "loser").agg(r9(F.sum(value * F.col("nballots")) / F.sum("nballots"), "mean"))
+    cs = ballots.select("contest_id", F.explode("prefs").alias("c")).distinct()
+    gone = cs.groupBy("contest_id").agg(F.min("c").alias("gone"))
+    rem = cs.join(gone, "contest_id").where("c <> gone").groupBy("contest_id").agg(F.collect_set("c").alias("remaining"))
+    first = F.get(F.filter("prefs", lambda c: F.array_contains("remaining", c)), F.lit(0))
+    tops = ballots.join(rem, "contest_id").groupBy("contest_id", "remaining", first.alias("top")).agg(F.sum("nballots").alias("n"))
+    pairs = rem.select("contest_id", F.explode("remaining").alias("winner"), "remaining").select("contest_id", "winner", F.explode("remaining").alias("loser")).where("winner <> loser")
+    value = A.not_eliminated_next(F.when(F.col("top").isNull(), F.array().cast("array<int>")).otherwise(F.array("top")), F.col("winner"), F.col("loser"), F.col("remaining"))
+    return pairs.join(tops, "contest_id").groupBy("contest_id", "winner", "loser").agg(r9(F.sum(value * F.col("n")) / F.sum("n"), "mean"))
+
+
+@R.add(_IRV + """, cv2 as (select contest_id, phantom, cands from cv join contests using (contest_id) where num_ranks > 0)
+ select ps.contest_id, w as winner, l as loser, round(avg(case when phantom then 0.5 else ((cands[1] is not distinct from w)::int - (list_contains(cands, l) and (not list_contains(cands, w) or list_position(cands, l) < list_position(cands, w)))::int + 1) * 0.5 end), 9) as mean, count(*) filter (phantom) as phantoms from ps join cv2 using (contest_id) group by all""")
+def irv_phantom(spark: SparkSession, d: str) -> DataFrame:
+    """The same assertions of ranked contests over all cards, where a phantom counts one half."""
+    cs = _irv_ballots(spark, d).select("contest_id", F.explode("prefs").alias("c")).distinct()
+    pairs = cs.withColumnRenamed("c", "winner").join(cs.withColumnRenamed("c", "loser"), "contest_id").where("winner <> loser")
+    ranked = base.contests(spark, d).where("num_ranks > 0").select("contest_id")
+    cards = base.card_votes(spark, d).join(ranked, "contest_id", "left_semi").groupBy("contest_id", "phantom", "cands").agg(F.count("*").alias("n"))
+    value = A.not_eliminated_before(F.col("cands"), F.col("winner"), F.col("loser"), F.col("phantom"))
+    return pairs.join(cards, "contest_id").groupBy("contest_id", "winner", "loser").agg(r9(F.sum(value * F.col("n")) / F.sum("n"), "mean"), F.sum(F.when(F.col("phantom"), F.col("n")).otherwise(0)).alias("phantoms"))
 
 
 _B = """, b as (select p.card_key, p.contest_id, p.prn, p.pool_id, a.winner, a.loser, a.noerror, a.npop, a.nc,
@@ -539,10 +569,10 @@ def margin2mean(spark: SparkSession, d: str) -> DataFrame:
     return base.assertions(spark, d).select("contest_id", "winner", "loser", r9(mean, "mean"), r9(A.mean_to_margin(mean), "margin"), r9(A.noerror(F.col("diluted_margin")), "noerror"))
 
 
-@R.add(_KNOWN + f"""select contest_id, cand, round((nvotes / (2 * {THRESHOLD}) + (nc - valid) * 0.5) / nc, 9) as mean from ranked join totals using (contest_id) join (select contest_id, count(*) as valid from cv join known using (contest_id) where not phantom and len(cands) = 1 and list_contains(cands_known, cands[1]) group by all) using (contest_id) where place = 1""")
+@R.add(_KNOWN + f"""select contest_id, cand, round((nvotes / (2 * {THRESHOLD}) + (nc - valid) * 0.5) / nc, 9) as mean from ranked join totals using (contest_id) join (select contest_id, count(*) as valid from cv join known using (contest_id) where not phantom and len(cands) = 1 and list_contains(cands_known, cands[1]) group by all) using (contest_id)""")
 def make_from_votes(spark: SparkSession, d: str) -> DataFrame:
-    """The mean of the threshold assorter of each contest's first candidate, from vote counts."""
+    """The mean of each candidate's threshold assorter, from vote counts."""
     known = base.card_tab(spark, d).groupBy("contest_id").agg(F.collect_list("cand").alias("known"))
     valid = base.card_votes(spark, d).where("not phantom").join(known, "contest_id").where((F.size("cands") == 1) & F.array_contains("known", F.col("cands")[0])).groupBy("contest_id").agg(F.count("*").alias("valid"))
-    t = base.ranked(spark, d).where("place = 1").join(base.totals(spark, d), "contest_id").join(valid, "contest_id")
+    t = base.ranked(spark, d).join(base.totals(spark, d), "contest_id").join(valid, "contest_id")
     return t.select("contest_id", "cand", r9(A.threshold_mean(F.col("nvotes"), F.col("valid"), THRESHOLD, F.col("nc")), "mean"))

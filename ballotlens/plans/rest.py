@@ -47,12 +47,14 @@ def county_mvr_count(spark: SparkSession, d: str) -> DataFrame:
     return base.pairs(spark, d).where("mvr is not null").select("county_id", "card_key").distinct().groupBy("county_id").agg(F.count("*").alias("n_mvrs"))
 
 
-@R.add("select contest_id, winner, loser, tau, round(t * noerror, 9) as value, rate from asn, (select unnest(['p2o', 'p1o', 'p1u', 'p2u']) as tau, unnest([0, 0.5, 1.5, 2]) as t, unnest([0.0001, 0.001, 0.001, 0.0001])::double as rate)")
+@R.add("select contest_id, winner, loser, tau, round(t * noerror, 9) as value, round(rate + case when tau = 'p1o' then (nc - ncast) / npop else 0 end, 9) as rate from asn join (select contest_id, ncast from totals) using (contest_id), (select unnest(['p2o', 'p1o', 'p1u', 'p2u']) as tau, unnest([0, 0.5, 1.5, 2]) as t, unnest([0.0001, 0.001, 0.001, 0.0001])::double as rate)")
 def apriori_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Values of the errors of each assertion with assumed rates."""
+    """Values of the errors of each assertion with assumed rates; phantoms come on top of the one-vote overstatements."""
     rates = {"p2o": 0.0001, "p1o": 0.001, "p1u": 0.001, "p2u": 0.0001}
     rows = F.array(*[F.struct(F.lit(n).alias("tau"), F.lit(A.TAUS[n]).alias("t"), F.lit(r).alias("rate")) for n, r in rates.items()])
-    return base.assertions(spark, d).select(*KEYS, "noerror", F.inline(rows)).select(*KEYS, "tau", r9(F.col("t") * F.col("noerror"), "value"), "rate")
+    t = base.totals(spark, d).select("contest_id", ((F.col("nc") - F.col("ncast")) / F.col("npop")).alias("phantoms"))
+    j = base.assertions(spark, d).join(t, "contest_id").select(*KEYS, "noerror", "phantoms", F.inline(rows))
+    return j.select(*KEYS, "tau", r9(F.col("t") * F.col("noerror"), "value"), r9(F.col("rate") + F.when(F.col("tau") == "p1o", F.col("phantoms")).otherwise(0.0), "rate"))
 
 
 @R.add(_POLL + " select contest_id, winner, loser, prn, round(mu * (1 + 0.5 * (1 - mu)), 9) as eta from m")

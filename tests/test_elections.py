@@ -281,3 +281,83 @@ def test_query_runs_all_rounds(spark, monkeypatch):
     asked = inspect.signature(run_rounds)
     monkeypatch.setattr(rest.rounds, "run_rounds", lambda *a, **kw: (b := asked.bind(*a, **kw)).apply_defaults() or b.arguments["most_rounds"])
     assert rest.QUERIES["run_rounds"](spark, d) == 7
+
+
+def test_few_assertions_rule_out_all_orders():
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    for k in (3, 4, 5, 6):
+        for _ in range(5):
+            prefs = {}
+            for _ in range(300):
+                p = tuple(sorted(range(k), key=lambda c: rng.random() * (c + 1)))[: rng.randrange(1, k + 1)]
+                prefs[p] = prefs.get(p, 0) + 1
+            prefs = list(prefs.items())
+            last = [x for x in outcome.irv_paths(prefs) if x[5]]
+            if len({x[2] for x in last}) > 1:
+                continue
+            winner = last[0][2]
+            got = outcome.raire(prefs, winner, 300)
+            orders = [o for o in itertools.permutations(range(k)) if o[-1] != winner]
+            if got:
+                assert all(any(outcome.rules_out(a, o) for a in got) for o in orders)
+                assert all(any(not any(outcome.rules_out(b, o) for b in got if b is not a) for o in orders) for a in got) or len(got) <= len(orders)
+                assert not any(outcome.rules_out(a, tuple(x for x in order)) for a in got for order in actual_orders(prefs, winner))
+    assert outcome.rules_out(("NEB", 1, 2, (), 0.1), (1, 2)) and outcome.rules_out(("NEB", 1, 2, (), 0.1), (2,)) and not outcome.rules_out(("NEB", 1, 2, (), 0.1), (2, 1))
+    assert outcome.rules_out(("NEN", 1, 2, (1, 2, 3), 0.1), (1, 2, 3)) and not outcome.rules_out(("NEN", 1, 2, (1, 2, 3), 0.1), (1, 3))
+
+
+def actual_orders(prefs, winner):
+    """Every order in which candidates may really go (ties: any of the last)."""
+    todo, out = [((), frozenset(c for p, _ in prefs for c in p))], []
+    while todo:
+        gone, standing = todo.pop()
+        if len(standing) == 1:
+            out.append((*gone, *standing))
+            continue
+        tally = dict.fromkeys(standing, 0)
+        for p, n in prefs:
+            top = next((c for c in p if c in standing), None)
+            if top is not None:
+                tally[top] += n
+        low = min(tally.values())
+        todo += [((*gone, c), standing - {c}) for c in standing if tally[c] == low]
+    return [o for o in out if o[-1] == winner]
+
+
+def test_seats_that_are_not_safe(spark):
+    votes = {1: 10000, 2: 6000, 3: 1500, 4: 890}
+    safe = outcome.seat_failures(votes, 8, 18500, 0.05, lambda ne: 0.0)
+    assert safe == ({1: 5, 2: 3, 3: 0, 4: 0}, [])
+    # only the closest pair fails: party 2's third seat (2000) against nobody, party 1's fifth (2000) against party 3's first (1500)
+    gap = lambda a, d, b, e: 1 / (2 - ((votes[a] / d - votes[b] / e) * e / 18500) / ((e / d + 1) / 2))
+    limit = gap(1, 5, 3, 1) + 1e-9
+    reported, got = outcome.seat_failures(votes, 8, 18500, 0.05, lambda ne: 1.0 if 0.5 < ne <= limit else 0.0)
+    assert (1, 5, 3, 1) in got and reported == {1: 5, 2: 3, 3: 0, 4: 0}
+    pairs = [frozenset(((a, d), (b, e))) for a, d, b, e in got]
+    assert len(set(pairs)) == len(pairs)
+    df = spark.createDataFrame([(1, c, v) for c, v in votes.items()], "contest_id int, cand int, nvotes bigint")
+    rows = risk.seat_failures(df, spark.createDataFrame([(1, 18500, 200)], "contest_id int, npop bigint, n bigint"), 8, 0.05).collect()
+    assert {r.cand: r.reported for r in rows} == {1: 5, 2: 3, 3: 0, 4: 0}
+    assert risk.seat_failures(df.limit(0), spark.createDataFrame([], "contest_id int, npop bigint, n bigint"), 8, 0.05).count() == 0
+
+
+def test_fuzz_of_ranked_cards(spark):
+    v = spark.createDataFrame([(i, 1, [1, 2, 3], True) for i in range(3000)] + [(i, 2, [5], False) for i in range(3000)] + [(9999, 3, [], True)], "card_key bigint, contest_id int, cands array<int>, ranked boolean")
+    known = spark.createDataFrame([(1, c) for c in (1, 2, 3, 4)] + [(2, 5), (2, 6), (3, 1)], "contest_id int, cand int")
+    got = simulate.fuzz(v, known, 0.5, 3).collect()
+    kinds = {tuple(r.fuzzed) for r in got if r.contest_id == 1}
+    assert {(1, 2, 3), (), (2, 1, 3), (1, 3, 2), (1, 2, 3, 4)} == kinds
+    assert {tuple(r.fuzzed) for r in got if r.contest_id == 2} == {(5,), (6,), ()}
+    changed = sum(r.fuzzed != r.cands for r in got if r.contest_id == 1)
+    assert 1300 < changed < 1700
+
+
+def test_made_up_elections(spark):
+    spec = spark.createDataFrame([(1, 100, 3, 10, [(1, 50), (2, 37)]), (2, 0, 0, 0, []), (3, 5, 0, 0, [(1, 9)])], "contest_id int, ncards bigint, nphantoms bigint, nundervotes bigint, candidates array<struct<cand:int,nvotes:bigint>>")
+    got = simulate.make_election(spec, 4).collect()
+    n = lambda c, f: sum(r.contest_id == c and f(r) for r in got)
+    assert (n(1, lambda r: r.cands == [1]), n(1, lambda r: r.cands == [2]), n(1, lambda r: not r.cands and not r.phantom), n(1, lambda r: r.phantom)) == (50, 37, 10, 3)
+    assert n(2, bool) == 0 and n(3, lambda r: r.cands == [1]) == 5
