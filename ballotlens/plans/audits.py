@@ -98,7 +98,10 @@ def uniform_sampling(spark: SparkSession, d: str) -> DataFrame:
     return draws.uniform_sample(cards, wanted).select("county_id", "card_key", F.col("rank").cast("bigint").alias("place"))
 
 
-@R.add()
+@R.add(_WANTED + _CC + """, ok as (select contest_id, n, row_number() over (order by n desc, contest_id) as r from wanted join totals using (contest_id) where n <= 0.5 * nc and n <= 24),
+ rk as (select prn, contest_id, row_number() over (partition by contest_id order by prn) as rn from cc), drawn as (select prn, max(r) as r from rk join ok using (contest_id) where rn <= n group by all),
+ steps as (select r, sum(count(*)) over (order by r desc) as upto from drawn group by r)
+ select contest_id, n from ok where r > (select coalesce(max(r), 0) from steps where upto > 120) and exists (select 1 from steps where upto <= 120)""")
 def sample_limits(spark: SparkSession, d: str) -> DataFrame:
     t = base.totals(spark, d)
     return draws.sample_with_limits(_card_contests(spark, d), _wanted(spark, d), t, 0.5, 24, 120)
@@ -705,11 +708,15 @@ def county_cvr_pools(spark: SparkSession, d: str) -> DataFrame:
     return per.groupingSets([["county_id", "style_id"], ["county_id"], []], "county_id", "style_id").agg(F.count("*").alias("ncards"), F.sum("v").alias("nvotes")).select("county_id", "style_id", "ncards", "nvotes")
 
 
-@R.add("select contest_id, greatest(nc, mc)::bigint as nc from totals join (select contest_id, max(ceil(v / vote_for)) as mc from (select contest_id, sum(len(cands)) as v, max(vote_for) as vote_for from xv join contests using (contest_id) group by all) group by all) using (contest_id)")
+@R.add("""select contest_id, greatest(nc, coalesce(mc, 0), ncast)::bigint as nc, exact_id as canon_id, round(least(1, nmvrs / population), 9) as rate from totals join contests using (contest_id) left join (select contest_id, max(ceil(v / vote_for)) as mc from (select contest_id, sum(len(cands)) as v, max(vote_for) as vote_for from xv join contests using (contest_id) group by all) group by all) using (contest_id)
+ left join (select canonical_name as description, min(canon_id) as exact_id from canonical_names where name_kind = 'contest' group by all) using (description) left join (select county_id, count(*) as population, 10 + county_id % 5 as nmvrs from cards group by county_id) using (county_id)""")
 def county_contest_build(spark: SparkSession, d: str) -> DataFrame:
-    """The bound of each contest: its cards, or the least number of cards that hold the exported votes."""
+    """Each contest with its bound (its cards, or the least that hold the exported votes), the canonical contest of its name, and its county's sampling rate."""
     v = base.cvr_votes(spark, d).join(base.contests(spark, d).select("contest_id", "vote_for"), "contest_id").groupBy("contest_id").agg(F.sum(F.size("cands")).alias("v"), F.max("vote_for").alias("f"))
-    return base.totals(spark, d).join(v, "contest_id").select("contest_id", F.greatest(F.col("nc"), F.ceil(F.col("v") / F.col("f"))).cast("bigint").alias("nc"))
+    names = table(spark, d, "canonical_names").where("name_kind = 'contest'").groupBy(F.col("canonical_name").alias("description")).agg(F.min("canon_id").alias("canon_id"))
+    strata = base.cards(spark, d).groupBy("county_id").agg(F.count("*").alias("population")).withColumn("nmvrs", 10 + F.col("county_id") % 5)
+    t = base.totals(spark, d).join(base.contests(spark, d).select("contest_id", "county_id", "description"), "contest_id").join(v, "contest_id", "left").join(names, "description", "left").join(strata, "county_id", "left")
+    return t.select("contest_id", F.greatest(F.col("nc"), F.coalesce(F.ceil(F.col("v") / F.col("f")), F.lit(0)), F.col("ncast")).cast("bigint").alias("nc"), "canon_id", r9(F.least(F.lit(1.0), F.col("nmvrs") / F.col("population")), "rate"))
 
 
 def _sessions(kind: str) -> str:
@@ -736,12 +743,16 @@ def belgium_case(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("contest_id", "cand").agg(F.count("*").alias("ncards"))
 
 
-@R.add("select round_idx, count(*) as n_components, sum(wanted)::bigint as wanted, bool_and(sample_prns is not null) as done from audit_rounds group by all")
+@R.add(""", parts as (select county_id, count(*) as n_contests from contests group by all), r as (select distinct county_id, round_idx, wanted, len(sample_prns) as n_stored from audit_rounds), have as (select county_id, count(prn) as n_cards from cards group by all)
+ select round_idx, count(*) as n_components, sum(coalesce(n_contests, 0))::bigint as n_contests, sum(wanted)::bigint as wanted, sum(coalesce(n_stored, 0))::bigint as n_mvrs, bool_and(coalesce(wanted, 0) <= coalesce(n_cards, 0)) as done from r left join parts using (county_id) left join have using (county_id) group by all""")
 def composite_record(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds of all components together: done if all are, with sums of counts."""
-    from ballotlens.tables import table
-
-    return table(spark, d, "audit_rounds").groupBy("round_idx").agg(F.count("*").alias("n_components"), F.sum("wanted").alias("wanted"), F.bool_and(F.col("sample_prns").isNotNull()).alias("done"))
+    """One record of all counties' records: contests and rounds together; a round is done if each county has cards for it; sums of counts."""
+    rounds_ = table(spark, d, "audit_rounds").select("county_id", "round_idx", "wanted", F.size("sample_prns").alias("s")).distinct()
+    parts = base.contests(spark, d).groupBy("county_id").agg(F.count("*").alias("n_contests"))
+    have = base.cards(spark, d).groupBy("county_id").agg(F.count("prn").alias("n_cards"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    j = rounds_.join(parts, "county_id", "left").join(have, "county_id", "left")
+    return j.groupBy("round_idx").agg(F.count("*").alias("n_components"), F.sum(zero("n_contests")).alias("n_contests"), F.sum("wanted").alias("wanted"), F.sum(F.greatest(zero("s"), F.lit(0))).alias("n_mvrs"), F.bool_and(zero("wanted") <= zero("n_cards")).alias("done"))
 
 
 # --- seats under risk ------------------------------------------------------------------------------

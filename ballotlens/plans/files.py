@@ -155,6 +155,54 @@ def vendor_leading_equals(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("line_id", F.explode(vendor.raw_cells(F.col("line"))).alias("x")).groupBy("line_id", vendor.leading_equals(F.col("x")).alias("cell")).agg(F.count("*").alias("n"))
 
 
+_CASE = _GROUPS + """, pool_size as (select county_id, style_id, max(ceil(v / f)) as n from (select county_id, style_id, contest_id, sum(nvotes) as v, max(coalesce(vote_for, 1)) as f from grouped left join (select contest_id, vote_for from contests) using (contest_id) group by all) group by all),
+ shown as (select 'county_' || county_id as file_name, contest_id, sum(len(list_distinct(cands)))::bigint as v, count(*) as n from xv where cvr_key % 29 <> 0 and cvr_key % 31 <> 0 group by all),
+ pooled as (select 'county_' || g.county_id as file_name, contest_id, sum(v)::bigint as v, sum(n)::bigint as n from (select county_id, style_id, contest_id, sum(nvotes) as v from grouped group by all) g join pool_size p on p.county_id is not distinct from g.county_id and p.style_id is not distinct from g.style_id group by all)"""
+
+
+def _pooled_case(spark: SparkSession, d: str) -> DataFrame:
+    """file_name, contest_id and, of its cards outside pools (source cvr) and of the cards made for redacted groups (pool): cards and votes.
+
+    A group has the fewest cards that hold its votes; votes are laid out on them so that the group's totals come out."""
+    from ballotlens.operators import simulate
+
+    rows, meaning = _read(spark, d)
+    shown = _numbered(vendor.wide_votes(rows, ["file_name", "line_no"]), meaning).groupBy("file_name", "contest_id").agg(F.count("*").alias("ncards"), F.sum(F.size("cands")).alias("nvotes"))
+    groups = written(_numbered(vendor.redacted_groups(rows, ["file_name", "ballot_type"]), meaning).where("nvotes > 0"), "groups").withColumn("pool", F.concat_ws("/", "file_name", F.coalesce("ballot_type", F.lit(""))))
+    per = groups.groupBy("file_name", "pool", "contest_id").agg(F.sum("nvotes").alias("v"), F.max("vote_for").alias("f"))
+    size = per.groupBy("pool").agg(F.max(F.ceil(F.col("v") / F.col("f"))).cast("int").alias("n"))
+    places = per.join(size, "pool").select("file_name", "pool", "contest_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("card_key"))
+    made = simulate.simulate_pool(places.select("pool", "contest_id", "card_key"), groups.select("pool", "contest_id", "cand", "nvotes"), 7, ("pool", "contest_id"))
+    made = made.groupBy("pool", "contest_id").agg(F.countDistinct("card_key").alias("ncards"), F.count("cand").alias("nvotes"))
+    pooled = made.join(per.select("file_name", "pool", "contest_id"), ["pool", "contest_id"]).groupBy("file_name", "contest_id").agg(F.sum("ncards").alias("ncards"), F.sum("nvotes").alias("nvotes"))
+    return shown.select("file_name", "contest_id", F.lit("cvr").alias("source"), "ncards", "nvotes").unionByName(pooled.select("file_name", "contest_id", F.lit("pool").alias("source"), "ncards", "nvotes"))
+
+
+@R.add(_CASE + """, sov as (select 'county_' || county_id as file_name, contest_id, sum(coalesce(try_cast(replace(trim(total_votes), ',', '') as bigint), 0))::bigint as sov_votes from (select distinct county_id, contest_id, choice_no, total_votes from summary_official) group by all)
+ select coalesce(s.file_name, p.file_name) as file_name, coalesce(s.contest_id, p.contest_id) as contest_id, coalesce(s.v, 0)::bigint as cvr_votes, coalesce(p.v, 0)::bigint as pool_votes, coalesce(s.n, 0)::bigint as cvr_cards, coalesce(p.n, 0)::bigint as pool_cards, sov_votes
+ from shown s full join pooled p on p.file_name = s.file_name and p.contest_id = s.contest_id left join sov on sov.file_name = coalesce(s.file_name, p.file_name) and sov.contest_id = coalesce(s.contest_id, p.contest_id)""")
+def boulder_case(spark: SparkSession, d: str) -> DataFrame:
+    """A county's contests from its export and its official summary: votes and cards of records, votes and cards made for the redacted groups (their totals are the groups'), and official votes."""
+    c = _pooled_case(spark, d)
+    of = lambda source, what: F.sum(F.when(F.col("source") == source, F.col(what)).otherwise(0))
+    per = c.groupBy("file_name", "contest_id").agg(of("cvr", "nvotes").alias("cvr_votes"), of("pool", "nvotes").alias("pool_votes"), of("cvr", "ncards").alias("cvr_cards"), of("pool", "ncards").alias("pool_cards"))
+    sov = table(spark, d, "summary_official", "county_id", "contest_id", "choice_no", "total_votes").distinct().groupBy(F.concat(F.lit("county_"), "county_id").alias("file_name"), "contest_id").agg(F.sum(F.coalesce(F.regexp_replace(F.trim("total_votes"), ",", "").try_cast("bigint"), F.lit(0))).alias("sov_votes"))
+    return per.join(sov, ["file_name", "contest_id"], "left")
+
+
+@R.add(_CASE + """, strata as (select file_name, sum(n)::bigint as npop from (select 'county_' || county_id as file_name, count(*) as n from cvrs where cvr_key % 29 <> 0 and cvr_key % 31 <> 0 group by all union all select 'county_' || county_id, sum(n) from pool_size group by all) group by all)
+ select contest_id, sum(coalesce(s.n, 0) + coalesce(p.n, 0))::bigint as ncards, sum(coalesce(s.v, 0) + coalesce(p.v, 0))::bigint as nvotes, sum(npop)::bigint as npop from shown s full join pooled p using (file_name, contest_id) join strata using (file_name) group by contest_id""")
+def county_with_cvrs(spark: SparkSession, d: str) -> DataFrame:
+    """The exports of all counties as one election: cards and votes of each contest, records and redacted groups together; its population is all cards of its counties, as in a uniform audit."""
+    rows, meaning = _read(spark, d)
+    c = written(_pooled_case(spark, d), "case")
+    v = _numbered(vendor.redacted_groups(rows, ["file_name", "ballot_type"]), meaning).where("nvotes > 0")
+    per = v.groupBy("file_name", "ballot_type", "contest_id").agg(F.sum("nvotes").alias("v"), F.max("vote_for").alias("f")).groupBy("file_name", "ballot_type").agg(F.max(F.ceil(F.col("v") / F.col("f"))).cast("bigint").alias("n"))
+    strata = rows.where("why is null").groupBy("file_name").agg(F.count("*").alias("n")).unionByName(per.groupBy("file_name").agg(F.sum("n").alias("n"))).groupBy("file_name").agg(F.sum("n").alias("npop"))
+    one = c.groupBy("file_name", "contest_id").agg(F.sum("ncards").alias("ncards"), F.sum("nvotes").alias("nvotes")).join(strata, "file_name")
+    return one.groupBy("contest_id").agg(F.sum("ncards").alias("ncards"), F.sum("nvotes").alias("nvotes"), F.sum("npop").alias("npop"))
+
+
 # --- state and county files ------------------------------------------------------------------------
 
 

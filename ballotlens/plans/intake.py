@@ -45,9 +45,33 @@ def scan_pools_csv(spark: SparkSession, d: str) -> DataFrame:
     return back.select("pool_id", "contest_id", "ncards", "novote", "total_cards", F.coalesce(F.aggregate(F.map_values("tally"), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)).alias("nvotes"))
 
 
-@R.add("select county_id, count(distinct style_id) as n_styles, count(distinct pool_id) as n_pools, count(*) as ncards from cards group by all")
+@R.add("""select county_id, contest_id, ncards, novote, nvotes, total_cards, styles from (select county_id, contest_id, count(*) as ncards, count(*) filter (len(cands) = 0) as novote, sum(len(cands))::bigint as nvotes from cv group by all)
+ join (select county_id, count(*) as total_cards, array_to_string(list_sort(list(distinct style_id)), ' ') as styles from cards group by all) using (county_id)""")
 def scan_county_pools(spark: SparkSession, d: str) -> DataFrame:
-    return base.cards(spark, d).groupBy("county_id").agg(F.countDistinct("style_id").alias("n_styles"), F.countDistinct("pool_id").alias("n_pools"), F.count("*").alias("ncards"))
+    """Subtotals of counties written as lines, the county's name, cards and styles on its first line only and its id on no other, and read again."""
+    v = base.card_votes(spark, d).where("county_id is not null")
+    per = v.groupBy("county_id", "contest_id").agg(F.count("*").alias("ncards"), F.count_if(F.size("cands") == 0).alias("novote"))
+    tally = v.select("county_id", "contest_id", F.explode("cands").alias("c")).groupBy("county_id", "contest_id", "c").agg(F.count("*").alias("n")).groupBy("county_id", "contest_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("string"), "n"))).alias("tally"))
+    cards = base.cards(spark, d).groupBy("county_id").agg(F.count("*").alias("total_cards"), F.array_join(F.sort_array(F.collect_set("style_id")), " ").alias("styles"))
+    zero = F.lit(0).cast("bigint")
+    pools = per.join(tally, ["county_id", "contest_id"], "left").join(cards, "county_id").select(F.col("county_id").alias("pool_id"), F.concat(F.lit("County "), "county_id").alias("county"), "total_cards", "styles", "contest_id", F.lit(1).alias("vote_for"), "ncards", "novote", zero.alias("undervotes"), zero.alias("overvotes"), zero.alias("nphantoms"), F.lit(False).alias("is_irv"), F.coalesce("tally", F.create_map().cast("map<string,bigint>")).alias("tally"))
+    back = T.read_county_pools(T.write_pools(pools, ("county", "total_cards", "styles"), repeat_id=False))
+    return back.select(F.col("pool_id").alias("county_id"), "contest_id", "ncards", "novote", F.coalesce(F.aggregate(F.map_values("tally"), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)).alias("nvotes"), "total_cards", F.array_join("styles", " ").alias("styles"))
+
+
+@R.add("select 'cards' as layout, count(*) as n_read, 2::bigint as n_unread from cards union all select 'ranked', count(*), 1 from xv join contests using (contest_id) where num_ranks > 0")
+def scan_unread(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of a layout were read, and how many could not be; a few that do not fit stand between the others."""
+    bad = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    cards = T.write_cards(base.cards(spark, d)).unionAll(bad("", "id, location, index", "a-1, , x, ff, , 1, , ,", "a-2"))
+    ranked = base.contests(spark, d).where("num_ranks > 0").select("contest_id")
+    v = base.cvr_votes(spark, d).join(ranked, "contest_id", "left_semi").select(F.concat_ws(",", "contest_id", "cvr_key", F.array_join(F.col("cands").cast("array<string>"), ",")).alias("value"))
+    v = v.unionAll(bad("1", "Contest,3,1,7,winner,7", "3,x_1,7"))
+    out = None
+    for name, lines, reader in (("cards", cards, T.read_cards), ("ranked", v, T.read_ranked)):
+        part = reader(lines).agg(F.count("*").alias("n_read")).join(F.broadcast(T.unread(lines, name).agg(F.count("*").alias("n_unread")))).select(F.lit(name).alias("layout"), "n_read", "n_unread")  # one row each
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @R.add()

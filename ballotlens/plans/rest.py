@@ -138,26 +138,11 @@ def county_pool_build(spark: SparkSession, d: str) -> DataFrame:
     return county.county_pools(base.cvr_votes(spark, d), base.contests(spark, d))
 
 
-@R.add("select county_id, contest_id, sum(n)::bigint as ncards from (select county_id, contest_id, count(*) as n from xv group by all union all select county_id, contest_id, count(*) from cv group by all) group by all")
-def county_with_cvrs(spark: SparkSession, d: str) -> DataFrame:
-    """Exports and manifests of all counties, one after the other."""
-    keep = ["county_id", "contest_id"]
-    return base.cvr_votes(spark, d).select(*keep).unionByName(base.card_votes(spark, d).select(*keep)).groupBy(*keep).agg(F.count("*").alias("ncards"))
-
-
 @R.add("select county_id, count(*) as ncards, min(card_index) as first_index, max(card_index) as last_index from cards group by all")
 def concat_county_cards(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).groupBy("county_id").agg(F.count("*").alias("ncards"), F.min("card_index").alias("first_index"), F.max("card_index").alias("last_index"))
 
 
-@R.add("select contest_id, (sum(n) filter (pool_id is not null))::bigint as pooled_votes, sum(n)::bigint as nvotes, any_value(npop) as npop, any_value(nc - ncast)::bigint as phantoms from (select contest_id, pool_id, sum(len(cands)) as n from cv where not phantom group by all) join totals using (contest_id) group by all")
-def boulder_case(spark: SparkSession, d: str) -> DataFrame:
-    """A county whose redacted cards are pools: votes in and outside pools, population and phantoms."""
-    per = base.card_votes(spark, d).where("not phantom").groupBy("contest_id", "pool_id").agg(F.sum(F.size("cands")).alias("n"))
-    t = per.groupBy("contest_id").agg(F.sum(F.when(F.col("pool_id").isNotNull(), F.col("n"))).alias("pooled_votes"), F.sum("n").alias("nvotes"))
-    return t.join(base.totals(spark, d), "contest_id").select("contest_id", "pooled_votes", "nvotes", "npop", (F.col("nc") - F.col("ncast")).alias("phantoms"))
-
-
 # --- lines, sinks and rounds -----------------------------------------------------------------------
 
 
@@ -210,3 +195,17 @@ def run_rounds(spark: SparkSession, d: str) -> DataFrame:
 def irv_consolidate(spark: SparkSession, d: str) -> DataFrame:
     """Equal rankings as one row with their count."""
     return _irv_ballots(spark, d).select("contest_id", F.array_join("prefs", ">").alias("prefs"), "nballots")
+
+
+@R.add()
+def sink_round(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that each round of an audit commits, read back: rows of each."""
+    folder = new_path(spark, "record")
+    a = written(base.assertions(spark, d).where("winner_votes > loser_votes"), "assertions")
+    done = rounds.run_rounds(lambda drawn: compared(spark, d, drawn).select(*KEYS, "prn", "value", "npop", "noerror"), audits._card_contests(spark, d), a, ALPHA, MAX_LOSS, most_rounds=2, folder=folder)
+    last = done.agg(F.max("round")).first()[0] or 0
+    out = None
+    for name in rounds.ROUND_TABLES if last else ():
+        part = records.read_record(spark, folder, name).groupBy("round").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "round", "n_rows")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else spark.createDataFrame([], "name string, round int, n_rows bigint")

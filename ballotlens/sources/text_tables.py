@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotlens.operators import prefix
 from ballotlens.sources.vendor import line_cells as vendor_cells
 
 INTS = "array<int>"
@@ -72,35 +73,51 @@ def write_cvrs(cvrs: DataFrame) -> DataFrame:
 # --- pools: pool, name, exact, cards, then contest, vote for, cands, five counts, irv, cand:votes; continuation lines leave the pool cells empty ---
 
 
-def read_pools(lines: DataFrame, order: str = "line_no") -> DataFrame:
-    """pool_id, pool_name, has_exact, total_cards, contest_id, vote_for, ncards, novote, undervotes, overvotes, nphantoms, tally.
+def _pool_lines(lines: DataFrame, order: str, heads: dict[str, tuple[int, str]]) -> DataFrame:
+    """Pool and contest of each line, with the pool's heads (name to cell and type) carried forward from its first line.
 
-    Continuation lines may repeat or omit the pool's id; names and totals are carried forward in line order. The pool
-    id, where present on every line, keeps the window inside a pool; where it is absent the file is read in one window.
+    A line that leaves the pool's id empty belongs to the pool of the last line before it that has one. Where that happens, ids are
+    carried forward by running maxima over ranges of the order, so no file is one window; the rest stays within a pool.
     """
     rows = lines.select(order, F.split("value", ",").alias("c")).where((F.size("c") >= 13) & _cell(4).rlike("^[0-9]+$"))
     rows = rows.withColumn("p", F.when(_cell(0) != "", _cell(0)).cast("int"))
-    carry = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     if rows.where("p is null").limit(1).count():
-        rows = rows.withColumn("p", F.last("p", ignorenulls=True).over(carry))
-    own = Window.partitionBy("p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        mark = F.when(F.col("p").isNotNull(), F.struct(F.col(order).alias("at"), F.col("p").alias("p")))
+        rows = prefix.before(rows.withColumn("k", F.lit(0)), ["k"], [order], prefix.index_bucket(order, rows.count()), {}, {"last": mark})
+        rows = rows.withColumn("p", F.coalesce("p", "last.p"))
+    own = Window.partitionBy("p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # a pool has a line a contest
     last = lambda i, kind: F.last(F.when(_cell(i) != "", _cell(i)).cast(kind), ignorenulls=True).over(own)
     number = lambda i: _cell(i).cast("bigint")
     tally = F.map_from_entries(F.transform(F.filter(F.slice("c", 14, F.size("c")), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.trim(F.split(x, ":")[0]), F.trim(F.split(x, ":")[1]).cast("bigint"))))
     return rows.select(
-        F.col("p").alias("pool_id"), last(1, "string").alias("pool_name"), (last(2, "string") == "true").alias("has_exact"), last(3, "bigint").alias("total_cards"),
+        F.col("p").alias("pool_id"), *[last(i, kind).alias(n) for n, (i, kind) in heads.items()],
         _cell(4).cast("int").alias("contest_id"), _cell(5).cast("int").alias("vote_for"), number(7).alias("ncards"), number(8).alias("novote"), number(9).alias("undervotes"), number(10).alias("overvotes"), number(11).alias("nphantoms"), (_cell(12) == "yes").alias("is_irv"), tally.alias("tally"),
     )
 
 
-def write_pools(pools: DataFrame) -> DataFrame:
-    """line_no and value, from the columns that ``read_pools`` gives; a pool's first line names it."""
+def read_pools(lines: DataFrame, order: str = "line_no") -> DataFrame:
+    """pool_id, pool_name, has_exact, total_cards, contest_id, vote_for, ncards, novote, undervotes, overvotes, nphantoms, is_irv, tally.
+
+    Continuation lines may repeat or omit the pool's id; names and totals are carried forward in line order.
+    """
+    rows = _pool_lines(lines, order, {"pool_name": (1, "string"), "has_exact": (2, "string"), "total_cards": (3, "bigint")})
+    return rows.withColumn("has_exact", F.col("has_exact") == "true")
+
+
+def read_county_pools(lines: DataFrame, order: str = "line_no") -> DataFrame:
+    """The same of a county's pools, whose heads are the county's name, its cards and the ids of its styles: county, total_cards and styles in place of the first three."""
+    rows = _pool_lines(lines, order, {"county": (1, "string"), "total_cards": (2, "bigint"), "styles": (3, "string")})
+    return rows.withColumn("styles", _ints(F.col("styles")))
+
+
+def write_pools(pools: DataFrame, heads: tuple[str, ...] = ("pool_name", "has_exact", "total_cards"), repeat_id: bool = True) -> DataFrame:
+    """line_no and value, from the columns that a reader of pools gives; a pool's first line names it, the others have its id or nothing."""
     w = Window.partitionBy("pool_id").orderBy("contest_id")
     rows = pools.withColumn("k", F.row_number().over(w))
     entries = F.array_sort(F.map_entries("tally"))
     votes = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ", ")
     cands = F.array_join(F.transform(entries, lambda e: e["key"]), " ")
-    head = F.when(F.col("k") == 1, F.concat_ws(", ", "pool_id", "pool_name", F.col("has_exact").cast("string"), "total_cards")).otherwise(F.concat(F.col("pool_id"), F.lit(",,,")))
+    head = F.when(F.col("k") == 1, F.concat_ws(", ", "pool_id", *[F.col(h).cast("string") for h in heads])).otherwise(F.concat(F.col("pool_id").cast("string") if repeat_id else F.lit(""), F.lit(",,,")))
     body = F.concat_ws(", ", "contest_id", "vote_for", cands, "ncards", "novote", "undervotes", "overvotes", "nphantoms", F.when(F.col("is_irv"), "yes").otherwise(""), votes)
     return rows.select((F.col("pool_id").cast("bigint") * 1_000_000 + F.col("k")).alias("line_no"), F.concat(head, F.lit(", "), body).alias("value"))
 
@@ -115,6 +132,21 @@ def read_ranked(lines: DataFrame) -> DataFrame:
     return rows.select(_cell(0).cast("int").alias("contest_id"), _cell(1).cast("int").alias("ballot_id"), prefs.alias("prefs"))
 
 
+#: What a line of each layout must look like; anything else but a blank line or a header is not read.
+PATTERNS = {
+    "cards": lambda: (F.size("c") >= 8) & _cell(2).rlike("^[0-9]+$"),
+    "cvrs": lambda: (F.size("c") >= 5) & _cell(1).rlike("^[0-9]+$"),
+    "pools": lambda: (F.size("c") >= 13) & _cell(4).rlike("^[0-9]+$"),
+    "ranked": lambda: (F.size("c") >= 2) & _cell(0).rlike("^[0-9]+$") & _cell(1).rlike("^[0-9]+$"),
+}
+
+
+def unread(lines: DataFrame, layout: str, header: str = "^(id|poolId|countyPoolId|Contest|[0-9]+$)") -> DataFrame:
+    """The lines that a reader leaves out though they are neither blank nor headers (which begin as the pattern says): value."""
+    rows = lines.select("value", F.split("value", ",").alias("c")).where(~F.coalesce(PATTERNS[layout](), F.lit(False)))
+    return rows.where((F.trim("value") != "") & ~F.trim("value").rlike(header)).select("value")
+
+
 # --- state files with a header ---------------------------------------------------------------------
 
 
