@@ -34,6 +34,26 @@ def consistent_sample(card_contests: DataFrame, wanted: DataFrame, cap: int | No
     return drawn.orderBy("prn").limit(cap) if cap is not None else drawn
 
 
+def consistent_sample_prefix(card_contests: DataFrame, wanted: DataFrame, sizes: DataFrame, bits: int = 63, slack: float = 1.5) -> DataFrame:
+    """The same sample, from a prefix of a manifest that is stored in the order of its numbers.
+
+    sizes: contest_id and cards (how many rows of card_contests each has). Numbers are spread evenly below 2^bits, so the share of
+    a contest's cards that is wanted tells how far to read; the bound on prn reaches the scan, which skips all files and row
+    groups beyond it. Whether every contest has what it wants there is checked, and the prefix doubled if one has not.
+    """
+    plan = wanted.join(sizes, "contest_id").select("contest_id", F.least("n", "cards").alias("n"), "cards")
+    share = slack * (plan.agg(F.max(F.col("n") / F.col("cards"))).first()[0] or 0.0)
+    while True:
+        prefix = card_contests if share >= 1 else card_contests.where(F.col("prn") <= F.lit(int(share * 2**bits)))
+        if share >= 1:
+            break
+        have = prefix.groupBy("contest_id").agg(F.count("*").alias("have"))
+        if not plan.join(have, "contest_id", "left").where("n > coalesce(have, 0)").limit(1).count():
+            break
+        share *= 2
+    return consistent_sample(prefix, plan.select("contest_id", "n"))
+
+
 def sample_reach(card_contests: DataFrame, sample: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per contest: have (its cards before the first that was not drawn) and upto (their last place in the sample).
 

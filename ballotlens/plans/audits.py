@@ -12,7 +12,8 @@ from ballotlens.operators import draws, outcome, pools, prefix, risk, simulate,
 from ballotlens.plans import base
 from ballotlens.plans.ballots import _B, _DHONDT, MIN_FRACTION, SEATS, _seats, big, compared, r9
 from ballotlens.plans.base import Registry
-from ballotlens.scratch import written
+from ballotlens.scratch import new_path, written
+from ballotlens.sources import records
 from ballotlens.tables import table
 
 R = Registry()
@@ -77,6 +78,17 @@ def consistent_sampling(spark: SparkSession, d: str) -> DataFrame:
     return draws.consistent_sample(_card_contests(spark, d), _wanted(spark, d))
 
 
+@R.add(_SAMPLE + " select prn from drawn")
+def consistent_sampling_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The same sample from a committed manifest in the order of its numbers, of which only a prefix is read."""
+    folder = new_path(spark, "record")
+    cards = base.cards(spark, d).where("prn is not null").select("prn", "style_id")
+    records.commit(cards.repartitionByRange(8, "prn").sortWithinPartitions("prn"), folder, "sorted_cards")
+    styles = written(base.card_votes(spark, d).select("style_id", "contest_id").distinct(), "styles")
+    cc = records.read_record(spark, folder, "sorted_cards").join(styles, "style_id").select("prn", "contest_id")
+    return draws.consistent_sample_prefix(cc, _wanted(spark, d), cc.groupBy("contest_id").agg(F.count("*").alias("cards")))
+
+
 @R.add(_SAMPLE + " select prn from drawn order by prn limit 50")
 def risk_measuring_cap(spark: SparkSession, d: str) -> DataFrame:
     """The sample cut to the 50 smallest numbers that an auditor may read."""

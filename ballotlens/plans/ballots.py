@@ -379,7 +379,16 @@ def assert_dhondt(spark: SparkSession, d: str) -> DataFrame:
     return seats.unionByName(outcome.dhondt_thresholds(tab, scores, MIN_FRACTION)).select("contest_id", "kind", "winner", "loser", big("last"), big("first"))
 
 
-@R.add()
+_IRV_PATHS = """, iv as (select contest_id, cands, count(*) as n from xv join contests using (contest_id) where num_ranks > 0 group by all), f as (select c.contest_id, c.c, coalesce(sum(n), 0) as n from (select distinct contest_id, unnest(cands) as c from iv) c left join iv on iv.contest_id = c.contest_id and iv.cands[1] = c.c group by all),
+ begun as (select contest_id, list_sort(list(c)) as start from f group by contest_id, n = 0 having n = 0 is false or contest_id not in (select contest_id from f where n > 0)),
+ st(contest_id, start, viable, r) as (select contest_id, start, start, 1 from begun union
+  select contest_id, start, list_filter(viable, lambda x: x <> c), r + 1 from (select *, min(n) over (partition by contest_id, viable) as low from (
+    select s.contest_id, s.start, s.viable, s.r, u.c, coalesce(sum(iv.n), 0) as n from (select * from st where len(viable) > 2) s cross join unnest(s.viable) as u(c) left join iv on iv.contest_id = s.contest_id and list_filter(iv.cands, lambda x: list_contains(s.viable, x))[1] = u.c group by all)) where n = low),
+ tl as (select s.contest_id, s.start, s.viable, s.r, u.c, coalesce(sum(iv.n), 0)::bigint as n from st s cross join unnest(s.viable) as u(c) left join iv on iv.contest_id = s.contest_id and list_filter(iv.cands, lambda x: list_contains(s.viable, x))[1] = u.c group by all)
+ select contest_id, array_to_string(list_filter(start, lambda x: not list_contains(viable, x)), ' ') as path, r::int as round, c as cand, n as nvotes, len(viable) > 2 and n = min(n) over (partition by contest_id, viable) as goes, len(viable) <= 2 and n = max(n) over (partition by contest_id, viable) as wins from tl"""
+
+
+@R.add(_IRV_PATHS, recursive=True)
 def irv_count(spark: SparkSession, d: str) -> DataFrame:
     return outcome.irv_count(_irv_ballots(spark, d))
 

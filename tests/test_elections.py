@@ -361,3 +361,33 @@ def test_made_up_elections(spark):
     n = lambda c, f: sum(r.contest_id == c and f(r) for r in got)
     assert (n(1, lambda r: r.cands == [1]), n(1, lambda r: r.cands == [2]), n(1, lambda r: not r.cands and not r.phantom), n(1, lambda r: r.phantom)) == (50, 37, 10, 3)
     assert n(2, bool) == 0 and n(3, lambda r: r.cands == [1]) == 5
+
+
+def test_sample_from_a_prefix(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    cards = spark.createDataFrame([(rng.randrange(2**63), i % 7 if i % 50 else 7) for i in range(8000)], "prn bigint, contest_id int")
+    cards.repartitionByRange(6, "prn").sortWithinPartitions("prn").write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    sizes = stored.groupBy("contest_id").agg(F.count("*").alias("cards"))
+    for n in (3, 40, 10_000):
+        wanted = spark.createDataFrame([(c, n) for c in (0, 3, 7, 99)], "contest_id int, n bigint")
+        for slack in (0.2, 1.5):
+            got = {r.prn for r in draws.consistent_sample_prefix(stored, wanted, sizes, slack=slack).collect()}
+            assert got == {r.prn for r in draws.consistent_sample(stored, wanted).collect()}
+    plan = draws.consistent_sample_prefix(stored, spark.createDataFrame([(0, 3)], "contest_id int, n bigint"), sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(prn," in plan
+
+
+def test_county_pools_without_ids(spark, monkeypatch):
+    from ballotlens.operators import prefix
+    from ballotlens.sources import text_tables as T
+
+    lines = [(1, "countyPoolId, countyName"), (2, "7, Adams, 300, 4 9, 1, 1, 1 2, 300, 5, 5, 0, 0, , 1:120, 2:175,"), (3, ",,,, 3, 2, 7, 290, 0, 1, 0, 2, , 7:9,"), (4, "8, Baca, 10, , 1, 1, 1, 10, 10, 10, 0, 0, , "), (5, ",,,, 2, 1, 1, 10, 0, 0, 0, 0, , 1:3")]
+    df = spark.createDataFrame(lines, "line_no bigint, value string")
+    for most in (2, 10**9):
+        monkeypatch.setattr(prefix, "PER_BUCKET", most)
+        got = {(r.pool_id, r.contest_id): (r.county, r.total_cards, r.styles, r.tally) for r in T.read_county_pools(df).collect()}
+        assert got == {(7, 1): ("Adams", 300, [4, 9], {"1": 120, "2": 175}), (7, 3): ("Adams", 300, [4, 9], {"7": 9}), (8, 1): ("Baca", 10, None, {}), (8, 2): ("Baca", 10, None, {"1": 3})} or got[8, 1][2] == []
+    assert T.unread(df.select("value").unionAll(spark.createDataFrame([("9, x",)], "value string")), "pools").count() == 1
