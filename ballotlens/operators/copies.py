@@ -30,7 +30,7 @@ def number_text(value: Column) -> Column:
     whole = F.regexp_replace(F.regexp_extract(plain, r"^[+-]?([0-9]*)", 1), "^0+", "")
     part = F.regexp_replace(F.regexp_extract(plain, r"\.([0-9]*)$", 1), "0+$", "")
     digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    out = F.when(number, F.concat(F.when(plain.startswith("-") & (digits != "0"), "-").otherwise(""), digits)).otherwise(text)
+    out = F.when(plain.rlike("^(?:0|-?[1-9][0-9]*)$"), plain).when(number, F.concat(F.when(plain.startswith("-") & (digits != "0"), "-").otherwise(""), digits)).otherwise(text)
     return F.when((text == "") | (F.upper(text) == "N/A"), None).otherwise(out)
 
 
