@@ -10,7 +10,7 @@ from ballotlens.functions import betting
 from ballotlens.functions.prn import prn, prn_sql
 from ballotlens.operators import draws, outcome, pools, prefix, risk, simulate, tabulate
 from ballotlens.plans import base
-from ballotlens.plans.ballots import _B, _DHONDT, MIN_FRACTION, SEATS, _seats, big, compared, r9
+from ballotlens.plans.ballots import _B, _DHONDT, MIN_FRACTION, SEATS, _against, _seats, big, compared, compared_counts, r9
 from ballotlens.plans.base import Registry
 from ballotlens.scratch import new_path, written
 from ballotlens.sources import records
@@ -316,7 +316,7 @@ def adaptive_oneaudit(spark: SparkSession, d: str) -> DataFrame:
  select contest_id, winner, loser, round(least(1, pow(1 - diluted_margin / (2 * 1.03905), n) * pow(1 - 1 / (2 * 1.03905), -o1) * pow(1 - 1 / 1.03905, -o2) * pow(1 + 1 / (2 * 1.03905), -u1) * pow(1 + 1 / 1.03905, -u2)), 6) as risk from c join asn using (contest_id, winner, loser) where diluted_margin > 0""")
 def kaplan_markov(spark: SparkSession, d: str) -> DataFrame:
     o = F.round("over", 6)
-    c = compared(spark, d).groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.count_if(o == v).alias(k) for k, v in (("o1", 0.5), ("o2", 1.0), ("u1", -0.5), ("u2", -1.0))])
+    c = compared_counts(spark, d).groupBy(*KEYS).agg(F.sum("k").alias("n"), *[F.sum(F.when(o == v, F.col("k")).otherwise(0)).alias(k) for k, v in (("o1", 0.5), ("o2", 1.0), ("u1", -0.5), ("u2", -1.0))])
     c = c.join(base.assertions(spark, d).select(*KEYS, "diluted_margin"), KEYS).where("diluted_margin > 0")
     return c.select(*KEYS, r6(betting.kaplan_markov(*[F.col(x) for x in ("n", "o1", "o2", "u1", "u2")], 1.03905, F.col("diluted_margin")), "risk"))
 
@@ -510,20 +510,20 @@ def oa_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(_B + _POOLS + " select b.contest_id, b.winner, b.loser, round(avg(case when b.pool_id is null then (1 - (ca - ma)) * noerror else (1 - (pool_avg - ma)) * noerror end), 9) as mean, count(*) as n from b left join pa using (pool_id, contest_id, winner, loser) group by all")
 def bassort_oneaudit(spark: SparkSession, d: str) -> DataFrame:
-    """Comparison values where pooled cards are compared with their pool's average."""
-    c = compared(spark, d)
-    w, x = F.col("winner"), F.col("loser")
-    mvr = F.when(F.col("phantom"), 0.0).otherwise(A.plurality(F.col("mvr"), w, x))
-    out = pools.pooled_comparison(c, _averages(spark, d), mvr)
-    return out.groupBy(*KEYS).agg(r9(F.avg("value"), "mean"), F.count("*").alias("n"))
+    """Comparison values where pooled cards are compared with their pool's average; pairs are counted by kind before they meet the assertions."""
+    p = base.pairs(spark, d).groupBy("pool_id", "contest_id", "phantom", "cands", "mvr").agg(F.count("*").alias("k"))
+    mvr = F.when(F.col("phantom"), 0.0).otherwise(A.plurality(F.col("mvr"), F.col("winner"), F.col("loser")))
+    out = pools.pooled_comparison(_against(p, spark, d), _averages(spark, d), mvr)
+    return out.groupBy(*KEYS).agg(r9(F.sum(F.col("value") * F.col("k")) / F.sum("k"), "mean"), F.sum("k").alias("n"))
 
 
 @R.add(_POOLS + ", x as (select c.contest_id, a.winner, a.loser, case when c.pool_id is null then (list_contains(cands, a.winner)::int - list_contains(cands, a.loser)::int + 1) * 0.5 else pool_avg end as v from cv c join asn a using (contest_id) left join pa p on p.pool_id = c.pool_id and p.contest_id = c.contest_id and p.winner = a.winner and p.loser = a.loser) select contest_id, winner, loser, round(avg(v), 9) as mean from x group by all")
 def oa_assort_avg(spark: SparkSession, d: str) -> DataFrame:
     """The mean assorter value where a pooled card counts its pool's average."""
-    v = base.card_votes(spark, d).join(base.assertions(spark, d).select(*KEYS), "contest_id").join(_averages(spark, d).select(*pools.POOL, "pool_avg"), pools.POOL, "left")
+    v = base.card_votes(spark, d).withColumn("cands", F.when(F.col("pool_id").isNull(), F.col("cands"))).groupBy("pool_id", "contest_id", "cands").agg(F.count("*").alias("k"))
+    v = v.join(base.assertions(spark, d).select(*KEYS), "contest_id").join(_averages(spark, d).select(*pools.POOL, "pool_avg"), pools.POOL, "left")
     value = F.when(F.col("pool_id").isNull(), A.plurality(F.col("cands"), F.col("winner"), F.col("loser"))).otherwise(F.col("pool_avg"))
-    return v.groupBy(*KEYS).agg(r9(F.avg(value), "mean"))
+    return v.groupBy(*KEYS).agg(r9(F.sum(value * F.col("k")) / F.sum("k"), "mean"))
 
 
 @R.add(_POOLS + " select contest_id, winner, loser, round(sum(ncards * pool_avg) / sum(ncards), 9) as mean from pa group by all")

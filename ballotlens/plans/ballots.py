@@ -93,8 +93,8 @@ def has_mark(spark: SparkSession, d: str) -> DataFrame:
     from ballotlens.functions.votes import marks
 
     grid = base.card_tab(spark, d).select("contest_id", "cand")
-    joined = base.card_votes(spark, d).join(grid, "contest_id")
-    return joined.groupBy("contest_id", "cand").agg(F.sum(marks(F.col("cands"), F.col("cand"))).alias("marked"), F.count("*").alias("cards"))
+    joined = base.card_votes(spark, d).groupBy("contest_id", "cands").agg(F.count("*").alias("k")).join(grid, "contest_id")
+    return joined.groupBy("contest_id", "cand").agg(F.sum(marks(F.col("cands"), F.col("cand")) * F.col("k")).alias("marked"), F.sum("k").alias("cards"))
 
 
 @R.add("select array_to_string(list_sort(map_keys(votes)), ' ') as contests, count(*) as ncards from cards group by all")
@@ -459,7 +459,8 @@ def assort_avg(spark: SparkSession, d: str) -> DataFrame:
     """The mean of each plurality assorter over the cards with the contest equals (margin + 1) / 2; phantoms hold no votes."""
     a = base.assertions(spark, d).select("contest_id", "winner", "loser", "reported_margin")
     v = base.card_votes(spark, d).withColumn("cands", F.when(F.col("phantom"), F.array().cast("array<int>")).otherwise(F.col("cands")))
-    out = v.join(a, "contest_id").groupBy("contest_id", "winner", "loser", "reported_margin").agg(F.avg(A.plurality(F.col("cands"), F.col("winner"), F.col("loser"))).alias("m"))
+    v = v.groupBy("contest_id", "cands").agg(F.count("*").alias("k"))  # equal ballots are one row before they meet the assertions
+    out = v.join(a, "contest_id").groupBy("contest_id", "winner", "loser", "reported_margin").agg((F.sum(A.plurality(F.col("cands"), F.col("winner"), F.col("loser")) * F.col("k")) / F.sum("k")).alias("m"))
     return out.select("contest_id", "winner", "loser", r9(F.col("m"), "mean"), r9(A.margin_to_mean(F.col("reported_margin")), "expected"))
 
 
@@ -474,9 +475,10 @@ def threshold_assorters(spark: SparkSession, d: str) -> DataFrame:
     tab = base.card_tab(spark, d)
     known = tab.groupBy("contest_id").agg(F.collect_list("cand").alias("known"))
     first = base.ranked(spark, d).select("contest_id", "cand")
-    v = base.card_votes(spark, d).where("not phantom").join(first, "contest_id").join(known, "contest_id")
+    v = base.card_votes(spark, d).where("not phantom").groupBy("contest_id", "cands").agg(F.count("*").alias("k")).join(first, "contest_id").join(known, "contest_id")
     c = [F.col("cands"), F.col("cand"), THRESHOLD, F.col("known")]
-    return v.groupBy("contest_id", "cand").agg(r9(F.avg(A.above_threshold(*c)), "above"), r9(F.avg(A.below_threshold(*c)), "below"))
+    mean = lambda x: F.sum(x * F.col("k")) / F.sum("k")
+    return v.groupBy("contest_id", "cand").agg(r9(mean(A.above_threshold(*c)), "above"), r9(mean(A.below_threshold(*c)), "below"))
 
 
 @R.add(_DHONDT + f""", da as (select {_PAIRS})
@@ -484,8 +486,9 @@ def threshold_assorters(spark: SparkSession, d: str) -> DataFrame:
  from cv join da using (contest_id) where not phantom group by contest_id, winner, loser""")
 def dhondt_assorter(spark: SparkSession, d: str) -> DataFrame:
     a = outcome.dhondt_assertions(_seats(spark, d))
-    v = base.card_votes(spark, d).where("not phantom").join(a, "contest_id")
-    return v.groupBy("contest_id", "winner", "loser").agg(r9(F.avg(A.dhondt(F.col("cands"), F.col("winner"), F.col("loser"), F.col("last"), F.col("first"))), "mean"), F.round(A.dhondt_upper(F.first("last"), F.first("first")), 9).alias("upper"))
+    v = base.card_votes(spark, d).where("not phantom").groupBy("contest_id", "cands").agg(F.count("*").alias("k")).join(a, "contest_id")
+    value = A.dhondt(F.col("cands"), F.col("winner"), F.col("loser"), F.col("last"), F.col("first"))
+    return v.groupBy("contest_id", "winner", "loser").agg(r9(F.sum(value * F.col("k")) / F.sum("k"), "mean"), F.round(A.dhondt_upper(F.first("last"), F.first("first")), 9).alias("upper"))
 
 
 @R.add(_IRV + """ select ps.contest_id, w as winner, l as loser, round(sum(n * (((cands[1] is not distinct from w)::int - (list_contains(cands, l) and (not list_contains(cands, w) or list_position(cands, l) < list_position(cands, w)))::int + 1) * 0.5)) / sum(n), 9) as mean from ps join iv using (contest_id) group by all""")
@@ -534,22 +537,32 @@ _B = """, b as (select p.card_key, p.contest_id, p.prn, p.pool_id, a.winner, a.l
 
 def compared(spark: SparkSession, d: str, drawn: DataFrame | None = None) -> DataFrame:
     """Every card and assertion of its contests, with overstatement and comparison value. drawn: the prns of the cards to compare."""
-    a = base.assertions(spark, d).select("contest_id", "winner", "loser", "noerror", "npop", "nc")
     p = base.pairs(spark, d)
-    p = (p if drawn is None else p.join(drawn, "prn", "left_semi")).join(a, "contest_id")
+    return _against(p if drawn is None else p.join(drawn, "prn", "left_semi"), spark, d)
+
+
+def _against(p: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Pairs beside the assertions of their contest, with overstatement and comparison value."""
+    p = p.join(base.assertions(spark, d).select("contest_id", "winner", "loser", "noerror", "npop", "nc"), "contest_id")
     w, x = F.col("winner"), F.col("loser")
     over = A.overstatement(A.plurality(F.col("cands"), w, x), A.plurality(F.coalesce("mvr", F.array().cast("array<int>")), w, x), F.col("phantom"), F.col("phantom"), F.col("mvr").isNull())
     return p.withColumn("over", over).withColumn("value", A.comparison(over, 1.0, F.col("noerror")))
 
 
+def compared_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same for each kind of pair (contest, phantom, marks on card and in the hand reading), with k, how many pairs are of it:
+    pairs are counted before they meet the assertions, so that a contest's cards are not multiplied by them."""
+    return _against(base.pairs(spark, d).groupBy("contest_id", "phantom", "cands", "mvr").agg(F.count("*").alias("k")), spark, d)
+
+
 @R.add(_B + " select contest_id, winner, loser, round(ca - ma, 6) as overstatement, count(*) as n from b group by all")
 def overstatement(spark: SparkSession, d: str) -> DataFrame:
-    return compared(spark, d).groupBy("contest_id", "winner", "loser", F.round("over", 6).alias("overstatement")).agg(F.count("*").alias("n"))
+    return compared_counts(spark, d).groupBy("contest_id", "winner", "loser", F.round("over", 6).alias("overstatement")).agg(F.sum("k").alias("n"))
 
 
 @R.add(_B + " select contest_id, winner, loser, round(avg((1 - (ca - ma)) * noerror), 9) as mean, count(*) as n from b group by all")
 def bassort(spark: SparkSession, d: str) -> DataFrame:
-    return compared(spark, d).groupBy("contest_id", "winner", "loser").agg(r9(F.avg("value"), "mean"), F.count("*").alias("n"))
+    return compared_counts(spark, d).groupBy("contest_id", "winner", "loser").agg(r9(F.sum(F.col("value") * F.col("k")) / F.sum("k"), "mean"), F.sum("k").alias("n"))
 
 
 @R.add(_B + """ select contest_id, winner, loser, tau, n, round(n / sum(n) over (partition by contest_id, winner, loser), 9) as rate from (
@@ -558,8 +571,8 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
     """Errors by the name of their relative value, and their rates."""
     from pyspark.sql import Window
 
-    c = compared(spark, d).withColumn("tau", A.tau_name(F.col("value") / F.col("noerror")))
-    n = c.groupBy("contest_id", "winner", "loser", "tau").agg(F.count("*").alias("n"))
+    c = compared_counts(spark, d).withColumn("tau", A.tau_name(F.col("value") / F.col("noerror")))
+    n = c.groupBy("contest_id", "winner", "loser", "tau").agg(F.sum("k").alias("n"))
     return n.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("contest_id", "winner", "loser")), 9))
 
 

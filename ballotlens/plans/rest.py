@@ -10,7 +10,7 @@ from ballotlens.functions import betting
 from ballotlens.operators import county, outcome, risk, rounds, simulate, tabulate
 from ballotlens.plans import audits, base
 from ballotlens.plans.audits import _CLCA, _POLL, _POOLS, _ROUND2, ALPHA, KEYS, MAX_LOSS, SEED
-from ballotlens.plans.ballots import _B, _irv_ballots, big, compared, r9
+from ballotlens.plans.ballots import _B, _irv_ballots, big, compared, compared_counts, r9
 from ballotlens.plans.base import Registry
 from ballotlens.scratch import new_path, written
 from ballotlens.sources import records
@@ -111,7 +111,7 @@ def pvalue_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(_B + ", c as (select contest_id, winner, loser, count(*) as n, count(*) filter (ca - ma <> 0) as errors from b group by all) select contest_id, winner, loser, errors, round(errors / n, 9) as rate from c")
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
-    c = compared(spark, d).groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.abs("over") > 1e-9).alias("errors"))
+    c = compared_counts(spark, d).groupBy(*KEYS).agg(F.sum("k").alias("n"), F.sum(F.when(F.abs("over") > 1e-9, F.col("k")).otherwise(0)).alias("errors"))
     return c.select(*KEYS, "errors", r9(F.col("errors") / F.col("n"), "rate"))
 
 
