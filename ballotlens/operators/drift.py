@@ -228,19 +228,34 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
 
 
+#: What a packed profile holds, in its order; then come the registers of values and of patterns.
+PACKED = ("pos", "n", *[f"n_{k}" for k in KINDS], "total", "high", "length", "run_low", "run_high")
+
+
+def packed() -> Column:
+    """A column's profile as one short text, which costs less to hand to Python than its many fields."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws("|", *[text(c) for c in PACKED], *[F.concat_ws(",", *[f"{x}{i}" for i in range(REGISTERS)]) for x in "vp"])
+
+
+def unpacked(text: str) -> dict:
+    """The profile of a packed text, with mean and mean length, run (whether the column counts the lines; None if it cannot) and registers."""
+    *head, values, patterns = text.split("|")
+    p = {c: (float(x) if c in ("total", "high") else int(x)) if x else None for c, x in zip(PACKED, head)}
+    p["mean"], p["length"] = (p["total"] or 0.0) / max(1, p["n_whole"] + p["n_decimal"]), p["length"] / max(1, p["n"])
+    p["run"] = None if p["run_low"] is None or p["n"] < 3 else p["run_low"] == p["run_high"]
+    p["values"], p["patterns"] = np.array(values.split(","), np.int64), np.array(patterns.split(","), np.int64)
+    return p
+
+
 def _tree(header: str | None, profiles: list | None, nested: str | None = None) -> Node:
     """The schema tree of a header. nested: what separates the levels of a heading, as in contest:choice; None: all columns
     lie under the root."""
     names = lenient_cells(strip_end(header)) if header is not None else []
-    by = {p["pos"]: p for p in (profiles if profiles is not None else [])}
+    by = {p["pos"]: p for p in map(unpacked, profiles if profiles is not None else [])}
     root = Node("")
     for pos, name in enumerate(names):
         p = by.get(pos)
-        if p is not None:
-            p = {k: p[k] for k in p} if isinstance(p, dict) else p.asDict()
-            p["mean"], p["length"] = (p["total"] or 0.0) / max(1, p["n_whole"] + p["n_decimal"]), p["length"] / max(1, p["n"])
-            p["run"] = None if p["run_low"] is None or p["n"] < 3 else p["run_low"] == p["run_high"]
-            p["values"], p["patterns"] = np.array([p[f"v{i}"] for i in range(REGISTERS)]), np.array([p[f"p{i}"] for i in range(REGISTERS)])
         above = root
         *path, last = name.split(nested) if nested else [name]
         for part in path:
@@ -289,7 +304,7 @@ def change_scripts(files: DataFrame, lines: DataFrame, group: str = "county_id",
     slim = files.groupBy("file_id").agg(F.min(group).alias("g"), F.min(order).alias("t"), F.min("header_line").alias("header_line"))
     pairs = slim.select("file_id", F.lag("file_id").over(Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "file_id")).alias("previous_id"))
     prof = profile_lines(lines)
-    side = written(slim.select("file_id", "header_line").join(prof.groupBy("file_id").agg(F.collect_list(F.struct(*[c for c in prof.columns if c != "file_id"])).alias("profiles")), "file_id", "left"), "profiles")
+    side = written(slim.select("file_id", "header_line").join(prof.groupBy("file_id").agg(F.collect_list(packed()).alias("profiles")), "file_id", "left"), "profiles")
     before = side.select(F.col("file_id").alias("previous_id"), F.col("header_line").alias("previous_line"), F.col("profiles").alias("previous_profiles"))
     both = pairs.join(side, "file_id").join(before, "previous_id", "left").select("file_id", "previous_id", "header_line", "profiles", "previous_line", "previous_profiles")
     schema = T._parse_datatype_string(SCRIPT)
