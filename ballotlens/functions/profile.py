@@ -10,6 +10,7 @@ import pandas as pd
 #: Registers of each min-hash sketch.
 REGISTERS = 12
 KINDS = ("whole", "decimal", "boolean", "timestamp", "text")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _WHOLE, _DECIMAL = re.compile(r"[+-]?[0-9]+\Z"), re.compile(r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\Z")
 _TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?( ?Z|[+-][0-9]{2}:?[0-9]{2})?)?\Z|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[AaPp][Mm])?)?\Z")
 
@@ -27,13 +28,18 @@ def cell_kind(text: str) -> str:
 
 def pattern(text: str) -> str:
     """The text with runs of digits as 9 and runs of letters as a."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text))
-
-
-def registers(values: list[str]) -> np.ndarray:
-    """Min-hash registers of a set of texts; equal sets have equal registers."""
-    h = pd.util.hash_array(np.array(values, dtype=object), categorize=False).astype(np.uint64)
-    salts = (np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    mixed = h[None, :] ^ salts
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).min(axis=1).astype(np.int64)
+    return _LETTERS.sub("a", _DIGITS.sub("9", text))
+
+
+def registers(groups: list[list[str]]) -> np.ndarray:
+    """Min-hash registers of sets of texts, none empty, one row a set; equal sets have equal registers. All sets are hashed together."""
+    if not groups:
+        return np.zeros((0, REGISTERS), np.int64)
+    h = pd.util.hash_array(np.array([t for g in groups for t in g], dtype=object), categorize=False).astype(np.uint64)
+    begin = np.concatenate(([0], np.cumsum([len(g) for g in groups])[:-1]))
+    out = np.empty((len(groups), REGISTERS), np.int64)
+    for k in range(REGISTERS):
+        mixed = h ^ (np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, k] = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1), begin).astype(np.int64)
+    return out

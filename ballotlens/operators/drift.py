@@ -207,15 +207,19 @@ def profile_lines(lines: DataFrame) -> DataFrame:
                 for pos, cell in enumerate(cells(strip_end(line)) or [] if line is not None else []):
                     if text := cell.strip():
                         found.setdefault((fid, pos), []).append((no or 0, text))
-            rows = []
+            rows, values, shapes = [], [], []
             for (fid, pos), got in found.items():
                 texts = [t for _, t in got]
                 kinds = [cell_kind(t) for t in texts]
                 numbers = [float(t) for t, k in zip(texts, kinds) if k in ("whole", "decimal")]
                 runs = [int(t) - no for (no, t), k in zip(got, kinds) if k == "whole" and len(t) < 18]
-                values, shapes = registers(sorted(set(texts))), registers(sorted({pattern(t) for t in texts}))
-                rows.append([fid, pos, len(texts), *[kinds.count(k) for k in KINDS], float(sum(numbers)), max(numbers, default=None), sum(map(len, texts)), min(runs, default=None), max(runs, default=None), *[int(x) for pair in zip(values, shapes) for x in pair]])
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=_arrow(schema))
+                rows.append([fid, pos, len(texts), *[kinds.count(k) for k in KINDS], float(sum(numbers)), max(numbers, default=None), sum(map(len, texts)), min(runs, default=None), max(runs, default=None)])
+                distinct = set(texts)
+                values.append(sorted(distinct))
+                shapes.append(sorted({pattern(t) for t in distinct}))
+            sketches = [pa.array(x[:, i]) for v, p in [(registers(values), registers(shapes))] for i in range(REGISTERS) for x in (v, p)]
+            arrow = _arrow(schema)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * (len(schema) - 2 * REGISTERS), arrow)], *sketches], schema=arrow)
 
     partial = lines.select("file_id", "line_no", "line").mapInArrow(run, schema)
     sums = ["n", *[f"n_{k}" for k in KINDS], "total", "length"]
