@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotlens.operators import prefix
 
-def simulate_pool(places: DataFrame, counts: DataFrame, seed: int, keys: tuple[str, ...] = ("pool_id", "contest_id")) -> DataFrame:
+
+def simulate_pool(places: DataFrame, counts: DataFrame, seed: int, keys: tuple[str, ...] = ("pool_id", "contest_id"), rows: int = 0) -> DataFrame:
     """Votes for the cards of each pool and contest such that the totals are exact: places with cand (null: no vote).
 
     places: keys and card_key. counts: keys, cand and nvotes, at most one vote a card. Votes are laid out as ranges,
     cards are shuffled by a hash of card and seed and numbered; a card takes the vote whose range holds its number, then,
     if there are more votes than cards, the one a round of all cards further on, and so on: a row for each vote, no
-    candidate twice on a card. Cards beyond the last vote have none.
+    candidate twice on a card. Cards beyond the last vote have none. rows: about how many places there are, so that a pool with a
+    large share of them is numbered in ranges of the hash, not in one task.
     """
     w = Window.partitionBy(*keys)
     upto = F.sum("nvotes").over(w.orderBy("cand"))
     ranges = counts.withColumn("upto", upto).withColumn("above", F.col("upto") - F.col("nvotes"))
     votes = counts.groupBy(*keys).agg(F.sum("nvotes").alias("votes"))
-    placed = places.withColumn("no", F.row_number().over(w.orderBy(F.xxhash64("card_key", F.lit(seed)), "card_key"))).withColumn("ncards", F.count("*").over(w))
+    placed = places.withColumn("luck", F.shiftrightunsigned(F.xxhash64("card_key", F.lit(seed)), 1))
+    placed = prefix.place(placed, list(keys), ["luck", "card_key"], prefix.number_bucket("luck", rows), "no").join(places.groupBy(*keys).agg(F.count("*").alias("ncards")), list(keys))
     rounds = F.greatest(F.lit(1), F.ceil(F.coalesce("votes", F.lit(0)) / F.col("ncards"))).cast("int")
     placed = placed.join(votes, list(keys), "left").withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1))).withColumn("no", F.col("no") + F.col("round") * F.col("ncards"))
     on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("p.no") > F.col("r.above"), F.col("p.no") <= F.col("r.upto")]

@@ -127,14 +127,14 @@ def remove_max_contests(spark: SparkSession, d: str) -> DataFrame:
 _STRATA = ", strata as (select county_id, count(*) as population, least(count(*), 10 + county_id % 5) as nmvrs from cards group by county_id having county_id % 4 <> 3)"
 
 
-@R.add(_STRATA + """, cs as (select distinct contest_id % 20 as contest_id, county_id from cv),
- per as (select contest_id, coalesce(nmvrs / population, 1) as rate, population from cs left join strata using (county_id))
- select p.contest_id, round(min_rate, 9) as min_rate, sum(coalesce(round_even(min_rate * population, 0), 0))::bigint as n from per p join (select contest_id, min(rate) as min_rate from per group by all) using (contest_id) group by all""")
+@R.add(_STRATA + """, cs as (select distinct description, county_id from contests where county_id is not null),
+ per as (select description, coalesce(nmvrs / population, 1) as rate, population from cs left join strata using (county_id))
+ select p.description, round(min_rate, 9) as min_rate, sum(coalesce(round_even(min_rate * population, 0), 0))::bigint as n from per p join (select description, min(rate) as min_rate from per group by all) using (description) group by all""")
 def strata_min_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Contests of several counties are made from contest ids modulo 20."""
+    """Contests of one name are one contest of all counties that have it: its least sampling rate, and the sample that gives."""
     strata = base.cards(spark, d).groupBy("county_id").agg(F.count("*").alias("population")).where("county_id % 4 <> 3").withColumn("nmvrs", F.least(F.col("population"), 10 + F.col("county_id") % 5))
-    cs = base.card_votes(spark, d).select((F.col("contest_id") % 20).alias("contest_id"), "county_id").distinct()
-    return draws.strata_rates(strata, cs).select("contest_id", r9(F.col("min_rate"), "min_rate"), "n")
+    cs = base.contests(spark, d).where("county_id is not null").select(F.col("description").alias("contest_id"), "county_id").distinct()
+    return draws.strata_rates(strata, cs).select(F.col("contest_id").alias("description"), r9(F.col("min_rate"), "min_rate"), "n")
 
 
 @R.add("select card_key from (select card_key, row_number() over (order by prn, card_key) as r from cards where prn is not null) where r > 10 and r <= 30")
@@ -431,7 +431,7 @@ def simulated(spark: SparkSession, d: str, v: DataFrame, keys: tuple[str, ...])
     ranking = F.when(F.size("cands") > 0, F.array(F.array_join(text, ">"))).otherwise(F.array().cast("array<string>"))
     marks = v.select(*keys, F.explode(F.when(F.col("num_ranks") > 0, ranking).otherwise(F.array_distinct(text))).alias("cand"))
     counts = marks.groupBy(*keys, "cand").agg(F.count("*").alias("nvotes"))
-    made = simulate.simulate_pool(v.select(*keys, "card_key"), counts, SEED, keys)
+    made = simulate.simulate_pool(v.select(*keys, "card_key"), counts, SEED, keys, base.card_rows(spark, d))
     return made.where("cand is not null").groupBy(*keys, F.col("cand").alias("choice")).agg(F.count("*").alias("nvotes"))
 
 
@@ -693,11 +693,15 @@ def pre_audit_check(spark: SparkSession, d: str) -> DataFrame:
 # --- county pipelines ------------------------------------------------------------------------------
 
 
-@R.add("select contest_id, county_id, v, floor(v / sum(v) over (partition by contest_id) * 1000 + 0.5)::bigint as share_of_1000 from (select contest_id % 20 as contest_id, county_id, sum(len(cands)) as v from xv group by all) where v > 0")
+@R.add(""", v as (select description, county_id, sum(coalesce(n, 0))::bigint as v, sum(nc)::bigint as nc from contests join totals using (contest_id) left join (select contest_id, sum(len(cands)) as n from xv group by all) using (contest_id) where description is not null and county_id is not null group by all)
+ select description, county_id, v, floor(v / sum(v) over (partition by description) * sum(nc) over (partition by description) + 0.5)::bigint as share from v where v > 0""")
 def county_distribute_nc(spark: SparkSession, d: str) -> DataFrame:
-    """A bound of 1000 cards split over counties by votes, rounded half up (contests of several counties: ids modulo 20)."""
-    v = base.cvr_votes(spark, d).groupBy((F.col("contest_id") % 20).alias("contest_id"), "county_id").agg(F.sum(F.size("cands")).alias("v")).where("v > 0")
-    return v.select("contest_id", "county_id", "v", F.floor(F.col("v") / F.sum("v").over(Window.partitionBy("contest_id")) * 1000 + 0.5).alias("share_of_1000"))
+    """The bound of cards of all contests of one name, split over the counties that have it by their votes, rounded half up."""
+    votes = base.cvr_votes(spark, d).groupBy("contest_id").agg(F.sum(F.size("cands")).alias("n"))
+    c = base.contests(spark, d).where("description is not null and county_id is not null").join(base.totals(spark, d).select("contest_id", "nc"), "contest_id").join(votes, "contest_id", "left")
+    v = c.groupBy("description", "county_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("v"), F.sum("nc").alias("nc")).where("v > 0")
+    w = Window.partitionBy("description")  # a row for each county
+    return v.select("description", "county_id", "v", F.floor(F.col("v") / F.sum("v").over(w) * F.sum("nc").over(w) + 0.5).alias("share"))
 
 
 @R.add("select county_id, contest_id, style_id, n, round(n / sum(n) over (partition by county_id, contest_id), 9) as pct from (select county_id, contest_id, style_id, count(*) as n from cv group by all)")

@@ -139,10 +139,10 @@ def pool_key(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("select card_key, 'pool ' || pool_id || ' position' || row_number() over (partition by pool_id order by card_index, card_key) as place from cards where pool_id is not null")
 def pool_position(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("pool_id").orderBy("card_index", "card_key"))
-    return base.cards(spark, d).where("pool_id is not null").select("card_key", F.concat(F.lit("pool "), F.col("pool_id"), F.lit(" position"), k).alias("place"))
+    """Each pooled card's place in its pool; ranges of the index are sorted, not pools."""
+    cards = base.cards(spark, d).where("pool_id is not null").select("card_key", "pool_id", "card_index")
+    placed = prefix.place(cards, ["pool_id"], ["card_index", "card_key"], prefix.index_bucket("card_index", base.card_rows(spark, d)), "k")
+    return placed.select("card_key", F.concat(F.lit("pool "), F.col("pool_id"), F.lit(" position"), F.col("k")).alias("place"))
 
 
 @R.add(""", pc as (select distinct pool_id, contest_id from cv where pool_id is not null),
