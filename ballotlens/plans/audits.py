@@ -377,11 +377,13 @@ def mvrs_used(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def estimate_round(spark: SparkSession, d: str) -> DataFrame:
-    """Cards each contest needs in a polling audit: the 80th percentile over trials of its hardest assertion."""
-    hard = outcome.hardest(base.assertions(spark, d).where("winner_votes > loser_votes"))
-    trials = risk.simulate_polling(hard, 20, ALPHA)
-    per = trials.groupBy("contest_id").agg(F.collect_list("needed").alias("v"))
-    return per.select("contest_id", tabulate.quantile_integer(F.col("v"), 50).cast("bigint").alias("q50"), tabulate.quantile_integer(F.col("v"), 80).cast("bigint").alias("q80"))
+    """Cards each contest needs, by its hardest assertion: of twenty polling trials the 50th and 80th percentile, and of the one comparison trial its size."""
+    hard = written(outcome.hardest(base.assertions(spark, d).where("winner_votes > loser_votes")), "hardest")
+    per = risk.simulate_polling(hard, 20, ALPHA).groupBy("contest_id").agg(F.collect_list("needed").alias("v"))  # one value a trial
+    q = lambda p: tabulate.quantile_integer(F.col("v"), p).cast("bigint").alias(f"q{p}")
+    polling = per.select("contest_id", F.lit("polling").alias("audit"), q(50), q(80))
+    comparison = risk.comparison_trial(hard, _ordered_cards(spark, d), ALPHA, MAX_LOSS, _bucket(spark, d))
+    return polling.unionByName(comparison.select("contest_id", F.lit("comparison").alias("audit"), F.col("needed").alias("q50"), F.col("needed").alias("q80")))
 
 
 def _ordered_cards(spark: SparkSession, d: str) -> DataFrame:

@@ -81,6 +81,13 @@ def scan_vendor_json(spark: SparkSession, d: str) -> DataFrame:
     return vendor.session_votes(marks).select("session_id", "card_no", "contest_id", F.array_join(F.col("cands").cast("array<string>"), " ").alias("cands"))
 
 
+@R.add()
+def vendor_session_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids that cast-vote records take from their sessions, also where the record's number is hidden."""
+    s = flatten_sessions(table(spark, d, "cvr_sessions"), ("session",))["session"]
+    return s.select("session_id", vendor.session_id(F.col("tabulator_id"), F.col("batch_id"), F.col("record_id"), F.col("image_mask")).alias("cvr_id")).distinct()
+
+
 @R.add()
 def json_contest_summary(spark: SparkSession, d: str) -> DataFrame:
     """Cards, undervotes and overvotes per contest, as the scanner counted them."""
@@ -95,3 +102,5 @@ ORACLE["scan_vendor_json"] = f"""with {_STATES}, v as (select distinct session_i
  select session_id, card_no::int as card_no, contest_id, array_to_string(list(cand order by place), ' ') as cands from o group by all"""
 ORACLE["json_contest_summary"] = f"""with {_STATES}, v as (select distinct session_id, card_no, trim(contest->>'Id')::int as contest_id, contest->>'Undervotes' as u, contest->>'Overvotes' as o from contests)
  select contest_id, count(*) as ncards, sum(try_cast(u as int))::bigint as undervotes, sum(try_cast(o as int))::bigint as overvotes from v group by all"""
+ORACLE["vendor_session_ids"] = r"""with s as (select distinct session_id, trim(payload::json->>'TabulatorId') as t, payload::json->>'BatchId' as b, payload::json->>'RecordId' as r, payload::json->>'ImageMask' as m, payload::json->'Original' as o, payload::json->'Modified' as mo from cvr_sessions)
+ select distinct session_id, concat_ws('-', t, b, case when r = 'X' then case when regexp_matches(m, 'Images.*\*\.\*') then regexp_extract(m, '^.*Images.(.*)\*\.\*', 1) else regexp_extract(m, '^[^/\\]*[/\\](.*)\*\.\*', 1) end else r end) as cvr_id from s where json_type(o) = 'OBJECT' or json_type(mo) = 'OBJECT'"""

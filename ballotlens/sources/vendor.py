@@ -197,3 +197,9 @@ def session_votes(marks: DataFrame) -> DataFrame:
     """session_id, contest_id and cands of the marks that are votes, by rank, each candidate once (its first rank)."""
     rows = marks.where("is_vote and candidate_id is not null").groupBy("session_id", "card_no", "contest_id", "candidate_id").agg(F.min(F.struct(F.coalesce("mark_rank", F.lit(0)), "mark_no")).alias("at"))
     return rows.groupBy("session_id", "card_no", "contest_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "candidate_id"))), lambda s: s["candidate_id"]).alias("cands"))  # the marks of one contest on one card
+
+
+def session_id(tabulator: Column, batch: Column, record: Column, mask: Column) -> Column:
+    """A session's id tabulator-batch-record; a record X is told by the image mask: what stands after its folder Images (else after its first folder), up to *.*"""
+    told = F.when(mask.rlike(r"Images.*\*\.\*"), F.regexp_extract(mask, r"^.*Images.(.*)\*\.\*", 1)).otherwise(F.regexp_extract(mask, r"^[^/\\]*[/\\](.*)\*\.\*", 1))
+    return F.concat_ws("-", tabulator, batch, F.when(record == "X", told).otherwise(record))

@@ -129,3 +129,9 @@ def test_json_zip_xml(spark, tmp_path):
     assert tuple(records.read_summary_xml(spark, str(tmp_path / "s.xml")).collect()[0]) == (3, 10, 1, 0, 2)
     (tmp_path / "p.json").write_text(json.dumps({"name": "North", "lists": [{"party": "A", "votes": 5, "seats": 1}]}))
     assert tuple(records.read_party_lists(spark, str(tmp_path / "p.json")).collect()[0]) == ("North", "A", 5, 1)
+
+
+def test_session_ids(spark):
+    df = spark.createDataFrame([(1, "2", "3", "a/Images/9_000007*.*"), (1, "2", "X", "D:\\\\r\\\\Images\\\\00001_000007*.*"), (1, "2", "X", "scans/00012/00001_000001*.*"), (1, None, "X", None)], "t int, b string, r string, m string")
+    got = [x.i for x in df.select(vendor.session_id(F.col("t"), F.col("b"), F.col("r"), F.col("m")).alias("i")).collect()]
+    assert got[0] == "1-2-3" and got[1].startswith("1-2-") and got[1].endswith("00001_000007") and got[2] == "1-2-00012/00001_000001" and got[3] == "1"
