@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballotlens.scratch import written
 
 
+#: Groups of a class are broadcast only if they are no more.
+BROADCAST_ROWS = 200_000
+
+
+def first_of_each(rows: DataFrame, wanted: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with rank and n, of each group those that come first in order, as many as wanted: group and n.
+
+    A literal bound on the rank lets each task drop all but its own first rows before the shuffle. Groups that want very
+    different numbers are taken in classes (each up to sixteen times its least), so that one that wants a great many does not
+    make every task keep as many of all others.
+    """
+    size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(16))
+    wanted = wanted.select(group, "n").where("n > 0").withColumn("__class", size)
+    classes = wanted.groupBy("__class").agg(F.max("n").alias("most"), F.count("*").alias("groups")).orderBy("__class").collect()  # at most sixteen
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    out = None
+    for c in classes:
+        mine = wanted.where(F.col("__class") == c["__class"]).select(group, "n")
+        known = F.broadcast(mine.select(group)) if c["groups"] <= BROADCAST_ROWS else mine.select(group)
+        part = rows if len(classes) == 1 else rows.join(known, group, "left_semi")
+        part = part.withColumn("rank", rank).where(F.col("rank") <= F.lit(c["most"])).join(mine, group).where("rank <= n")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.limit(0).withColumn("rank", F.lit(0)).withColumn("n", F.lit(0).cast("bigint"))
+
+
 def make_phantoms(need: DataFrame, shared: bool = True) -> DataFrame:
     """Phantom cards for contests that lack cards: phantom_no and contests (sorted).
 
@@ -25,12 +52,9 @@ def consistent_sample(card_contests: DataFrame, wanted: DataFrame, cap: int | No
 
     card_contests: prn and contest_id, one row for each contest a card may hold. wanted: contest_id and n. An
     included contest never skips a card before it is satisfied, so a card is drawn if it is among the first n of
-    some contest. cap: at most so many cards, by prn. The literal bound lets each task keep only its own first cards.
+    some contest. cap: at most so many cards, by prn.
     """
-    most = wanted.agg(F.max("n")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("contest_id").orderBy("prn"))
-    ranked = card_contests.select("prn", "contest_id").withColumn("rank", rank).where(F.col("rank") <= F.lit(most))
-    drawn = ranked.join(wanted.select("contest_id", "n"), "contest_id").where("rank <= n").select("prn").distinct()
+    drawn = first_of_each(card_contests.select("prn", "contest_id"), wanted, "contest_id", ["prn"]).select("prn").distinct()
     return drawn.orderBy("prn").limit(cap) if cap is not None else drawn
 
 
@@ -68,9 +92,7 @@ def sample_reach(card_contests: DataFrame, sample: DataFrame, wanted: DataFrame)
 
 def uniform_sample(cards: DataFrame, wanted: DataFrame, group: str = "county_id") -> DataFrame:
     """The first n cards of each group by prn. wanted: the group and n."""
-    most = wanted.agg(F.max("n")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("prn"))
-    return cards.withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).join(wanted, group).where("rank <= n").drop("n")
+    return first_of_each(cards, wanted, group, ["prn"]).drop("n")
 
 
 def drop_largest(wanted: DataFrame, n: int) -> DataFrame:
@@ -91,9 +113,7 @@ def sample_with_limits(card_contests: DataFrame, wanted: DataFrame, totals: Data
     """
     sizes = limited_sizes(wanted, totals, max_pct, contest_cutoff).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "contest_id")))  # one row a contest
     sizes = written(sizes, "sizes")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("contest_id").orderBy("prn"))
-    drawn = card_contests.select("prn", "contest_id").withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).join(sizes, "contest_id").where("rank <= n")
+    drawn = first_of_each(card_contests.select("prn", "contest_id"), sizes, "contest_id", ["prn"]).join(sizes.select("contest_id", "r"), "contest_id")
     # a card stays in the sample until the last contest that wants it has been dropped, so one pass gives the
     # sample's size after each drop: the cards whose last contest comes later
     last = drawn.groupBy("prn").agg(F.max("r").alias("r")).groupBy("r").agg(F.count("*").alias("cards"))

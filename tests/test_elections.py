@@ -391,3 +391,14 @@ def test_county_pools_without_ids(spark, monkeypatch):
         got = {(r.pool_id, r.contest_id): (r.county, r.total_cards, r.styles, r.tally) for r in T.read_county_pools(df).collect()}
         assert got == {(7, 1): ("Adams", 300, [4, 9], {"1": 120, "2": 175}), (7, 3): ("Adams", 300, [4, 9], {"7": 9}), (8, 1): ("Baca", 10, None, {}), (8, 2): ("Baca", 10, None, {"1": 3})} or got[8, 1][2] == []
     assert T.unread(df.select("value").unionAll(spark.createDataFrame([("9, x",)], "value string")), "pools").count() == 1
+
+
+def test_first_of_each_with_very_different_sizes(spark):
+    rows = spark.createDataFrame([(g, (i * 7919) % 5003, i) for g in (1, 2, 3, 4) for i in range(1000)], "g int, o int, rank2 int")
+    wanted = spark.createDataFrame([(1, 2), (2, 700), (3, 0), (9, 5)], "g int, n bigint")
+    got = draws.first_of_each(rows, wanted, "g", ["o"]).collect()
+    best = {g: sorted((i * 7919) % 5003 for i in range(1000)) for g in (1, 2)}
+    assert sorted(r.o for r in got if r.g == 1) == best[1][:2] and sorted(r.o for r in got if r.g == 2) == best[2][:700] and len(got) == 702
+    assert draws.first_of_each(rows, wanted.limit(0), "g", ["o"]).count() == 0
+    plan = draws.first_of_each(rows, wanted, "g", ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4 and "BroadcastHashJoin" in plan
