@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballotlens.operators.draws import first_of_each
 from ballotlens.scratch import written
 
 #: 2^31 / golden ratio, rounded to an odd number: multiples of it spread evenly modulo 2^31.
@@ -44,8 +45,8 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
     smallest number and earliest added_at; cards without a number are never drawn; of a round that is sent
     twice one whole copy counts (one with a stored sample, then the last drawn_at, then the larger wanted). A null added_at is never in time; a null wanted draws nothing new.
 
-    Each round ranks at most the largest ``wanted`` cards of a county in each task before they meet, so
-    that a county with a third of all cards is no bottleneck.
+    Each round ranks in each task at most as many cards of a county as it or one of its class may want before they meet (see
+    ``draws.first_of_each``), so that a county with a third of all cards is no bottleneck.
     """
     number = prn_number(F.col("prn"))
     cards = cards.select(group, "card_key", number.alias("number"), "added_at").where("number is not null").groupBy(group, "card_key").agg(F.min("number").alias("number"), F.min("added_at").alias("added_at"))
@@ -63,18 +64,14 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
             before = held.join(open_round.select(group), group, "left_semi")
             have = before.groupBy(group).agg(F.count("*").alias("have"))
             need = open_round.join(have, group, "left").select(group, "drawn_at", (F.coalesce("wanted", F.lit(0)) - F.coalesce("have", F.lit(0))).alias("need")).where("need > 0")
-            most = need.agg(F.max("need")).first()[0] or 0
-            free = cards.join(before, [group, "card_key"], "left_anti").join(need, group).where("added_at <= drawn_at")
-            rank = F.row_number().over(Window.partitionBy(group).orderBy("number", "card_key"))
-            # the literal bound lets each task drop all but its own smallest cards before the shuffle
-            new = free.withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).where("rank <= need").select(group, "card_key")
+            free = cards.join(before, [group, "card_key"], "left_anti").join(need, group).where("added_at <= drawn_at").select(group, "card_key", "number")
+            # literal bounds let each task drop all but its own smallest cards before the shuffle
+            new = first_of_each(free, need.select(group, F.col("need").cast("bigint").alias("n")), group, ["number", "card_key"]).select(group, "card_key")
             taken = taken.unionAll(before).unionAll(new)
         else:
             open_round = now.where("sample_prns is null").select(group, "drawn_at", F.coalesce("wanted", F.lit(0)).alias("need"))
-            most = open_round.agg(F.max("need")).first()[0] or 0
-            free = cards.join(open_round, group).where("added_at <= drawn_at")
-            rank = F.row_number().over(Window.partitionBy(group).orderBy("number", "card_key"))
-            taken = taken.unionAll(free.withColumn("rank", rank).where(F.col("rank") <= F.lit(most)).where("rank <= need").select(group, "card_key"))
+            free = cards.join(open_round, group).where("added_at <= drawn_at").select(group, "card_key", "number")
+            taken = taken.unionAll(first_of_each(free, open_round.select(group, F.col("need").cast("bigint").alias("n")), group, ["number", "card_key"]).select(group, "card_key"))
         taken = written(taken.distinct(), "sample")
         part = taken.select(group, F.lit(level).alias("round_idx"), "card_key")
         # a county that skips a round keeps its last sample for the next
