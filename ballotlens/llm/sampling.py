@@ -64,6 +64,7 @@ def audit_samples(cards: DataFrame, rounds: DataFrame, group: str = "county_id")
             before = held.join(open_round.select(group), group, "left_semi")
             have = before.groupBy(group).agg(F.count("*").alias("have"))
             need = open_round.join(have, group, "left").select(group, "drawn_at", (F.coalesce("wanted", F.lit(0)) - F.coalesce("have", F.lit(0))).alias("need")).where("need > 0")
+            need = written(need, "need")
             free = cards.join(before, [group, "card_key"], "left_anti").join(need, group).where("added_at <= drawn_at").select(group, "card_key", "number")
             # literal bounds let each task drop all but its own smallest cards before the shuffle
             new = first_of_each(free, need.select(group, F.col("need").cast("bigint").alias("n")), group, ["number", "card_key"]).select(group, "card_key")
