@@ -285,7 +285,9 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
     header = heads.select(county, F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit("Batch Name,"), F.array_join(F.transform("heads", title), ","), F.lit(",")).alias("value"))  # a comma at the end
     per = counts.groupBy("county_id", "batch").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("contest_id", "cand").alias("k"), "n"))).alias("m"))
     cell = lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0)).cast("string")
-    body = per.join(heads, "county_id").select(county, (F.col("batch") + 2).cast("bigint").alias("line_no"), F.concat(F.lit('"Batch, '), "batch", F.lit('",'), F.array_join(F.transform("heads", cell), ","), F.lit(",")).alias("value"))
+    batch = F.col("batch").cast("bigint")
+    line = F.when(batch < 0, -2 * batch + 1).otherwise(2 * batch) + 2  # a line of its own, never the header's, also below 0
+    body = per.join(heads, "county_id").select(county, line.alias("line_no"), F.concat(F.lit('"Batch, '), "batch", F.lit('",'), F.array_join(F.transform("heads", cell), ","), F.lit(",")).alias("value"))
     totals = T.read_batch_totals(header.unionByName(body))
     manifest = base.cvrs(spark, d).groupBy("county_id", F.coalesce("precinct", F.lit(0)).alias("batch")).agg(F.count("*").alias("n"))
     lines = manifest.select(F.concat(F.lit("county_"), "county_id").alias("file_name"), F.concat(F.lit('in person,"Batch, '), "batch", F.lit('", '), "n").alias("value"))

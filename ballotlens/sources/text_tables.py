@@ -206,14 +206,14 @@ def read_batch_totals(lines: DataFrame) -> DataFrame:
     """file_name, batch, contest, choice and votes of wide totals whose headings are "contest - choice".
 
     lines: file_name, line_no (1 is the header) and value. Empty cells, as after a comma at the end, are skipped; a file's
-    header stands beside each of its lines, so that files may have other contests.
+    header stands beside each of its lines, so that files may have other contests. Headings are taken apart once a file, not once a cell.
     """
     c = vendor_cells(F.col("value"))
+    part = lambda h, i: F.trim(F.regexp_extract(plain_name(h), r"^(.*)-([^-]*)$", i))
     heads = lines.where("line_no = 1").groupBy("file_name").agg(F.first(F.slice(c, 2, F.size(c))).alias("heads"))
+    heads = heads.select("file_name", F.transform("heads", lambda h: F.when(F.coalesce(h, F.lit("")) != "", F.struct(part(h, 1).alias("contest"), part(h, 2).alias("choice")))).alias("heads"))
     rows = lines.where("line_no > 1").join(heads, "file_name").select("file_name", plain_name(F.get(c, F.lit(0))).alias("batch"), F.explode(F.arrays_zip(F.col("heads").alias("h"), F.slice(c, 2, F.size(c)).alias("v"))).alias("p"))
-    title = plain_name(F.col("p.h"))
-    part = lambda i: F.trim(F.regexp_extract(title, r"^(.*)-([^-]*)$", i))
-    return rows.where("coalesce(p.h, '') <> '' and coalesce(p.v, '') <> ''").select("file_name", "batch", part(1).alias("contest"), part(2).alias("choice"), whole(F.col("p.v")).alias("votes"))
+    return rows.where("p.h is not null and coalesce(p.v, '') <> ''").select("file_name", "batch", F.col("p.h.contest").alias("contest"), F.col("p.h.choice").alias("choice"), whole(F.col("p.v")).alias("votes"))
 
 
 def read_parties(lines: DataFrame) -> DataFrame:
